@@ -96,10 +96,9 @@ def lagged_frame(
     for lag in lags:
         check_leakage(lag, horizon)
     w = over(keys, ts)
-    variants = F.array(
-        *[F.struct(F.lit(k).alias("lag_months"), F.lag(exog, k).over(w).alias("exog_lag")) for k in lags]
-    )
-    return df.select(*keys, ts, y, F.inline(variants)).na.drop()
+    shifted = [F.struct(F.lit(k).alias("lag_months"), F.lag(exog, k).over(w).alias("exog_lag")) for k in lags]
+    wide = df.select(*keys, ts, y, F.array(*shifted).alias("_v"))
+    return wide.select(*keys, ts, y, F.inline("_v")).na.drop()
 
 
 def error_table(

@@ -60,11 +60,10 @@ def regularize(df: DataFrame, keys: Sequence[str], ts: str, every: str) -> DataF
     needs the window's one shuffle and no join with a calendar.
     """
     step = F.expr(f"interval {STEPS[every]}")
-    following = F.lead(ts).over(over(keys, ts))
-    last = F.coalesce((following - step).cast("date"), F.col(ts))
-    grid = F.explode(F.sequence(F.col(ts), F.greatest(F.col(ts), last), step))
     values = [c for c in df.columns if c not in keys and c != ts]
-    wide = df.select(*keys, F.col(ts).alias("_ts"), *values, grid.cast("date").alias(ts))
+    until = (F.lead(ts).over(over(keys, ts)) - step).cast("date")
+    spans = df.select(*keys, F.col(ts).alias("_ts"), *values, F.greatest(F.col(ts), until).alias("_until"))
+    wide = spans.select(*keys, "_ts", *values, F.explode(F.sequence("_ts", "_until", step)).alias(ts))
     kept = [F.when(F.col(ts) == F.col("_ts"), F.col(c)).alias(c) for c in values]
     return wide.select(*keys, ts, *kept)
 

@@ -19,7 +19,8 @@ SETTINGS = {
 
 
 def get_session(master: str | None = None, app: str = "daybook", **extra: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app)
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
