@@ -52,10 +52,12 @@ def folds(
     rows = df.select(*keys, ts, F.col(y).cast("double").alias("_y"))
     rows = rows.withColumns({"_t": F.row_number().over(w) - 1, "_n": size})
     if drift:
+        # running sums in units of 10^-6 are exact, so the line depends on no summation order
         grown = w.rowsBetween(W.unboundedPreceding, 0)
-        slope = F.expr("regr_slope(_y, _t)").over(grown)
-        level = F.expr("regr_intercept(_y, _t)").over(grown)
-        rows = rows.withColumn("_line", F.when(F.col("_t") >= 1, F.struct(slope.alias("b"), level.alias("a"))))
+        rows = rows.withColumns(
+            {"_sy": F.sum(scaled("_y", 6)).over(grown), "_sty": F.sum(scaled("_y", 6) * F.col("_t")).over(grown)}
+        )
+        rows = rows.withColumn("_line", F.when(F.col("_t") >= 1, _line(F.col("_t") + 1.0)))
 
     def fold(k: int) -> Column:
         naive = F.lag("_y", k).over(w)
@@ -66,7 +68,7 @@ def folds(
             fields.append(seasonal.alias("seasonal_naive"))
         if drift:
             line = F.lag("_line", k).over(w)
-            fields.append((line["a"] + line["b"] * F.col("_t")).alias("drift"))
+            fields.append(((line["a"] + line["b"] * F.col("_t")) / 1e6).alias("drift"))
         return F.struct(*fields)
 
     wide = rows.withColumn("_f", F.array(*[fold(k) for k in range(1, horizon + 1)]))
@@ -85,6 +87,14 @@ def folds(
     )
 
 
+def _line(n: Column) -> Column:
+    """Least-squares level and slope over positions 0 to n-1, from the two running sums."""
+    st, stt = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
+    sy, sty = F.col("_sy").cast("double"), F.col("_sty").cast("double")
+    slope = (n * sty - st * sy) / (n * stt - st * st)
+    return F.struct(slope.alias("b"), ((sy - slope * st) / n).alias("a"))
+
+
 def lagged_frame(
     df: DataFrame, keys: Sequence[str], ts: str, y: str, exog: str, lags: Sequence[int], horizon: int
 ) -> DataFrame:

@@ -1,0 +1,395 @@
+"""Fitted forecast models over many series at once.
+
+The work is spread by (series, block of origins): every group gets the rows of
+its series up to the last origin of the block plus the horizon, and fits all
+origins of the block together. A series is one row per period, so a group is
+bounded by the calendar. Groups are small in bytes but heavy in arithmetic,
+which is why the number of partitions is set explicitly: adaptive coalescing
+by bytes would put them all into one task.
+
+The numerical part is a handful of batched numpy recursions in which every
+lane is one (origin, parameter vector) pair.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from daybook.functions.distributions import unit_root_p
+from daybook.operators.backtest import check_leakage
+from daybook.operators.series import future_index, over
+
+DIFFUSE = 1e6
+STEPS = np.array([1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3])
+
+
+def minimise(f: Callable, x0: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Quasi-Newton descent on many independent problems at once.
+
+    ``f(x, lane)`` gives the objective of rows ``x`` for the problems ``lane``.
+    Gradients (central differences) and all trial steps of a line search are
+    each one call over all problems.
+    """
+    n, k = x0.shape
+    x, h = x0.copy(), np.repeat(np.eye(k)[None] * 0.1, n, 0)
+    fx = f(x, np.arange(n))
+
+    def gradient(x, lanes):
+        d = 1e-5 * np.maximum(1.0, np.abs(x))
+        shift = np.eye(k)[None] * d[:, None, :]
+        both = np.concatenate([x[:, None] + shift, x[:, None] - shift], 1).reshape(-1, k)
+        v = f(both, np.repeat(lanes, 2 * k)).reshape(-1, 2, k)
+        return np.nan_to_num((v[:, 0] - v[:, 1]) / (2 * d), nan=0.0, posinf=0.0, neginf=0.0)
+
+    live = np.arange(n)
+    g = gradient(x, live)
+    for _ in range(rounds):
+        d = -np.einsum("lij,lj->li", h[live], g[live])
+        uphill = np.einsum("li,li->l", d, g[live]) >= 0
+        d[uphill] = -g[live][uphill]
+        d /= np.maximum(1.0, np.abs(d).max(1, keepdims=True))
+        trial = x[live][:, None] + STEPS[None, :, None] * d[:, None]
+        v = f(trial.reshape(-1, k), np.repeat(live, len(STEPS))).reshape(-1, len(STEPS))
+        best = np.nanargmin(np.where(np.isfinite(v), v, np.inf), 1)
+        rows = np.arange(len(live))
+        better = v[rows, best] < fx[live] - 1e-9 * (1 + np.abs(fx[live]))
+        live, trial, v, best = live[better], trial[better], v[better], best[better]
+        if not len(live):
+            break
+        rows = np.arange(len(live))
+        s = trial[rows, best] - x[live]
+        x[live], fx[live] = trial[rows, best], v[rows, best]
+        new = gradient(x[live], live)
+        yv = new - g[live]
+        g[live] = new
+        sy = np.einsum("li,li->l", s, yv)
+        ok = sy > 1e-12
+        if ok.any():
+            i, s, yv, sy = live[ok], s[ok], yv[ok], sy[ok]
+            left = np.eye(k)[None] - s[:, :, None] * yv[:, None, :] / sy[:, None, None]
+            h[i] = left @ h[i] @ left.transpose(0, 2, 1) + s[:, :, None] * s[:, None, :] / sy[:, None, None]
+    return x, fx
+
+
+def _kalman(y, x, ends, phi, theta, beta, variance, horizon=0):
+    """Log-likelihood and forecasts of ARIMA(1,1,1) with regressors, one lane per parameter row.
+
+    State: the integrated level and two ARMA states, all started approximately
+    diffuse, so the first three periods do not count. A missing value only
+    propagates the state.
+    """
+    lanes = len(phi)
+    t = np.zeros((lanes, 3, 3))
+    t[:, 0, 0] = t[:, 0, 1] = t[:, 1, 2] = 1.0
+    t[:, 1, 1] = phi
+    r = np.stack([np.zeros(lanes), np.ones(lanes), theta], 1)
+    q = variance[:, None, None] * r[:, :, None] * r[:, None, :]
+    a, p = np.zeros((lanes, 3)), np.repeat(np.eye(3)[None] * DIFFUSE, lanes, 0)
+    tt = t.transpose(0, 2, 1)
+    loglik, mean = np.zeros(lanes), x @ beta.T
+    for i in range(int(ends.max())):
+        live = ends > i
+        if np.isnan(y[i]):
+            new_a, new_p = np.einsum("lij,lj->li", t, a), t @ p @ tt + q
+        else:
+            pz = p[:, :, 0] + p[:, :, 1]
+            f = pz[:, 0] + pz[:, 1]
+            v = y[i] - mean[i] - a[:, 0] - a[:, 1]
+            if i >= 3:
+                loglik -= np.where(live, 0.5 * (math.log(2 * math.pi) + np.log(f) + v * v / f), 0.0)
+            updated = a + pz * (v / f)[:, None]
+            new_a = np.einsum("lij,lj->li", t, updated)
+            new_p = t @ (p - pz[:, :, None] * pz[:, None, :] / f[:, None, None]) @ tt + q
+        a, p = np.where(live[:, None], new_a, a), np.where(live[:, None, None], new_p, p)
+    out = np.empty((lanes, horizon))
+    for s in range(horizon):
+        at = np.minimum(ends + s, len(x) - 1)
+        out[:, s] = a[:, 0] + a[:, 1] + np.einsum("lk,lk->l", x[at], beta)
+        a = np.einsum("lij,lj->li", t, a)
+    return loglik, out
+
+
+def arima(y, x, days, ends, horizon):
+    """ARIMA(1,1,1) with optional regressors by maximum likelihood, two starts per origin."""
+    k, n = x.shape[1], len(ends)
+    starts = np.array([[0.6, -0.3], [-0.3, 0.6]])
+    lane_end = np.repeat(ends, len(starts))
+    x0 = np.zeros((n * len(starts), 3 + k))
+    x0[:, :2] = np.tile(starts, (n, 1))
+    for i, end in enumerate(ends):
+        dy, dx = np.diff(y[:end]), np.diff(x[:end], axis=0)
+        ok = ~np.isnan(dy)
+        b = np.linalg.lstsq(dx[ok], dy[ok], rcond=None)[0] if k and ok.any() else np.zeros(k)
+        rows = slice(i * len(starts), (i + 1) * len(starts))
+        x0[rows, 2] = math.log(max(np.var(dy[ok] - dx[ok] @ b) if ok.any() else 1.0, 1e-8))
+        x0[rows, 3:] = b
+
+    def objective(v, lane):
+        with np.errstate(all="ignore"):
+            ll, _ = _kalman(y, x, lane_end[lane], v[:, 0], v[:, 1], v[:, 3:], np.exp(np.clip(v[:, 2], -30, 30)))
+        return np.where(np.isfinite(ll), -ll, np.inf)
+
+    best, value = minimise(objective, x0)
+    pick = np.arange(n) * len(starts) + value.reshape(n, -1).argmin(1)
+    v = best[pick]
+    ll, out = _kalman(y, x, ends, v[:, 0], v[:, 1], v[:, 3:], np.exp(v[:, 2]), horizon)
+    return out, 2 * (3 + k) - 2 * ll, ["(1,1,1)"] * n
+
+
+def _seasonal_errors(w, ends, v, season, horizon=0):
+    """One-step errors of the doubly differenced series, zero before its start."""
+    ar, ma, sar, sma = v.T
+    lanes, last = len(v), int(ends.max())
+    e, z = np.zeros((lanes, last + horizon)), np.tile(w[: last + horizon], (lanes, 1))
+    first = season + 1
+    for t in range(first, last + horizon):
+        far, edge = t - season, t - season - 1
+        m = ar * z[:, t - 1] + ma * e[:, t - 1] + sar * z[:, far] + sma * e[:, far]
+        if edge >= 0:
+            m += ma * sma * e[:, edge] - ar * sar * z[:, edge]
+        past = t >= ends
+        z[:, t] = np.where(past, m, z[:, t])
+        e[:, t] = np.where(past, 0.0, np.clip(z[:, t] - m, -1e6, 1e6))
+    return e, z
+
+
+def sarima(y, x, days, ends, horizon, season=52):
+    """Seasonal ARIMA (1,1,1)(1,1,1,season) by conditional sum of squares.
+
+    An origin whose fit is not finite is repeated without the seasonal
+    autoregression.
+    """
+    w = np.zeros(len(y) + horizon)
+    w[season + 1 : len(y)] = y[season + 1 :] - y[season:-1] - y[1:-season] + y[: -season - 1]
+    used = np.maximum(ends - season - 1, 1)
+
+    def run(mask, lanes):
+        def objective(v, lane):
+            e, _ = _seasonal_errors(w, ends[lanes][lane], v * mask, season)
+            sse = np.einsum("lt,lt->l", e, e)
+            n = used[lanes][lane]
+            return np.where(np.isfinite(sse), n / 2 * np.log(np.maximum(sse, 1e-12) / n), np.inf)
+
+        start = np.tile(np.array([0.1, -0.1, 0.1, -0.1]), (len(lanes), 1)) * mask
+        best, value = minimise(objective, start, 40)
+        _, z = _seasonal_errors(w, ends[lanes], best * mask, season, horizon)
+        out = np.empty((len(lanes), horizon))
+        for i, end in enumerate(ends[lanes]):
+            full = np.concatenate([y[:end], np.zeros(horizon)])
+            for s in range(end, end + horizon):
+                full[s] = z[i, s] + full[s - 1] + full[s - season] - full[s - season - 1]
+            out[i] = full[end:]
+        n = used[lanes]
+        return out, 2 * (mask.sum() + 1) + 2 * value + n * (math.log(2 * math.pi) + 1)
+
+    everyone = np.arange(len(ends))
+    out, aic = run(np.ones(4), everyone)
+    spec = np.array([f"(1,1,1)(1,1,1,{season})"] * len(ends), dtype=object)
+    bad = everyone[~np.isfinite(out).all(1)]
+    if len(bad):
+        out[bad], aic[bad] = run(np.array([1.0, 1.0, 0.0, 1.0]), bad)
+        spec[bad] = f"(1,1,1)(0,1,1,{season})"
+    return out, aic, list(spec)
+
+
+def trend_season(y, x, days, ends, horizon, changepoints=25, order=10, prior=0.05):
+    """Piecewise-linear trend plus yearly Fourier terms, by penalised least squares.
+
+    Changes of slope carry a Laplace penalty (reached by re-weighting a ridge
+    penalty), so most of them vanish. ``days`` includes the horizon.
+    """
+    out = np.empty((len(ends), horizon))
+    angle = 2 * math.pi * np.outer(days, np.arange(1, order + 1)) / 365.25
+    waves = np.hstack([np.sin(angle), np.cos(angle)])
+    for i, end in enumerate(ends):
+        known = np.flatnonzero(~np.isnan(y[:end]))
+        scale = np.abs(y[known]).max() or 1.0
+        t = (days - days[0]) / max(days[end - 1] - days[0], 1)
+        reach = int(0.8 * len(known))
+        knots = t[known[np.unique(np.linspace(0, max(reach - 1, 0), min(changepoints, max(reach - 1, 0)) + 1).round().astype(int))[1:]]]
+        design = np.hstack([np.ones((len(t), 1)), t[:, None], np.maximum(t[:, None] - knots, 0.0), waves])
+        a, b = design[known], y[known] / scale
+        fixed = np.concatenate([[1 / 25, 1 / 25], np.zeros(len(knots)), np.full(2 * order, 1 / 100)])
+        gram, right = a.T @ a, a.T @ b
+        coef, noise = np.zeros(a.shape[1]), max(np.var(b), 1e-8)
+        bend = slice(2, 2 + len(knots))
+        coef[bend] = prior
+        for _ in range(30):
+            weight = fixed.copy()
+            weight[bend] = 1.0 / (prior * np.maximum(np.abs(coef[bend]), 1e-6))
+            coef = np.linalg.solve(gram + noise * np.diag(weight), right)
+            noise = max(np.mean((b - a @ coef) ** 2), 1e-10)
+        out[i] = design[end : end + horizon] @ coef * scale
+    return out, np.full(len(ends), np.nan), ["trend+year"] * len(ends)
+
+
+MODELS = {"arima": arima, "sarima": sarima, "trend_season": trend_season}
+
+
+def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _day_numbers(ts: pd.Series) -> np.ndarray:
+    return pd.to_datetime(ts).to_numpy().astype("datetime64[D]").astype(float)
+
+
+def backtest_model(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    y: str,
+    model: str,
+    min_train: int,
+    horizon: int,
+    step: int = 1,
+    exog: Sequence[str] = (),
+    fit_on: str | None = None,
+    exog_lag: int | None = None,
+    block: int = 8,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Fold rows like ``backtest.folds``, with the forecasts of a fitted model.
+
+    ``fit_on`` names the training target when it differs from the scored one
+    (for instance with a window masked out); its NULLs are missing values.
+    """
+    if exog_lag is not None:
+        check_leakage(exog_lag, horizon)
+    spark, target = df.sparkSession, fit_on or y
+    size = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    rows = df.select(
+        *keys, F.col(ts).alias("_ts"), F.col(y).cast("double").alias("_y"), F.col(target).cast("double").alias("_fit"),
+        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(exog)],
+    )
+    rows = rows.withColumns({"_t": F.row_number().over(over(keys, "_ts")) - 1, "_n": size})
+    rows = rows.filter(F.col("_n") >= min_train + horizon)
+    last_block = F.floor((F.col("_n") - horizon - min_train) / (step * block)).cast("int")
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), last_block)))
+    # a block needs the rows up to its last origin plus the horizon
+    rows = rows.filter(F.col("_t") < min_train + ((F.col("_block") + 1) * block - 1) * step + horizon)
+    xs, fit_all = [f"_x{i}" for i in range(len(exog))], MODELS[model]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_t")
+        first = min_train + int(pdf["_block"].iloc[0]) * block * step
+        limit = min(first + (block - 1) * step, int(pdf["_n"].iloc[0]) - horizon)
+        ends = np.arange(first, limit + 1, step)
+        out, aic, spec = fit_all(
+            pdf["_fit"].to_numpy(float), pdf[xs].to_numpy(float), _day_numbers(pdf["_ts"]), ends, horizon
+        )
+        stamp, actual = pdf["_ts"].to_numpy(), pdf["_y"].to_numpy(float)
+        at = ends[:, None] + np.arange(horizon)[None]
+        repeat = np.repeat(np.arange(len(ends)), horizon)
+        return pd.DataFrame(
+            {
+                **{k: pdf[k].iloc[0] for k in keys},
+                "fold": (ends[repeat] - min_train) // step + 1,
+                "origin": stamp[ends - 1][repeat],
+                "target": stamp[at.ravel()],
+                "step": np.tile(np.arange(1, horizon + 1), len(ends)),
+                "actual": actual[at.ravel()],
+                "naive": actual[ends - 1][repeat],
+                model: out.ravel(),
+                "aic": aic[repeat],
+                "spec_used": [spec[i] for i in repeat],
+            }
+        )
+
+    kind = df.schema[ts].dataType.simpleString()
+    schema = (
+        f"{_key_schema(df, keys)}, fold int, origin {kind}, target {kind}, step int, actual double, naive double, "
+        f"{model} double, aic double, spec_used string"
+    )
+    spread = rows.repartition(tasks or 2 * spark.sparkContext.defaultParallelism, *keys, "_block")
+    return spread.groupBy(*keys, "_block").applyInPandas(run, schema)
+
+
+def forecast_ahead(
+    df: DataFrame, keys: Sequence[str], ts: str, y: str, model: str, horizon: int, every: str, min_rows: int, tasks: int | None = None
+) -> DataFrame:
+    """Fit every series on its whole history and forecast the next periods."""
+    gap = {"day": 1, "week": 7, "month": 365.25 / 12}[every]
+    size = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    rows = df.select(*keys, F.col(ts).alias("_ts"), F.col(y).cast("double").alias("_y"), size.alias("_n"))
+    rows = rows.filter(F.col("_n") >= min_rows)
+    fit_all = MODELS[model]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_ts")
+        days = _day_numbers(pdf["_ts"])
+        days = np.concatenate([days, days[-1] + gap * np.arange(1, horizon + 1)])
+        out, aic, spec = fit_all(pdf["_y"].to_numpy(float), np.empty((len(pdf), 0)), days, np.array([len(pdf)]), horizon)
+        return pd.DataFrame(
+            {
+                **{k: pdf[k].iloc[0] for k in keys},
+                "step": np.arange(1, horizon + 1),
+                "model": model,
+                "forecast": out[0],
+                "aic": aic[0],
+                "spec_used": spec[0],
+            }
+        )
+
+    spread = rows.repartition(tasks or 2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    schema = f"{_key_schema(df, keys)}, step int, model string, forecast double, aic double, spec_used string"
+    fitted = spread.groupBy(*keys).applyInPandas(run, schema)
+    return fitted.join(future_index(df, keys, ts, horizon, every), [*keys, "step"])
+
+
+def _unit_root(y: np.ndarray) -> tuple[float, int, int]:
+    """Statistic, lags used and rows used of the augmented test with a constant, lags by AIC."""
+    n = len(y)
+    most = max(min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2), 0)
+    dy = np.diff(y)
+
+    def regress(lags: int, skip: int):
+        at = np.arange(skip, len(dy))
+        design = np.column_stack([y[at], np.ones(len(at)), *[dy[at - j] for j in range(1, lags + 1)]])
+        coef, *_ = np.linalg.lstsq(design, dy[at], rcond=None)
+        ssr = float(np.sum((dy[at] - design @ coef) ** 2))
+        return design, coef, ssr
+
+    def aic(lags: int) -> float:
+        design, _, ssr = regress(lags, most)
+        m = len(design)
+        return m * (math.log(2 * math.pi * max(ssr, 1e-300) / m) + 1) + 2 * design.shape[1]
+
+    lags = min(range(most + 1), key=aic)
+    design, coef, ssr = regress(lags, lags)
+    s2 = ssr / (len(design) - design.shape[1])
+    se = math.sqrt(s2 * np.linalg.pinv(design.T @ design)[0, 0])
+    return coef[0] / se, lags, len(design)
+
+
+def unit_root_test(
+    df: DataFrame, keys: Sequence[str], ts: str, y: str, level: float = 0.05, min_rows: int = 12, tasks: int | None = None
+) -> DataFrame:
+    """Augmented unit-root test per series; a series that is not stationary is tested again on its differences."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, out = pdf.sort_values(ts)[y].dropna().to_numpy(float), []
+        for on in ("level", "1st diff"):
+            if len(values) < min_rows or np.ptp(values) == 0:
+                break
+            stat, lags, used = _unit_root(values)
+            p = unit_root_p(stat)
+            out.append({"tested_on": on, "statistic": stat, "p_value": p, "lags": lags, "n_used": used, "stationary": p < level})
+            if p < level:
+                break
+            values = np.diff(values)
+        table = pd.DataFrame(out, columns=["tested_on", "statistic", "p_value", "lags", "n_used", "stationary"])
+        for k in keys:
+            table[k] = pdf[k].iloc[0]
+        return table
+
+    schema = f"{_key_schema(df, keys)}, tested_on string, statistic double, p_value double, lags int, n_used int, stationary boolean"
+    spread = df.select(*keys, ts, y).repartition(tasks or 2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return spread.groupBy(*keys).applyInPandas(run, schema)

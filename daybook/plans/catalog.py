@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import dates, metrics, text
 from daybook.functions.numbers import exact_mean, exact_sum, lenient_double, lenient_int, round_to, scaled
-from daybook.operators import backtest, marts, quality, reports, rollups, series, staging
+from daybook.operators import backtest, forecast, marts, quality, regression, reports, rollups, series, staging
 from daybook.plans import bindings as b
 from daybook.plans import oracle as o
 from daybook.plans.bindings import Inputs
@@ -835,3 +835,202 @@ def _(t: Inputs) -> DataFrame:
 @query("one_step_folds", o.sql("SELECT * FROM weekly_folds WHERE step = 1", "weekly_folds"))
 def _(t: Inputs) -> DataFrame:
     return backtest.one_step(weekly_folds(t))
+
+
+# --- regression ------------------------------------------------------------------------------
+
+TARGET = "system_occupancy_rate"
+FRAME_COLUMNS = (
+    "series", "month_start", "year_number", TARGET, "avg_policy_rate", "avg_temp_c", "season", "time_trend",
+    "policy_rate_lag", "is_covid", "post_2021", "is_spring", "is_summer", "is_fall",
+)
+
+
+def regression_rows(t: Inputs) -> DataFrame:
+    """Monthly regression input for the system and every sector."""
+    months = rollups.monthly_series(t.fact(), min_days=1).select(
+        "series", "month_start", F.year("month_start").alias("year_number"), F.col("occupancy_rate").alias(TARGET)
+    )
+    rates = marts.rates_monthly(stg_rates(t)).select("month_start", "avg_policy_rate")
+    weather = marts.weather_monthly(stg_weather(t)).select("month_start", "avg_temp_c")
+    joined = months.join(rates, "month_start").join(weather, "month_start")
+    return series.regression_frame(joined, t.calendar(), 2017, 2025, keys=SERIES).select(*FRAME_COLUMNS)
+
+
+def fits(rows: DataFrame) -> DataFrame:
+    return regression.fit(rows, SERIES, TARGET, o.PREDICTORS)
+
+
+query("regression_input", o.table("regression", ", ".join(FRAME_COLUMNS)))(regression_rows)
+
+
+@query(
+    "ols_coefficients",
+    o.sql("SELECT series, term, round(coef, 6) AS coef, round(std_err, 6) AS std_err, round(coef / std_err, 4) AS t_value FROM reg_terms", "reg_terms"),
+)
+def _(t: Inputs) -> DataFrame:
+    rows = regression.coefficients(fits(regression_rows(t)), SERIES)
+    return rows.select("series", "term", *[round_to(c, d).alias(c) for c, d in (("coef", 6), ("std_err", 6), ("t_value", 4))])
+
+
+@query("ols_inference")
+def _(t: Inputs) -> DataFrame:
+    """Intervals, p-values and stars: the t distribution has no plain SQL form."""
+    return regression.coefficients(fits(regression_rows(t)), SERIES)
+
+
+@query(
+    "ols_effects",
+    o.sql(
+        "SELECT series, term, CASE term WHEN 'avg_temp_c' THEN '10 degrees colder' ELSE 'per year' END AS effect, "
+        "round(coef * CASE term WHEN 'avg_temp_c' THEN -10 ELSE 12 END, 5) AS amount FROM reg_terms "
+        "WHERE term IN ('avg_temp_c', 'time_trend')",
+        "reg_terms",
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    table = regression.coefficients(fits(regression_rows(t)), SERIES)
+    scales = {"avg_temp_c": ("10 degrees colder", -10), "time_trend": ("per year", 12)}
+    return regression.effects(table, scales).select("series", "term", "effect", round_to("amount", 5).alias("amount"))
+
+
+@query("vif", o.sql("SELECT series, term, round(vif, 6) AS vif FROM reg_terms WHERE term <> 'Intercept'", "reg_terms"))
+def _(t: Inputs) -> DataFrame:
+    return regression.vif(fits(regression_rows(t)), SERIES).withColumn("vif", round_to("vif", 6))
+
+
+@query(
+    "ols_fit_statistics",
+    o.sql(
+        "SELECT series, n, CAST(dof AS BIGINT) AS dof, round(1 - ssr / syy, 8) AS r2, round(1 - ssr / syy * (n - 1) / dof, 8) AS adj_r2, "
+        "round((syy - ssr) / 7 / (ssr / dof), 4) AS f_value, round(-n / 2.0 * (ln(2 * pi()) + ln(ssr / n) + 1), 6) AS log_lik, "
+        "round(16 + n * (ln(2 * pi()) + ln(ssr / n) + 1), 6) AS aic, round(8 * ln(n) + n * (ln(2 * pi()) + ln(ssr / n) + 1), 6) AS bic, "
+        "round(ssr, 6) AS ssr FROM reg_fit",
+        "reg_fit",
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    digits = {"r2": 8, "adj_r2": 8, "f_value": 4, "log_lik": 6, "aic": 6, "bic": 6, "ssr": 6}
+    stats = regression.fit_statistics(fits(regression_rows(t)), SERIES).drop("f_p")
+    return stats.select("series", "n", "dof", *[round_to(c, d).alias(c) for c, d in digits.items()])
+
+
+@query(
+    "ols_residuals",
+    o.sql(
+        "SELECT series, month_start, system_occupancy_rate, round(fitted, 6) AS fitted, "
+        "round(system_occupancy_rate - fitted, 6) AS residual FROM reg_rows",
+        "reg_rows",
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    rows = regression_rows(t)
+    out = regression.predict(rows, fits(rows), SERIES, TARGET, o.PREDICTORS)
+    return out.select("series", "month_start", TARGET, round_to("fitted", 6).alias("fitted"), round_to("residual", 6).alias("residual"))
+
+
+@query(
+    "residual_diagnostics",
+    o.sql(
+        "SELECT series, n, round(ss / s2, 6) AS durbin_watson, round(s3 / n / pow(s2 / n, 1.5), 6) AS skew, "
+        "round(s4 / n / pow(s2 / n, 2), 6) AS kurtosis FROM (SELECT series, count(*) AS n, sum(pow(e, 2)) AS s2, sum(pow(e, 3)) AS s3, "
+        "sum(pow(e, 4)) AS s4, sum(pow(e - e0, 2)) AS ss FROM (SELECT series, system_occupancy_rate - fitted AS e, "
+        "lag(system_occupancy_rate - fitted) OVER (PARTITION BY series ORDER BY month_start) AS e0 FROM reg_rows) GROUP BY 1)",
+        "reg_rows",
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    rows = regression_rows(t)
+    residuals = regression.predict(rows, fits(rows), SERIES, TARGET, o.PREDICTORS)
+    out = regression.residual_diagnostics(residuals, SERIES, "month_start")
+    return out.select("series", "n", *[round_to(c, 6).alias(c) for c in ("durbin_watson", "skew", "kurtosis")])
+
+
+# --- fitted forecasts ------------------------------------------------------------------------
+
+
+def rate_model_folds(t: Inputs, lags, exog: bool) -> DataFrame:
+    """ARIMA folds on the masked target, with or without the lagged rate, for every lag at once."""
+    frame = backtest.lagged_frame(rate_series(t), SERIES, "month_start", "occupancy_rate", "avg_policy_rate", lags, 3)
+    masked = series.mask_window(frame, "month_start", "occupancy_rate", *COVID, name="masked")
+    return forecast.backtest_model(
+        masked, LAG_KEYS, "month_start", "occupancy_rate", "arima", 48, 3, 1,
+        exog=["exog_lag"] if exog else [], fit_on="masked", exog_lag=min(lags),
+    )
+
+
+def rate_model_errors(t: Inputs, lags) -> DataFrame:
+    """Naive, ARIMA and ARIMA with the lagged rate side by side."""
+    keys = [*LAG_KEYS, "origin", "target", "step", "actual", "naive"]
+    plain = rate_model_folds(t, lags, False).select(*keys, F.col("arima").alias("sarimax"))
+    rated = rate_model_folds(t, lags, True).select(*keys[:5], F.col("arima").alias("sarimax_rate"))
+    return plain.join(rated, keys[:5])
+
+
+RATE_MODELS = ("naive", "sarimax", "sarimax_rate")
+AGAINST = {"pct_vs_naive": "naive", "pct_vs_univariate": "sarimax"}
+
+
+@query("backtest_arima")
+def _(t: Inputs) -> DataFrame:
+    return rate_model_errors(t, (6,))
+
+
+@query("arima_error_by_scope")
+def _(t: Inputs) -> DataFrame:
+    table = backtest.error_table(rate_model_errors(t, (6,)), RATE_MODELS, TEST_START, SERIES)
+    return backtest.compare_errors(table, "sarimax_rate", AGAINST)
+
+
+@query("arima_lag_sweep")
+def _(t: Inputs) -> DataFrame:
+    rows = backtest.within(rate_model_errors(t, LAGS), start=TEST_START)
+    table = backtest.error_table(rows, RATE_MODELS, None, LAG_KEYS).drop("scope")
+    return backtest.compare_errors(table, "sarimax_rate", AGAINST)
+
+
+@query("arima_dummy_mode")
+def _(t: Inputs) -> DataFrame:
+    """The rejected alternative: the window as a regressor instead of a mask."""
+    frame = backtest.lagged_frame(rate_series(t), SERIES, "month_start", "occupancy_rate", "avg_policy_rate", (6,), 3)
+    dummy = frame.withColumn("covid", series.in_window("month_start", *COVID))
+    return forecast.backtest_model(
+        dummy, LAG_KEYS, "month_start", "occupancy_rate", "arima", 48, 3, 1, exog=["covid", "exog_lag"], exog_lag=6
+    )
+
+
+@query("backtest_sarima")
+def _(t: Inputs) -> DataFrame:
+    return forecast.backtest_model(weekly_filled(t), SERIES, "week_start", "y", "sarima", 104, 12, 4)
+
+
+@query("backtest_trend_season")
+def _(t: Inputs) -> DataFrame:
+    return forecast.backtest_model(weekly_filled(t), SERIES, "week_start", "y", "trend_season", 104, 12, 4)
+
+
+@query("weekly_model_summary")
+def _(t: Inputs) -> DataFrame:
+    """All four weekly models over the same folds: mean errors, deviation, fold count."""
+    weeks = weekly_filled(t)
+    keys = ["series", "fold", "target"]
+    table = backtest.folds(weeks, SERIES, "week_start", "y", 104, 12, 4, season=52)
+    for model in ("sarima", "trend_season"):
+        fitted = forecast.backtest_model(weeks, SERIES, "week_start", "y", model, 104, 12, 4)
+        table = table.join(fitted.select(*keys, model), keys)
+    models = ("naive", "seasonal_naive", "sarima", "trend_season")
+    return backtest.model_summary(backtest.fold_metrics(table, models, SERIES), SERIES)
+
+
+@query("final_forecast")
+def _(t: Inputs) -> DataFrame:
+    weeks = weekly_filled(t)
+    parts = [
+        forecast.forecast_ahead(weeks, SERIES, "week_start", "y", model, 12, "week", 104) for model in ("sarima", "trend_season")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("unit_root")
+def _(t: Inputs) -> DataFrame:
+    return forecast.unit_root_test(weekly_filled(t), SERIES, "week_start", "y")

@@ -323,10 +323,13 @@ def folds_of(source: str, ts: str, y: str, keys: str, min_train: int, horizon: i
         sel += ", coalesce(s.y, a.y) AS seasonal_naive"
         joins += f" LEFT JOIN i s ON {on.format(a='s', b='f')} AND s.t = f.e - {season} + ((f.k - 1) % {season})"
     if drift:
-        sel += ", round(l.b0 + l.b1 * x.t, 6) AS drift"
+        sel += ", round((l.a + l.b * x.t) / 1e6::DOUBLE, 6) AS drift"
         joins += (
-            f" LEFT JOIN (SELECT {ks}, o.e, regr_slope(i.y, i.t) AS b1, regr_intercept(i.y, i.t) AS b0 FROM o JOIN i ON "
-            f"{on.format(a='i', b='o')} AND i.t < o.e GROUP BY ALL) l ON {on.format(a='l', b='f')} AND l.e = f.e"
+            f" LEFT JOIN (SELECT *, (sy - b * st) / n AS a FROM (SELECT *, (n * sty - st * sy) / (n * stt - st * st) AS b FROM "
+            "(SELECT *, n * (n - 1) / 2 AS st, (n - 1) * n * (2 * n - 1) / 6 AS stt FROM "
+            f"(SELECT {ks}, o.e, CAST(o.e AS DOUBLE) AS n, CAST(sum(CAST(round(i.y * 1000000) AS BIGINT)) AS DOUBLE) AS sy, "
+            "CAST(sum(CAST(round(i.y * 1000000) AS BIGINT) * i.t) AS DOUBLE) AS sty FROM o JOIN i ON "
+            f"{on.format(a='i', b='o')} AND i.t < o.e GROUP BY ALL)))) l ON {on.format(a='l', b='f')} AND l.e = f.e"
         )
     return out + " " + sel + joins
 
@@ -387,16 +390,66 @@ CTES["model_summary"] = (
     "floor(sqrt(CAST(count(*) * sum(m * m) - sum(m) * sum(m) AS DOUBLE)) / count(*) + 0.5) / 1000.0 AS std_mae, "
     "count(*) AS n_folds FROM fold_ints GROUP BY 1, 2",
 )
+CTES["all_months"] = (("fact",), _series(month("occupancy_date"), "month_start", 1, "true"))
 CTES["regression"] = (
-    ("monthly", "calendar"),
-    "SELECT * FROM (SELECT m.*, c.season, CAST(row_number() OVER (ORDER BY month_start) - 1 AS INT) AS time_trend, "
-    "lag(avg_policy_rate, 6) OVER (ORDER BY month_start) AS policy_rate_lag, CAST(m.year_number = 2020 AS INT) AS is_covid, "
-    "CAST(m.year_number >= 2021 AS INT) AS post_2021, CAST(c.season = 'Spring' AS INT) AS is_spring, "
-    "CAST(c.season = 'Summer' AS INT) AS is_summer, CAST(c.season = 'Fall' AS INT) AS is_fall "
-    "FROM monthly m JOIN calendar c ON month_start = date_day WHERE m.year_number BETWEEN 2017 AND 2025 "
-    "AND system_occupancy_rate IS NOT NULL AND avg_policy_rate IS NOT NULL AND avg_temp_c IS NOT NULL) "
-    "WHERE policy_rate_lag IS NOT NULL AND COLUMNS(*) IS NOT NULL",
+    ("all_months", "rates_monthly", "weather_monthly", "calendar"),
+    "SELECT * FROM (SELECT series, month_start, a.year_number, occupancy_rate AS system_occupancy_rate, avg_policy_rate, avg_temp_c, "
+    "season, CAST(row_number() OVER w - 1 AS INT) AS time_trend, lag(avg_policy_rate, 6) OVER w AS policy_rate_lag, "
+    "CAST(a.year_number = 2020 AS INT) AS is_covid, CAST(a.year_number >= 2021 AS INT) AS post_2021, "
+    "CAST(season = 'Spring' AS INT) AS is_spring, CAST(season = 'Summer' AS INT) AS is_summer, CAST(season = 'Fall' AS INT) AS is_fall "
+    "FROM (SELECT *, CAST(year(month_start) AS INT) AS year_number FROM all_months JOIN rates_monthly USING (month_start) "
+    "JOIN weather_monthly USING (month_start)) a JOIN calendar ON month_start = date_day "
+    "WHERE a.year_number BETWEEN 2017 AND 2025 AND occupancy_rate IS NOT NULL AND avg_policy_rate IS NOT NULL "
+    "AND avg_temp_c IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY month_start)) WHERE policy_rate_lag IS NOT NULL",
 )
+PREDICTORS = ("avg_temp_c", "policy_rate_lag", "time_trend", "is_covid", "is_spring", "is_summer", "is_fall")
+
+
+def _least_squares() -> None:
+    """Normal equations by elimination, one common table per pivot: [S | Sxy | I] to [I | slope | S^-1]."""
+    k = len(PREDICTORS)
+    CTES["reg_means"] = (
+        ("regression",),
+        "SELECT series, count(*) AS n, avg(system_occupancy_rate) AS my, "
+        + ", ".join(f"avg(CAST({x} AS DOUBLE)) AS m{i}" for i, x in enumerate(PREDICTORS))
+        + " FROM regression GROUP BY 1",
+    )
+    cells = [f"sum(({x} - m{i}) * ({z} - m{j})) AS a{i}_{j}" for i, x in enumerate(PREDICTORS) for j, z in enumerate(PREDICTORS)]
+    cells += [f"sum(({x} - m{i}) * (system_occupancy_rate - my)) AS a{i}_{k}" for i, x in enumerate(PREDICTORS)]
+    cells += [f"CAST({int(i == j)} AS DOUBLE) AS a{i}_{k + 1 + j}" for i in range(k) for j in range(k)]
+    cells += ["sum((system_occupancy_rate - my) * (system_occupancy_rate - my)) AS syy"]
+    cells += [f"sum(({x} - m{i}) * ({x} - m{i})) AS d{i}" for i, x in enumerate(PREDICTORS)]
+    cells += [f"sum(({x} - m{i}) * (system_occupancy_rate - my)) AS r{i}" for i, x in enumerate(PREDICTORS)]
+    CTES["reg_0"] = (("reg_means",), f"SELECT series, {', '.join(cells)} FROM regression JOIN reg_means USING (series) GROUP BY series")
+    extra = ", ".join(["syy"] + [f"d{i}, r{i}" for i in range(k)])
+    for p in range(k):
+        out = []
+        for i in range(k):
+            for j in range(2 * k + 1):
+                pivot = f"a{p}_{j} / a{p}_{p}"
+                out.append(f"{pivot if i == p else f'a{i}_{j} - a{i}_{p} * ({pivot})'} AS a{i}_{j}")
+        CTES[f"reg_{p + 1}"] = ((f"reg_{p}",), f"SELECT series, {extra}, {', '.join(out)} FROM reg_{p}")
+    explained = " + ".join(f"a{i}_{k} * r{i}" for i in range(k))
+    CTES["reg_fit"] = (
+        (f"reg_{k}", "reg_means"),
+        f"SELECT *, syy - ({explained}) AS ssr, n - {k + 1} AS dof FROM reg_{k} JOIN reg_means USING (series)",
+    )
+    level = "my - (" + " + ".join(f"a{i}_{k} * m{i}" for i in range(k)) + ")"
+    spread = "1.0 / n + " + " + ".join(f"m{i} * m{j} * a{i}_{k + 1 + j}" for i in range(k) for j in range(k))
+    rows = [f"SELECT series, 'Intercept' AS term, {level} AS coef, sqrt(ssr / dof * ({spread})) AS std_err, NULL::DOUBLE AS vif FROM reg_fit"]
+    rows += [
+        f"SELECT series, '{x}', a{i}_{k}, sqrt(ssr / dof * a{i}_{k + 1 + i}), a{i}_{k + 1 + i} * d{i} FROM reg_fit"
+        for i, x in enumerate(PREDICTORS)
+    ]
+    CTES["reg_terms"] = (("reg_fit",), " UNION ALL ".join(rows))
+    fitted = f"{level} + " + " + ".join(f"a{i}_{k} * {x}" for i, x in enumerate(PREDICTORS))
+    CTES["reg_rows"] = (
+        ("reg_fit", "regression"),
+        f"SELECT series, month_start, system_occupancy_rate, {fitted} AS fitted FROM regression JOIN reg_fit USING (series)",
+    )
+
+
+_least_squares()
 
 
 def sql(body: str, *needs: str) -> str:
