@@ -241,33 +241,37 @@ def _day_numbers(ts: pd.Series) -> np.ndarray:
     return pd.to_datetime(ts).to_numpy().astype("datetime64[D]").astype(float)
 
 
-def backtest_model(
+def backtest_models(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
     y: str,
-    model: str,
+    models: dict[str, tuple[str, Sequence[str]]],
     min_train: int,
     horizon: int,
     step: int = 1,
-    exog: Sequence[str] = (),
     fit_on: str | None = None,
     exog_lag: int | None = None,
     block: int = 8,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Fold rows like ``backtest.folds``, with the forecasts of a fitted model.
-
-    ``fit_on`` names the training target when it differs from the scored one
-    (for instance with a window masked out); its NULLs are missing values.
+    """Fold rows like ``backtest.folds``, with the forecasts of fitted models.
+
+    ``models`` maps an output column to (model, exogenous columns); all of them
+    are fitted where a block of origins already is, so several models cost one
+    shuffle. ``fit_on`` names the training target when it differs from the
+    scored one (for instance with a window masked out); its NULLs are missing
+    values. Each model also reports its information criterion and the
+    specification it used.
     """
     if exog_lag is not None:
         check_leakage(exog_lag, horizon)
-    spark, target = df.sparkSession, fit_on or y
+    target = fit_on or y
+    exog = list(dict.fromkeys(c for _, xs in models.values() for c in xs))
     size = F.count(F.lit(1)).over(W.partitionBy(*keys))
     rows = df.select(
         *keys, F.col(ts).alias("_ts"), F.col(y).cast("double").alias("_y"), F.col(target).cast("double").alias("_fit"),
-        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(exog)],
+        *[F.col(c).cast("double").alias(f"_x_{c}") for c in exog],
     )
     rows = rows.withColumns({"_t": F.row_number().over(over(keys, "_ts")) - 1, "_n": size})
     rows = rows.filter(F.col("_n") >= min_train + horizon)
@@ -275,40 +279,35 @@ def backtest_model(
     rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), last_block)))
     # a block needs the rows up to its last origin plus the horizon
     rows = rows.filter(F.col("_t") < min_train + ((F.col("_block") + 1) * block - 1) * step + horizon)
-    xs, fit_all = [f"_x{i}" for i in range(len(exog))], MODELS[model]
+    plan = [(name, MODELS[model], [f"_x_{c}" for c in xs]) for name, (model, xs) in models.items()]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_t")
         first = min_train + int(pdf["_block"].iloc[0]) * block * step
         limit = min(first + (block - 1) * step, int(pdf["_n"].iloc[0]) - horizon)
         ends = np.arange(first, limit + 1, step)
-        out, aic, spec = fit_all(
-            pdf["_fit"].to_numpy(float), pdf[xs].to_numpy(float), _day_numbers(pdf["_ts"]), ends, horizon
-        )
         stamp, actual = pdf["_ts"].to_numpy(), pdf["_y"].to_numpy(float)
         at = ends[:, None] + np.arange(horizon)[None]
         repeat = np.repeat(np.arange(len(ends)), horizon)
-        return pd.DataFrame(
-            {
-                **{k: pdf[k].iloc[0] for k in keys},
-                "fold": (ends[repeat] - min_train) // step + 1,
-                "origin": stamp[ends - 1][repeat],
-                "target": stamp[at.ravel()],
-                "step": np.tile(np.arange(1, horizon + 1), len(ends)),
-                "actual": actual[at.ravel()],
-                "naive": actual[ends - 1][repeat],
-                model: out.ravel(),
-                "aic": aic[repeat],
-                "spec_used": [spec[i] for i in repeat],
-            }
-        )
+        out = {
+            **{k: pdf[k].iloc[0] for k in keys},
+            "fold": (ends[repeat] - min_train) // step + 1,
+            "origin": stamp[ends - 1][repeat],
+            "target": stamp[at.ravel()],
+            "step": np.tile(np.arange(1, horizon + 1), len(ends)),
+            "actual": actual[at.ravel()],
+            "naive": actual[ends - 1][repeat],
+        }
+        known, days = pdf["_fit"].to_numpy(float), _day_numbers(pdf["_ts"])
+        for name, fit_all, xs in plan:
+            forecasts, aic, spec = fit_all(known, pdf[xs].to_numpy(float), days, ends, horizon)
+            out |= {name: forecasts.ravel(), f"{name}_aic": aic[repeat], f"{name}_spec": [spec[i] for i in repeat]}
+        return pd.DataFrame(out)
 
     kind = df.schema[ts].dataType.simpleString()
-    schema = (
-        f"{_key_schema(df, keys)}, fold int, origin {kind}, target {kind}, step int, actual double, naive double, "
-        f"{model} double, aic double, spec_used string"
-    )
-    spread = rows.repartition(tasks or 2 * spark.sparkContext.defaultParallelism, *keys, "_block")
+    schema = f"{_key_schema(df, keys)}, fold int, origin {kind}, target {kind}, step int, actual double, naive double"
+    schema += "".join(f", {name} double, {name}_aic double, {name}_spec string" for name in models)
+    spread = rows.repartition(tasks or 2 * df.sparkSession.sparkContext.defaultParallelism, *keys, "_block")
     return spread.groupBy(*keys, "_block").applyInPandas(run, schema)
 
 

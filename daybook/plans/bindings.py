@@ -175,6 +175,16 @@ def _select(df: DataFrame, exprs: dict[str, str], *also: str) -> DataFrame:
     return df.select(*also, *[F.expr(e.format(**SPARK_SLOTS)).alias(name) for name, e in exprs.items()])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores (one row group cannot be split).
+
+    Only ever shuffles inputs of at most cores * split size; a large table has
+    more splits than cores and passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sources(sf_dir: str) -> Sources:
     return Sources.parquet_folder(sf_dir, TABLES)
 
@@ -188,15 +198,18 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.tables.read(self.spark, name)
 
-    def items(self, first: int | None = None, last: int | None = None) -> DataFrame:
-        """Line items as observations; a year range becomes a range on the stored column."""
+    def items(self, first: int | None = None, last: int | None = None, wide: bool = False) -> DataFrame:
+        """Line items as observations; a year range becomes a range on the stored column.
+
+        ``wide`` is for plans that do much work per row (text columns) before any shuffle.
+        """
         rows = self.table("lineitem")
         kind = rows.schema["l_shipdate"].dataType
         if first is not None:
             rows = rows.filter(F.col("l_shipdate") >= F.lit(f"{first - SHIFT_YEARS}-01-01").cast(kind))
         if last is not None:
             rows = rows.filter(F.col("l_shipdate") < F.lit(f"{last + 1 - SHIFT_YEARS}-01-01").cast(kind))
-        return _select(rows, ITEM)
+        return _select(spread(rows) if wide else rows, ITEM)
 
     def locations(self) -> DataFrame:
         """Supplier with its nation and region; Spark broadcasts the sides whose size allows it."""
@@ -207,15 +220,15 @@ class Inputs:
         )
         return _select(joined, LOCATION)
 
-    def panel(self, first: int | None = None, last: int | None = None) -> DataFrame:
+    def panel(self, first: int | None = None, last: int | None = None, wide: bool = False) -> DataFrame:
         """Typed daily panel keyed by location id."""
         from daybook.functions.metrics import guarded_rate
 
-        rows = _select(self.items(first, last), PANEL)
+        rows = _select(self.items(first, last, wide), PANEL)
         return rows.withColumn("occupancy_rate", guarded_rate("occupancy", "capacity_actual"))
 
     def unified(self, first: int | None = None, last: int | None = None) -> DataFrame:
-        return self.panel(first, last).join(self.locations(), "location_id", "left")
+        return self.panel(first, last, wide=True).join(self.locations(), "location_id", "left")
 
     def fact(self, first: int | None = None, last: int | None = None) -> DataFrame:
         """Panel with flags and year, keyed by location id: what the reports aggregate."""
@@ -227,11 +240,11 @@ class Inputs:
         return calendar.dim_date(calendar.days(self.spark, FIRST, LAST))
 
     def raw_legacy(self) -> DataFrame:
-        return _select(self.items(last=SPLIT - 1).join(self.locations(), "location_id", "left"), RAW_LEGACY)
+        return _select(self.items(last=SPLIT - 1, wide=True).join(self.locations(), "location_id", "left"), RAW_LEGACY)
 
     def raw_current(self) -> DataFrame:
         """Second generation as landed, with a second copy of every first-program row under a new id."""
-        rows = _select(self.items(first=SPLIT).join(self.locations(), "location_id", "left"), RAW_CURRENT)
+        rows = _select(self.items(first=SPLIT, wide=True).join(self.locations(), "location_id", "left"), RAW_CURRENT)
         copies = F.when(F.col("PROGRAM_ID") == "1", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         return rows.withColumn("_copy", F.explode(copies)).withColumn("_id", F.col("_id") * 2 + F.col("_copy")).drop("_copy")
 

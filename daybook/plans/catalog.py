@@ -16,6 +16,7 @@ from daybook.plans import oracle as o
 from daybook.plans.bindings import Inputs
 from daybook.session import pin_session, shared_folder
 from daybook.sources import calendar, landed, lookups, sinks
+from daybook.streaming import late
 
 Plan = Callable[[Inputs], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,13 +346,13 @@ def _(t: Inputs) -> DataFrame:
 @query(
     "rent_to_income",
     f"WITH r AS (SELECT {o.mean('p_retailprice', 2, 2)} AS rent FROM part WHERE p_size > 10 AND p_size <= 25), "
-    "i AS (SELECT n_name AS area, round(median(c_acctbal) * 12, 2) AS income FROM customer JOIN nation ON c_nationkey = n_nationkey "
+    f"i AS (SELECT n_name AS area, round({o.mean('c_acctbal', 2, 2)} * 12, 2) AS income FROM customer JOIN nation ON c_nationkey = n_nationkey "
     "GROUP BY 1) SELECT area, rent, income, round(rent * 12 / nullif(income, 0) * 100, 2) AS ratio FROM i, r",
 )
 def _(t: Inputs) -> DataFrame:
     rent = rents(t).filter("bedrooms = 1").agg(exact_mean("rent", 2, 2))
     people = t.table("customer").join(t.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    incomes = people.groupBy(F.col("n_name").alias("area")).agg(round_to(F.median("c_acctbal") * 12, 2).alias("income"))
+    incomes = people.groupBy(F.col("n_name").alias("area")).agg(round_to(exact_mean("c_acctbal", 2, 2) * 12, 2).alias("income"))
     joined = incomes.withColumn("rent", rent.scalar())
     return joined.select("area", "rent", "income", round_to(metrics.rent_to_income("rent", "income"), 2).alias("ratio"))
 
@@ -378,10 +379,7 @@ _PAGE_COLUMNS = ("event_id", "event_type", "value")
     "FROM events WHERE event_type <> 'error'",
 )
 def _(t: Inputs) -> DataFrame:
-    """Land pages of records per event type and hundred ids, one page kind unsuccessful; read them back.
-
-    Ids are unique, so a page never holds more than a hundred records.
-    """
+    """Land one page per event, the pages of one type unsuccessful, and read them back."""
     path = shared_folder(t.spark, "pages")
     record = F.struct(
         F.col("event_id").alias("_id"),
@@ -389,12 +387,11 @@ def _(t: Inputs) -> DataFrame:
         "event_type",
         scaled("value", 2).cast("string").alias("value"),
     )
-    pages = t.table("events").groupBy("event_type", F.floor(F.col("event_id") / 100).alias("page"))
-    body = pages.agg(F.collect_list(record).alias("records")).select(
+    pages = t.table("events").select(
         (F.col("event_type") != "error").alias("success"),
-        F.struct(F.size("records").cast("long").alias("total"), "records").alias("result"),
+        F.struct(F.lit(1).cast("long").alias("total"), F.array(record).alias("records")).alias("result"),
     )
-    body.write.json(path)
+    pages.write.json(path)
     return landed.page_records(landed.read_pages(t.spark, path, _PAGE_COLUMNS, multiline=False))
 
 
@@ -444,7 +441,7 @@ def _yearly(t: Inputs, source: str) -> DataFrame:
     ),
 )
 def _(t: Inputs) -> DataFrame:
-    return landed.first_available([_yearly(t, s) for s in ("api", "csv", "manual")])
+    return landed.first_available([_yearly(t, s) for s in ("api", "csv", "manual")], range(2019, 2026))
 
 
 @query(
@@ -534,7 +531,7 @@ def _(t: Inputs) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     path = shared_folder(t.spark, "csv")
     rows = backtest.error_table(rate_folds(t), ("naive", "drift"), TEST_START, LAG_KEYS)
-    sinks.write_csv(rows.drop("n_forecasts"), path, digits=3, single_file=True)
+    sinks.write_csv(rows.drop("n_forecasts"), path, digits=3)
     schema = "series string, lag_months int, scope string, mae_naive double, mae_drift double"
     return t.spark.read.schema(schema).option("header", True).csv(path)
 
@@ -949,22 +946,22 @@ def _(t: Inputs) -> DataFrame:
 # --- fitted forecasts ------------------------------------------------------------------------
 
 
-def rate_model_folds(t: Inputs, lags, exog: bool) -> DataFrame:
-    """ARIMA folds on the masked target, with or without the lagged rate, for every lag at once."""
+def rate_model_folds(t: Inputs, lags) -> DataFrame:
+    """ARIMA folds on the masked target without and with the lagged rate, for every lag at once."""
     frame = backtest.lagged_frame(rate_series(t), SERIES, "month_start", "occupancy_rate", "avg_policy_rate", lags, 3)
     masked = series.mask_window(frame, "month_start", "occupancy_rate", *COVID, name="masked")
-    return forecast.backtest_model(
-        masked, LAG_KEYS, "month_start", "occupancy_rate", "arima", 48, 3, 1,
-        exog=["exog_lag"] if exog else [], fit_on="masked", exog_lag=min(lags),
-    )
+    models = {"sarimax": ("arima", ()), "sarimax_rate": ("arima", ("exog_lag",))}
+    return forecast.backtest_models(
+        masked, LAG_KEYS, "month_start", "occupancy_rate", models, 48, 3, 1, fit_on="masked", exog_lag=min(lags)
+    )
+
+
+WEEKLY_MODELS = {"sarima": ("sarima", ()), "trend_season": ("trend_season", ())}
 
 
-def rate_model_errors(t: Inputs, lags) -> DataFrame:
-    """Naive, ARIMA and ARIMA with the lagged rate side by side."""
-    keys = [*LAG_KEYS, "origin", "target", "step", "actual", "naive"]
-    plain = rate_model_folds(t, lags, False).select(*keys, F.col("arima").alias("sarimax"))
-    rated = rate_model_folds(t, lags, True).select(*keys[:5], F.col("arima").alias("sarimax_rate"))
-    return plain.join(rated, keys[:5])
+def weekly_model_folds(t: Inputs, *names: str) -> DataFrame:
+    models = {n: WEEKLY_MODELS[n] for n in names}
+    return forecast.backtest_models(weekly_filled(t), SERIES, "week_start", "y", models, 104, 12, 4)
 
 
 RATE_MODELS = ("naive", "sarimax", "sarimax_rate")
@@ -973,18 +970,18 @@ AGAINST = {"pct_vs_naive": "naive", "pct_vs_univariate": "sarimax"}
 
 @query("backtest_arima")
 def _(t: Inputs) -> DataFrame:
-    return rate_model_errors(t, (6,))
+    return rate_model_folds(t, (6,))
 
 
 @query("arima_error_by_scope")
 def _(t: Inputs) -> DataFrame:
-    table = backtest.error_table(rate_model_errors(t, (6,)), RATE_MODELS, TEST_START, SERIES)
+    table = backtest.error_table(rate_model_folds(t, (6,)), RATE_MODELS, TEST_START, SERIES)
     return backtest.compare_errors(table, "sarimax_rate", AGAINST)
 
 
 @query("arima_lag_sweep")
 def _(t: Inputs) -> DataFrame:
-    rows = backtest.within(rate_model_errors(t, LAGS), start=TEST_START)
+    rows = backtest.within(rate_model_folds(t, LAGS), start=TEST_START)
     table = backtest.error_table(rows, RATE_MODELS, None, LAG_KEYS).drop("scope")
     return backtest.compare_errors(table, "sarimax_rate", AGAINST)
 
@@ -994,32 +991,28 @@ def _(t: Inputs) -> DataFrame:
     """The rejected alternative: the window as a regressor instead of a mask."""
     frame = backtest.lagged_frame(rate_series(t), SERIES, "month_start", "occupancy_rate", "avg_policy_rate", (6,), 3)
     dummy = frame.withColumn("covid", series.in_window("month_start", *COVID))
-    return forecast.backtest_model(
-        dummy, LAG_KEYS, "month_start", "occupancy_rate", "arima", 48, 3, 1, exog=["covid", "exog_lag"], exog_lag=6
-    )
+    models = {"sarimax": ("arima", ("covid",)), "sarimax_rate": ("arima", ("covid", "exog_lag"))}
+    return forecast.backtest_models(dummy, LAG_KEYS, "month_start", "occupancy_rate", models, 48, 3, 1, exog_lag=6)
 
 
 @query("backtest_sarima")
 def _(t: Inputs) -> DataFrame:
-    return forecast.backtest_model(weekly_filled(t), SERIES, "week_start", "y", "sarima", 104, 12, 4)
+    return weekly_model_folds(t, "sarima")
 
 
 @query("backtest_trend_season")
 def _(t: Inputs) -> DataFrame:
-    return forecast.backtest_model(weekly_filled(t), SERIES, "week_start", "y", "trend_season", 104, 12, 4)
+    return weekly_model_folds(t, "trend_season")
 
 
 @query("weekly_model_summary")
 def _(t: Inputs) -> DataFrame:
     """All four weekly models over the same folds: mean errors, deviation, fold count."""
-    weeks = weekly_filled(t)
     keys = ["series", "fold", "target"]
-    table = backtest.folds(weeks, SERIES, "week_start", "y", 104, 12, 4, season=52)
-    for model in ("sarima", "trend_season"):
-        fitted = forecast.backtest_model(weeks, SERIES, "week_start", "y", model, 104, 12, 4)
-        table = table.join(fitted.select(*keys, model), keys)
-    models = ("naive", "seasonal_naive", "sarima", "trend_season")
-    return backtest.model_summary(backtest.fold_metrics(table, models, SERIES), SERIES)
+    baselines = backtest.folds(weekly_filled(t), SERIES, "week_start", "y", 104, 12, 4, season=52)
+    fitted = weekly_model_folds(t, *WEEKLY_MODELS).select(*keys, *WEEKLY_MODELS)
+    models = ("naive", "seasonal_naive", *WEEKLY_MODELS)
+    return backtest.model_summary(backtest.fold_metrics(baselines.join(fitted, keys), models, SERIES), SERIES)
 
 
 @query("final_forecast")
@@ -1034,3 +1027,24 @@ def _(t: Inputs) -> DataFrame:
 @query("unit_root")
 def _(t: Inputs) -> DataFrame:
     return forecast.unit_root_test(weekly_filled(t), SERIES, "week_start", "y")
+
+
+# --- incremental ingest ----------------------------------------------------------------------
+
+
+@query(
+    "late_daily_totals",
+    "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n_rows, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total "
+    "FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) - 3 FROM events) GROUP BY 1, 2",
+)
+def _(t: Inputs) -> DataFrame:
+    """Events landed twice, streamed into daily totals; only days the watermark has passed are final."""
+    spark, landing = t.spark, shared_folder(t.spark, "landing")
+    rows = t.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", scaled("value", 2).alias("units"))
+    rows.write.mode("append").parquet(landing)
+    rows.write.mode("append").parquet(landing)
+    stream = late.landed_stream(spark, landing, rows.schema)
+    totals = late.daily_totals(stream, "ts", ["event_type"], "units", ["event_id"])
+    out = shared_folder(spark, "daily")
+    late.run_available(totals, out, shared_folder(spark, "progress"))
+    return spark.read.parquet(out)

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Wide text projections generate methods above 8,000 bytes of code, which the JVM
+    # never compiles; below this limit Spark splits them into small functions instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -29,8 +32,9 @@ def get_session(master: str | None = None, app: str = "daybook", **extra: str) -
 
 
 def pin_session(spark: SparkSession) -> None:
-    """Set the run-time settings results depend on, in a session someone else built."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """The same run-time settings in a session someone else built."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(key, SETTINGS[key])
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -98,16 +98,17 @@ def stack(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def first_available(sources: Sequence[DataFrame], key: str = "_source_year") -> DataFrame:
-    """Per key, the rows of the first source in the list that has any.
+def first_available(sources: Sequence[DataFrame], years: Sequence[int], key: str = "_source_year") -> DataFrame:
+    """Per listed year, the rows of the first source that has any; a year no source has is skipped.
 
-    The keys are years (or other partition ids), so the key lists the later
-    sources are checked against are a handful of values.
+    The list bounds the years already taken, so checking a source against them
+    is a broadcast join and the rows themselves are never shuffled.
     """
-    kept, held = [sources[0]], sources[0].select(key).distinct()
-    for df in sources[1:]:
-        kept.append(df.join(held, key, "left_anti"))
-        held = held.unionByName(df.select(key)).distinct()
+    wanted = [df.filter(F.col(key).isin(*years)) for df in sources]
+    kept, taken = [wanted[0]], wanted[0].select(key).distinct()
+    for df in wanted[1:]:
+        kept.append(df.join(F.broadcast(taken), key, "left_anti"))
+        taken = taken.unionByName(df.select(key)).distinct()
     return stack(*kept)
 
 
