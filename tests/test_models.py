@@ -143,7 +143,7 @@ def test_backtest_models_lines_up_with_the_series(spark):
     assert [(r.fold, r.step) for r in rows] == [(f + 1, k) for f in range(len(ends)) for k in (1, 2, 3)]
     for r in rows:
         end = ends[r.fold - 1]
-        assert (r.naive, r.actual) == (y[end - 1], y[end + r.step - 2])
+        assert (r.naive, r.actual) == (y[end - 1], y[end + r.step - 1])
         assert r.origin == date(2015, 1, 5) + timedelta(weeks=end - 1) and r.target == r.origin + timedelta(weeks=r.step)
         assert np.isfinite(r.m) and np.isfinite(r.t)
 
