@@ -29,16 +29,29 @@ SECTOR_COLUMNS = {
 }
 
 
+def broadcast_checked(dim: DataFrame, rows_of: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """A dimension marked for broadcast if the table that sets its row count is small enough.
+
+    The count reads file footers only. Spark's own estimate for a dimension
+    that is itself a join multiplies the sizes of its inputs, so without this
+    the fact would be shuffled next to a tiny dimension. A larger dimension
+    stays unmarked and joins by shuffle, with adaptive skew splitting.
+    """
+    return F.broadcast(dim) if rows_of.count() <= max_rows else dim
+
+
 def canonical_rows(df: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
     """One row per key: the smallest by the attributes in the order given, NULLs last.
 
-    ``min`` over a struct is a partial + final aggregate, so a key that holds a
-    third of all rows is reduced to one candidate per task before the shuffle;
-    a ``row_number`` window would sort all its rows in one task.
+    Distinct combinations are formed first, as hash aggregation with map-side
+    merging; the minimum over structs (which Spark aggregates by sorting) then
+    sees only those. A key that holds a third of all rows shrinks before either
+    shuffle, where a ``row_number`` window would sort all its rows in one task.
     """
+    distinct = df.filter(F.col(key).isNotNull()).select(key, *attributes).distinct()
     ranked = [x for c in attributes for x in (F.col(c).isNull().alias(f"_{c}"), F.col(c))]
     best = F.min(F.struct(*ranked)).alias("_row")
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *[F.col(f"_row.{c}") for c in attributes])
+    return distinct.groupBy(key).agg(best).select(key, *[F.col(f"_row.{c}") for c in attributes])
 
 
 def dim_location(current: DataFrame) -> DataFrame:

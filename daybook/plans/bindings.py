@@ -17,7 +17,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.operators.marts import with_flags
+from daybook.operators.marts import broadcast_checked, with_flags
 from daybook.operators.staging import WEATHER_COLUMNS, WEATHER_DATE
 from daybook.sources import calendar
 from daybook.sources.registry import Sources
@@ -212,13 +212,12 @@ class Inputs:
         return _select(spread(rows) if wide else rows, ITEM)
 
     def locations(self) -> DataFrame:
-        """Supplier with its nation and region; Spark broadcasts the sides whose size allows it."""
-        joined = (
-            self.table("supplier")
-            .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        """Supplier with its nation and region; broadcast only after a check of the supplier count."""
+        suppliers = self.table("supplier")
+        joined = suppliers.join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(
+            self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
         )
-        return _select(joined, LOCATION)
+        return broadcast_checked(_select(joined, LOCATION), suppliers)
 
     def panel(self, first: int | None = None, last: int | None = None, wide: bool = False) -> DataFrame:
         """Typed daily panel keyed by location id."""
