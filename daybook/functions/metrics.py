@@ -29,7 +29,7 @@ def ratio_of_sums(num: str | Column, den: str | Column, require_both: bool = Fal
     return round_to(F.sum(n) / F.nullif(F.sum(d), F.lit(0)) * 100, digits)
 
 
-def mean_of_rates(rate: str | Column, digits: int = 2) -> Column:
+def mean_of_rates(rate: str, digits: int = 2) -> Column:
     """Aggregate: plain mean of a rate column that carries two decimals."""
     return exact_mean(rate, 2, digits)
 

@@ -35,32 +35,39 @@ def scaled(c: str | Column, digits: int) -> Column:
     return (F.signum(c) * F.floor(F.abs(c) * float(10**digits) + 0.5)).cast("long")
 
 
-def exact_sum(c: str | Column, digits: int) -> Column:
-    return F.sum(scaled(c, digits)) / float(10**digits)
+def _units(name: str, digits: int) -> str:
+    x = f"CAST(`{name}` AS DOUBLE)"
+    return f"CAST(signum({x}) * floor(abs({x}) * 1e{digits}D + 0.5D) AS BIGINT)"
 
 
-def exact_mean(c: str | Column, digits: int, out: int) -> Column:
+def exact_sum(name: str, digits: int) -> Column:
+    return F.expr(f"sum({_units(name, digits)}) / 1e{digits}D")
+
+
+def exact_mean(name: str, digits: int, out: int) -> Column:
     """Mean of a measure with ``digits`` decimals, rounded to ``out`` decimals.
 
     The division happens in units of the output digit, so an exact half is
     seen as an exact half.
     """
-    s = F.sum(scaled(c, digits))
-    unit = s / (F.count(col(c)) * float(10 ** (digits - out)))
-    return F.signum(unit) * F.floor(F.abs(unit) + 0.5) / float(10**out) + 0.0
+    unit = f"sum({_units(name, digits)}) / (count(`{name}`) * 1e{digits - out}D)"
+    return F.expr(f"signum({unit}) * floor(abs({unit}) + 0.5D) / 1e{out}D + 0D")
+
+
+def _number(name: str) -> str:
+    return f"CASE WHEN trim(`{name}`) RLIKE r'{NUMBER}' THEN try_cast(trim(`{name}`) AS DOUBLE) END"
 
 
-def lenient_double(c: str | Column) -> Column:
+def lenient_double(name: str) -> Column:
     """Number text to double, anything else to NULL.
 
     The pattern keeps Java's 'd'/'f' suffixes out and, as important, keeps
     blanks and markers away from the parser: a failed parse inside a cast is a
     caught exception, some fifty times the cost of a match.
     """
-    c = F.trim(col(c))
-    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    return F.expr(_number(name))
 
 
-def lenient_int(c: str | Column) -> Column:
+def lenient_int(name: str) -> Column:
     """Number text to int, rounding fractions half away from zero; bad text to NULL."""
-    return F.round(lenient_double(c)).try_cast("int")
+    return F.expr(f"try_cast(round({_number(name)}) AS INT)")

@@ -164,7 +164,7 @@ def stage_weather(raw: DataFrame) -> DataFrame:
     rows = raw.filter(F.col(f"`{WEATHER_DATE}`").isNotNull() & (F.col(f"`{WEATHER_DATE}`") != WEATHER_DATE))
     typed = rows.select(
         dates.iso_date(F.col(f"`{WEATHER_DATE}`")).alias("weather_date"),
-        *[lenient_double(F.col(f"`{c}`")).alias(name) for c, name in WEATHER_COLUMNS.items()],
+        *[lenient_double(c).alias(name) for c, name in WEATHER_COLUMNS.items()],
         "_source_year",
     )
     return typed.select(

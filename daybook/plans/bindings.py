@@ -13,6 +13,7 @@ Orders give a daily rate, ship days a daily weather record.
 from __future__ import annotations
 
 from datetime import date
+from functools import cache, cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,16 +176,6 @@ def _select(df: DataFrame, exprs: dict[str, str], *also: str) -> DataFrame:
     return df.select(*also, *[F.expr(e.format(**SPARK_SLOTS)).alias(name) for name, e in exprs.items()])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores (one row group cannot be split).
-
-    Only ever shuffles inputs of at most cores * split size; a large table has
-    more splits than cores and passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def sources(sf_dir: str) -> Sources:
     return Sources.parquet_folder(sf_dir, TABLES)
 
@@ -194,9 +185,20 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.tables = spark, sources(sf_dir)
+        self.table = cache(partial(self.tables.read, spark))
+        self.locations = cache(self._locations)
 
-    def table(self, name: str) -> DataFrame:
-        return self.tables.read(self.spark, name)
+    @cached_property
+    def few_splits(self) -> bool:
+        return self.table("lineitem").rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Use all cores on line items with fewer splits than cores (one row group cannot be split).
+
+        Only ever shuffles inputs of at most cores * split size; a large table
+        has more splits than cores and passes through untouched.
+        """
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if self.few_splits else df
 
     def items(self, first: int | None = None, last: int | None = None, wide: bool = False) -> DataFrame:
         """Line items as observations; a year range becomes a range on the stored column.
@@ -209,9 +211,9 @@ class Inputs:
             rows = rows.filter(F.col("l_shipdate") >= F.lit(f"{first - SHIFT_YEARS}-01-01").cast(kind))
         if last is not None:
             rows = rows.filter(F.col("l_shipdate") < F.lit(f"{last + 1 - SHIFT_YEARS}-01-01").cast(kind))
-        return _select(spread(rows) if wide else rows, ITEM)
+        return _select(self.spread(rows) if wide else rows, ITEM)
 
-    def locations(self) -> DataFrame:
+    def _locations(self) -> DataFrame:
         """Supplier with its nation and region; broadcast only after a check of the supplier count."""
         suppliers = self.table("supplier")
         joined = suppliers.join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs several driver round trips for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Wide text projections generate methods above 8,000 bytes of code, which the JVM
     # never compiles; below this limit Spark splits them into small functions instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
