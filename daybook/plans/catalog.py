@@ -12,10 +12,12 @@ from daybook.functions import dates, metrics, text
 from daybook.functions.numbers import exact_mean, exact_sum, lenient_double, lenient_int, round_to, scaled
 from daybook.operators import backtest, forecast, marts, quality, regression, reports, rollups, series, staging
 from daybook.plans import bindings as b
+from daybook.plans import models
 from daybook.plans import oracle as o
 from daybook.plans.bindings import Inputs
 from daybook.session import pin_session, shared_folder
 from daybook.sources import calendar, landed, lookups, sinks
+from daybook.sources.registry import Sources
 from daybook.streaming import late
 
 Plan = Callable[[Inputs], DataFrame]
@@ -151,24 +153,38 @@ def fact_daily(t: Inputs) -> DataFrame:
 
 query("fact_monthly", o.table("monthly"))(monthly)
 
-_RAW_FACT = {
-    **o.CTES,
-    "raw_fact": (
-        ("stg_unified",),
-        "SELECT *, occupancy_rate >= 95 AS is_effectively_full, CAST(year(occupancy_date) AS INT) AS year_number, "
-        "CAST(month(occupancy_date) AS INT) AS month_number FROM stg_unified",
-    ),
-}
-o.CTES["raw_fact"] = _RAW_FACT["raw_fact"]
-
 
-@query("raw_to_monthly", o.sql(o.monthly_of("raw_fact"), "raw_fact"))
+@query("raw_to_monthly", o.table("raw_monthly"))
 def raw_to_monthly(t: Inputs) -> DataFrame:
     """The whole chain from dirty text: staging, harmonised union, daily fact, monthly roll-up."""
     fact = marts.with_calendar(marts.with_flags(stg_unified(t)), t.calendar())
     return marts.panel_monthly(fact)
 
 
+@query(
+    "build_marts",
+    o.sql(
+        "SELECT * FROM raw_monthly LEFT JOIN rates_monthly USING (month_start) LEFT JOIN weather_monthly USING (month_start)",
+        "raw_monthly",
+        "rates_monthly",
+        "weather_monthly",
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    """The full build from declared raw sources to written marts; the monthly fact is read back."""
+    raw = Sources(
+        {
+            "raw_legacy": lambda _: t.raw_legacy(),
+            "raw_current": lambda _: t.raw_current(),
+            "raw_rates": lambda _: t.rates(),
+            "raw_weather": lambda _: t.raw_weather(),
+        }
+    )
+    out = shared_folder(t.spark, "marts")
+    models.build(t.spark, raw, out, b.FIRST, b.LAST)
+    return t.spark.read.parquet(f"{out}/fact_monthly")
+
+
 # --- roll-ups and reports --------------------------------------------------------------------
 
 query("weekly_rollup", o.table("weekly"))(weekly)
@@ -417,9 +433,7 @@ def _(t: Inputs) -> DataFrame:
     """Weather landed as CSV, one folder per year, read as one text table with its year."""
     path = shared_folder(t.spark, "weather")
     t.raw_weather().write.partitionBy("_source_year").option("header", True).csv(path)
-    columns = [b.WEATHER_DATE, *b.WEATHER_COLUMNS]
-    schema = landed.text_schema(columns).add("_source_year", "integer")
-    return t.spark.read.schema(schema).option("header", True).csv(path)
+    return landed.read_yearly_csv(t.spark, path, [b.WEATHER_DATE, *b.WEATHER_COLUMNS])
 
 
 def _yearly(t: Inputs, source: str) -> DataFrame:
@@ -446,7 +460,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "resource_selection",
-    "WITH c AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'csv' WHEN p_size % 3 = 1 THEN 'JSON' END AS format, "
+    "WITH c AS (SELECT p_partkey AS id, CASE WHEN p_type < 'M' THEN 'csv' WHEN p_type < 'S' THEN 'JSON' END AS format, "
     "CASE WHEN p_size > 45 THEN true WHEN p_size < 10 THEN false END AS datastore_active FROM part), "
     "h AS (SELECT * FROM c WHERE upper(format) = 'CSV') SELECT * FROM h WHERE datastore_active OR "
     "NOT EXISTS (SELECT 1 FROM h WHERE datastore_active)",
@@ -455,7 +469,7 @@ def _(t: Inputs) -> DataFrame:
     size = F.col("p_size")
     entries = t.table("part").select(
         F.col("p_partkey").alias("id"),
-        F.when(size % 3 == 0, "csv").when(size % 3 == 1, "JSON").alias("format"),
+        F.when(F.col("p_type") < "M", "csv").when(F.col("p_type") < "S", "JSON").alias("format"),
         F.when(size > 45, True).when(size < 10, False).alias("datastore_active"),
     )
     return landed.pick_resources(entries)
@@ -950,9 +964,9 @@ def rate_model_folds(t: Inputs, lags) -> DataFrame:
     """ARIMA folds on the masked target without and with the lagged rate, for every lag at once."""
     frame = backtest.lagged_frame(rate_series(t), SERIES, "month_start", "occupancy_rate", "avg_policy_rate", lags, 3)
     masked = series.mask_window(frame, "month_start", "occupancy_rate", *COVID, name="masked")
-    models = {"sarimax": ("arima", ()), "sarimax_rate": ("arima", ("exog_lag",))}
+    specs = {"sarimax": ("arima", ()), "sarimax_rate": ("arima", ("exog_lag",))}
     return forecast.backtest_models(
-        masked, LAG_KEYS, "month_start", "occupancy_rate", models, 48, 3, 1, fit_on="masked", exog_lag=min(lags)
+        masked, LAG_KEYS, "month_start", "occupancy_rate", specs, 48, 3, 1, fit_on="masked", exog_lag=min(lags)
     )
 
 
@@ -960,8 +974,8 @@ WEEKLY_MODELS = {"sarima": ("sarima", ()), "trend_season": ("trend_season", ())}
 
 
 def weekly_model_folds(t: Inputs, *names: str) -> DataFrame:
-    models = {n: WEEKLY_MODELS[n] for n in names}
-    return forecast.backtest_models(weekly_filled(t), SERIES, "week_start", "y", models, 104, 12, 4)
+    specs = {n: WEEKLY_MODELS[n] for n in names}
+    return forecast.backtest_models(weekly_filled(t), SERIES, "week_start", "y", specs, 104, 12, 4)
 
 
 RATE_MODELS = ("naive", "sarimax", "sarimax_rate")
@@ -991,8 +1005,8 @@ def _(t: Inputs) -> DataFrame:
     """The rejected alternative: the window as a regressor instead of a mask."""
     frame = backtest.lagged_frame(rate_series(t), SERIES, "month_start", "occupancy_rate", "avg_policy_rate", (6,), 3)
     dummy = frame.withColumn("covid", series.in_window("month_start", *COVID))
-    models = {"sarimax": ("arima", ("covid",)), "sarimax_rate": ("arima", ("covid", "exog_lag"))}
-    return forecast.backtest_models(dummy, LAG_KEYS, "month_start", "occupancy_rate", models, 48, 3, 1, exog_lag=6)
+    specs = {"sarimax": ("arima", ("covid",)), "sarimax_rate": ("arima", ("covid", "exog_lag"))}
+    return forecast.backtest_models(dummy, LAG_KEYS, "month_start", "occupancy_rate", specs, 48, 3, 1, exog_lag=6)
 
 
 @query("backtest_sarima")
@@ -1011,8 +1025,8 @@ def _(t: Inputs) -> DataFrame:
     keys = ["series", "fold", "target"]
     baselines = backtest.folds(weekly_filled(t), SERIES, "week_start", "y", 104, 12, 4, season=52)
     fitted = weekly_model_folds(t, *WEEKLY_MODELS).select(*keys, *WEEKLY_MODELS)
-    models = ("naive", "seasonal_naive", *WEEKLY_MODELS)
-    return backtest.model_summary(backtest.fold_metrics(baselines.join(fitted, keys), models, SERIES), SERIES)
+    names = ("naive", "seasonal_naive", *WEEKLY_MODELS)
+    return backtest.model_summary(backtest.fold_metrics(baselines.join(fitted, keys), names, SERIES), SERIES)
 
 
 @query("final_forecast")

@@ -216,6 +216,12 @@ def monthly_of(fact: str) -> str:
 
 
 CTES["panel_monthly"] = (("fact",), monthly_of("fact"))
+CTES["raw_fact"] = (
+    ("stg_unified",),
+    "SELECT *, occupancy_rate >= 95 AS is_effectively_full, CAST(year(occupancy_date) AS INT) AS year_number, "
+    "CAST(month(occupancy_date) AS INT) AS month_number FROM stg_unified",
+)
+CTES["raw_monthly"] = (("raw_fact",), monthly_of("raw_fact"))
 CTES["rates_monthly"] = (
     ("stg_rates",),
     f"SELECT {month('rate_date')} AS month_start, {mean('policy_rate', 4, 4)} AS avg_policy_rate, "

@@ -88,9 +88,24 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str])
 
 
 def read_yearly_csv(spark: SparkSession, path: str, columns: Sequence[str], tag: str = "_source_year") -> DataFrame:
-    """Files named ``…2021.csv`` as one table, tagged with the year in the file name."""
+    """Yearly files as one table, tagged with the year in the file name (``…2021.csv``).
+
+    Files in ``_source_year=2021/`` folders carry the tag already.
+    """
+    rows = read_csv(spark, path, columns)
+    if tag in rows.columns:
+        return rows
     year = F.regexp_extract(F.col("_metadata.file_name"), YEAR_IN_NAME, 1).try_cast("int")
-    return read_csv(spark, path, columns).select("*", year.alias(tag))
+    return rows.select("*", year.alias(tag))
+
+
+def read_csv_resources(spark: SparkSession, paths: dict[int, str], tag: str = "_source_year") -> DataFrame:
+    """One file or folder per year, each with its own header, aligned by column name.
+
+    For years whose files differ in columns or order; every column is text.
+    """
+    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    return stack(*[reader.csv(path).withColumn(tag, F.lit(year)) for year, path in paths.items()])
 
 
 def stack(*frames: DataFrame) -> DataFrame:

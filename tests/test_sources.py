@@ -42,6 +42,13 @@ def test_yearly_csv_with_byte_order_mark(spark, tmp_path):
     assert got[0] == ("2019-01-01", "M", 2019) and got[-1] == ("2020-01-02", "-1.5", 2020) and len(got) == 4
 
 
+def test_csv_resources_align_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v,w\n1,x,p\n")
+    (tmp_path / "b.csv").write_text("v,k\ny,2\n")
+    rows = landed.read_csv_resources(spark, {2019: str(tmp_path / "a.csv"), 2020: str(tmp_path / "b.csv")})
+    assert sorted((r.k, r.v, r.w, r["_source_year"]) for r in rows.collect()) == [("1", "x", "p", 2019), ("2", "y", None, 2020)]
+
+
 def test_fallback_takes_whole_years_from_the_first_source(spark):
     api = spark.createDataFrame([(2019, "a")], "_source_year int, v string")
     csv = spark.createDataFrame([(2019, "b"), (2020, "b"), (2020, "b2")], "_source_year int, v string")
