@@ -1019,6 +1019,19 @@ def _(t: Inputs) -> DataFrame:
     return weekly_model_folds(t, "trend_season")
 
 
+@query(
+    "model_fold_alignment",
+    o.sql(
+        "SELECT series, fold, origin, target, step, round(actual, 6) AS actual, round(naive, 6) AS naive FROM weekly_folds",
+        "weekly_folds",
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    """The fitted models' fold rows without the fits: origins, targets and actuals from all blocks."""
+    rows = weekly_model_folds(t, "trend_season").select("series", "fold", "origin", "target", "step", "actual", "naive")
+    return rows.withColumns({c: round_to(c, 6) for c in ("actual", "naive")})
+
+
 @query("weekly_model_summary")
 def _(t: Inputs) -> DataFrame:
     """All four weekly models over the same folds: mean errors, deviation, fold count."""

@@ -17,11 +17,12 @@ def test_paged_json(spark, tmp_path):
         (tmp_path / f"p{n}.json").write_text(json.dumps(body, indent=1))
 
     page(0, [1, 2]), page(1, [3, 4]), page(2, [5]), page(3, [], False)
+    (tmp_path / "p4.json").write_text('{"success": true, "result": {"rec')
     pages = landed.read_pages(spark, str(tmp_path), ["a", "missing"])
     rows = landed.page_records(pages)
     assert rows.columns == ["a", "missing"]
     assert sorted(r.a for r in rows.collect()) == ["1", "2", "3", "4", "5"]
-    assert landed.failed_pages(pages).count() == 1
+    assert landed.failed_pages(pages).count() == 2
     assert landed.page_progress(pages).first().asDict() == {"announced": 5, "landed": 5}
 
 
