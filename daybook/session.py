@@ -23,8 +23,29 @@ SETTINGS = {
 }
 
 
-def get_session(master: str | None = None, app: str = "daybook", **extra: str) -> SparkSession:
+# For a cluster: larger splits and reduce tasks, merged by size rather than spread thin.
+CLUSTER_SETTINGS = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
+
+
+def shuffle_partitions(input_bytes: int, per_task: int = 512 << 20) -> int:
+    """Reduce tasks for a shuffle of the whole input.
+
+    Adaptive execution merges partitions that turn out small but cannot split
+    large ones outside joins, so the starting number must fit the widest
+    shuffle (the full-row dedupe), not the typical one.
+    """
+    return max(200, min(-(-input_bytes // per_task), 100_000))
+
+
+def get_session(master: str | None = None, app: str = "daybook", input_bytes: int | None = None, **extra: str) -> SparkSession:
+    """A session; give ``input_bytes`` on a cluster to size its shuffles."""
     builder = SparkSession.builder.appName(app)
+    if input_bytes is not None:
+        extra = {**CLUSTER_SETTINGS, "spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes)), **extra}
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)

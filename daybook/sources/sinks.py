@@ -33,12 +33,15 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     return seen.get["n"]
 
 
-def save_mart(df: DataFrame, path: str, year: str = "year_number") -> int:
+def save_mart(df: DataFrame, path: str, year: str = "year_number", rebalance: bool = False) -> int:
     """Write a fact partitioned by year, so that year predicates prune whole folders.
 
-    A year's rows come from many tasks (no shuffle into one task per year);
-    ``maxRecordsPerFile`` keeps single files readable in one split set.
+    Each task writes the years it holds. Where every task holds every year, and
+    files would come out small, ``rebalance`` gathers a year's rows first; the
+    adaptive split of large years keeps a hot year from becoming one task.
     """
+    if rebalance:
+        df = df.hint("rebalance", year)
     seen = Observation("mart")
     (
         df.observe(seen, F.count(F.lit(1)).alias("n"))

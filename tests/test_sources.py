@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.session import shared_folder
+from daybook.session import shared_folder, shuffle_partitions
 from daybook.sources import landed, sinks
 from daybook.sources.registry import Sources
 from daybook.streaming import late
@@ -104,6 +104,20 @@ def test_mart_prunes_years(spark, tmp_path):
     assert "PartitionFilters" in plan and "year_number" in plan.split("PartitionFilters")[1][:120]
 
 
+def test_rebalanced_mart_has_the_same_rows_in_fewer_files(spark, tmp_path):
+    df = spark.range(1000).repartition(8).selectExpr("id", "CAST(2019 + id % 4 AS INT) AS year_number")
+    plain, gathered = str(tmp_path / "p"), str(tmp_path / "g")
+    assert sinks.save_mart(df, plain) == sinks.save_mart(df, gathered, rebalance=True) == 1000
+    a, b = spark.read.parquet(plain), spark.read.parquet(gathered)
+    assert a.exceptAll(b).isEmpty() and len(b.inputFiles()) == 4 < len(a.inputFiles())
+
+
+def test_shuffle_sizing():
+    assert shuffle_partitions(1 << 30) == 200
+    assert shuffle_partitions(10 << 40) == 20480
+    assert shuffle_partitions(100 << 40) == 100_000
+
+
 def test_csv_and_json_exports(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.23456, None)], "k string, v double, n string")
     sinks.write_csv(df, str(tmp_path / "c"), digits=3, single_file=True)
