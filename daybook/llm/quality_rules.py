@@ -151,3 +151,9 @@ def judge(df: DataFrame, text: str = "text", thresholds: tuple[Threshold, ...] =
         base = base | row.broken()
     failed = F.array_compact(F.array(*[F.when(row.broken(), F.lit(row.name)) for row in (*BASE, *thresholds)]))
     return out.withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", F.size("failed_rules") == 0)
+
+
+def keep_good(df: DataFrame, text: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
+    """The rows that break no rule, with the columns of ``df``."""
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("_text"))
+    return judge(rows, "_text", thresholds).where("kept").select("row.*")

@@ -1,22 +1,79 @@
-"""The registered queries of the operators and the SQL that checks them."""
+"""The registered queries of the operators and the SQL that checks them.
+
+Each query reads whole tables, applies its operator with production settings and
+derives the columns it returns from the operator's own output.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import quality_rules, sharding, warc
+from daybook.llm import bpe, decontamination, html_text, quality_rules, secrets, sharding, simhash, token_files, toxicity, warc
 from daybook.llm.store import prepare
 
 SHARDS = 24
+TOKENIZER = "byte_bpe_50k.json"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def vocabulary(name: str = TOKENIZER) -> bpe.Vocabulary:
+    return bpe.Vocabulary(public_tokenizers.path(name))
+
+
+def held_out(doc: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc.cast("string"), F.lit(""))), F.lit(5)) == 0
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[of(i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])],
+        F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = bpe.decode(bpe.encode(docs, vocabulary(), ["doc_id"]), vocabulary())
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     out = sharding.assign(docs, "doc_id", F.octet_length(text) + 8, SHARDS, {"text_crc32": F.crc32(text)})
     return out.select(
@@ -24,16 +81,65 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write(table(spark, sf_dir, "documents"), vocabulary())
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *names)
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *names)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, archive = warc.write(_table(spark, sf_dir, "pages"))
+    path, archive = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(spark, path, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
-QUERIES = {f.__name__: f for f in (op7_sharding, op9_quality_rules, op10_warc)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_simhash, op3_html_text, op4_secrets, op5_decontamination, op6_bpe, op7_sharding, op8_token_files,
+        op9_quality_rules, op10_warc,
+    )
+}
+
+
+def _rule_sql(row: quality_rules.Threshold) -> str:
+    value, scale = (f"100 * {row.part}", row.whole) if row.whole else (row.part, "1")
+    broken = [f"{value} < {row.at_least} * {scale}"] if row.at_least is not None else []
+    broken += [f"{value} > {row.at_most} * {scale}"] if row.at_most is not None else []
+    return f"(({' OR '.join(broken)}) AND n_words >= {row.from_words})"
+
+
+_QUALITY = rf"""
+WITH w AS (
+  SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS words FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 4)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words) AS n FROM g) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_alpha_words,
+         len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}]+'), lambda x: x IN ({", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)})))::BIGINT AS n_stop_words,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\t]*[-*•‣·][\x20\t]')))::BIGINT AS n_bullet_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\t\r]*$')))::BIGINT AS n_ellipsis_lines
+  FROM w LEFT JOIN covered USING (doc_id)),
+j AS (SELECT *, {" OR ".join(map(_rule_sql, quality_rules.BASE))} AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR {" OR ".join(map(_rule_sql, quality_rules.THRESHOLDS))}) AS kept
+FROM j"""
+
+_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+r AS (SELECT *, CASE WHEN payload_bytes >= {warc.LEAST} THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS response FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to, TRUE AS intact
+FROM r"""
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_quality_rules": _QUALITY, "op10_warc": _WARC}
