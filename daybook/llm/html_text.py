@@ -135,8 +135,9 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             break
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt) if lt < last else None
         if not m:
-            if lt > last and page[lt + 1 : lt + 3].lstrip("/")[:1].isalpha():
-                break  # the page ends inside a tag
+            after = page[lt + 1 : lt + 3].lstrip("/")[:1]
+            if lt > last and (after.isalpha() or after in ("!", "?")):
+                break  # the page ends inside a tag or comment
             if not stack[-1].never:
                 parts.append("<")
             at = lt + 1
