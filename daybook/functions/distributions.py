@@ -4,16 +4,6 @@ from __future__ import annotations
 
 import math
 
-# Published response-surface coefficients for the p-value of a
-# unit-root statistic with a constant (lowest power first), and their range.
-TAU_MAX, TAU_MIN, TAU_SPLIT = 2.74, -18.83, -1.61
-TAU_SMALL = (2.1659, 1.4412, 0.038269)
-TAU_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
-
-
-def normal_cdf(x: float) -> float:
-    return 0.5 * math.erfc(-x / math.sqrt(2.0))
-
 
 def beta_cdf(x: float, a: float, b: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
@@ -57,12 +47,3 @@ def t_quantile(p: float, df: float) -> float:
 
 def f_upper(f: float, d1: float, d2: float) -> float:
     return beta_cdf(d2 / (d2 + d1 * f), d2 / 2.0, d1 / 2.0)
-
-
-def unit_root_p(tau: float) -> float:
-    if tau > TAU_MAX:
-        return 1.0
-    if tau < TAU_MIN:
-        return 0.0
-    coefficients = TAU_SMALL if tau <= TAU_SPLIT else TAU_LARGE
-    return normal_cdf(sum(c * tau**i for i, c in enumerate(coefficients)))

@@ -54,6 +54,17 @@ def exact_mean(name: str, digits: int, out: int) -> Column:
     return F.expr(f"signum({unit}) * floor(abs({unit}) + 0.5D) / 1e{out}D + 0D")
 
 
+def unit_sum(name: str, digits: int) -> Column:
+    """The exact sum in units of 10^-digits, to be added up again by a coarser group."""
+    return F.expr(f"sum({_units(name, digits)})")
+
+
+def mean_of_units(total: str, count: str, digits: int, out: int) -> Column:
+    """``exact_mean`` over groups reduced before: sums of their ``unit_sum`` and of their counts."""
+    unit = f"sum(`{total}`) / (sum(`{count}`) * 1e{digits - out}D)"
+    return F.expr(f"CASE WHEN sum(`{count}`) > 0 THEN signum({unit}) * floor(abs({unit}) + 0.5D) / 1e{out}D + 0D END")
+
+
 def _number(name: str) -> str:
     return f"CASE WHEN trim(`{name}`) RLIKE r'{NUMBER}' THEN try_cast(trim(`{name}`) AS DOUBLE) END"
 

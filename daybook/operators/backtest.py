@@ -25,7 +25,7 @@ BASELINES = ("naive", "seasonal_naive", "drift")
 
 def check_leakage(lag: int, horizon: int) -> None:
     if lag < horizon:
-        raise ValueError("lag must be at least the horizon, or the forecast would see the future")
+        raise ValueError(f"a lag of {lag} periods is not known yet at a horizon of {horizon}")
 
 
 def folds(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import dates
 from daybook.functions.metrics import FULL_AT, at_least, mean_of_rates, ratio_of_sums, share
-from daybook.functions.numbers import exact_mean, exact_sum, round_to
+from daybook.functions.numbers import exact_mean, round_to
 from daybook.functions.text import postal_prefix, surrogate_key
 
 FACT_KEY = ("occupancy_date", "location_name", "program_name")
@@ -29,17 +29,6 @@ SECTOR_COLUMNS = {
 }
 
 
-def broadcast_checked(dim: DataFrame, rows_of: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """A dimension marked for broadcast if the table that sets its row count is small enough.
-
-    The count reads file footers only. Spark's own estimate for a dimension
-    that is itself a join multiplies the sizes of its inputs, so without this
-    the fact would be shuffled next to a tiny dimension. A larger dimension
-    stays unmarked and joins by shuffle, with adaptive skew splitting.
-    """
-    return F.broadcast(dim) if rows_of.count() <= max_rows else dim
-
-
 def canonical_rows(df: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
     """One row per key: the smallest by the attributes in the order given, NULLs last.
 
@@ -133,17 +122,17 @@ def panel_monthly(fact: DataFrame, sectors: dict[str, str] = SECTOR_COLUMNS) ->
 def rates_monthly(rates: DataFrame) -> DataFrame:
     """The change flag looks inside the month only: a change on the 1st is not one."""
     return rates.groupBy(dates.month_start("rate_date").alias("month_start")).agg(
-        exact_mean("policy_rate", 4, 4).alias("avg_policy_rate"),
+        exact_mean("policy_rate", 8, 4).alias("avg_policy_rate"),
         (F.max("policy_rate") - F.min("policy_rate") > 0).alias("rate_changed_this_month"),
     )
 
 
-def weather_monthly(weather: DataFrame, digits: int = 1) -> DataFrame:
-    """``digits``: decimals of the measured values (sums stay exact in those units)."""
+def weather_monthly(weather: DataFrame) -> DataFrame:
+    """Sums and means of the values as measured; DECIMAL keeps them free of the order of rows."""
     return weather.groupBy(dates.month_start("weather_date").alias("month_start")).agg(
-        exact_mean("temp_mean_c", max(digits, 2), 2).alias("avg_temp_c"),
+        exact_mean("temp_mean_c", 8, 2).alias("avg_temp_c"),
         round_to(F.min("temp_min_c"), 2).alias("min_temp_c"),
-        exact_sum("snow_total_cm", digits).alias("total_snow_cm"),
+        F.sum(F.col("snow_total_cm").cast("decimal(28,8)")).cast("double").alias("total_snow_cm"),
         F.count_if("is_cold_day").alias("cold_days"),
         F.count_if("is_extreme_cold").alias("extreme_cold_days"),
     )

@@ -44,8 +44,14 @@ def _solve(n: int, means: np.ndarray, lower: np.ndarray, terms: list[str], level
     s[np.tril_indices(k + 1)] = np.asarray(lower, float) * n
     s = s + np.tril(s, -1).T
     sxx, sxy, syy = s[1:, 1:], s[1:, 0], s[0, 0]
-    if n <= k + 1 or np.linalg.matrix_rank(sxx) < k:
-        return {}
+    if n <= k + 1:
+        return {"reason": "too few rows"}
+    # Scaled to unit variances, so that the units of the predictors don't decide.
+    unit = np.sqrt(np.diag(sxx))
+    if not unit.all() or np.linalg.matrix_rank(sxx / np.outer(unit, unit), tol=1e-10) < k:
+        return {"reason": "dependent predictors"}
+    if syy <= 0:
+        return {"reason": "constant target"}
     inverse = np.linalg.inv(sxx)
     slope = inverse @ sxy
     mx = np.asarray(means[1:], float)
@@ -60,7 +66,6 @@ def _solve(n: int, means: np.ndarray, lower: np.ndarray, terms: list[str], level
     f = (syy - ssr) / k / s2
     loglik = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
     return {
-        "term": [INTERCEPT, *terms],
         "coef": coef,
         "std_err": se,
         "t_value": t,
@@ -82,7 +87,8 @@ FIT_COLUMNS = ("r2", "adj_r2", "f_value", "f_p", "log_lik", "aic", "bic", "ssr")
 def fit(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], level: float = 0.95) -> DataFrame:
     """One row per series: arrays over the terms, plus the statistics of the fit.
 
-    Series with too few rows or linearly dependent predictors are left out.
+    A series that can't be fitted (too few rows, dependent predictors, a
+    constant target) keeps its row, with NULL statistics and the ``reason``.
     """
     terms, key_list = list(xs), list(keys)
     table = moments(df, keys, y, xs)
@@ -92,19 +98,20 @@ def fit(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], level: fl
             out = []
             for row in batch.itertuples(index=False):
                 got = _solve(row.n, row.means, row.comoments, terms, level)
-                if got:
-                    out.append(
-                        {
-                            **{k: getattr(row, k) for k in key_list},
-                            "term": got["term"],
-                            **{c: list(got[c]) for c in TERM_COLUMNS},
-                            "n": got["fit"]["n"],
-                            "dof": got["fit"]["dof"],
-                            **{c: got["fit"][c] for c in FIT_COLUMNS},
-                        }
-                    )
-            if out:
-                yield pd.DataFrame(out)
+                fitted = got.get("fit", {})
+                nothing = [None] * (len(terms) + 1)
+                out.append(
+                    {
+                        **{k: getattr(row, k) for k in key_list},
+                        "term": [INTERCEPT, *terms],
+                        **{c: list(got.get(c, nothing)) for c in TERM_COLUMNS},
+                        "n": row.n,
+                        "dof": row.n - len(terms) - 1,
+                        **{c: fitted.get(c) for c in FIT_COLUMNS},
+                        "reason": got.get("reason"),
+                    }
+                )
+            yield pd.DataFrame(out, columns=[*key_list, "term", *TERM_COLUMNS, "n", "dof", *FIT_COLUMNS, "reason"])
 
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema if f.name in key_list)
     schema = ", ".join(
@@ -112,6 +119,7 @@ def fit(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], level: fl
         + [f"{c} array<double>" for c in TERM_COLUMNS]
         + ["n long", "dof long"]
         + [f"{c} double" for c in FIT_COLUMNS]
+        + ["reason string"]
     )
     return table.mapInPandas(solve, schema)
 
@@ -129,7 +137,7 @@ def vif(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def fit_statistics(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return fits.select(*keys, "n", "dof", *FIT_COLUMNS)
+    return fits.select(*keys, "n", "dof", *FIT_COLUMNS, "reason")
 
 
 def predict(df: DataFrame, fits: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:

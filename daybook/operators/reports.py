@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.functions import dates, metrics
-from daybook.functions.numbers import col, exact_mean
+from daybook.functions.numbers import col, exact_mean, mean_of_units, round_to, unit_sum
 from daybook.functions.text import category, entity_label, postal_prefix
 from daybook.sources.lookups import CITY_CENTRE
 
@@ -51,23 +51,48 @@ def sector_trend(fact: DataFrame, sectors: Sequence[str]) -> DataFrame:
     )
 
 
-def stress_by_entity(fact: DataFrame, keys: Sequence[str], more_than: int) -> DataFrame:
-    """Per entity: mean rate, mean occupied and capacity, days full, for entities seen often enough."""
+# The attributes that make an entity of the stress table: variants of an address are entities of their own.
+ENTITY = ("location_name", "location_address", "location_postal_code", "sector", "organization_name")
+
+
+def stress_sums(fact: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What ``stress_by_entity`` needs of the daily rows, reduced by ids before any name is joined."""
     return (
         fact.filter(F.col("occupancy_rate").isNotNull())
         .groupBy(*keys)
         .agg(
-            exact_mean("occupancy_rate", 2, 1).alias("avg_occupancy_rate"),
-            exact_mean("occupancy", 0, 0).alias("avg_daily_occupied"),
-            exact_mean("capacity_actual", 0, 0).alias("avg_capacity"),
-            F.count_if("is_effectively_full").alias("days_full"),
-            F.count(F.lit(1)).alias("total_days"),
-            metrics.share("is_effectively_full", 1).alias("pct_days_full"),
+            unit_sum("occupancy_rate", 2).alias("_rate"),
+            unit_sum("occupancy", 0).alias("_occupied"),
+            unit_sum("capacity_actual", 0).alias("_capacity"),
+            F.count("occupancy").alias("_n_occupied"),
+            F.count("capacity_actual").alias("_n_capacity"),
+            F.count_if("is_effectively_full").alias("_full"),
+            F.count(F.lit(1)).alias("_days"),
+        )
+    )
+
+
+def stress_by_entity(sums: DataFrame, keys: Sequence[str], more_than: int) -> DataFrame:
+    """Per entity: mean rate, mean occupied and capacity, days full, for entities seen often enough."""
+    return (
+        sums.groupBy(*keys)
+        .agg(
+            mean_of_units("_rate", "_days", 2, 1).alias("avg_occupancy_rate"),
+            mean_of_units("_occupied", "_n_occupied", 0, 0).alias("avg_daily_occupied"),
+            mean_of_units("_capacity", "_n_capacity", 0, 0).alias("avg_capacity"),
+            F.sum("_full").alias("days_full"),
+            F.sum("_days").alias("total_days"),
+            round_to(F.sum("_full").cast("double") / F.sum("_days") * 100, 1).alias("pct_days_full"),
         )
         .filter(F.col("total_days") > more_than)
     )
 
 
+def stress_table(sums: DataFrame, more_than: int = 30) -> DataFrame:
+    """Stress by the five attributes of an entity, for those with an address."""
+    return stress_by_entity(sums.filter(F.col("location_address").isNotNull()), ENTITY, more_than)
+
+
 def top_stressed(stress: DataFrame, name: str, group: str, k: int = 15) -> DataFrame:
     """Top k by mean rate; ties by name and group. Plans as TakeOrderedAndProject."""
     ranked = stress.orderBy(F.col("avg_occupancy_rate").desc_nulls_last(), F.col(name).asc_nulls_last(), F.col(group).asc_nulls_last())

@@ -23,7 +23,8 @@ STEPS = {"day": "1 day", "week": "7 days", "month": "1 month"}
 
 
 def over(keys: Sequence[str], ts: str) -> WindowSpec:
-    return W.partitionBy(*[F.col(k) for k in keys]).orderBy(ts) if keys else W.partitionBy(F.lit(0)).orderBy(ts)
+    """The rows of a series in order. Without keys the table is one series, and Spark says so in its log."""
+    return W.partitionBy(*[F.col(k) for k in keys]).orderBy(ts) if keys else W.orderBy(ts)
 
 
 def changed(value: str, keys: Sequence[str], ts: str) -> Column:
@@ -71,11 +72,14 @@ def regularize(df: DataFrame, keys: Sequence[str], ts: str, every: str) -> DataF
 def interpolate(df: DataFrame, keys: Sequence[str], ts: str, value: str, name: str | None = None) -> DataFrame:
     """Linear between known values; the tail repeats the last one; the head stays NULL."""
     w = over(keys, ts)
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    # Both frames run up to the current row, one of them from the other end: a frame that
+    # runs to the end of the partition would be evaluated anew for every row.
+    back = w.rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy(*[F.col(k) for k in keys]).orderBy(F.col(ts).desc()).rowsBetween(W.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).cast("double").alias("v")))
     marked = df.withColumn("_i", F.row_number().over(w)).withColumn("_k", known)
     framed = marked.withColumns(
-        {"_lo": F.last("_k", True).over(back), "_hi": F.first("_k", True).over(ahead)}
+        {"_lo": F.last("_k", True).over(back), "_hi": F.last("_k", True).over(ahead)}
     )
     lo, hi = F.col("_lo"), F.col("_hi")
     part = (F.col("_i") - lo["i"]) / (hi["i"] - lo["i"])

@@ -12,21 +12,20 @@ Orders give a daily rate, ship days a daily weather record.
 
 from __future__ import annotations
 
-from datetime import date
-from functools import cache, cached_property, partial
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.metrics import guarded_rate
-from daybook.operators.marts import broadcast_checked, with_flags
+from daybook.operators.marts import with_flags
+from daybook.operators.reports import stress_sums
 from daybook.operators.staging import WEATHER_COLUMNS, WEATHER_DATE
 from daybook.sources import calendar
 from daybook.sources.registry import Sources
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 SHIFT_YEARS = 24
-FIRST, LAST = date(2019, 1, 1), date(2025, 12, 31)
 SPLIT = 2021
 RATE_SERIES = "V1"
 
@@ -68,6 +67,14 @@ LOCATION = {
     "organization_name": "n_name",
     "shelter_group": "concat('Group ', r_name)",
 }
+# As reported: several locations share a name, some programs have an address of their own, some locations none.
+SITE = {
+    "location_name": "concat('Site ', CAST(location_id % 3 AS STRING))",
+    "location_address": (
+        "CASE WHEN location_id % 11 = 0 THEN NULL WHEN program_name > 'Program 6' THEN concat(location_address, ' / ', program_name) "
+        "ELSE location_address END"
+    ),
+}
 # A location is null-capacity, zero-capacity or open depending on the tax code.
 CAPACITY = "CASE WHEN tax = 8 THEN NULL WHEN tax = 0 THEN 0 ELSE 38 + 2 * n END"
 PANEL = {
@@ -189,46 +196,31 @@ class Inputs:
         self.table = cache(partial(self.tables.read, spark))
         self.locations = cache(self._locations)
 
-    @cached_property
-    def few_splits(self) -> bool:
-        return self.table("lineitem").rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism
-
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Use all cores on line items with fewer splits than cores (one row group cannot be split).
-
-        Only ever shuffles inputs of at most cores * split size; a large table
-        has more splits than cores and passes through untouched.
-        """
-        return df.repartition(self.spark.sparkContext.defaultParallelism) if self.few_splits else df
-
-    def items(self, first: int | None = None, last: int | None = None, wide: bool = False) -> DataFrame:
-        """Line items as observations; a year range becomes a range on the stored column.
-
-        ``wide`` is for plans that do much work per row (text columns) before any shuffle.
-        """
+    def items(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        """Line items as observations; a year range becomes a range on the stored column."""
         rows = self.table("lineitem")
         kind = rows.schema["l_shipdate"].dataType
         if first is not None:
             rows = rows.filter(F.col("l_shipdate") >= F.lit(f"{first - SHIFT_YEARS}-01-01").cast(kind))
         if last is not None:
             rows = rows.filter(F.col("l_shipdate") < F.lit(f"{last + 1 - SHIFT_YEARS}-01-01").cast(kind))
-        return _select(self.spread(rows) if wide else rows, ITEM)
+        return _select(rows, ITEM)
 
     def _locations(self) -> DataFrame:
-        """Supplier with its nation and region; broadcast only after a check of the supplier count."""
+        """Supplier with its nation and region, as large as the supplier table: adaptive execution picks the join."""
         suppliers = self.table("supplier")
         joined = suppliers.join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(
             self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
         )
-        return broadcast_checked(_select(joined, LOCATION), suppliers)
+        return _select(joined, LOCATION)
 
-    def panel(self, first: int | None = None, last: int | None = None, wide: bool = False) -> DataFrame:
+    def panel(self, first: int | None = None, last: int | None = None) -> DataFrame:
         """Typed daily panel keyed by location id."""
-        rows = _select(self.items(first, last, wide), PANEL)
+        rows = _select(self.items(first, last), PANEL)
         return rows.withColumn("occupancy_rate", guarded_rate("occupancy", "capacity_actual"))
 
     def unified(self, first: int | None = None, last: int | None = None) -> DataFrame:
-        return self.panel(first, last, wide=True).join(self.locations(), "location_id", "left")
+        return self.panel(first, last).join(self.locations(), "location_id", "left")
 
     def fact(self, first: int | None = None, last: int | None = None) -> DataFrame:
         """Panel with flags and year, keyed by location id: what the reports aggregate."""
@@ -237,14 +229,21 @@ class Inputs:
         )
 
     def calendar(self) -> DataFrame:
-        return calendar.dim_date(calendar.days(self.spark, FIRST, LAST))
+        """The months that the observations span."""
+        return calendar.dim_date(calendar.months_of(self.items(), "d"))
+
+    def sites(self, first: int) -> DataFrame:
+        """Stress sums per location and program, under reported names and addresses that vary."""
+        sums = stress_sums(self.fact(first=first), ["location_id", "program_name", "sector"])
+        joined = sums.join(self.locations(), "location_id", "left")
+        return joined.withColumns({name: F.expr(e) for name, e in SITE.items()})
 
     def raw_legacy(self) -> DataFrame:
-        return _select(self.items(last=SPLIT - 1, wide=True).join(self.locations(), "location_id", "left"), RAW_LEGACY)
+        return _select(self.items(last=SPLIT - 1).join(self.locations(), "location_id", "left"), RAW_LEGACY)
 
     def raw_current(self) -> DataFrame:
         """Second generation as landed, with a second copy of every first-program row under a new id."""
-        rows = _select(self.items(first=SPLIT, wide=True).join(self.locations(), "location_id", "left"), RAW_CURRENT)
+        rows = _select(self.items(first=SPLIT).join(self.locations(), "location_id", "left"), RAW_CURRENT)
         copies = F.when(F.col("PROGRAM_ID") == "1", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         return rows.withColumn("_copy", F.explode(copies)).withColumn("_id", F.col("_id") * 2 + F.col("_copy")).drop("_copy")
 
@@ -260,6 +259,12 @@ class Inputs:
         days = self.rate_days().filter("cnt <> 2")
         return days.select(F.col("d").alias("date"), F.expr(RATE).alias("policy_rate"))
 
+    def rate_panel(self) -> DataFrame:
+        """One rate series per order priority: (series, date, policy_rate)."""
+        rows = _select(self.table("orders"), RATE_DAY, F.col("o_orderpriority").alias("series"))
+        days = rows.groupBy("series", "d").agg(F.sum("cents").alias("total"), F.count(F.lit(1)).alias("cnt"))
+        return days.filter("cnt <> 2").select("series", F.col("d").alias("date"), F.expr(RATE).alias("policy_rate"))
+
     def weather_days(self) -> DataFrame:
         rows = self.items().groupBy("d").agg(
             F.sum("disc").alias("disc_sum"), F.sum("tax").alias("tax_sum"), F.count(F.lit(1)).alias("cnt")

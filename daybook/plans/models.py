@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 
 from daybook.operators import marts, quality, staging
+from daybook.session import shared_folder
 from daybook.sources import calendar, sinks
 from daybook.sources.registry import Sources
 
@@ -26,26 +25,45 @@ def staging_models(spark: SparkSession, raw: Sources) -> dict[str, DataFrame]:
     }
 
 
+def write_staging(spark: SparkSession, raw: Sources, out: str | None = None) -> dict[str, DataFrame]:
+    """The staging tables written once, below ``out`` or a shared folder, and read again.
+
+    Raw text is parsed, and copies of second-generation rows are dropped, once
+    for all marts, tests and reports; the union is derived from its two parts.
+    """
+    out = out or shared_folder(spark, "staging")
+    models = {}
+    for name, df in staging_models(spark, raw).items():
+        if name != "stg_unified":
+            df.write.parquet(f"{out}/{name}")
+            models[name] = spark.read.schema(df.schema).parquet(f"{out}/{name}")
+    return models | {"stg_unified": staging.unify(models["stg_legacy"], models["stg_current"])}
+
+
 def data_tests(models: dict[str, DataFrame]) -> DataFrame:
     """The 18 data tests of the staging tables."""
     return quality.report({name: (models[name], rules) for name, rules in quality.STAGING_RULES.items()})
 
 
-def build(spark: SparkSession, raw: Sources, out: str, first_day: date, last_day: date) -> dict[str, int]:
-    """Staging as views, marts as Parquet below ``out``; returns the rows written per mart.
+def build(spark: SparkSession, raw: Sources, out: str, gate: bool = True) -> dict[str, int]:
+    """Staging and marts as Parquet below ``out``; returns the rows written per mart.
 
-    The monthly fact reads the daily fact as written, so the raw rows are
-    processed once for both.
+    With ``gate``, a failing data test stops the build before any mart is
+    written. The calendar spans the months of the daily rows. The monthly fact
+    reads the daily fact as written.
     """
-    models = staging_models(spark, raw)
+    models = write_staging(spark, raw, f"{out}/staging")
     for name, df in models.items():
         sinks.as_view(df, name)
-    dim = calendar.dim_date(calendar.days(spark, first_day, last_day))
+    if gate:
+        quality.require_passed(data_tests(models))
+    dim = calendar.dim_date(calendar.months_of(models["stg_unified"], "occupancy_date"))
     rows = {
         "dim_date": sinks.replace(dim, f"{out}/dim_date"),
         "dim_location": sinks.replace(marts.dim_location(models["stg_current"]), f"{out}/dim_location"),
-        "fact_daily": sinks.save_mart(marts.fact_daily(models["stg_unified"], dim), f"{out}/fact_daily"),
     }
+    dim = spark.read.parquet(f"{out}/dim_date")
+    rows["fact_daily"] = sinks.save_mart(marts.fact_daily(models["stg_unified"], dim), f"{out}/fact_daily")
     fact = spark.read.parquet(f"{out}/fact_daily")
     monthly = marts.fact_monthly(fact, models["stg_rates"], models["stg_weather"])
     return rows | {"fact_monthly": sinks.replace(monthly, f"{out}/fact_monthly")}

@@ -88,9 +88,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         "CAST(year(occupancy_date) AS INT) AS year_number, CAST(month(occupancy_date) AS INT) AS month_number FROM panel",
     ),
     "calendar": (
-        (),
-        f"SELECT date_day, {DATE_PARTS} FROM (SELECT CAST(unnest(generate_series(DATE '{b.FIRST}', DATE '{b.LAST}', "
-        "INTERVAL 1 DAY)) AS DATE) AS date_day)",
+        ("items",),
+        f"SELECT date_day, {DATE_PARTS} FROM (SELECT CAST(unnest(generate_series(date_trunc('month', min(d)), last_day(max(d)), "
+        "INTERVAL 1 DAY)) AS DATE) AS date_day FROM items)",
     ),
     "raw_legacy": (
         ("items", "locations"),
@@ -224,14 +224,13 @@ CTES["raw_fact"] = (
 CTES["raw_monthly"] = (("raw_fact",), monthly_of("raw_fact"))
 CTES["rates_monthly"] = (
     ("stg_rates",),
-    f"SELECT {month('rate_date')} AS month_start, {mean('policy_rate', 4, 4)} AS avg_policy_rate, "
+    f"SELECT {month('rate_date')} AS month_start, {mean('policy_rate', 8, 4)} AS avg_policy_rate, "
     "max(policy_rate) - min(policy_rate) > 0 AS rate_changed_this_month FROM stg_rates GROUP BY 1",
 )
 CTES["weather_monthly"] = (
     ("stg_weather",),
-    f"SELECT {month('weather_date')} AS month_start, {mean('temp_mean_c', 2, 2)} AS avg_temp_c, "
-    "round(min(temp_min_c), 2) AS min_temp_c, "
-    "CAST(sum(CAST(round(snow_total_cm * 10) AS BIGINT)) AS DOUBLE) / 10 AS total_snow_cm, "
+    f"SELECT {month('weather_date')} AS month_start, {mean('temp_mean_c', 8, 2)} AS avg_temp_c, "
+    "round(min(temp_min_c), 2) AS min_temp_c, round(sum(snow_total_cm), 6) AS total_snow_cm, "
     "count(*) FILTER (WHERE is_cold_day) AS cold_days, count(*) FILTER (WHERE is_extreme_cold) AS extreme_cold_days "
     "FROM stg_weather GROUP BY 1",
 )
@@ -239,22 +238,31 @@ CTES["monthly"] = (
     ("panel_monthly", "rates_monthly", "weather_monthly"),
     "SELECT * FROM panel_monthly LEFT JOIN rates_monthly USING (month_start) LEFT JOIN weather_monthly USING (month_start)",
 )
-CTES["stress"] = (
-    ("fact",),
-    f"SELECT location_id, sector, {mean('occupancy_rate', 2, 1)} AS avg_occupancy_rate, "
+CTES["sites"] = (
+    ("fact", "locations"),
+    f"SELECT * EXCLUDE (location_name, location_address), {', '.join(f'{e} AS {name}' for name, e in b.SITE.items())} "
+    "FROM fact LEFT JOIN locations USING (location_id) WHERE year_number >= 2023 AND occupancy_rate IS NOT NULL",
+)
+_STRESS = (
+    f"{mean('occupancy_rate', 2, 1)} AS avg_occupancy_rate, "
     f"{mean('occupancy', 0, 0)} AS avg_daily_occupied, {mean('capacity_actual', 0, 0)} AS avg_capacity, "
     "count(*) FILTER (WHERE is_effectively_full) AS days_full, count(*) AS total_days, "
-    "round(CAST(count(*) FILTER (WHERE is_effectively_full) AS DOUBLE) / nullif(count(*), 0) * 100, 1) AS pct_days_full "
-    "FROM fact WHERE year_number >= 2023 AND occupancy_rate IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 30",
+    "round(CAST(count(*) FILTER (WHERE is_effectively_full) AS DOUBLE) / nullif(count(*), 0) * 100, 1) AS pct_days_full"
 )
+CTES["stress"] = (
+    ("sites",),
+    f"SELECT location_name, location_address, location_postal_code, sector, organization_name, {_STRESS} "
+    "FROM sites WHERE location_address IS NOT NULL GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 30",
+)
+CTES["stress_names"] = (("sites",), f"SELECT location_name, sector, {_STRESS} FROM sites GROUP BY 1, 2 HAVING count(*) > 100")
 CTES["areas"] = (
     (),
     "SELECT * FROM (VALUES "
-    + ", ".join("('{}', CAST({} AS DOUBLE), CAST({} AS DOUBLE))".format(*r.split()) for r in POSTAL_AREAS.split("\n") if r)
+    + ", ".join("('{}', CAST({} AS DOUBLE), CAST({} AS DOUBLE))".format(*r) for r in POSTAL_AREAS)
     + ") AS t(prefix, a_lat, a_lon)",
 )
 CTES["map_rows"] = (
-    ("stress", "locations", "areas"),
+    ("stress", "areas"),
     "SELECT location_name AS name, organization_name AS org, location_address AS address, sector, "
     "avg_occupancy_rate AS occ_rate, CAST(avg_daily_occupied AS INT) AS avg_occupied, CAST(avg_capacity AS INT) AS avg_capacity, "
     f"pct_days_full AS pct_full, coalesce(a_lat, {CITY_CENTRE[0]}::DOUBLE) AS lat, coalesce(a_lon, {CITY_CENTRE[1]}::DOUBLE) AS lon, "
@@ -263,7 +271,7 @@ CTES["map_rows"] = (
     "CASE WHEN avg_occupancy_rate >= 98 THEN '#e63946' WHEN avg_occupancy_rate >= 95 THEN '#f4a261' "
     "WHEN avg_occupancy_rate >= 85 THEN '#e9c46a' ELSE '#2a9d8f' END AS color, "
     "CASE WHEN avg_capacity > 0 THEN greatest(6.0::DOUBLE, least(22.0::DOUBLE, 6 + sqrt(avg_capacity / 5))) ELSE 7.0::DOUBLE END AS radius "
-    "FROM stress LEFT JOIN locations USING (location_id) LEFT JOIN areas ON upper(substr(trim(location_postal_code), 1, 3)) = prefix",
+    "FROM stress LEFT JOIN areas ON upper(substr(trim(location_postal_code), 1, 3)) = prefix",
 )
 
 
@@ -283,8 +291,13 @@ def _series(period: str, name: str, min_days: int, where: str) -> str:
 CTES["weekly"] = (
     ("fact",),
     _series(week("occupancy_date"), "week_start", 5,
-            "year_number BETWEEN 2021 AND 2025 AND occupancy IS NOT NULL AND capacity_actual > 0"),
+            "occupancy IS NOT NULL AND capacity_actual > 0"),
 )
+CTES["rate_panel"] = (
+    (),
+    f"SELECT series, d AS date, {b.RATE} AS policy_rate FROM (SELECT series, d, {big('sum(cents)')} AS total, count(*) AS cnt FROM "
+    f"(SELECT o_orderpriority AS series, {cols(b.RATE_DAY)} FROM orders) GROUP BY 1, 2) WHERE cnt <> 2",
+)
 CTES["full_months"] = (("fact",), _series(month("occupancy_date"), "month_start", 28, "true"))
 # gaps filled from a grid per series, then interpolated between the nearest known neighbours
 CTES["weekly_grid"] = (
@@ -458,6 +471,41 @@ def _least_squares() -> None:
 _least_squares()
 
 
+def simpson(f: str, lo: str, hi: str, x: str, n: int = 2000) -> str:
+    """The integral of ``f`` (an expression over ``{x}``) from ``lo`` to ``hi`` by Simpson's rule."""
+    at = f"({lo} + ({hi} - ({lo})) * {x}i / {n}.0)"
+    weight = f"CASE WHEN {x}i IN (0, {n}) THEN 1 WHEN {x}i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(({hi}) - ({lo})) / {3 * n}.0 * list_sum(list_transform(range(0, {n + 1}), lambda {x}i: {weight} * {f.format(x=at)}))"
+
+
+def t_inside(t: str, dof: str, x: str = "u") -> str:
+    """The probability that a t variable lies between -t and t."""
+    scale = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt({dof} * pi())"
+    return f"(2 * {scale} * {simpson(f'pow(1 + {{x}} * {{x}} / {dof}, -({dof} + 1) / 2.0)', '0.0', t, x)})"
+
+
+def f_above(f: str, d1: str, d2: str) -> str:
+    """The probability of an F value above ``f``, as an incomplete beta integral."""
+    a, c = f"({d2} / 2.0)", f"({d1} / 2.0)"
+    scale = f"exp(lgamma({a} + {c}) - lgamma({a}) - lgamma({c}))"
+    body = f"pow({{x}}, {a} - 1) * pow(1 - {{x}}, {c} - 1)"
+    return f"({scale} * {simpson(body, '0.0', f'{d2} / ({d2} + {d1} * ({f}))', 'v')})"
+
+
+# Half-width of the 95 % interval in standard errors, by halving an interval that holds it.
+_HALVE = (
+    "list_reduce(list_transform(range(0, 50), lambda k: {{'lo': 0.0::DOUBLE, 'hi': 64.0::DOUBLE}}), lambda s, z: CASE WHEN "
+    + t_inside("((s.lo + s.hi) / 2)", "dof", "w")
+    + " < 0.95 THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END)"
+).replace("{{", "{").replace("}}", "}")
+CTES["reg_width"] = (("reg_fit",), f"SELECT series, dof, (({_HALVE}).lo + ({_HALVE}).hi) / 2 AS width FROM reg_fit")
+CTES["reg_tests"] = (
+    ("reg_terms", "reg_width"),
+    f"SELECT series, term, coef, std_err, coef / std_err AS t, width, 1 - {t_inside('abs(coef / std_err)', 'dof')} AS p "
+    "FROM reg_terms JOIN reg_width USING (series)",
+)
+
+
 def sql(body: str, *needs: str) -> str:
     """A statement with the common tables it needs, in dependency order."""
     order: list[str] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -38,7 +39,7 @@ def shuffle_partitions(input_bytes: int, per_task: int = 512 << 20) -> int:
     large ones outside joins, so the starting number must fit the widest
     shuffle (the full-row dedupe), not the typical one.
     """
-    return max(200, min(-(-input_bytes // per_task), 100_000))
+    return max(200, -(-input_bytes // per_task))
 
 
 def get_session(master: str | None = None, app: str = "daybook", input_bytes: int | None = None, **extra: str) -> SparkSession:
@@ -51,11 +52,34 @@ def get_session(master: str | None = None, app: str = "daybook", input_bytes: in
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: Python tasks import it by name.
+
+    The zip lies in the driver's own temporary folder; Spark's file server hands it out.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_daybook_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(context._temp_dir, "daybook_package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    archive.write(file, os.path.relpath(file, os.path.dirname(top)))
+    context.addPyFile(path)
+    context._daybook_shipped = True
 
 
 def pin_session(spark: SparkSession) -> None:
-    """The same run-time settings in a session someone else built."""
+    """The same run-time settings, and the package on the executors, in a session someone else built."""
+    ship_package(spark)
     for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
         spark.conf.set(key, SETTINGS[key])
 
@@ -64,7 +88,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's checkpoint folder.
 
     A machine-local folder is only ever used in local mode, where the driver
-    and the executors are one process.
+    and the executors are one process, and only if no folder is set. What a job
+    leaves there is kept as long as the folder's own clean-up keeps it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:

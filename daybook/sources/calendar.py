@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import dates
 
-# The calendar never leaves this window, whatever dates the data holds, so the
+# Dates outside this window are errors of the data and stop the load, so the
 # dimension has at most 109,573 rows and may always be broadcast.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2199, 12, 31)
 
@@ -22,11 +22,24 @@ def days(spark: SparkSession, start: date, end: date) -> DataFrame:
 
 
 def days_of(df: DataFrame, day: str | Column) -> DataFrame:
-    """One row per day from the first to the last date found in a table."""
+    """One row per day from the first to the last date found in a table.
+
+    A date outside ``FIRST_DAY`` to ``LAST_DAY`` raises when the rows are read.
+    """
+    d = F.col(day) if isinstance(day, str) else day
+    ends = df.agg(F.min(d).alias("lo"), F.max(d).alias("hi")).filter("lo is not null")
+    return ends.select(F.explode(F.sequence(_checked("lo"), _checked("hi"))).alias("date_day"))
+
+
+def months_of(df: DataFrame, day: str | Column) -> DataFrame:
+    """Like ``days_of``, from the first day of the first month to the last day of the last one."""
     d = F.col(day) if isinstance(day, str) else day
-    d = F.when(d.between(F.lit(FIRST_DAY), F.lit(LAST_DAY)), d)
-    ends = df.agg(F.min(d).alias("lo"), F.max(d).alias("hi"))
-    return ends.filter("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("date_day"))
+    return days_of(df.select(F.explode(F.array(F.trunc(d, "month"), F.last_day(d))).alias("_d")), "_d")
+
+
+def _checked(end: str) -> Column:
+    message = F.concat(F.lit(f"a date outside {FIRST_DAY} to {LAST_DAY}: "), F.col(end).cast("string"))
+    return F.when(F.col(end).between(F.lit(FIRST_DAY), F.lit(LAST_DAY)), F.col(end)).otherwise(F.raise_error(message))
 
 
 def dim_date(day_rows: DataFrame, fiscal_first_month: int = 1) -> DataFrame:

@@ -33,23 +33,40 @@ def read_pages(spark: SparkSession, path: str, columns: Sequence[str], multiline
 
 
 def failed_pages(pages: DataFrame) -> DataFrame:
-    """Pages whose payload does not say success; feed this to ``quality.require_empty``."""
+    """Pages whose payload does not say success, or does not parse."""
     return pages.filter(~F.coalesce(F.col("success"), F.lit(False)))
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """All records of the successful pages, without the service's row id."""
-    return pages.filter("success").select(F.inline("result.records")).drop("_id")
+    """All records, without the service's row id. A page without success stops the job that reads it."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    records = F.when(ok, F.col("result.records")).otherwise(F.raise_error(F.lit("a landed page does not say success")))
+    return pages.select(F.inline(records)).drop("_id")
 
 
 def page_progress(pages: DataFrame) -> DataFrame:
-    """Announced total against records landed, over the successful pages."""
-    return pages.filter("success").agg(
-        F.max("result.total").alias("announced"),
-        F.sum(F.size("result.records")).cast("long").alias("landed"),
+    """Failed pages, announced total and records landed, in one row."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    return pages.agg(
+        F.count_if(~ok).alias("failed"),
+        F.max(F.when(ok, F.col("result.total"))).alias("announced"),
+        F.coalesce(F.sum(F.when(ok, F.size("result.records"))), F.lit(0)).cast("long").alias("landed"),
     )
 
 
+def load_pages(spark: SparkSession, path: str, columns: Sequence[str], multiline: bool = True) -> DataFrame:
+    """The records below ``path``; stops if a page failed, records are missing, or there are none."""
+    pages = read_pages(spark, path, columns, multiline)
+    seen = page_progress(pages).first()
+    if seen.failed:
+        raise RuntimeError(f"{seen.failed} landed pages of {path} do not say success")
+    if seen.landed < (seen.announced or 0):
+        raise RuntimeError(f"{path} announces {seen.announced} records, {seen.landed} landed")
+    if not seen.landed:
+        raise RuntimeError(f"no rows landed in {path}")
+    return page_records(pages)
+
+
 def observation_schema(series: str) -> T.StructType:
     value = T.StructType([T.StructField("v", T.StringType())])
     obs = T.StructType([T.StructField("d", T.StringType()), T.StructField(series, value)])
@@ -70,42 +87,59 @@ def observation_rows(payload: DataFrame, series: str, value: str = "policy_rate"
     return rows.filter(F.col("date") >= F.lit(start).cast("date")) if start else rows
 
 
-def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
-    """CSV with a header row; a byte-order mark before the header is fine.
+CORRUPT = "_corrupt_record"
 
-    The schema is applied by position, so broken rows keep their good fields
-    and a short row fills with NULL.
-    """
-    return (
-        spark.read.schema(text_schema(columns))
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("encoding", "UTF-8")
-        .option("mode", "PERMISSIVE")
-        .option("ignoreMissingFiles", True)
-        .csv(path)
-    )
 
+def csv_layouts(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files below ``path`` by the header row they start with; empty files have no layout."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        header = tuple(spark.read.option("header", True).option("encoding", "UTF-8").csv(file).columns)
+        if header:
+            out.setdefault(header, []).append(file)
+    return out
 
-def read_yearly_csv(spark: SparkSession, path: str, columns: Sequence[str], tag: str = "_source_year") -> DataFrame:
-    """Yearly files as one table, tagged with the year in the file name (``…2021.csv``).
 
-    Files in ``_source_year=2021/`` folders carry the tag already.
+def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str], tag: str | None = None) -> DataFrame:
+    """CSV files with a header row each, matched by column name, every value as text.
+
+    Files that share a header are one scan; a column that a file lacks is NULL,
+    others than ``columns`` are left out, a byte-order mark is fine. A row with
+    too few or too many fields keeps those it has and is marked with its text in
+    ``_corrupt_record`` (see ``corrupt_rows``). Files that vanish stop the job.
+    ``tag`` adds the year in the file's or its folder's name (``...2021.csv``,
+    ``_source_year=2021/``).
     """
-    rows = read_csv(spark, path, columns)
-    if tag in rows.columns:
-        return rows
-    year = F.regexp_extract(F.col("_metadata.file_name"), YEAR_IN_NAME, 1).try_cast("int")
-    return rows.select("*", year.alias(tag))
+    frames = []
+    for header, files in csv_layouts(spark, path).items():
+        schema = text_schema([*header, CORRUPT])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8")
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        # Only a row that is parsed as a whole shows that it has a wrong number of fields.
+        rows = reader.option("columnPruning", False).csv(files)
+        year = F.coalesce(
+            F.regexp_extract(F.col("_metadata.file_name"), YEAR_IN_NAME, 1).try_cast("int"),
+            F.regexp_extract(F.col("_metadata.file_path"), rf"/{tag}=(\d+)/", 1).try_cast("int"),
+        )
+        named = [F.col(f"`{c}`") if c in header else F.lit(None).cast("string").alias(c) for c in columns]
+        frames.append(rows.select(*named, CORRUPT, *([year.alias(tag)] if tag else [])))
+    if not frames:
+        raise RuntimeError(f"no CSV files with a header row in {path}")
+    return stack(*frames)
 
 
-def read_csv_resources(spark: SparkSession, paths: dict[int, str], tag: str = "_source_year") -> DataFrame:
-    """One file or folder per year, each with its own header, aligned by column name.
+def read_yearly_csv(spark: SparkSession, path: str, columns: Sequence[str], tag: str = "_source_year") -> DataFrame:
+    """Yearly files as one table, tagged with their year."""
+    return read_csv(spark, path, columns, tag)
 
-    For years whose files differ in columns or order; every column is text.
-    """
-    reader = spark.read.option("header", True).option("encoding", "UTF-8")
-    return stack(*[reader.csv(path).withColumn(tag, F.lit(year)) for year, path in paths.items()])
+
+def corrupt_rows(rows: DataFrame, keys: Sequence[str], named: str) -> DataFrame:
+    """Per key: all rows, those that have a value in column ``named``, and those with a wrong number of fields."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.col(f"`{named}`")).alias("n_named"),
+        F.count(CORRUPT).alias("n_corrupt"),
+    )
 
 
 def stack(*frames: DataFrame) -> DataFrame:
@@ -113,18 +147,23 @@ def stack(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def first_available(sources: Sequence[DataFrame], years: Sequence[int], key: str = "_source_year") -> DataFrame:
-    """Per listed year, the rows of the first source that has any; a year no source has is skipped.
+def first_available(sources: Sequence[DataFrame], path: str, years: Sequence[int] | None = None, key: str = "_source_year") -> DataFrame:
+    """Per year, the rows of the first source that has any; a year no source has is skipped.
 
-    The list bounds the years already taken, so checking a source against them
-    is a broadcast join and the rows themselves are never shuffled.
+    Every source is scanned once, into folders by year and source below ``path``.
+    Which source comes first for a year is then known from the folders alone, as
+    a table of one row per year, and only the chosen folders are read.
     """
-    wanted = [df.filter(F.col(key).isin(*years)) for df in sources]
-    kept, taken = [wanted[0]], wanted[0].select(key).distinct()
-    for df in wanted[1:]:
-        kept.append(df.join(F.broadcast(taken), key, "left_anti"))
-        taken = taken.unionByName(df.select(key)).distinct()
-    return stack(*kept)
+    ranked = [df.withColumn("_rank", F.lit(i)) for i, df in enumerate(sources)]
+    tagged = stack(*ranked)
+    if years is not None:
+        tagged = tagged.filter(F.col(key).isin(*years))
+    tagged.write.partitionBy(key, "_rank").parquet(path)
+    landed = sources[0].sparkSession.read.schema(tagged.schema).parquet(path)
+    best = landed.groupBy(F.col(key).alias("_year")).agg(F.min("_rank").alias("_best"))
+    chosen = F.col(key).eqNullSafe(F.col("_year")) & (F.col("_rank") == F.col("_best"))
+    columns = [c for c in tagged.columns if c != "_rank"]
+    return landed.join(F.broadcast(best), chosen).select(*columns)
 
 
 def pick_resources(catalog: DataFrame, fmt: str = "CSV") -> DataFrame:

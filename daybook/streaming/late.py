@@ -1,10 +1,16 @@
 """Late daily rows, processed incrementally.
 
-Rows for weekends and holidays land a few days after their day. The stream
-waits for them with a watermark, drops repeated deliveries of one row, and
-emits a day's totals once it can no longer change. ``availableNow`` works off
-everything landed since the last run and stops, so a scheduler can call it
-like a batch job; progress lives in the checkpoint folder.
+Rows for weekends and holidays land a few days after their day, and some land
+twice. Each micro-batch of a stream is kept, and the totals of the days it
+touches are computed anew from everything kept of those days; so no row is
+dropped, however late, open days have totals too, and the work of a batch
+follows the days it touches. Rows that come more than ``late_by`` days behind
+the newest day of earlier batches are counted as late in their day's totals.
+
+State is two tables below one folder, both written per batch and overwritten if
+a batch is repeated: ``rows`` by batch and day, ``totals`` by batch. Nothing is
+held in memory between batches. ``availableNow`` works off everything landed
+since the last run and stops, so a scheduler can call it like a batch job.
 """
 
 from __future__ import annotations
@@ -24,25 +30,47 @@ def landed_stream(spark: SparkSession, path: str, schema: StructType, files_per_
     return reader.parquet(path)
 
 
-def daily_totals(
-    rows: DataFrame, ts: str, keys: Sequence[str], value: str, row_id: Sequence[str], late_by: str = "3 days"
-) -> DataFrame:
-    """(keys, day): distinct rows and their sum; state is bounded by the watermark."""
-    fresh = rows.withWatermark(ts, late_by).dropDuplicatesWithinWatermark(list(row_id))
-    days = fresh.groupBy(*keys, F.window(ts, "1 day").alias("_day"))
-    return days.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).alias("total")).select(
-        *keys, F.col("_day.start").cast("date").alias("day"), "n_rows", "total"
+def merge_batch(
+    batch: DataFrame, number: int, store: str, ts: str, keys: Sequence[str], value: str, row_id: Sequence[str], late_by: int
+) -> None:
+    """Keep one batch and write the totals of the days it touches."""
+    spark = batch.sparkSession
+    newest = None
+    if number:
+        newest = spark.read.parquet(f"{store}/totals").filter(F.col("batch") < number).agg(F.max("day").alias("d")).first().d
+    day = F.to_date(ts)
+    late = F.lit(False) if newest is None else F.coalesce(day < F.date_sub(F.lit(newest), late_by), F.lit(False))
+    rows = batch.select(*keys, F.col(value).alias("_value"), *row_id, late.alias("_late"), day.alias("day"))
+    rows.write.mode("overwrite").partitionBy("day").parquet(f"{store}/rows/batch={number}")
+    kept = spark.read.option("basePath", f"{store}/rows").parquet(f"{store}/rows").filter(F.col("batch") <= number)
+    # One row per day of the batch, from folder names alone.
+    touched = kept.filter(F.col("batch") == number).select(F.col("day").alias("_day")).distinct()
+    known = kept.join(F.broadcast(touched), F.col("day").eqNullSafe(F.col("_day")))
+    first = F.min(F.struct("batch", "_late", "_value", *keys, "day")).alias("r")
+    once = known.groupBy(*row_id).agg(first).select(*[F.col(f"r.{c}") for c in (*keys, "day", "_late", "_value")])
+    totals = once.groupBy(*keys, "day").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("_value").alias("total"), F.count_if("_late").alias("n_late")
     )
+    totals.write.mode("overwrite").parquet(f"{store}/totals/batch={number}")
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append finished days to Parquet, exactly once per day across restarts."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(out)
-    )
+def run_available(
+    stream: DataFrame, store: str, checkpoint: str, ts: str, keys: Sequence[str], value: str, row_id: Sequence[str], late_by: int = 3
+) -> StreamingQuery:
+    """Merge everything that has landed since the last run."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        merge_batch(batch, number, store, ts, keys, value, row_id, late_by)
+
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def daily_totals(spark: SparkSession, store: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, day): distinct rows, their sum and how many came late, as of the last batch that touched the day."""
+    totals = spark.read.parquet(f"{store}/totals")
+    last = totals.groupBy(F.col("day").alias("_day")).agg(F.max("batch").alias("_last"))
+    current = totals.join(last, F.col("day").eqNullSafe(F.col("_day")) & (F.col("batch") == F.col("_last")))
+    return current.select(*keys, "day", "n_rows", "total", "n_late")

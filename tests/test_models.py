@@ -1,25 +1,12 @@
-from datetime import date, timedelta
+import os
+import subprocess
+import sys
+from datetime import date
 
 import numpy as np
-import pandas as pd
 import pytest
 
-from daybook.operators import forecast, regression, series
-
-
-def to_spark(spark, y, freq="W-MON", name="A", **extra):
-    days = pd.date_range("2015-01-05", periods=len(y), freq=freq)
-    pdf = pd.DataFrame({"series": name, "ts": [d.date() for d in days], "y": y, **extra})
-    schema = "series string, ts date, y double" + "".join(f", {c} double" for c in extra)
-    return spark.createDataFrame(list(pdf.itertuples(index=False, name=None)), schema)
-
-
-def arma(n, ar, ma, seed=1):
-    e = np.random.default_rng(seed).normal(0, 1, n + 100)
-    w = np.zeros(n + 100)
-    for t in range(1, n + 100):
-        w[t] = ar * w[t - 1] + e[t] + ma * e[t - 1]
-    return w[100:]
+from daybook.operators import regression, series
 
 
 def test_ols_equals_least_squares(spark):
@@ -54,142 +41,39 @@ def test_ols_equals_least_squares(spark):
     assert scaled.amount == pytest.approx(10 * beta[1])
 
 
-def test_dependent_predictors_are_left_out(spark):
-    df = spark.createDataFrame([("A", float(i), 2.0 * i, float(i % 5)) for i in range(20)], "series string, a double, b double, y double")
-    assert regression.fit(df, ["series"], "y", ["a", "b"]).isEmpty()
-
-
-def test_minimiser_solves_many_problems_at_once():
-    target = np.array([[1.0, -2.0], [3.0, 0.5], [0.0, 0.0]])
-
-    def f(x, lane):
-        d = x - target[lane]
-        return d[:, 0] ** 2 + 10 * d[:, 1] ** 2 + (d[:, 0] * d[:, 1]) ** 2
-
-    x, fx = forecast.minimise(f, np.full((3, 2), 0.3))
-    assert x == pytest.approx(target, abs=1e-3) and fx == pytest.approx(np.zeros(3), abs=1e-5)
-
-
-def test_arima_recovers_its_parameters():
-    y = np.cumsum(arma(600, 0.6, 0.3))
-    ends = np.array([600])
-    best = {}
-
-    def probe(ar, ma):
-        ll, _ = forecast._kalman(y, np.empty((600, 0)), ends, np.array([ar]), np.array([ma]), np.empty((1, 0)), np.array([1.0]))
-        return ll[0]
-
-    best = max((probe(ar, ma), ar, ma) for ar in np.arange(0.3, 0.95, 0.1) for ma in np.arange(-0.1, 0.65, 0.1))
-    assert best[1] == pytest.approx(0.6, abs=0.11) and best[2] == pytest.approx(0.3, abs=0.11)
-    out, aic, _ = forecast.arima(y, np.empty((600, 0)), None, ends, 3)
-    # the fit is at least as good as the best grid point, and as the truth
-    assert -(aic[0] - 6) / 2 >= best[0] - 1e-6 and -(aic[0] - 6) / 2 >= probe(0.6, 0.3) - 1e-6
-    assert np.isfinite(out).all()
-
-
-def test_kalman_likelihood_equals_the_dense_normal_density():
-    """Beyond the diffuse start, differences follow an ARMA(1,1) whose covariance is known."""
-    n, ar, ma, s2 = 120, 0.5, 0.2, 0.7
-    y = 10 + np.cumsum(arma(n, ar, ma) * np.sqrt(s2))
-    ll, out = forecast._kalman(y, np.empty((n, 0)), np.array([n]), np.array([ar]), np.array([ma]), np.empty((1, 0)), np.array([s2]), 2)
-    w = np.diff(y)
-    g = np.zeros(n)
-    g[0] = s2 * (1 + 2 * ar * ma + ma * ma) / (1 - ar * ar)
-    g[1] = s2 * (1 + ar * ma) * (ar + ma) / (1 - ar * ar)
-    for i in range(2, n):
-        g[i] = ar * g[i - 1]
-    cov = g[np.abs(np.subtract.outer(np.arange(n - 1), np.arange(n - 1)))]
-    tail = np.linalg.solve(cov, w)
-    ahead = g[np.arange(n - 1, 0, -1)] @ tail
-    assert out[0, 0] == pytest.approx(y[-1] + ahead, abs=1e-3)
-    dense = lambda c, v: -0.5 * (len(v) * np.log(2 * np.pi) + np.linalg.slogdet(c)[1] + v @ np.linalg.solve(c, v))
-    # the filter leaves out three periods, two of which are differences
-    given_start = dense(cov, w) - dense(cov[:2, :2], w[:2])
-    assert ll[0] == pytest.approx(given_start, abs=0.5)
-
-
-def test_arima_skips_missing_values_and_uses_regressors():
-    rng = np.random.default_rng(5)
-    x = np.cumsum(rng.normal(size=(200, 1)), axis=0)
-    y = 3 * x[:, 0] + np.cumsum(rng.normal(0, 0.05, 200))
-    y[80:92] = np.nan
-    out, _, _ = forecast.arima(y, x, None, np.array([150, 180]), 3)
-    for row, end in zip(out, (150, 180)):
-        assert row == pytest.approx(3 * (x[end : end + 3, 0] - x[end - 1, 0]) + y[end - 1], abs=0.5)
-
-
-def test_sarima_follows_a_season():
-    t = np.arange(300)
-    y = 50 + 0.05 * t + 5 * np.sin(2 * np.pi * t / 52) + np.random.default_rng(2).normal(0, 0.1, 300)
-    out, aic, spec = forecast.sarima(y, np.empty((300, 0)), None, np.array([200, 280]), 12)
-    for row, end in zip(out, (200, 280)):
-        assert np.abs(row - y[end : end + 12]).mean() < 0.5
-    assert np.isfinite(aic).all() and spec == ["(1,1,1)(1,1,1,52)"] * 2
-
-
-def test_trend_season_bends_and_repeats():
-    days = np.arange(300) * 7.0
-    y = 20 + 0.01 * np.maximum(days - 900, 0) + 3 * np.cos(2 * np.pi * days / 365.25)
-    out, _, _ = forecast.trend_season(y[:288], None, days, np.array([288]), 12)
-    assert np.abs(out[0] - y[288:]).mean() < 0.4
-
-
-def test_backtest_models_lines_up_with_the_series(spark):
-    y = [float(v) for v in np.cumsum(arma(60, 0.2, 0.1))]
-    df = to_spark(spark, y).withColumnRenamed("y", "v")
-    models = {"m": ("arima", ()), "t": ("trend_season", ())}
-    rows = forecast.backtest_models(df, ["series"], "ts", "v", models, 40, 3, 2, block=4).orderBy("fold", "step").collect()
-    ends = list(range(40, 58, 2))
-    assert [(r.fold, r.step) for r in rows] == [(f + 1, k) for f in range(len(ends)) for k in (1, 2, 3)]
-    for r in rows:
-        end = ends[r.fold - 1]
-        assert (r.naive, r.actual) == (y[end - 1], y[end + r.step - 1])
-        assert r.origin == date(2015, 1, 5) + timedelta(weeks=end - 1) and r.target == r.origin + timedelta(weeks=r.step)
-        assert np.isfinite(r.m) and np.isfinite(r.t)
-
-
-def test_forecasts_do_not_depend_on_the_block_size(spark):
-    df = to_spark(spark, [float(v) for v in np.cumsum(arma(60, 0.2, 0.1))])
-    one, many = (
-        {(r.fold, r.step): r.m for r in forecast.backtest_models(df, ["series"], "ts", "y", {"m": ("arima", ())}, 45, 3, block=b).collect()}
-        for b in (1, 50)
+def test_series_that_cannot_be_fitted_keep_a_row_with_the_reason(spark):
+    rows = [("dependent", float(i), 2.0 * i, float(i % 5)) for i in range(20)]
+    rows += [("constant x", float(i), 7.0, float(i % 5)) for i in range(20)]
+    rows += [("short", float(i), float(i * i), 1.0 + i) for i in range(3)]
+    rows += [("flat", float(i), float(i * i), 4.0) for i in range(20)]
+    rows += [("fine", float(i), float(i * i), float(i % 5)) for i in range(20)]
+    df = spark.createDataFrame(rows, "series string, a double, b double, y double")
+    fits = regression.fit(df, ["series"], "y", ["a", "b"])
+    got = {r.series: r.reason for r in regression.fit_statistics(fits, ["series"]).collect()}
+    assert got == {
+        "dependent": "dependent predictors", "constant x": "dependent predictors", "short": "too few rows",
+        "flat": "constant target", "fine": None,
+    }
+    coefs = regression.coefficients(fits, ["series"]).filter("coef IS NULL").groupBy("series").count()
+    assert {r.series: r["count"] for r in coefs.collect()} == {k: 3 for k in got if got[k]}
+
+
+def test_python_tasks_find_the_package_from_any_folder(tmp_path):
+    """A session of its own in another folder, without the repository on the path of its workers."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as e\n"
+        "from daybook.session import get_session\n"
+        "spark = get_session('local[2]', **{'spark.sql.shuffle.partitions': '2'})\n"
+        "from daybook.operators import regression\n"
+        "rows = [('A', float(i), float(i % 7), float(i * i)) for i in range(30)]\n"
+        "df = spark.createDataFrame(rows, 'series string, a double, b double, y double')\n"
+        "print('FITTED', regression.fit(df, ['series'], 'y', ['a', 'b']).count())\n"
     )
-    assert one.keys() == many.keys()
-    assert [one[k] for k in one] == pytest.approx([many[k] for k in one], rel=1e-6)
-
-
-def test_future_values_never_change_a_forecast(spark):
-    y = [float(v) for v in np.cumsum(arma(60, 0.2, 0.1))]
-    changed = y[:50] + [v + 1000 for v in y[50:]]
-    got = []
-    for values in (y, changed):
-        df = to_spark(spark, values)
-        rows = forecast.backtest_models(df, ["series"], "ts", "y", {"m": ("arima", ()), "t": ("trend_season", ())}, 45, 3).collect()
-        got.append({(r.fold, r.step): (r.m, r.t) for r in rows if r.fold <= 6})
-    for key in got[0]:
-        assert got[0][key] == pytest.approx(got[1][key], rel=1e-6)
-
-
-def test_final_forecast_and_short_series(spark):
-    y = [float(v) for v in 10 + np.sin(np.arange(120) / 8)]
-    df = to_spark(spark, y).union(to_spark(spark, y[:20], name="short"))
-    rows = forecast.forecast_ahead(df, ["series"], "ts", "y", "trend_season", 4, "week", 104).orderBy("step").collect()
-    assert [(r.series, r.step) for r in rows] == [("A", k) for k in (1, 2, 3, 4)]
-    assert rows[0].target == rows[0].origin + timedelta(weeks=1)
-
-
-def test_unit_root_statistic_and_verdicts(spark):
-    walk, noise = np.cumsum(arma(200, 0.0, 0.0)), arma(200, 0.2, 0.0)
-    stat, lags, used = forecast._unit_root(noise)
-    at = np.arange(lags, 199)
-    dy = np.diff(noise)
-    design = np.column_stack([noise[at], np.ones(len(at)), *[dy[at - j] for j in range(1, lags + 1)]])
-    beta, ssr = np.linalg.lstsq(design, dy[at], rcond=None)[:2]
-    se = np.sqrt(ssr[0] / (len(at) - design.shape[1]) * np.linalg.inv(design.T @ design)[0, 0])
-    assert stat == pytest.approx(beta[0] / se) and used == len(at)
-    df = to_spark(spark, [float(v) for v in walk], name="walk").union(to_spark(spark, [float(v) for v in noise], name="noise"))
-    got = {(r.series, r.tested_on): r.stationary for r in forecast.unit_root_test(df, ["series"], "ts", "y").collect()}
-    assert got == {("walk", "level"): False, ("walk", "1st diff"): True, ("noise", "level"): True}
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FITTED 1" in out.stdout, out.stderr[-2000:]
 
 
 def test_regression_frame_is_positional_and_complete(spark):

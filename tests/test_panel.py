@@ -1,3 +1,4 @@
+import os
 from datetime import date
 
 import pytest
@@ -89,11 +90,6 @@ def test_calendar_dimension(spark):
         calendar.days(spark, date(21, 1, 1), date(2020, 1, 1))
 
 
-def test_calendar_of_data_ignores_dates_out_of_range(spark):
-    df = spark.createDataFrame([(date(2020, 1, 1),), (date(2020, 1, 3),), (date(21, 1, 1),)], "d date")
-    assert calendar.days_of(df, "d").count() == 3
-
-
 def test_canonical_row_is_deterministic_with_nulls_last(spark):
     rows = [(1, None, "a"), (1, "b", "z"), (1, "b", "c"), (2, None, "q"), (None, "x", "y")]
     df = spark.createDataFrame(rows, "id int, name string, address string")
@@ -163,13 +159,48 @@ def test_weekly_series_needs_five_days(spark):
 def test_hot_location_gives_the_same_report(spark):
     """A third of all rows on one location changes nothing but its own line."""
     rows = [(date(2023, 1, 1 + i % 28), 7 if i % 3 == 0 else 1000 + i, "MEN", i % 50, 50, float(i % 50) * 2) for i in range(900)]
-    stress = reports.stress_by_entity(flagged(spark, *rows), ["location_id", "sector"], 30)
+    keys = ["location_id", "sector"]
+    stress = reports.stress_by_entity(reports.stress_sums(flagged(spark, *rows), keys), keys, 30)
     got = stress.collect()
     assert [(r.location_id, r.total_days) for r in got] == [(7, 300)]
     want = sum(float(i % 50) * 2 for i in range(0, 900, 3)) / 300
     assert got[0].avg_occupancy_rate == pytest.approx(want, abs=0.05)
 
 
+def test_variants_of_an_address_are_entities_and_same_names_are_one(spark):
+    rows = [(date(2023, 1, 1 + i % 28), 1 + i % 3, "MEN", i % 50, 50, float(i % 50) * 2) for i in range(300)]
+    sums = reports.stress_sums(flagged(spark, *rows), ["location_id", "sector"])
+    places = spark.createDataFrame(
+        [(1, "Site", "1 St", "M5V", "Org"), (2, "Site", "1 St Unit 2", "M5V", "Org"), (3, "Site", None, "M5V", "Org")],
+        "location_id int, location_name string, location_address string, location_postal_code string, organization_name string",
+    )
+    joined = sums.join(places, "location_id")
+    table = {r.location_address: r.total_days for r in reports.stress_table(joined, 30).collect()}
+    assert table == {"1 St": 100, "1 St Unit 2": 100}
+    named = reports.stress_by_entity(joined, ["location_name", "sector"], 100).collect()
+    assert [(r.location_name, r.total_days) for r in named] == [("Site", 300)]
+    want = sum(float(i % 50) * 2 for i in range(300)) / 300
+    assert named[0].avg_occupancy_rate == pytest.approx(want, abs=0.05)
+
+
+def test_sums_keep_the_decimals_of_the_values(spark):
+    rows = [(date(2023, 1, d), -1.0 - d / 1000, -5.0, 0.24) for d in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "weather_date date, temp_mean_c double, temp_min_c double, snow_total_cm double")
+    df = df.withColumn("is_cold_day", F.lit(True)).withColumn("is_extreme_cold", F.lit(False))
+    got = marts.weather_monthly(df).first()
+    assert (got.total_snow_cm, got.avg_temp_c) == (0.72, -1.0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+def test_a_build_stops_before_its_marts_when_a_data_test_fails(spark, tmp_path):
+    from daybook.plans import bindings, catalog, models
+
+    inputs = bindings.Inputs(spark, "/root/testdata/sf0.001")
+    with pytest.raises(RuntimeError, match="data tests failed"):
+        models.build(spark, catalog.raw_sources(inputs), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["staging"]
+
+
 def test_top_and_map(spark):
     stress = spark.createDataFrame(
         [("A", "MEN", 96.0, 10.0, 125.0, 3, 40, 7.5, "Org", "1 St", "m5v 1a1"), ("B", None, None, None, None, 0, 40, 0.0, "Org", "2 St", "Z9Z"),

@@ -63,24 +63,55 @@ def test_future_index(spark):
     assert listed(got, "target", "step") == [MONDAY + timedelta(weeks=w) for w in (2, 3, 4)]
 
 
-def monthly(spark, n=60):
-    rng = np.random.default_rng(0)
-    y, rate = 95 + np.cumsum(rng.normal(0, 0.1, n)), np.linspace(0.25, 4.0, n)
-    months = pd.date_range("2019-01-01", periods=n, freq="MS")
-    rows = [("A", m.date(), float(a), float(r)) for m, a, r in zip(months, y, rate)]
-    return spark.createDataFrame(rows, "series string, ts date, y double, rate double"), y, rate
+def panel(spark, *levels):
+    """Two years of months per level: the value repeats the level, the rate counts the months."""
+    rows = [(name, date(2001 + m // 12, m % 12 + 1, 1), level, float(m)) for name, level in levels for m in range(24)]
+    return spark.createDataFrame(rows, "series string, ts date, y double, rate double")
 
 
-def test_lag_shorter_than_horizon_is_rejected(spark):
-    df, *_ = monthly(spark)
-    with pytest.raises(ValueError):
-        backtest.lagged_frame(df, ["series"], "ts", "y", "rate", (2,), 3)
+@pytest.mark.parametrize("lag, horizon, known", [(1, 1, True), (4, 5, False), (5, 5, True)])
+def test_a_lag_must_be_known_when_the_forecast_is_made(spark, lag, horizon, known):
+    frame = lambda: backtest.lagged_frame(panel(spark, ("A", 1.0)), ["series"], "ts", "y", "rate", (lag,), horizon)
+    if known:
+        assert frame().count() == 24 - lag
+    else:
+        with pytest.raises(ValueError, match=f"{lag} periods"):
+            frame()
 
 
-def test_lagged_frame_shifts_back_and_drops_the_head(spark):
-    df, _, rate = monthly(spark)
-    got = backtest.lagged_frame(df, ["series"], "ts", "y", "rate", (6,), 3).orderBy("ts").collect()
-    assert len(got) == 54 and got[0].ts == date(2019, 7, 1) and got[0].exog_lag == rate[0]
+def test_lagged_rates_stay_in_their_series(spark):
+    got = backtest.lagged_frame(panel(spark, ("A", 1.0), ("B", 2.0)), ["series"], "ts", "y", "rate", (2, 7), 2)
+    seen = {(r.series, r.lag_months, r.ts): (r.y, r.exog_lag) for r in got.collect()}
+    assert len(seen) == 2 * (22 + 17)
+    assert seen[("B", 7, date(2001, 8, 1))] == (2.0, 0.0) and seen[("A", 2, date(2002, 12, 1))] == (1.0, 21.0)
+    assert ("A", 7, date(2001, 7, 1)) not in seen
+
+
+def test_interpolation_is_linear_in_the_length_of_a_series(spark):
+    n = 40_000
+    df = spark.range(n).selectExpr("'A' AS series", "date_add(DATE '1900-01-01', CAST(id AS INT)) AS ts", "IF(id % 1000 = 0, CAST(id AS DOUBLE), NULL) AS y")
+    got = series.interpolate(df, ["series"], "ts", "y")
+    off = got.filter("abs(y - least(datediff(ts, DATE '1900-01-01'), 39000)) > 1e-6 OR y IS NULL")
+    assert off.count() == 0 and got.count() == n
+
+
+def test_rate_changes_look_at_their_own_series(spark):
+    from daybook.operators import staging
+
+    rows = [("A", "2020-01-01", 1.0), ("B", "2020-01-02", 2.0), ("A", "2020-01-03", 1.0), ("B", "2020-01-04", 3.0)]
+    got = staging.stage_rates(spark.createDataFrame(rows, "series string, date string, policy_rate double"), ("series",))
+    assert {(r.series, r.rate_date.day): r.is_rate_change_day for r in got.collect()} == {("A", 1): None, ("B", 2): None, ("A", 3): False, ("B", 4): True}
+
+
+def test_a_calendar_spans_its_months_and_refuses_impossible_dates(spark):
+    from daybook.sources import calendar
+
+    df = spark.createDataFrame([(date(2031, 1, 30),), (date(2031, 3, 2),)], "d date")
+    got = [r.date_day for r in calendar.months_of(df, "d").orderBy("date_day").collect()]
+    assert (got[0], got[-1], len(got)) == (date(2031, 1, 1), date(2031, 3, 31), 90)
+    assert calendar.days_of(df.limit(0), "d").isEmpty()
+    with pytest.raises(Exception, match="a date outside"):
+        calendar.days_of(df.union(spark.createDataFrame([(date(213, 1, 1),)], "d date")), "d").collect()
 
 
 def brute_folds(y, min_train, horizon, step, season):

@@ -11,19 +11,39 @@ from daybook.sources.registry import Sources
 from daybook.streaming import late
 
 
+def land_pages(folder, *pages, total=5):
+    folder.mkdir()
+    for n, (ids, ok) in enumerate(pages):
+        body = {"success": ok, "result": {"total": total, "records": [{"_id": i, "a": str(i), "extra": 1} for i in ids]}}
+        (folder / f"p{n}.json").write_text(json.dumps(body, indent=1))
+    return str(folder)
+
+
 def test_paged_json(spark, tmp_path):
-    def page(n, ids, ok=True):
-        body = {"success": ok, "result": {"total": 5, "records": [{"_id": i, "a": str(i), "extra": 1} for i in ids]}}
-        (tmp_path / f"p{n}.json").write_text(json.dumps(body, indent=1))
-
-    page(0, [1, 2]), page(1, [3, 4]), page(2, [5]), page(3, [], False)
-    (tmp_path / "p4.json").write_text('{"success": true, "result": {"rec')
-    pages = landed.read_pages(spark, str(tmp_path), ["a", "missing"])
-    rows = landed.page_records(pages)
+    path = land_pages(tmp_path / "whole", ([1, 2], True), ([3, 4], True), ([5], True))
+    rows = landed.load_pages(spark, path, ["a", "missing"])
     assert rows.columns == ["a", "missing"]
     assert sorted(r.a for r in rows.collect()) == ["1", "2", "3", "4", "5"]
+
+
+def test_failed_incomplete_and_empty_loads_stop(spark, tmp_path):
+    failed = land_pages(tmp_path / "failed", ([1, 2, 3, 4, 5], True), ([], False))
+    with pytest.raises(RuntimeError, match="1 landed pages"):
+        landed.load_pages(spark, failed, ["a"])
+    with pytest.raises(Exception, match="does not say success"):
+        landed.page_records(landed.read_pages(spark, failed, ["a"])).collect()
+    (tmp_path / "failed" / "p9.json").write_text('{"success": true, "result": {"rec')
+    pages = landed.read_pages(spark, failed, ["a"])
     assert landed.failed_pages(pages).count() == 2
-    assert landed.page_progress(pages).first().asDict() == {"announced": 5, "landed": 5}
+    assert landed.page_progress(pages).first().asDict() == {"failed": 2, "announced": 5, "landed": 5}
+    with pytest.raises(RuntimeError, match="announces 5 records, 2 landed"):
+        landed.load_pages(spark, land_pages(tmp_path / "part", ([1, 2], True)), ["a"])
+    with pytest.raises(RuntimeError, match="no rows landed"):
+        landed.load_pages(spark, land_pages(tmp_path / "none", ([], True), total=0), ["a"])
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "empty.csv").write_text("")
+    with pytest.raises(RuntimeError, match="no CSV files"):
+        landed.read_csv(spark, str(tmp_path / "csv"), ["a"])
 
 
 def test_observations(spark, tmp_path):
@@ -39,23 +59,42 @@ def test_yearly_csv_with_byte_order_mark(spark, tmp_path):
         text = '"Date/Time","Mean Temp (°C)"\n' + f'"{year}-01-01","M"\n"{year}-01-02","-1.5"\n'
         (tmp_path / f"weather_{year}.csv").write_bytes(b"\xef\xbb\xbf" + text.encode())
     rows = landed.read_yearly_csv(spark, str(tmp_path), ["Date/Time", "Mean Temp (°C)"])
-    got = sorted(tuple(r) for r in rows.collect())
+    got = sorted(tuple(r) for r in rows.drop(landed.CORRUPT).collect())
     assert got[0] == ("2019-01-01", "M", 2019) and got[-1] == ("2020-01-02", "-1.5", 2020) and len(got) == 4
 
 
-def test_csv_resources_align_by_name(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("k,v,w\n1,x,p\n")
-    (tmp_path / "b.csv").write_text("v,k\ny,2\n")
-    rows = landed.read_csv_resources(spark, {2019: str(tmp_path / "a.csv"), 2020: str(tmp_path / "b.csv")})
-    assert sorted((r.k, r.v, r.w, r["_source_year"]) for r in rows.collect()) == [("1", "x", "p", 2019), ("2", "y", None, 2020)]
+def test_csv_goes_by_column_name(spark, tmp_path):
+    (tmp_path / "x_2019.csv").write_bytes(b"\xef\xbb\xbf" + "k,v,w\n1,x,p\n".encode())
+    (tmp_path / "x_2020.csv").write_text("extra,v,k\nq,y,2\n")
+    (tmp_path / "x_2021.csv").write_text("")
+    (tmp_path / "_source_year=2022").mkdir()
+    (tmp_path / "_source_year=2022" / "part.csv").write_text("w,k,v\nr,3,z\n")
+    rows = landed.read_yearly_csv(spark, str(tmp_path), ["k", "v", "w"])
+    got = sorted(tuple(r) for r in rows.drop(landed.CORRUPT).collect())
+    assert got == [("1", "x", "p", 2019), ("2", "y", None, 2020), ("3", "z", "r", 2022)]
+    assert len(landed.csv_layouts(spark, str(tmp_path))) == 3
+
+
+def test_rows_with_a_wrong_number_of_fields_are_kept_and_counted(spark, tmp_path):
+    (tmp_path / "x_2019.csv").write_text("k,v,w\n1,x,p\n2,y\n3,z,q,too much\n,a,b\n")
+    rows = landed.read_yearly_csv(spark, str(tmp_path), ["k", "w"])
+    assert [(r.k, r.w, r[landed.CORRUPT]) for r in rows.collect()] == [
+        ("1", "p", None), ("2", None, "2,y"), ("3", "q", "3,z,q,too much"), (None, "b", None),
+    ]
+    assert landed.corrupt_rows(rows, ["_source_year"], "k").collect() == [(2019, 4, 3, 2)]
 
 
-def test_fallback_takes_whole_years_from_the_first_source(spark):
+def test_fallback_takes_whole_years_from_the_first_source(spark, tmp_path):
     api = spark.createDataFrame([(2019, "a")], "_source_year int, v string")
     csv = spark.createDataFrame([(2019, "b"), (2020, "b"), (2020, "b2")], "_source_year int, v string")
-    manual = spark.createDataFrame([(2020, "c"), (2021, "c"), (1999, "c")], "_source_year int, v string")
-    got = landed.first_available([api, csv, manual], range(2019, 2023))
+    manual = spark.createDataFrame([(2020, "c"), (2021, "c"), (1999, "c"), (None, "c")], "_source_year int, v string")
+    got = landed.first_available([api, csv, manual], str(tmp_path / "a"), range(2019, 2023))
     assert sorted(tuple(r) for r in got.collect()) == [(2019, "a"), (2020, "b"), (2020, "b2"), (2021, "c")]
+    got = landed.first_available([api, csv, manual], str(tmp_path / "b"))
+    assert sorted((str(r._source_year), r.v) for r in got.collect()) == [
+        ("1999", "c"), ("2019", "a"), ("2020", "b"), ("2020", "b2"), ("2021", "c"), ("None", "c"),
+    ]
+    assert landed.first_available([api.limit(0)], str(tmp_path / "c")).isEmpty()
 
 
 def test_resource_selection(spark):
@@ -115,7 +154,7 @@ def test_rebalanced_mart_has_the_same_rows_in_fewer_files(spark, tmp_path):
 def test_shuffle_sizing():
     assert shuffle_partitions(1 << 30) == 200
     assert shuffle_partitions(10 << 40) == 20480
-    assert shuffle_partitions(100 << 40) == 100_000
+    assert shuffle_partitions(100 << 40) == 204_800
 
 
 def test_csv_and_json_exports(spark, tmp_path):
@@ -148,21 +187,24 @@ def test_shared_folder_follows_the_session(spark):
 
 
 def test_late_rows_count_once_and_in_their_day(spark, tmp_path):
-    path, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    path, store, progress = (str(tmp_path / n) for n in ("in", "store", "progress"))
     schema = "id long, ts timestamp, k string, v long"
 
     def land(*rows):
         spark.createDataFrame([(i, datetime.fromisoformat(d), "x", v) for i, d, v in rows], schema).coalesce(1).write.mode("append").parquet(path)
 
-    def run():
-        stream = late.landed_stream(spark, path, spark.createDataFrame([], schema).schema)
-        late.run_available(late.daily_totals(stream, "ts", ["k"], "v", ["id"], "2 days"), out, progress)
-        return {r.day: (r.n_rows, r.total) for r in spark.read.parquet(out).collect()}
+    def run(files=None):
+        stream = late.landed_stream(spark, path, spark.createDataFrame([], schema).schema, files)
+        late.run_available(stream, store, progress, "ts", ["k"], "v", ["id"], 2)
+        return {r.day.day: (r.n_rows, r.total, r.n_late) for r in late.daily_totals(spark, store, ["k"]).collect()}
 
     land((1, "2024-01-01 05:00", 10), (2, "2024-01-02 05:00", 1))
-    run()
-    # a late row of the first day and a second delivery of a known row, then time moves on
+    assert run() == {1: (1, 10, 0), 2: (1, 1, 0)}
+    # a row of the first day and a second delivery of a known row, both soon enough
     land((3, "2024-01-01 20:00", 5), (1, "2024-01-01 05:00", 10))
-    run()
     land((4, "2024-01-05 05:00", 7))
-    assert run()[date(2024, 1, 1)] == (2, 15)
+    assert run(files=1) == {1: (2, 15, 0), 2: (1, 1, 0), 5: (1, 7, 0)}
+    # far behind the newest day: counted in its day, and as late; a repeated delivery is neither
+    land((5, "2024-01-01 06:00", 100), (1, "2024-01-01 05:00", 10))
+    assert run() == {1: (3, 115, 1), 2: (1, 1, 0), 5: (1, 7, 0)}
+    assert run() == {1: (3, 115, 1), 2: (1, 1, 0), 5: (1, 7, 0)}
