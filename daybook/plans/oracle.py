@@ -72,6 +72,12 @@ def _trims(names) -> str:
     return ", ".join(f"trim({c}) AS {c.lower()}" for c in names)
 
 
+_BED_OR_ROOM = {
+    "occupancy": ("occupied_beds", "occupied_rooms"),
+    "capacity_actual": ("capacity_actual_bed", "capacity_actual_room"),
+    "capacity_funding": ("capacity_funding_bed", "capacity_funding_room"),
+}
+
 # name -> (tables it reads from this dictionary, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "items": ((), ITEM_RAW),
@@ -110,22 +116,27 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT DISTINCT * EXCLUDE (_id) REPLACE (CASE WHEN regexp_matches(trim(OCCUPANCY_DATE), '^\\d{2}-\\d{2}-\\d{2}') "
         "THEN '20' || substr(trim(OCCUPANCY_DATE), 1, 8) ELSE trim(OCCUPANCY_DATE) END AS OCCUPANCY_DATE) FROM raw_current",
     ),
-    "stg_legacy": (
+    # Dates are put together from their digits, numbers are read once and rounded where a column is whole.
+    "legacy_parts": (
         ("raw_legacy",),
-        "SELECT CASE WHEN OCCUPANCY_DATE LIKE '%/%' THEN CAST(strptime(OCCUPANCY_DATE, '%m/%d/%Y') AS DATE) "
-        "ELSE CAST(OCCUPANCY_DATE AS DATE) END AS occupancy_date, "
+        "SELECT *, regexp_extract(OCCUPANCY_DATE, '(\\d+)/(\\d+)/(\\d+)', ['m', 'd', 'y']) AS us, "
+        "regexp_extract(OCCUPANCY_DATE, '(\\d{4})-(\\d\\d)-(\\d\\d)', ['y', 'm', 'd']) AS iso, "
+        "try_cast(OCCUPANCY AS DOUBLE) AS used, try_cast(CAPACITY AS DOUBLE) AS beds FROM raw_legacy "
+        "WHERE regexp_matches(OCCUPANCY_DATE, '[^ ]')",
+    ),
+    "stg_legacy": (
+        ("legacy_parts",),
+        "SELECT make_date(CAST(us.y || iso.y AS INT), CAST(us.m || iso.m AS INT), CAST(us.d || iso.d AS INT)) AS occupancy_date, "
         + _trims(["ORGANIZATION_NAME", "SHELTER_NAME", "SHELTER_ADDRESS", "SHELTER_CITY", "SHELTER_POSTAL_CODE",
                   "FACILITY_NAME", "PROGRAM_NAME"])
-        + ", upper(trim(SECTOR)) AS sector, try_cast(OCCUPANCY AS INTEGER) AS occupancy, "
-        "try_cast(CAPACITY AS INTEGER) AS capacity_funding, CAST(NULL AS INTEGER) AS capacity_actual, "
-        "CASE WHEN try_cast(CAPACITY AS INTEGER) > 0 THEN "
-        "round(try_cast(OCCUPANCY AS DOUBLE) / try_cast(CAPACITY AS DOUBLE) * 100, 2) END AS occupancy_rate, "
-        "'legacy' AS data_schema_version, _source_year AS source_year "
-        "FROM raw_legacy WHERE OCCUPANCY_DATE IS NOT NULL AND trim(OCCUPANCY_DATE) <> ''",
+        + ", trim(upper(SECTOR)) AS sector, CAST(round(used) AS INT) AS occupancy, CAST(round(beds) AS INT) AS capacity_funding, "
+        "CAST(NULL AS INTEGER) AS capacity_actual, round(used / CASE WHEN round(beds) > 0 THEN beds END * 100, 2) AS occupancy_rate, "
+        "'legacy' AS data_schema_version, _source_year AS source_year FROM legacy_parts",
     ),
     "stg_current0": (
         ("repaired",),
-        "SELECT CAST(OCCUPANCY_DATE AS DATE) AS occupancy_date, "
+        "SELECT make_date(CAST(left(OCCUPANCY_DATE, 4) AS INT), CAST(substr(OCCUPANCY_DATE, 6, 2) AS INT), "
+        "CAST(substr(OCCUPANCY_DATE, 9, 2) AS INT)) AS occupancy_date, "
         + _ints(["ORGANIZATION_ID", "SHELTER_ID", "LOCATION_ID", "PROGRAM_ID", "CAPACITY_ACTUAL_BED", "CAPACITY_FUNDING_BED",
                  "OCCUPIED_BEDS", "UNOCCUPIED_BEDS", "CAPACITY_ACTUAL_ROOM", "CAPACITY_FUNDING_ROOM", "OCCUPIED_ROOMS",
                  "UNOCCUPIED_ROOMS", "SERVICE_USER_COUNT"])
@@ -137,12 +148,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "stg_current": (
         ("stg_current0",),
-        "SELECT *, coalesce(occupied_beds, occupied_rooms) AS occupancy, "
-        "coalesce(capacity_actual_bed, capacity_actual_room) AS capacity_actual, "
-        "coalesce(capacity_funding_bed, capacity_funding_room) AS capacity_funding, "
-        + rate("coalesce(occupied_beds, occupied_rooms)", "coalesce(capacity_actual_bed, capacity_actual_room)")
-        + " AS occupancy_rate, 'current' AS data_schema_version, CAST(year(occupancy_date) AS INT) AS source_year "
-        "FROM stg_current0",
+        "SELECT *, " + rate("occupancy", "capacity_actual") + " AS occupancy_rate, 'current' AS data_schema_version, "
+        "CAST(year(occupancy_date) AS INT) AS source_year FROM (SELECT *, "
+        + ", ".join(f"CASE WHEN {bed} IS NULL THEN {room} ELSE {bed} END AS {name}" for name, (bed, room) in _BED_OR_ROOM.items())
+        + " FROM stg_current0)",
     ),
     "stg_unified": (
         ("stg_legacy", "stg_current"),
