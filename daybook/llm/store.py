@@ -2,44 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.session import shared_folder
+from daybook.session import shared_folder, ship_package
 
 #: Rows and bytes that reach a Python worker at once; a worker never holds more than one batch of texts.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches and give the executors this package, once a session."""
+    """Bound the Arrow batches and give the executors this package."""
     for key, value in BATCH.items():
         spark.conf.set(key, value)
-    context = spark.sparkContext
-    if not getattr(context, "_daybook_sent", False):
-        context._daybook_sent = True
-        if not context.master.startswith("local["):
-            context.addPyFile(_package_zip(context._temp_dir))
+    ship_package(spark)
     return spark
 
 
-def _package_zip(folder: str) -> str:
-    """The package as a zip in the driver's own folder; Spark's file server hands it to the executors."""
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(folder, "daybook_package.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for d, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(d, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    return out
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again.
 
