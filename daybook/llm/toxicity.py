@@ -129,7 +129,8 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> tupl
     both = toxic + clean
     alpha = prior * both / max(1.0, both.sum()) + FLOOR
     a, b = toxic + alpha, clean + alpha
-    delta = np.log(a / (toxic.sum() + alpha.sum() - a)) - np.log(b / (clean.sum() + alpha.sum() - b))
+    odds = lambda x, all_: np.log(x / np.maximum(all_ + alpha.sum() - x, FLOOR))
+    delta = odds(a, toxic.sum()) - odds(b, clean.sum())
     return delta, delta / np.sqrt(1.0 / a + 1.0 / b)
 
 
