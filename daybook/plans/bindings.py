@@ -21,6 +21,7 @@ from daybook.functions.metrics import guarded_rate
 from daybook.operators.marts import with_flags
 from daybook.operators.reports import stress_sums
 from daybook.operators.staging import WEATHER_COLUMNS, WEATHER_DATE
+from daybook.session import INPUT_TASKS
 from daybook.sources import calendar
 from daybook.sources.registry import Sources
 
@@ -195,6 +196,8 @@ class Inputs:
         self.spark, self.tables = spark, sources(sf_dir)
         self.table = cache(partial(self.tables.read, spark))
         self.locations = cache(self._locations)
+        # For inputs that can't be split (one row group), the session may name a number of tasks; see session.py.
+        self.tasks = int(spark.conf.get(INPUT_TASKS, "0"))
 
     def items(self, first: int | None = None, last: int | None = None) -> DataFrame:
         """Line items as observations; a year range becomes a range on the stored column."""
@@ -204,7 +207,7 @@ class Inputs:
             rows = rows.filter(F.col("l_shipdate") >= F.lit(f"{first - SHIFT_YEARS}-01-01").cast(kind))
         if last is not None:
             rows = rows.filter(F.col("l_shipdate") < F.lit(f"{last + 1 - SHIFT_YEARS}-01-01").cast(kind))
-        return _select(rows, ITEM)
+        return _select(rows.repartition(self.tasks) if self.tasks else rows, ITEM)
 
     def _locations(self) -> DataFrame:
         """Supplier with its nation and region, as large as the supplier table: adaptive execution picks the join."""

@@ -24,6 +24,10 @@ SETTINGS = {
 }
 
 
+# A setting for runs over files of a single row group, which one task would read and project alone: rows are
+# dealt out to so many tasks after the scan. Unset (the default), no shuffle is added.
+INPUT_TASKS = "spark.daybook.inputTasks"
+
 # For a cluster: larger splits and reduce tasks, merged by size rather than spread thin.
 CLUSTER_SETTINGS = {
     "spark.sql.files.maxPartitionBytes": "256m",
