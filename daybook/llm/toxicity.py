@@ -218,7 +218,7 @@ def fit(known: DataFrame) -> Model:
     share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
     if not sizes.get(1) or not sizes.get(0):
         return Model(offset=math.log(share / (1 - share)))
-    known = cut(_weighted(known), "toxicity-weighted")
+    known = _weighted(known)
     each = known.select("y", "weight", F.explode(F.array_distinct(_features(F.col("text")))).alias("f"))
     counts = each.groupBy("f").agg(F.sum(F.col("y") * F.col("weight")).alias("toxic"), F.sum((1 - F.col("y")) * F.col("weight")).alias("clean"))
     counts = cut(counts, "toxicity-counts")
