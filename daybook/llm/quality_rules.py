@@ -7,8 +7,7 @@ without user functions, shuffles or state.
 
 Null text counts as empty. Empty and blank texts have no words and fail
 ``few_words``. Equal rows get equal answers, ids and other columns are not
-read, and measures are added under names that must not clash (``judge``
-replaces a column of the same name).
+read. ``judge`` puts its columns in place of columns of the same names.
 """
 
 from __future__ import annotations
@@ -46,15 +45,15 @@ class Threshold:
     at_most: int | None = None
     from_words: int = 0
 
-    def broken(self) -> Column:
-        value = F.col(self.part) * (100 if self.whole else 1)
-        scale = F.col(self.whole) if self.whole else F.lit(1)
+    def broken(self, measures: Column) -> Column:
+        value = measures[self.part] * (100 if self.whole else 1)
+        scale = measures[self.whole] if self.whole else F.lit(1)
         out = F.lit(False)
         if self.at_least is not None:
             out = out | (value < scale * self.at_least)
         if self.at_most is not None:
             out = out | (value > scale * self.at_most)
-        return out & (F.col("n_words") >= self.from_words) if self.from_words else out
+        return out & (measures["n_words"] >= self.from_words) if self.from_words else out
 
 
 BASE = (
@@ -111,49 +110,70 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return let(words, lambda w: F.when(F.size(w) <= window, F.lit(0)).otherwise(of_words(w)))
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """The measures that ``THRESHOLDS`` may name, as LONG columns beside the rows of ``df``."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct of the LONG measures that ``THRESHOLDS`` may name."""
+    body = F.coalesce(text, F.lit(""))
+    long = lambda name, value: value.cast("long").alias(name)
 
-    def counts(w: Column) -> Column:
-        plain = F.transform(w, lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-        return F.struct(
-            F.size(w).alias("n_words"),
-            F.char_length(F.array_join(w, "")).alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"),
-            F.size(F.filter(plain, lambda x: x.isin(*STOP_WORDS))).alias("n_stop_words"),
-            F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).alias("n_alpha_words"),
-        )
+    def of_words(w: Column) -> Column:
+        return F.struct(long("n_words", F.size(w)), long("chars", F.char_length(F.array_join(w, ""))), long("repeats", repeated_words(w)))
 
-    def line_counts(lines: Column) -> Column:
+    def of_lines(x: Column) -> Column:
         return F.struct(
-            F.size(lines).alias("n_lines"),
-            (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
-            F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\t]*[-*•‣·][\x20\t]"))).alias("n_bullet_lines"),
-            F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\t\r]*$"))).alias("n_ellipsis_lines"),
+            long("n", F.size(x)),
+            long("dup", F.size(x) - F.size(F.array_distinct(x))),
+            long("bullet", F.size(F.filter(x, lambda y: y.rlike(r"^[\x20\t]*[-*•‣·][\x20\t]")))),
+            long("ellipsis", F.size(F.filter(x, lambda y: y.rlike(r"(\.\.\.|…)[\x20\t\r]*$")))),
         )
 
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = df.withColumn("_w", let(words_of(F.col(text)), counts)).withColumn("_l", let(lines, line_counts))
     symbols = F.char_length(F.regexp_replace(body, SYMBOLS.replace("[", "[^") + "+", ""))
-    names = {f"_w.{n}": n for n in ("n_words", "word_chars", "n_repeat_words", "n_stop_words", "n_alpha_words")}
-    names |= {f"_l.{n}": n for n in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")}
-    return out.withColumns(
-        {name: F.col(path).cast("long") for path, name in names.items()} | {"n_symbols": symbols.cast("long")}
-    ).drop("_w", "_l")
+    # A match starts at a word's first letter and ends with the word, so there is one for each word with a letter.
+    alpha = F.regexp_count(body, F.lit(r"\p{L}[^\x20\x09-\x0D]*"))
+    stops = let(F.split(F.lower(body), r"[^\p{L}]+"), lambda w: F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))))
+    parts = F.struct(let(words_of(text), of_words).alias("w"), let(lines, of_lines).alias("l"))
+    return let(
+        parts,
+        lambda p: F.struct(
+            p["w"]["n_words"].alias("n_words"),
+            p["w"]["chars"].alias("word_chars"),
+            long("n_symbols", symbols),
+            p["l"]["dup"].alias("n_dup_lines"),
+            p["w"]["repeats"].alias("n_repeat_words"),
+            p["l"]["n"].alias("n_lines"),
+            p["l"]["bullet"].alias("n_bullet_lines"),
+            p["l"]["ellipsis"].alias("n_ellipsis_lines"),
+            long("n_alpha_words", alpha),
+            long("n_stop_words", stops),
+        ),
+    )
+
+
+def verdict(text: Column, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> Column:
+    """A struct of all measures, ``base_failed``, ``failed_rules`` (names, in table order) and ``kept``.
+
+    It is one expression that evaluates each measure once, so a filter on it can
+    be pushed through projections without repeating the work.
+    """
+
+    def judged(m: Column) -> Column:
+        base = F.lit(False)
+        for row in BASE:
+            base = base | row.broken(m)
+        failed = F.array_compact(F.array(*[F.when(row.broken(m), F.lit(row.name)) for row in (*BASE, *thresholds)]))
+        return F.struct(m.alias("m"), base.alias("base_failed"), failed.alias("failed_rules"), (F.size(failed) == 0).alias("kept"))
+
+    return let(measures(text), judged)
 
 
 def judge(df: DataFrame, text: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
-    """Measures, ``base_failed``, ``failed_rules`` (names, in table order) and ``kept``."""
-    out = measure(df, text)
-    base = F.lit(False)
-    for row in BASE:
-        base = base | row.broken()
-    failed = F.array_compact(F.array(*[F.when(row.broken(), F.lit(row.name)) for row in (*BASE, *thresholds)]))
-    return out.withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", F.size("failed_rules") == 0)
+    """The rows with all measures, ``base_failed``, ``failed_rules`` and ``kept``, in place of columns of these names."""
+    found = df.withColumn("_verdict", verdict(F.col(text), thresholds))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines", "n_alpha_words", "n_stop_words")
+    columns = {n: F.col(f"_verdict.m.{n}") for n in names} | {n: F.col(f"_verdict.{n}") for n in ("base_failed", "failed_rules", "kept")}
+    return found.withColumns(columns).drop("_verdict")
 
 
 def keep_good(df: DataFrame, text: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """The rows that break no rule, with the columns of ``df``."""
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("_text"))
-    return judge(rows, "_text", thresholds).where("kept").select("row.*")
+    return df.where(verdict(F.col(text), thresholds)["kept"])
