@@ -142,4 +142,62 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id =
        CASE WHEN page_id <> response THEN response END AS refers_to, TRUE AS intact
 FROM r"""
 
-ORACLES = {"op9_quality_rules": _QUALITY, "op10_warc": _WARC}
+# CRC-32 over the bytes of a text, with its table built by the rule of the polynomial; then cuts of the byte line.
+_SHARDS = f"""
+WITH crc AS (
+  SELECT list(c ORDER BY n) AS tab FROM (
+    SELECT n, list_reduce([n] || list_transform(range(8), lambda k: 0::BIGINT),
+                          lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS c
+    FROM range(256) AS r(n))),
+d AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM documents),
+c AS (
+  SELECT doc_id, size, xor(list_reduce([4294967295::BIGINT] || bytes, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM d, crc),
+s AS (SELECT *, least({SHARDS - 1}, (2 * sum(size) OVER (ORDER BY doc_id) - size) * {SHARDS} // (2 * sum(size) OVER ()))::INT AS shard FROM c)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot,
+       NULL::INT AS grown_shard
+FROM s"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _matches_sql(kind: int, pattern: str, group: int) -> str:
+    p = _quoted(pattern)
+    return f"SELECT doc_id, owner, repo, {kind} AS kind, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS found, regexp_extract_all(t, {p}, {group}) AS vals FROM d"
+
+
+# Runs are maximal without a look behind them, which this engine's patterns lack.
+_RULES = ((secrets.ASSIGN, 2), (secrets.ACCESS, 0), (secrets.HEX, 0), (secrets.OWNED.partition(")")[2], 0))
+_SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', coalesce(source, ''), lang) AS repo FROM documents),
+m AS ({" UNION ALL ".join(_matches_sql(k, *rule) for k, rule in enumerate(_RULES))}),
+e AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM m),
+s AS (
+  SELECT doc_id, owner, repo, kind, vals[k] AS value, length(found[k]) AS size,
+         list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS a
+  FROM e),
+base AS (SELECT *, a + size AS z FROM s WHERE kind < 3 AND (kind > 0 OR length(value) >= 6)),
+own AS (
+  SELECT *, a + size AS z FROM s WHERE kind = 3 AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id IS NOT DISTINCT FROM s.doc_id AND base.a + base.size = s.a + s.size)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM own),
+owners AS (SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repo)) AS n_repos FROM spans GROUP BY 1),
+kept AS (
+  SELECT *, n_owners <= {secrets.MAX_OWNERS} AND n_repos <= {secrets.MAX_REPOS} AS live,
+         ({list(secrets.KINDS)!r})[kind + 1] || ':' || a::BIGINT || ':' || z::BIGINT AS shown
+  FROM spans JOIN owners USING (value) WHERE kind < 3 OR (n_owners <= {secrets.MAX_OWNERS} AND n_repos <= {secrets.MAX_REPOS})),
+g AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+         string_agg(shown, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(shown, ',' ORDER BY a, kind) AS spans,
+         count(*) FILTER (WHERE live) AS n_live
+  FROM kept GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g USING (doc_id)"""
+
+ORACLES = {"op4_secrets": _SECRETS, "op7_sharding": _SHARDS, "op9_quality_rules": _QUALITY, "op10_warc": _WARC}
