@@ -64,7 +64,7 @@ BASE = (
 THRESHOLDS = (
     Threshold("word_length", "word_chars", "n_words", at_least=200, at_most=1200),
     Threshold("symbols", "n_symbols", "n_words", at_most=10),
-    Threshold("wordless_tokens", "n_alpha_words", "n_words", at_least=70),
+    Threshold("wordless_tokens", "n_alpha_words", "n_words", at_least=50),
     Threshold("stop_words", "n_stop_words", "n_words", at_least=2, from_words=100),
     Threshold("duplicate_lines", "n_dup_lines", "n_lines", at_most=70),
     Threshold("bullet_lines", "n_bullet_lines", "n_lines", at_most=90),
