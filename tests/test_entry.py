@@ -8,12 +8,15 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from daybook.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 QUICK = (
     "dim_date", "dim_location", "stg_legacy", "rate_change_days", "weather_flags", "fact_daily", "fact_monthly", "full_months",
     "sector_trend", "top_stressed", "entity_stress_geo", "rollup_levels", "rent_to_income", "source_fallback", "freshness",
     "dq_report", "regularize", "interpolate", "features_lag", "backtest_baselines", "model_summary", "ols_coefficients", "late_daily_totals",
+    "source_pages", "source_yearly_csv", "source_reject_counts", "build_marts", "rate_change_days_by_series", "forward_fill",
+    "ols_inference", "ols_fit_statistics", "residual_diagnostics", "seasonal_pattern",
 )
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -39,8 +42,9 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_sql_belongs_to_a_query():
+def test_every_sql_belongs_to_a_query_and_every_query_of_the_library_has_one():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 @needs_tables
