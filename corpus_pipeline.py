@@ -50,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids."""
     prepare(spark)
     carry = [c for c in docs.columns if c not in NEW]
-    found = bpe.decode(bpe.encode(docs, vocabulary(), carry), vocabulary(), name="_decoded")
+    found = bpe.encode(docs, vocabulary(), carry, decoded="_decoded")
     return found.select(*carry, "n_tokens", "ids", (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

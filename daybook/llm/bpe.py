@@ -180,24 +180,43 @@ def list_edges(lists: pa.Array) -> np.ndarray:
     return np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, carry: list[str], text: str = "text", limit: int = TABLE_WORDS) -> DataFrame:
-    """The carried columns, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit) of every row."""
+def texts_of(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """Runs of ids as texts, read from their pieces' bytes; what is no UTF-8 becomes U+FFFD."""
+    if not len(ids):
+        return [""] * len(ends)
+    found = pieces.take(pa.array(ids))
+    edges = np.frombuffer(found.buffers()[1], dtype=np.int32)[: len(found) + 1]
+    data = memoryview(found.buffers()[2] or b"")
+    at = edges[np.concatenate([[0], ends])]
+    return [str(data[a:b], "utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, carry: list[str], text: str = "text", limit: int = TABLE_WORDS, decoded: str | None = None) -> DataFrame:
+    """The carried columns, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit) of every row.
+
+    ``decoded`` names a column for the texts that the ids decode to, made by the
+    same tasks, so that no second Python worker is needed beside the first.
+    """
     spark = docs.sparkSession
     table = word_table(docs.select(vocabulary.words(F.col(text)).alias("words")), vocabulary, limit)
-    sent = spark.sparkContext.broadcast((vocabulary.text, table))
+    sent = spark.sparkContext.broadcast((vocabulary.text, table, vocabulary.pieces() if decoded else None))
     rows = docs.select(F.struct(*carry).alias("row"), vocabulary.words(F.col(text)).alias("words"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec, table = sent.value
+        spec, table, pieces = sent.value
         for batch in batches:
             words = batch.column(1)
             ids, ends = table.join(spec, words.flatten())
             ends = np.concatenate([[0], ends])[list_edges(words)]
             sizes = pa.array(np.diff(ends, prepend=0), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, packed(ids, ends)], ["row", "n_tokens", "ids"])
+            out = {"row": batch.column(0), "n_tokens": sizes, "ids": packed(ids, ends)}
+            if pieces is not None:
+                out["decoded"] = pa.array(texts_of(pieces, ids, ends), pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, ids binary"
-    return rows.mapInArrow(join, kind).select("row.*", "n_tokens", "ids")
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, ids binary" + ", decoded string" * bool(decoded)
+    found = rows.mapInArrow(join, kind)
+    return found.select("row.*", "n_tokens", "ids", *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -206,14 +225,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
 
     @F.pandas_udf("string")
     def read(packed_ids):
-        pieces = sent.value
         values = [np.frombuffer(v or b"", dtype="<u4") for v in packed_ids]
-        if not values:
-            return packed_ids.astype(object)
-        found = pieces.take(pa.array(np.concatenate(values).astype(np.int64)))
-        edges = np.frombuffer(found.buffers()[1], dtype=np.int32)[: len(found) + 1]
-        data = memoryview(found.buffers()[2] or b"")
-        at = edges[np.concatenate([[0], np.cumsum([len(v) for v in values])])] if len(found) else np.zeros(len(values) + 1, int)
-        return type(packed_ids)([str(data[a:b], "utf-8", "replace") for a, b in zip(at, at[1:], strict=False)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *values]).astype(np.int64)
+        ends = np.cumsum([len(v) for v in values], dtype=np.int64)
+        return type(packed_ids)(texts_of(sent.value, flat, ends), dtype=object)
 
     return encoded.withColumn(name, read(F.col(ids)))

@@ -67,8 +67,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = bpe.decode(bpe.encode(docs, vocabulary(), ["doc_id"]), vocabulary())
+    found = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"], decoded="decoded")
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

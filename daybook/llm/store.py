@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daybook.session import shared_folder, ship_package
 
 #: Rows and bytes that reach a Python worker at once; a worker never holds more than one batch of texts.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:

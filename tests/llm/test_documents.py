@@ -273,9 +273,9 @@ def strange_texts():
 @pytest.mark.parametrize("limit", [1 << 19, 5, 0])
 def test_ids_and_texts_equal_the_library(docs, library, limit):
     rows = AWKWARD + strange_texts()
-    df = bpe.decode(bpe.encode(docs(*rows), vocabulary(), ["doc_id", "text"], limit=limit), vocabulary())
+    df = bpe.decode(bpe.encode(docs(*rows), vocabulary(), ["doc_id", "text"], limit=limit, decoded="again"), vocabulary())
     got = df.collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and all(r.again == r.decoded for r in got)
     for r in got:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert (r.n_tokens, list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids))) == (len(ids), ids), repr(r.text)
