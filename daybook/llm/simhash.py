@@ -184,4 +184,5 @@ def keep_first(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle
     order = F.struct(F.col("_doc").isNull().alias("n"), F.col("_doc").alias("d"), F.col("_place").alias("p"))
     first = member.groupBy("root").agg(F.min(order).alias("f"))
     kept = cut(first.select(F.col("f.p").alias("_place")), "kept-places")
-    return whole.join(kept, "_place", "left_semi").select("row.*")
+    # Kept places grow with the rows, so this is a shuffle join at every size, never a broadcast.
+    return whole.join(kept.hint("merge"), "_place", "left_semi").select("row.*")
