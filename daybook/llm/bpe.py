@@ -92,13 +92,35 @@ def byte_characters() -> dict[int, str]:
 
 
 @functools.cache
-def _tokenizer(spec: str) -> Tokenizer:
-    return Tokenizer.from_str(spec)
+def _tokenizer(spec: str) -> tuple[Tokenizer, frozenset[str]]:
+    out = Tokenizer.from_str(spec)
+    return out, frozenset(t.content for t in out.get_added_tokens_decoder().values())
+
+
+_AS_CHARACTERS = byte_characters()
+#: Letters up to here are letters in every version of Unicode that any part may have.
+_LATIN = "\u024f"
 
 
 def encode_each(spec: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in a row, and the number of each word's ids."""
-    found = [e.ids for e in _tokenizer(spec).encode_batch(words, add_special_tokens=False)] if words else []
+    """Ids of all words (as ``Vocabulary.words`` splits them) in a row, and the number of each word's ids.
+
+    ASCII words and Latin letters are sure to be one word to the library too and
+    go to its BPE model directly; all others, added tokens too, take its whole way.
+    """
+    tokenizer, added = _tokenizer(spec)
+    model = tokenizer.model.tokenize
+    found: list[list[int] | None] = []
+    other = []
+    for i, w in enumerate(words):
+        if w not in added if w.isascii() else max(w) <= _LATIN and w.lstrip(" ").isalpha():
+            found.append([t.id for t in model(w.encode().decode("latin-1").translate(_AS_CHARACTERS))])
+        else:
+            found.append(None)
+            other.append(i)
+    if other:
+        for i, e in zip(other, tokenizer.encode_batch([words[i] for i in other], add_special_tokens=False), strict=True):
+            found[i] = e.ids
     sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(sizes.sum()))
     return flat, sizes

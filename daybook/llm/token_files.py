@@ -22,6 +22,7 @@ over partitions. An empty table writes no blocks. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,8 +40,8 @@ from daybook.session import shared_folder
 BLOCK = 1 << 20
 STEPS = 256
 END = 0
-#: Words a task remembers between batches.
-CACHE_WORDS = 250_000
+#: Words a Python worker remembers.
+CACHE_WORDS = 400_000
 
 MAGIC = b"IDB1"
 _HEAD = struct.Struct("<4sIQIII")
@@ -272,30 +273,35 @@ def decode_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 
 
 class _Words:
-    """Ids of the words a task has met, forgotten when there are too many."""
+    """Ids of the words a Python worker has met, over all of its tasks, up to ``CACHE_WORDS``."""
 
     def __init__(self, spec: str) -> None:
         self.spec = spec
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.edges = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def join(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > CACHE_WORDS:
-            self.clear()
-        new = [w for w in distinct if w not in self.known]
-        flat, sizes = encode_each(self.spec, new)
-        base = len(self.edges) - 1
-        self.known.update(zip(new, range(base, base + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, flat])
-        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(sizes)])
-        at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
+        known, base = self.known, len(self.edges) - 1
+        at = np.fromiter((known.get(w, -1) for w in distinct), np.int64, len(distinct))
+        new = np.nonzero(at < 0)[0]
+        words_new = [distinct[i] for i in new]
+        flat, sizes = encode_each(self.spec, words_new)
+        ids = np.concatenate([self.ids, flat])
+        edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(sizes)])
+        at[new] = base + np.arange(len(new))
+        if room := max(0, min(len(new), CACHE_WORDS - base)):
+            known.update(zip(words_new[:room], range(base, base + room), strict=False))
+            self.edges = edges[: base + room + 1]
+            self.ids = ids[: self.edges[-1]]
         at = at[coded.indices.to_numpy(zero_copy_only=False)] if len(at) else at
-        return gather(self.ids, self.edges[at], self.edges[at + 1] - self.edges[at])
+        return gather(ids, edges[at], edges[at + 1] - edges[at])
+
+
+@functools.lru_cache(maxsize=1)
+def _met(spec: str) -> _Words:
+    return _Words(spec)
 
 
 def write(docs: DataFrame, vocabulary: Vocabulary, path: str | None = None, doc: str = "doc_id", text: str = "text", end: int = END, block: int = BLOCK) -> str:
@@ -307,7 +313,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, path: str | None = None, doc:
     sent = spark.sparkContext.broadcast(vocabulary.text)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = _Words(sent.value), TaskContext.get().partitionId()
+        words, part = _met(sent.value), TaskContext.get().partitionId()
         keys: list[int | None] = []
         held: list[np.ndarray] = []
         sizes: list[int] = []
