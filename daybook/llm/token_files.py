@@ -41,7 +41,7 @@ BLOCK = 1 << 20
 STEPS = 256
 END = 0
 #: Words a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 MAGIC = b"IDB1"
 _HEAD = struct.Struct("<4sIQIII")
@@ -131,7 +131,7 @@ class Mixer:
 
     def learn(self, symbols: np.ndarray) -> None:
         self.step += 1
-        fresh = self.step < 8 or not self.step % 4
+        fresh = self.step < 8 or not self.step % 8
         ids = symbols.astype(np.int32)
         for guess, score, at, level, said in zip(self.guess, self.score, self.at, self.level, self.said, strict=True):
             state = level + level + (said == ids)
@@ -332,15 +332,19 @@ def write(docs: DataFrame, vocabulary: Vocabulary, path: str | None = None, doc:
         for batch in batches:
             ids, ends = words.join(batch.column(1).flatten())
             ends = np.concatenate([[0], ends])[list_edges(batch.column(1))]
-            start = 0
+            ids = np.insert(ids, ends, end)
+            ends += np.arange(1, len(ends) + 1)
+            start = taken = 0
             for key, stop in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
                 keys.append(key)
-                held.append(np.append(ids[start:stop], end))
-                sizes.append(stop - start + 1)
-                count += stop - start + 1
+                sizes.append(stop - start)
+                count += stop - start
                 start = stop
                 if count >= block:
+                    held.append(ids[taken:stop])
+                    taken = stop
                     yield full()
+            held.append(ids[taken:])
         if keys:
             yield full()
 
