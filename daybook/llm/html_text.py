@@ -2,11 +2,13 @@
 
 A page is read into blocks of text, each with its path of tags from the root.
 Per path, text length and punctuation are aggregated and divided by the path's
-number of blocks; the two ratios are smoothed along the page, fused, and
-thresholded, which tells paths of running text from those of links and labels.
-The content node is the deepest element that holds nearly all of the text on
-selected paths, an article or main element where the page has one; its blocks
-are the result, with nothing else dropped.
+number of blocks; the two ratios are smoothed along the page, the more the closer
+two paths are, fused, and thresholded, which tells paths of running text from
+those of links and labels; a path of whole sentences is running text however long
+the others are. The content node is the deepest element that holds nearly all of
+the text on selected paths, on pages with an article or main element too; an
+article or main element only counts as the whole of what it holds, if the content
+node lies inside it. The content node's blocks are the result.
 
 Parts that are named as something else than the article (navigation, footers,
 forms, scripts, adverts, notices, sidebars, reader comments, by tag, role,
@@ -34,6 +36,8 @@ DEPTH = 200
 SHARE = 0.9
 #: Selected paths score at least this part of the page's mean over characters.
 CUT = 0.25
+#: No path needs a score above this one: 80 characters and two marks, about a sentence or two a block.
+SENTENCES = 80 * float(np.log1p(1.0 + 2.0))
 
 # Element names and words of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +52,7 @@ CLOSES_P = frozenset(
     "h4 h5 h6 header hr li main menu nav ol p pre section table ul".split()
 )
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr hr address details summary".split())
+MARKED = frozenset(("article", "main"))
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "p": {"td", "th", "li", "div", "article", "section", "main", "body"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -212,25 +217,43 @@ def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
             return
 
 
-def _smooth(values: np.ndarray, radius: int = 2) -> np.ndarray:
-    """Gaussian smoothing along the page; the ends are repeated."""
-    if len(values) < 2:
-        return values
-    kernel = np.exp(-0.5 * np.arange(-radius, radius + 1) ** 2)
-    return np.convolve(np.pad(values, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
+_KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+_KERNEL /= _KERNEL.sum()
+
+
+def _alike(one: str, two: str) -> float:
+    """1 for paths with the same parent, a quarter for every step that they are further apart."""
+    if one == two:
+        return 1.0
+    a, b = one.split("/"), two.split("/")
+    common = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return 0.25 ** max(0, len(a) + len(b) - 2 * common - 2)
 
 
 def path_scores(found: list[tuple[Node, str]]) -> np.ndarray:
-    """The fused ratio of each block: smoothed text length and punctuation per path."""
-    totals: dict[str, list[float]] = {}
-    for node, text in found:
-        t = totals.setdefault(node.path, [0.0, 0.0, 0.0])
-        t[0] += len(text)
-        t[1] += len(_PUNCTUATION.findall(text))
-        t[2] += 1
-    length = _smooth(np.array([totals[n.path][0] / totals[n.path][2] for n, _ in found]))
-    points = _smooth(np.array([totals[n.path][1] / totals[n.path][2] for n, _ in found]))
-    return length * np.log1p(1.0 + points)
+    """The fused ratio of each block: smoothed text length and punctuation per path.
+
+    Smoothing is Gaussian along the page, each neighbour by the likeness of its
+    path, so that a label beside the text gains little from it and a heading in
+    the text much; what a neighbour doesn't get stays with the block itself.
+    """
+    numbers: dict[str, int] = {}
+    at = np.array([numbers.setdefault(node.path, len(numbers)) for node, _ in found])
+    paths, blocks_of = list(numbers), np.bincount(at)
+    length = (np.bincount(at, weights=[len(t) for _, t in found]) / blocks_of)[at]
+    points = (np.bincount(at, weights=[len(_PUNCTUATION.findall(t)) for _, t in found]) / blocks_of)[at]
+    more_length, more_points = np.zeros(len(at)), np.zeros(len(at))
+    known: dict[tuple[int, int], float] = {}
+    for step in (1, 2):
+        pairs = list(zip(at[:-step].tolist(), at[step:].tolist(), strict=True))
+        for pair in set(pairs) - known.keys():
+            known[pair] = _alike(paths[pair[0]], paths[pair[1]])
+        weight = _KERNEL[2 + step] * np.array([known[p] for p in pairs])
+        for values, more in ((length, more_length), (points, more_points)):
+            change = weight * (values[step:] - values[:-step])
+            more[:-step] += change
+            more[step:] -= change
+    return (length + more_length) * np.log1p(1.0 + points + more_points)
 
 
 def main_text(page: str | None) -> str:
@@ -239,39 +262,30 @@ def main_text(page: str | None) -> str:
         return ""
     sizes = np.array([len(t) for _, t in found], dtype=float)
     scores = path_scores(found)
-    chosen = scores >= CUT * float((scores * sizes).sum() / sizes.sum())
-    # An article or main element, where the page has one, is where the content node lies.
-    marked = np.array([_within(n) for n, _ in found])
-    if marked.any():
-        chosen = chosen & marked if (chosen & marked).any() else marked
+    chosen = scores >= min(SENTENCES, CUT * float((scores * sizes).sum() / sizes.sum()))
     need = SHARE * float(sizes[chosen].sum())
     for (node, _), size in zip([b for b, c in zip(found, chosen, strict=True) if c], sizes[chosen], strict=True):
         n: Node | None = node
         while n is not None:
             n.chars += size
             n = n.parent
-    holds = lambda n: n.tag in ("article", "main") if marked.any() else n.tag not in TEXT
     best: Node | None = None
     for (node, _), c in zip(found, chosen, strict=True):
         n = node if c else None
         while n is not None:
-            if n.chars >= need and (not n.parent or holds(n)) and (best is None or n.depth > best.depth):
+            if n.chars >= need and n.tag not in TEXT and (best is None or n.depth > best.depth):
                 best = n
             n = n.parent
+    # What an article or main element holds beside the content node belongs to it.
+    n = best
+    while n is not None:
+        best, n = n if n.tag in MARKED else best, n.parent
     # Elements of the same path beside it are parts of the same text.
-    while best.parent and any(n.path.startswith(best.path) and not _has(n, best) for n, _ in found):
+    while best.parent and any(f"{n.path}/".startswith(f"{best.path}/") and not _has(n, best) for n, _ in found):
         best = best.parent
     return "\n".join(t for n, t in found if _has(n, best))
 
 
-def _within(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 def _has(node: Node | None, ancestor: Node | None) -> bool:
     while node is not None:
         if node is ancestor:

@@ -69,6 +69,21 @@ def test_paths_of_running_text_score_above_links():
     assert [t for _, t in found] == ["one", "two", PROSE, PROSE] and min(scores[2:]) > max(scores[:2])
 
 
+CARDS = "".join(f"<article><h3>Card {i}</h3><p>Read on</p></article>" for i in range(6))
+
+
+@pytest.mark.parametrize("body", [
+    "<div class=story>{}</div><div class=cards>" + CARDS + "</div>",
+    "<div class=cards>" + CARDS + "</div><div class=story>{}</div>",
+    CARDS + "<div>{}</div>" + CARDS,
+    "<article><h3>Card</h3></article><div><div>{}</div></div>",
+    "<div class=lists><p><a>One</a></p><p><a>Two</a></p><p><a>Three</a></p></div><div>{}</div>",
+])
+@pytest.mark.parametrize("story", [[PROSE], [PROSE, PROSE + " More."], ["Head", PROSE * 3, "Ok", PROSE, PROSE]])
+def test_path_scores_alone_find_the_story(body, story):
+    assert html_text.main_text(FRAME.format(body.format("".join(f"<p>{t}</p>" for t in story)))) == "\n".join(story)
+
+
 def test_extract_keeps_rows_and_columns(spark):
     rows = [(i % 3, f"u{i}", FRAME.format(b), "x") for i, (b, _) in enumerate(PAGES)] + [(None, None, None, "x"), (0, "u0", FRAME.format(PAGES[0][0]), "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, row string")
