@@ -5,10 +5,13 @@ Per path, text length and punctuation are aggregated and divided by the path's
 number of blocks; the two ratios are smoothed along the page, the more the closer
 two paths are, fused, and thresholded, which tells paths of running text from
 those of links and labels; a path of whole sentences is running text however long
-the others are. The content node is the deepest element that holds nearly all of
-the text on selected paths, on pages with an article or main element too; an
-article or main element only counts as the whole of what it holds, if the content
-node lies inside it. The content node's blocks are the result.
+the others are. The content node is the lowest element that holds all selected
+blocks, on pages with an article or main element too; where it lies inside such
+elements, the outermost one. Its blocks are the result, but for containers
+that hold no selected block: these are scored as something else, unless they lie
+in the deepest element that holds most of the selected text, or in an article that
+holds most of it or is mostly selected. A heading belongs to the block behind it,
+also right before the content node.
 
 Parts that are named as something else than the article (navigation, footers,
 forms, scripts, adverts, notices, sidebars, reader comments, by tag, role,
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 200
-#: Share of the selected text that the content node has to hold.
-SHARE = 0.9
+#: An element with more than this share of the selected text keeps all of its blocks.
+MOST = 0.5
 #: Selected paths score at least this part of the page's mean over characters.
 CUT = 0.25
 #: No path needs a score above this one: 80 characters and two marks, about a sentence or two a block.
@@ -52,6 +56,7 @@ CLOSES_P = frozenset(
     "h4 h5 h6 header hr li main menu nav ol p pre section table ul".split()
 )
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr hr address details summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKED = frozenset(("article", "main"))
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "p": {"td", "th", "li", "div", "article", "section", "main", "body"}}
@@ -78,13 +83,13 @@ _PUNCTUATION = re.compile(r"[.,;:!?、。！？；：，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "never", "depth", "chars")
+    __slots__ = ("tag", "parent", "path", "never", "depth", "size", "chars")
 
     def __init__(self, tag: str, parent: Node | None, never: bool, mark: str = "") -> None:
         self.tag, self.parent, self.never = tag, parent, never
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}{mark}" if parent else ""
-        self.chars = 0.0
+        self.size = self.chars = 0.0
 
 
 def _named(tag: str, attributes: str) -> tuple[bool, bool, str]:
@@ -263,27 +268,53 @@ def main_text(page: str | None) -> str:
     sizes = np.array([len(t) for _, t in found], dtype=float)
     scores = path_scores(found)
     chosen = scores >= min(SENTENCES, CUT * float((scores * sizes).sum() / sizes.sum()))
-    need = SHARE * float(sizes[chosen].sum())
-    for (node, _), size in zip([b for b, c in zip(found, chosen, strict=True) if c], sizes[chosen], strict=True):
+    total = float(sizes[chosen].sum())
+    for (node, _), size, c in zip(found, sizes, chosen, strict=True):
         n: Node | None = node
         while n is not None:
-            n.chars += size
+            n.size += size
+            n.chars += size * c
             n = n.parent
-    best: Node | None = None
-    for (node, _), c in zip(found, chosen, strict=True):
-        n = node if c else None
-        while n is not None:
-            if n.chars >= need and n.tag not in TEXT and (best is None or n.depth > best.depth):
-                best = n
-            n = n.parent
-    # What an article or main element holds beside the content node belongs to it.
+    # Sizes are whole numbers, so that sums are exact. From any selected block upwards: the first that holds all.
+    best = found[int(np.argmax(chosen))][0]
+    while best.chars < total or best.tag in TEXT:
+        best = best.parent
     n = best
     while n is not None:
         best, n = n if n.tag in MARKED else best, n.parent
-    # Elements of the same path beside it are parts of the same text.
-    while best.parent and any(f"{n.path}/".startswith(f"{best.path}/") and not _has(n, best) for n, _ in found):
-        best = best.parent
-    return "\n".join(t for n, t in found if _has(n, best))
+    core = best
+    for (node, _), c in zip(found, chosen, strict=True):
+        if c:
+            deep = next(n for n in _up(node) if n.tag not in TEXT and n.chars > MOST * total)
+            core = deep if deep.depth > core.depth else core
+    whole = lambda n: n is core or n.tag == "article" and n.chars > MOST * min(n.size, total)
+    keep = [bool(c) or _has(n, best) and (_container(n).chars > 0 or any(map(whole, _up(n)))) for (n, _), c in zip(found, chosen, strict=True)]
+    for i in range(len(found) - 2, -1, -1):
+        keep[i] = keep[i] or keep[i + 1] and found[i][0].tag in HEADINGS and (_has(found[i][0], best) or found[i][0].tag == "h1")
+    # Right before the content node: from the nearest heading on, what stands in an element around the node.
+    around, first = {id(n) for n in _up(best)}, keep.index(True)
+    start = first
+    for k in range(first - 1, -1, -1):
+        node = found[k][0]
+        if id(_container(node)) not in around or not (node.tag in HEADINGS or node.tag == "p" or id(node) in around):
+            break
+        if node.tag in HEADINGS:
+            start = k
+        elif start < first:
+            break
+    keep[start:first] = [True] * (first - start)
+    return "\n".join(t for (_, t), k in zip(found, keep, strict=True) if k)
+
+
+def _up(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _container(node: Node) -> Node:
+    """The innermost element around a block that isn't itself text."""
+    return next(n for n in _up(node) if n.tag not in TEXT)
 
 
 def _has(node: Node | None, ancestor: Node | None) -> bool:

@@ -84,6 +84,27 @@ def test_path_scores_alone_find_the_story(body, story):
     assert html_text.main_text(FRAME.format(body.format("".join(f"<p>{t}</p>" for t in story)))) == "\n".join(story)
 
 
+@pytest.mark.parametrize("body, text", [
+    # A title and a lead before a body that holds more than nine tenths, whatever its blocks are.
+    (f'<div id=page><h1>T</h1><p class=lead>{PROSE}</p><div class=body>{f"<p>{PROSE}</p>" * 10}</div></div>', "\n".join(["T"] + [PROSE] * 11)),
+    (f'<div id=page><h1>T</h1><p class=lead>{PROSE}</p><div class=body>{PROSE * 10}</div></div>', f"T\n{PROSE}\n{PROSE * 10}"),
+    (f'<div id=page><h1>T</h1><p class=lead>A lead.</p><div class=body><p>{PROSE}</p></div></div>', f"T\nA lead.\n{PROSE}"),
+    (f'<div class=title><h1>T</h1></div><div class=body><p>{PROSE}</p></div>', f"T\n{PROSE}"),
+    # The end of the text beside the article.
+    (f"<main><article><p>{PROSE * 19}</p></article><p>{PROSE}</p></main>", f"{PROSE * 19}\n{PROSE}"),
+    (f"<main><article><p>{PROSE}</p></article><p>Tail.</p></main>", f"{PROSE}\nTail."),
+    (f"<main><article><p>{PROSE * 19}</p></article><div><p>{PROSE}</p></div></main>", f"{PROSE * 19}\n{PROSE}"),
+    # Two parts of the text with cards between, which hold no selected block; short blocks of the parts stay.
+    (f"<div><div class=one><h2>One</h2><p>{PROSE}</p><p>Ok</p></div><div class=cards>{CARDS}</div><div class=two><h2>Two</h2><p>{PROSE}</p></div></div>",
+     f"One\n{PROSE}\nOk\nTwo\n{PROSE}"),
+    (f"<main><h1>T</h1><div class=cards>{CARDS}</div><div class=story><p>{PROSE}</p><p>Ok</p></div></main>", f"T\n{PROSE}\nOk"),
+    # Nothing is dropped inside the article of the text.
+    (f"<article><div><h1>T</h1></div><div><p>{PROSE}</p></div><div>x</div><div><p>{PROSE}</p></div><table><tr><td>1</table></article>", f"T\n{PROSE}\nx\n{PROSE}\n1"),
+])
+def test_all_selected_blocks_and_their_headings_stay(body, text):
+    assert html_text.main_text(FRAME.format(body)) == text
+
+
 def test_extract_keeps_rows_and_columns(spark):
     rows = [(i % 3, f"u{i}", FRAME.format(b), "x") for i, (b, _) in enumerate(PAGES)] + [(None, None, None, "x"), (0, "u0", FRAME.format(PAGES[0][0]), "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, row string")
