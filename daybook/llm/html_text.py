@@ -15,12 +15,15 @@ also right before the content node.
 
 Parts that are named as something else than the article (navigation, footers,
 forms, scripts, adverts, notices, sidebars, reader comments, by tag, role,
-class or id) never count. Character references are decoded, white space inside
+class or id) never count. The id of a heading or an inline element, and inside
+an article that of a section, is an anchor and names nothing. The text of math
+and xmp elements is text. Character references are decoded, white space inside
 a block is one space, blocks are joined by line feeds in page order; a ``br`` is
 white space.
 
 Null, empty and textless pages give "". Unclosed and stray tags are tolerated,
-nesting beyond ``DEPTH`` is flattened, and cost is linear in the page. Rows keep
+elements nested beyond ``DEPTH`` count as children of the last one above it, and
+cost is linear in the page. Rows keep
 their multiplicity.
 """
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,17 +49,21 @@ SENTENCES = 80 * float(np.log1p(1.0 + 2.0))
 
 # Element names and words of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes noscript template svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture "
-    "progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split()
 )
+#: Inline elements that stand apart from what is before them.
+APART = frozenset("mtr mtd annotation annotation-xml".split())
 NEVER = frozenset("head nav footer aside form button select option datalist dialog menu script style noscript template".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr li main menu nav ol p pre section table ul".split()
 )
-TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr hr address details summary".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr hr address details summary xmp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKED = frozenset(("article", "main"))
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -77,34 +85,39 @@ _TAG = re.compile(
 )
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,80}+)([^>]*+)>")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_XMP = re.compile(r"</xmp\b[^>]*>?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?、。！？；：，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "never", "depth", "size", "chars")
+    __slots__ = ("tag", "parent", "path", "never", "marked", "depth", "size", "chars")
 
     def __init__(self, tag: str, parent: Node | None, never: bool, mark: str = "") -> None:
         self.tag, self.parent, self.never = tag, parent, never
+        self.marked = bool(parent and parent.marked) or tag in MARKED
+        while parent and parent.depth >= DEPTH:
+            self.parent = parent = parent.parent
         self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}{mark}" if parent else ""
+        self.path = "" if not parent else f"{parent.path}/{tag}{mark}" if self.depth < DEPTH else f"{parent.path}/*"
         self.size = self.chars = 0.0
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, bool, str]:
+def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
     """If the element's names say it is not the article, if that is only its place in the layout, and its first class."""
     if not attributes.strip():
         return False, False, ""
     never = layout = False
     mark = ""
+    anchor = tag in HEADINGS or tag in INLINE or in_article and tag == "section"
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             if name == "class" and value.split():
                 mark = "." + value.split()[0][:40]
             found = set(_WORDS.findall(_CAMEL.sub("-", value).lower()))
-            if tag not in ("html", "body", "main"):
+            if tag not in ("html", "body", "main") and not (anchor and name == "id"):
                 never |= bool(found & OTHERS)
                 layout |= bool(found & LAYOUT)
         elif name == "role":
@@ -122,7 +135,8 @@ def blocks(page: str) -> list[tuple[Node, str]]:
     """The blocks of a page that may be content, in order, with their innermost block element."""
     root = Node("", None, False)
     stack, out, parts = [root], [], []
-    size, at, last = len(page), 0, page.rfind(">")
+    unclosed: Counter[str] = Counter()  # elements of the stack by tag
+    size, at, last, wrappers = len(page), 0, page.rfind(">"), False
 
     def owner() -> Node:
         return next(n for n in reversed(stack) if n.tag not in INLINE)
@@ -135,6 +149,24 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             if text and not node.never:
                 out.append((node, text))
 
+    def push(node: Node) -> None:
+        stack.append(node)
+        unclosed[node.tag] += 1
+
+    def pop(size: int) -> None:
+        unclosed.subtract(n.tag for n in stack[size:])
+        del stack[size:]
+
+    def close(tags: set[str], scope: set[str]) -> None:
+        """Close the nearest element of ``tags``, unless an element of ``scope`` lies between."""
+        if any(unclosed[t] > 0 for t in tags):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in tags:
+                    pop(k)
+                    return
+                if stack[k].tag in scope:
+                    return
+
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -157,12 +189,11 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(n.tag == tag for n in reversed(stack)):
-                if tag not in INLINE or any(n.tag not in INLINE for n in _above(stack, tag)):
+            if unclosed[tag] > 0:
+                k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag)
+                if tag not in INLINE or any(n.tag not in INLINE for n in stack[k + 1 :]):
                     flush()
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+                pop(k)
             continue
         if tag == "br":
             parts.append(" ")
@@ -179,49 +210,42 @@ def blocks(page: str) -> list[tuple[Node, str]]:
         if tag not in INLINE:
             flush()
         if tag in CLOSES_P:
-            _close(stack, {"p"}, SCOPES["p"] - {"p"})
+            close({"p"}, SCOPES["p"])
         if tag in SIBLINGS:
-            _close(stack, SIBLINGS[tag], SCOPES[tag])
-        never, layout, mark = _named(tag, m[3])
+            close(SIBLINGS[tag], SCOPES[tag])
         parent = stack[-1]
-        in_article = any(n.tag in ("article", "main") for n in stack)
-        if tag in ("article", "main") and not never and not in_article:
+        in_article = parent.marked
+        never, layout, mark = _named(tag, m[3], in_article)
+        if tag in MARKED and not never and not in_article and wrappers:
             # A layout word on a wrapper of the article speaks of the page, not of the article.
-            for n in stack:
-                if n.never == "layout":
-                    n.never = False
+            for n in reversed(stack):
+                if n.never is False:
+                    break
+                n.never = n.never is True
+            wrappers = False
         never = never or tag in NEVER or (tag == "header" and not in_article) or parent.never is True
         if tag in INLINE:
-            # Inline elements only count where they hide their text.
-            if never and parent.never is not True and len(stack) < DEPTH:
-                stack.append(Node(tag, parent, True))
+            # Inline elements only count where they hide their text, and inside such ones, as their end tags close them alone.
+            if never and (parent.never is not True or unclosed[tag] > 0):
+                push(Node(tag, parent, True))
+            elif tag in APART and not never:
+                parts.append(" ")
             continue
-        if len(stack) < DEPTH:
-            state = True if never else "layout" if (layout and not in_article) or parent.never == "layout" else layout
-            stack.append(Node(tag, parent, state, mark))
+        state = True if never else "layout" if (layout and not in_article) or parent.never == "layout" else layout
+        wrappers = wrappers or state == "layout"
+        push(Node(tag, parent, state, mark))
+        if tag == "xmp":
+            # Its content is text up to its end tag.
+            end = _XMP.search(page, at)
+            if state is not True:
+                parts.append(page[at : end.start() if end else size].replace("&", "&amp;"))
+            flush()
+            pop(len(stack) - 1)
+            at = end.end() if end else size
     flush()
     return [(n, t) for n, t in out if not n.never]
 
 
-def _above(stack: list[Node], tag: str) -> list[Node]:
-    out = []
-    for n in reversed(stack):
-        if n.tag == tag:
-            break
-        out.append(n)
-    return out
-
-
-def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
-    """Close the nearest element of ``tags``, unless an element of ``scope`` lies between."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in scope:
-            return
-
-
 _KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 _KERNEL /= _KERNEL.sum()
 

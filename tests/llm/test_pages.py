@@ -105,6 +105,31 @@ def test_all_selected_blocks_and_their_headings_stay(body, text):
     assert html_text.main_text(FRAME.format(body)) == text
 
 
+@pytest.mark.parametrize("body, text", [
+    # Anchors of headings, inline elements and sections name nothing; classes, roles and other elements' ids do.
+    (f'<article><section id="discussion"><h2 id="search-api">Search</h2><p>{PROSE}</p></section><section id="related-work"><h2><span id="Notifications">Notes</span></h2>'
+     f'<p>{PROSE}</p></section><section class="related"><p>{PROSE}</p></section><div id="comments"><p>{PROSE}</p></div><section id="toc"><p>Toc</p></section></article>',
+     f"Search\n{PROSE}\nNotes\n{PROSE}\nToc"),
+    (f'<div><h2 id="header">Head</h2><p>{PROSE} <a id="comments">See</a></p></div><section id="related"><p>{PROSE}</p></section>', f"Head\n{PROSE} See"),
+    # Formulas and examples are text.
+    (f"<article><p>{PROSE} With <math><mi>x</mi><mo>=</mo><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math> it ends.</p><xmp><p>a &amp;  b</p></xmp><p>z</p></article>",
+     f"{PROSE} With x= 1 2 it ends.\n<p>a &amp; b</p>\nz"),
+    (f"<article><p>{PROSE}</p><nav><xmp>no</xmp></nav><xmp hidden>no</xmp><xmp>an end </article></xmp></article>", f"{PROSE}\nan end </article>"),
+    # What is nested deeper than the tree is closed by its own end tags alone, and named parts there are known.
+    (f'<div><article>{"<div>" * 250}<nav>Menu</nav><p>{PROSE}</p>{"</div>" * 250}<p>After</p></article></div>', f"{PROSE}\nAfter"),
+    (f'<div class="layout sidebar">{"<div>" * 250}<article><p>{PROSE}</p></article>{"</div>" * 250}</div>', PROSE),
+    (f'<article><p>{PROSE} <span hidden>no <span>no</span> no</span> yes</p></article>', f"{PROSE} yes"),
+])
+def test_nothing_of_an_article_is_cut_by_a_word_or_a_cap(body, text):
+    assert html_text.main_text(FRAME.format(body)) == text
+
+
+def test_awkward_nesting_takes_linear_time():
+    n = 20000
+    for page in ("<div>" * n + "</p></b>" * n + "x", "<div>" * n + "<article>x</article>" * 2000, "<blockquote>" * n + "<p>x" * n, "<span hidden>" * n + "</span>" * n + "x"):
+        assert html_text.main_text(page).startswith("x")
+
+
 def test_extract_keeps_rows_and_columns(spark):
     rows = [(i % 3, f"u{i}", FRAME.format(b), "x") for i, (b, _) in enumerate(PAGES)] + [(None, None, None, "x"), (0, "u0", FRAME.format(PAGES[0][0]), "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, row string")
