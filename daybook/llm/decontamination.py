@@ -14,10 +14,12 @@ shuffled nor grouped.
 
 Items and texts are compared in lower case, with every run of other characters
 than letters and digits as one space. Null and empty texts and items match
-nothing; an item shorter than ``least`` characters after that must match as it
-is, at word boundaries. Equal rows are reported alike, an item and a document
-at most once a row, at the closest and then first passage. Empty tables give
-empty results; other columns are not read.
+nothing; an item shorter than ``least`` characters after that has the same budget,
+none below 13 characters at 8 %, and its passage must begin and end at word
+boundaries. Ids only name items: those without one match like all others. Equal
+rows are reported alike, an item and a document at most once a row, at the
+closest and then first passage. Empty tables give empty results; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from daybook.llm.store import cut, place
 
@@ -43,8 +46,11 @@ def normalized(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
-def distances(pattern: str, text: str) -> Iterator[int]:
-    """For each character of ``text``, the least edit distance of ``pattern`` to a part that ends there (Myers 1999)."""
+def distances(pattern: str, text: str, whole: bool = False) -> Iterator[int]:
+    """For each character of ``text``, the least edit distance of ``pattern`` to a part that ends there (Myers 1999).
+
+    ``whole``: to the one part that begins with ``text`` and ends there.
+    """
     m = len(pattern)
     peq: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -61,7 +67,7 @@ def distances(pattern: str, text: str) -> Iterator[int]:
             score += 1
         elif mh & top:
             score -= 1
-        ph = ph << 1 & full
+        ph = (ph << 1 | whole) & full
         mh = mh << 1 & full
         pv = mh | (~(xv | ph) & full)
         mv = ph & xv
@@ -84,6 +90,17 @@ def best_match(item: str, text: str, k: int) -> tuple[int, int, int] | None:
     return low, end - length, end
 
 
+def best_words(item: str, text: str, lo: int, hi: int, k: int) -> tuple[int, int, int] | None:
+    """As ``best_match`` in ``text[lo:hi]``, among the parts that begin and end at word boundaries."""
+    found = []
+    for a in range(max(1, lo), hi):
+        if text[a - 1] == " " != text[a]:
+            part = text[a : a + len(item) + k]
+            found += [(d, a + i + 1, a) for i, d in enumerate(distances(item, part, whole=True)) if d <= k and text[a + i + 1 : a + i + 2] == " " != part[i]]
+    d, end, start = min(found, key=lambda x: (x[0], x[1], -x[2]), default=(0, 0, None))
+    return None if start is None else (d, start, end)
+
+
 def pieces(item: str, k: int) -> list[tuple[str, int]]:
     """``item`` in k + 1 consecutive pieces of nearly equal length, with their offsets."""
     edges = [len(item) * i // (k + 1) for i in range(k + 2)]
@@ -94,7 +111,7 @@ class Matcher:
     """The automaton over all pieces of some items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, least: int) -> None:
-        self.items: list[tuple[list[int], str, int]] = []
+        self.items: list[tuple[list[int], str, int, bool]] = []
         same: dict[str, list[int]] = {}
         for item_id, text in items:
             same.setdefault(text, []).append(item_id)
@@ -103,10 +120,10 @@ class Matcher:
             if not text:
                 continue
             short = len(text) < least
-            body, k = (f" {text} ", 0) if short else (text, int(len(text) * rate))
-            for piece, offset in pieces(body, k):
+            k = int(len(text) * rate)
+            for piece, offset in [(f" {text} ", -1)] if short and not k else pieces(text, k):
                 found.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((ids, body, k))
+            self.items.append((ids, text, k, short))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -123,12 +140,13 @@ class Matcher:
                 where.setdefault(n, []).append(end + 1 - length - offset)
         out = []
         for n, starts in where.items():
-            ids, body, k = self.items[n]
+            ids, body, k, short = self.items[n]
             best = None
             for lo, hi in _windows(sorted(starts), len(body), k):
                 lo = max(0, lo)
-                if (hit := best_match(body, text[lo:hi], k)) and (best is None or hit[0] < best[0]):
-                    best = hit[0], hit[1] + lo, hit[2] + lo
+                hit = best_words(body, text, lo, min(hi, len(text)), k) if short else best_match(body, text[lo:hi], k)
+                if hit and (best is None or hit[0] < best[0]):
+                    best = hit if short else (hit[0], hit[1] + lo, hit[2] + lo)
                     if not hit[0]:
                         break
             if best:
@@ -167,26 +185,29 @@ def _original(text: str, start: int, end: int) -> tuple[int, int]:
 def find(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = LEAST, row: str | None = None) -> DataFrame:
     """``doc``, ``item``, ``distance``, ``start``, ``end`` (code points of the whole text); ``row`` names a LONG column to keep as ``_place``."""
     spark = docs.sparkSession
-    asked = cut(items.select(F.col(item).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null"), "test-items")
+    asked = cut(items.select(F.col(item).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")), "test-items")
     size = asked.agg(F.coalesce(F.sum(F.char_length("t")), F.lit(0))).first()[0]
     blocks = -(-size // BLOCK_BYTES) or 1
     kind = f"d {docs.schema[doc].dataType.simpleString()}, item {asked.schema['i'].dataType.simpleString()}, distance int, start int, `end` int, _place long"
     slim = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"), (F.col(row) if row else F.lit(0).cast("long")).alias("_place"))
+    item_kind = to_arrow_type(asked.schema["i"].dataType)
     out = None
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else asked
         sent = spark.sparkContext.broadcast([(r.i, normalized(r.t)) for r in block.toLocalIterator()])
 
-        def match(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, rate, least)
             for batch in batches:
                 rows = []
-                for d, t, p in zip(batch["d"], batch["t"], batch["_place"], strict=True):
+                for d, t, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     for i, distance, start, end in matcher.search(f" {normalized(t)} "):
                         rows.append((d, i, distance, *_original(t, start, end), p))
-                yield pd.DataFrame(rows, columns=["d", "item", "distance", "start", "end", "_place"])
+                kinds = (batch.column(0).type, item_kind, pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "item", "distance", "start", "end", "_place"])
 
-        hits = slim.mapInPandas(match, kind)
+        hits = slim.mapInArrow(match, kind)
         out = hits if out is None else out.unionByName(hits)
     found = [F.col("d").alias(doc), F.col("item").alias(item), "distance", "start", "end"]
     return out.select(*found, *(["_place"] if row else []))

@@ -198,6 +198,36 @@ def test_passages_are_found_within_the_budget_and_no_others(spark, docs, monkeyp
     assert decontamination.find(docs(*rows), table.limit(0)).isEmpty() and decontamination.find(docs(*rows).limit(0), table).isEmpty()
 
 
+def test_short_items_have_their_budget_at_word_boundaries_and_ids_are_only_names(spark, docs):
+    items = [(1, "which town is the capital of Peru"), (2, "short questions"), (3, "tiny text"), (None, "a question that has no id"), (2**62 + 1, "what is the answer")]
+    rng, rows, want = random.Random(6), [(2**61 + 1, "x what is the answer y"), (None, "what is the answer")], set()
+    for n in range(400):
+        out = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 3)):
+            out[rng.randrange(len(out))] = rng.choice(["", "q", " ", "qq"])
+        rows.append((n, rng.choice(["", "Ab ", "and, ", "x"]) + "".join(out) + rng.choice(["", " cd", "? No", "y"])))
+    for d, t in rows:
+        words = decontamination.normalized(t).split()
+        for i, item in items:
+            item, best = decontamination.normalized(item), 99
+            for part in {" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1)}:
+                row = range(len(item) + 1)
+                for k, c in enumerate(part, 1):
+                    now = [k]
+                    for j, x in enumerate(item, 1):
+                        now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (c != x)))
+                    row = now
+                best = min(best, row[-1])
+            if best <= int(len(item) * decontamination.RATE):
+                want.add((d, i, best))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find(docs(*rows), table).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.item_id, r.distance) for r in got} == want and {0, 1, 2} <= {x[2] for x in want}
+    assert all(r.end > r.start and dict(rows)[r.doc_id][r.start - 1 : r.start].strip(" ,") == "" for r in got)
+    left = [r.doc_id for r in decontamination.drop_contaminated(docs(*rows), table).collect()]
+    assert sorted(map(str, left)) == sorted(str(d) for d, _ in rows if d not in {x[0] for x in want})
+
+
 # --- secrets
 
 HEX, KEY, LIVE = "0123456789abcdef" * 2, "AKIA" + "ABCDEFGHIJKLMNOP", "Zx9Kq27LmN84bVt6Wd1cRf3YgH5j"
