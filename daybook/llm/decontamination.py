@@ -7,9 +7,12 @@ pieces of a block of items go into one multi-pattern automaton, every whole
 text is read once against it, and the surroundings of each hit are verified
 with Myers' bit-parallel edit distance.
 
-Items are a query set: they are sent to the tasks in blocks of at most
-``BLOCK_BYTES`` characters, one pass over the documents for each block, so what
-is sent has a size bound however many items there are. Documents are neither
+Items are a query set: equal ones are grouped in Spark, and their distinct texts
+are sent to the tasks in blocks of about ``BLOCK_BYTES`` characters (one text more
+at most), cut by a running size, with one pass over the documents for each block.
+A block's hits are written and what was sent is destroyed before the next one, so
+driver and tasks hold one block however many items there are; ids are joined back
+to the hits. Documents are neither
 shuffled nor grouped.
 
 Items and texts are compared in lower case, with every run of other characters
@@ -28,10 +31,12 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from daybook.llm.store import cut, place
 
@@ -182,40 +187,73 @@ def _original(text: str, start: int, end: int) -> tuple[int, int]:
     return (inside[0], inside[-1] + 1) if inside else (0, 0)
 
 
-def find(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = LEAST, row: str | None = None) -> DataFrame:
-    """``doc``, ``item``, ``distance``, ``start``, ``end`` (code points of the whole text); ``row`` names a LONG column to keep as ``_place``."""
+def _texts(items: DataFrame, item: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """Items as ``i, t`` with their normalized texts, and the distinct texts as ``n, t`` with the block they are sent in."""
+
+    @F.pandas_udf("string")
+    def plain(found: pd.Series) -> pd.Series:
+        return pd.Series([normalized(t) for t in found], dtype=object)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            sizes = np.array([len(t) for t in batch.column(0).to_pylist()], np.int64)
+            before = size + np.cumsum(sizes) - sizes
+            columns = [pa.array([part] * len(sizes), pa.int32()), pa.array(np.arange(count, count + len(sizes))), pa.array(before), batch.column(0)]
+            count, size = count + len(sizes), size + int(sizes.sum())
+            yield pa.RecordBatch.from_arrays(columns, ["part", "number", "before", "t"])
+
+    named = cut(items.select(F.col(item).alias("i"), plain(F.col(item_text)).alias("t")).where("t != ''"), "test-items")
+    texts = cut(named.select("t").distinct().mapInArrow(number, "part int, number long, before long, t string"), "test-texts")
+    # One row per written partition, whatever the items.
+    base = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = texts.groupBy("part").agg(F.sum(F.char_length("t")).alias("size")).select("part", F.coalesce(base, F.lit(0)).alias("base"))
+    n = F.shiftleft(F.col("part").cast("long"), 33) + F.col("number")
+    block = F.floor((F.col("base") + F.col("before")) / BLOCK_BYTES).cast("long")
+    return named, cut(texts.join(F.broadcast(bases), "part").select(n.alias("n"), "t", block.alias("block")), "test-blocks")
+
+
+def _hits(docs: DataFrame, texts: DataFrame, doc: str, text: str, rate: float, least: int, row: str | None) -> DataFrame:
+    """``d, n, distance, start, end, _place`` of every document and distinct text."""
     spark = docs.sparkSession
-    asked = cut(items.select(F.col(item).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")), "test-items")
-    size = asked.agg(F.coalesce(F.sum(F.char_length("t")), F.lit(0))).first()[0]
-    blocks = -(-size // BLOCK_BYTES) or 1
-    kind = f"d {docs.schema[doc].dataType.simpleString()}, item {asked.schema['i'].dataType.simpleString()}, distance int, start int, `end` int, _place long"
+    kind = f"d {docs.schema[doc].dataType.simpleString()}, n long, distance int, start int, `end` int, _place long"
     slim = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"), (F.col(row) if row else F.lit(0).cast("long")).alias("_place"))
-    item_kind = to_arrow_type(asked.schema["i"].dataType)
+    last = texts.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
     out = None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else asked
-        sent = spark.sparkContext.broadcast([(r.i, normalized(r.t)) for r in block.toLocalIterator()])
+    for b in range(last + 1):
+        sent = spark.sparkContext.broadcast([(r.n, r.t) for r in texts.where(F.col("block") == b).toLocalIterator()])
 
         def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, rate, least)
             for batch in batches:
                 rows = []
                 for d, t, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for i, distance, start, end in matcher.search(f" {normalized(t)} "):
-                        rows.append((d, i, distance, *_original(t, start, end), p))
-                kinds = (batch.column(0).type, item_kind, pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                    for n, distance, start, end in matcher.search(f" {normalized(t)} "):
+                        rows.append((d, n, distance, *_original(t, start, end), p))
+                kinds = (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
                 columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "item", "distance", "start", "end", "_place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "n", "distance", "start", "end", "_place"])
 
         hits = slim.mapInArrow(match, kind)
+        if last:
+            hits = cut(hits, "test-hits")
+            sent.destroy()
         out = hits if out is None else out.unionByName(hits)
-    found = [F.col("d").alias(doc), F.col("item").alias(item), "distance", "start", "end"]
+    return out
+
+
+def find(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = LEAST, row: str | None = None) -> DataFrame:
+    """``doc``, ``item``, ``distance``, ``start``, ``end`` (code points of the whole text); ``row`` names a LONG column to keep as ``_place``."""
+    named, texts = _texts(items, item, item_text)
+    names = named.join(texts.select("n", "t"), "t").select("n", "i")
+    out = _hits(docs, texts, doc, text, rate, least, row).join(names, "n")
+    found = [F.col("d").alias(doc), F.col("i").alias(item), "distance", "start", "end"]
     return out.select(*found, *(["_place"] if row else []))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = LEAST) -> DataFrame:
     """``docs`` without the rows that hold a test item."""
     whole = cut(docs.select(F.struct(*docs.columns).alias("row"), place().alias("_place")), "decontaminate")
     seen = whole.select(F.col(f"row.{doc}").alias("d"), F.col(f"row.{text}").alias("t"), "_place")
-    hit = cut(find(seen, items, "d", "t", row="_place", **options).select("_place").distinct(), "contaminated")
+    hit = cut(_hits(seen, _texts(items, item, item_text)[1], "d", "t", rate, least, "_place").select("_place").distinct(), "contaminated")
     return whole.join(hit, "_place", "left_anti").select("row.*")

@@ -198,6 +198,30 @@ def test_passages_are_found_within_the_budget_and_no_others(spark, docs, monkeyp
     assert decontamination.find(docs(*rows), table.limit(0)).isEmpty() and decontamination.find(docs(*rows).limit(0), table).isEmpty()
 
 
+def test_repeated_items_are_sent_once_and_one_block_at_a_time(spark, docs, monkeypatch):
+    items = [(i, "the one row that a third of the benchmark is, over and over again") for i in range(40)]
+    items += [(100 + i, f"item {i} asks for the number {i * 7919} in so many words as it can find") for i in range(40)]
+    sent, alive, most = [], [], [0]
+    broadcast = type(spark.sparkContext).broadcast
+
+    def spy(self, value):
+        out = broadcast(self, value)
+        if isinstance(value, list):
+            sent.append(value)
+            alive.append(out)
+            most[0] = max(most[0], len(alive))
+            destroy = out.destroy
+            out.destroy = lambda *a, **b: (alive.remove(out), destroy(*a, **b))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", spy)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 500)
+    got = decontamination.find(docs((1, items[0][1]), (2, items[45][1]), (2, items[45][1])), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got if not r.distance) == [(1, i) for i in range(40)] + [(2, 105)] * 2
+    assert len([t for block in sent for _, t in block]) == 41 and len(sent) > 3
+    assert max(sum(len(t) for _, t in block) for block in sent) < 600 and most[0] == 1 and not alive
+
+
 def test_short_items_have_their_budget_at_word_boundaries_and_ids_are_only_names(spark, docs):
     items = [(1, "which town is the capital of Peru"), (2, "short questions"), (3, "tiny text"), (None, "a question that has no id"), (2**62 + 1, "what is the answer")]
     rng, rows, want = random.Random(6), [(2**61 + 1, "x what is the answer y"), (None, "what is the answer")], set()
