@@ -43,7 +43,7 @@ END = 0
 #: Words a Python worker remembers.
 CACHE_WORDS = 700_000
 
-MAGIC = b"IDB1"
+MAGIC = b"IDB2"
 _HEAD = struct.Struct("<4sIQIII")
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U48 = np.uint64(16), np.uint64(48)
@@ -71,7 +71,9 @@ class Mixer:
         self.alphabet = alphabet
         self.counts = np.ones(alphabet, np.int64)
         self.line = np.arange(alphabet + 1, dtype=np.int64)
+        # Since the last refresh: the symbols, and by order the confidences and outcomes of all predictions.
         self.waiting: list[np.ndarray] = []
+        self.outcomes: list[list[np.ndarray]] = [[], []]
         self.step = 0
         self.one = np.zeros(lanes, np.int64)  # the symbol before
         self.two = np.zeros(lanes, np.int64)  # and the one before that
@@ -133,10 +135,9 @@ class Mixer:
         self.step += 1
         fresh = self.step < 8 or not self.step % 8
         ids = symbols.astype(np.int32)
-        for guess, score, at, level, said in zip(self.guess, self.score, self.at, self.level, self.said, strict=True):
+        for guess, outcomes, at, level, said in zip(self.guess, self.outcomes, self.at, self.level, self.said, strict=True):
             state = level + level + (said == ids)
-            if fresh:
-                score += np.bincount(state, minlength=2 * _LEVELS).reshape(_LEVELS, 2)
+            outcomes.append(state)
             after = _AFTER.take(state)
             guess[at] = ((ids + (said - ids) * (after & 1)) << _LEVEL_BITS) + (after >> 1)
         self.two, self.one = self.one, symbols
@@ -144,6 +145,9 @@ class Mixer:
         if fresh:
             self.counts += _COUNT * np.bincount(np.concatenate(self.waiting), minlength=self.alphabet)
             self.waiting.clear()
+            for score, outcomes in zip(self.score, self.outcomes, strict=True):
+                score += np.bincount(np.concatenate(outcomes), minlength=2 * _LEVELS).reshape(_LEVELS, 2)
+                outcomes.clear()
             if int(self.counts.sum()) > _MOST:
                 self.counts = (self.counts + 1) >> 1
             self._refresh()

@@ -409,6 +409,15 @@ def test_shards_are_contiguous_balanced_and_gapless(spark):
     assert len(few) == 2 and len({r.shard for r in few}) == 2
 
 
+def test_every_outcome_reaches_the_mixing_weights():
+    model, rng, steps, lanes = token_files.Mixer(50, 30), np.random.default_rng(3), 64, 30
+    for _ in range(steps):
+        model.predict()
+        model.learn(rng.integers(0, 50, lanes))
+    start = 2 * token_files._LEVELS
+    assert [int(s.sum()) - start for s in model.score] == [steps * lanes] * 2 and not any(model.outcomes)
+
+
 # --- toxicity
 
 
