@@ -7,12 +7,13 @@ derives the columns it returns from the operator's own output.
 from __future__ import annotations
 
 import functools
+import string
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import bpe, decontamination, html_text, quality_rules, secrets, sharding, simhash, token_files, toxicity, warc
+from daybook.llm import bpe, decontamination, html_text, merkle, quality_rules, secrets, sharding, simhash, token_files, toxicity, warc
 from daybook.llm.store import prepare
 
 SHARDS = 24
@@ -95,11 +96,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    found = merkle.manifest(docs, {"text": F.when(picked, lowered).otherwise(F.col("text"))})
+    return found.drop("path")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_simhash, op3_html_text, op4_secrets, op5_decontamination, op6_bpe, op7_sharding, op8_token_files,
-        op9_quality_rules, op10_warc,
+        op9_quality_rules, op10_warc, op13_merkle,
     )
 }
 
@@ -142,12 +151,13 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id =
 FROM r"""
 
 # CRC-32 over the bytes of a text, with its table built by the rule of the polynomial; then cuts of the byte line.
-_SHARDS = f"""
-WITH crc AS (
+_CRC_TABLE = """
   SELECT list(c ORDER BY n) AS tab FROM (
     SELECT n, list_reduce([n] || list_transform(range(8), lambda k: 0::BIGINT),
                           lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS c
-    FROM range(256) AS r(n))),
+    FROM range(256) AS r(n))"""
+_SHARDS = f"""
+WITH crc AS ({_CRC_TABLE}),
 d AS (
   SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size,
          list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
@@ -199,4 +209,58 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
 FROM d LEFT JOIN g USING (doc_id)"""
 
-ORACLES = {"op4_secrets": _SECRETS, "op7_sharding": _SHARDS, "op9_quality_rules": _QUALITY, "op10_warc": _WARC}
+
+def _levels_sql(nodes: str, name: str, tree: str, heights: int) -> str:
+    """Common tables of ``heights`` levels above ``nodes`` (tree, pos, n, h): runs of siblings, and the parents they make."""
+    out = []
+    for k in range(heights):
+        below = f"{name}{k - 1}" if k else nodes
+        out.append(f"{name}run{k} AS (SELECT {tree}, pos // {merkle.FANOUT} AS pos, min(n) AS n, list(h ORDER BY pos) AS hs FROM {below} GROUP BY 1, 2)")
+        out.append(
+            f"{name}{k} AS (SELECT {tree}, pos, CASE WHEN n > 1 THEN (n + {merkle.FANOUT - 1}) // {merkle.FANOUT} ELSE 1 END AS n, "
+            f"CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}run{k})"
+        )
+    return ", ".join(out)
+
+
+def _path_sql(name: str, tree: str, heights: int) -> tuple[str, str, str]:
+    """Joins that lead from a node's ``pos`` upwards, its siblings in a row, and the fold of ``acc``."""
+    joins, beside, acc = "", [], "altered"
+    for k in range(heights):
+        run, slot = f"{name}run{k}", f"(c.pos // {merkle.FANOUT**k} % {merkle.FANOUT})"
+        joins += f" JOIN {run} ON {run}.{tree} = c.{tree} AND {run}.pos = c.pos // {merkle.FANOUT ** (k + 1)}"
+        left, right = f"array_to_string({run}.hs[1:{slot}], '')", f"array_to_string({run}.hs[{slot} + 2:], '')"
+        beside += [left, right]
+        acc = f"CASE WHEN {run}.n > 1 THEN sha256({left} || {acc} || {right}) ELSE {acc} END"
+    return joins, " || ".join(beside), acc
+
+
+# Enough levels for 16 million documents of a source, and for 65,000 sources.
+_HEIGHT, _STEM = 6, 4
+
+
+def _merkle_sql() -> str:
+    part = lambda c, size: f"CASE WHEN {c} IS NULL THEN '-' ELSE {size} || ':' || {c} END"
+    plain = [part(f"{c}::VARCHAR", f"strlen({c}::VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars")]
+    whole = lambda text: "sha256(" + " || ".join([*plain, part(text, f"strlen({text})")]) + ")"
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    up, beside, acc = _path_sql("tree", "tree", _HEIGHT)
+    up2, beside2, acc2 = _path_sql("stem", "tree", _STEM)
+    return f"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (
+  SELECT *, coalesce('1' || source, '0') AS tree,
+         list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+p AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || bytes, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) % 5 = 0 AS picked FROM d, crc),
+e AS (SELECT doc_id, tree, {whole("text")} AS h, CASE WHEN picked THEN {whole(lowered)} ELSE {whole("text")} END AS altered FROM p),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM e),
+{_levels_sql("leaves", "tree", "tree", _HEIGHT)},
+stems AS (SELECT tree AS source_key, 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, h FROM tree{_HEIGHT - 1}),
+{_levels_sql("stems", "stem", "tree", _STEM)},
+lower AS (SELECT c.*, {beside} AS beside, {acc} AS acc FROM leaves c{up}),
+upper AS (SELECT l.doc_id, l.h AS leaf, l.beside, l.acc AS altered, s.pos, s.tree, s.h AS subroot FROM lower l JOIN stems s ON s.source_key = l.tree)
+SELECT c.doc_id, leaf, subroot, root.h AS root, sha256(beside || {beside2}) AS proof_sha256, {acc2} AS folded_root, {acc2} = root.h AS verified
+FROM upper c{up2}, stem{_STEM - 1} root"""
+
+
+ORACLES = {"op4_secrets": _SECRETS, "op7_sharding": _SHARDS, "op9_quality_rules": _QUALITY, "op10_warc": _WARC, "op13_merkle": _merkle_sql()}
