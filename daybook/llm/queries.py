@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import bpe, decontamination, html_text, merkle, quality_rules, secrets, sharding, simhash, token_files, toxicity, warc
+from daybook.llm import bpe, collocations, decontamination, html_text, merkle, patricia, quality_rules, secrets, sharding, simhash, token_files, toxicity, warc
 from daybook.llm.store import prepare
 
 SHARDS = 24
@@ -96,6 +96,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patricia.owners(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     picked = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -108,7 +116,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_simhash, op3_html_text, op4_secrets, op5_decontamination, op6_bpe, op7_sharding, op8_token_files,
-        op9_quality_rules, op10_warc, op13_merkle,
+        op9_quality_rules, op10_warc, op11_exact_dedup, op12_collocations, op13_merkle,
     )
 }
 
@@ -150,6 +158,29 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id =
        CASE WHEN page_id <> response THEN response END AS refers_to, TRUE AS intact
 FROM r"""
 
+_EXACT = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)"""
+
+_PHRASES = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, ws[i:i + k - 1] AS ph FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, {collocations.LONGEST + 1}) r(k))),
+f AS (SELECT lang, ph, k, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY 1),
+inner_ AS (SELECT lang, a, k, m, unnest(range(1, k - m + 2)) AS i, ph FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)),
+covered AS (SELECT lang, ph[i:i + m - 1] AS ph, max(a) AS longer FROM inner_ GROUP BY ALL),
+c AS (SELECT f.lang, f.ph, f.k, f.a FROM f LEFT JOIN covered USING (lang, ph) WHERE f.k > 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+h AS (SELECT lang, ph, a, j, ph[1:j] AS x, ph[j + 1:] AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (
+  SELECT h.lang, h.ph, h.a, h.j, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * h.a * n.n // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM h JOIN f l ON l.lang = h.lang AND l.ph = h.x JOIN f r ON r.lang = h.lang AND r.ph = h.y JOIN n ON n.lang = h.lang),
+b AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, n, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY rank <= {collocations.BEST}"""
+
 # CRC-32 over the bytes of a text, with its table built by the rule of the polynomial; then cuts of the byte line.
 _CRC_TABLE = """
   SELECT list(c ORDER BY n) AS tab FROM (
@@ -263,4 +294,4 @@ SELECT c.doc_id, leaf, subroot, root.h AS root, sha256(beside || {beside2}) AS p
 FROM upper c{up2}, stem{_STEM - 1} root"""
 
 
-ORACLES = {"op4_secrets": _SECRETS, "op7_sharding": _SHARDS, "op9_quality_rules": _QUALITY, "op10_warc": _WARC, "op13_merkle": _merkle_sql()}
+ORACLES = {"op4_secrets": _SECRETS, "op7_sharding": _SHARDS, "op9_quality_rules": _QUALITY, "op10_warc": _WARC, "op11_exact_dedup": _EXACT, "op12_collocations": _PHRASES, "op13_merkle": _merkle_sql()}
