@@ -50,7 +50,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_all_are_registered():
-    assert [n for n in entry.queries() if re.match(r"op\d+_", n)] == list(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert [n for n in entry.queries() if re.match(r"op\d+_", n)] == list(queries.QUERIES) and len(queries.QUERIES) == 13
     assert "pipeline" in entry.queries() and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
