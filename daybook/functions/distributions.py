@@ -47,3 +47,21 @@ def t_quantile(p: float, df: float) -> float:
 
 def f_upper(f: float, d1: float, d2: float) -> float:
     return beta_cdf(d2 / (d2 + d1 * f), d2 / 2.0, d1 / 2.0)
+
+
+# The published response surface of the unit-root statistic of a series with a constant, as
+# polynomials of the statistic below and above a bend, and the statistics outside of which p is 0 or 1.
+UNIT_ROOT_BEND, UNIT_ROOT_LEAST, UNIT_ROOT_MOST = -1.61, -18.83, 2.74
+UNIT_ROOT_BELOW = (2.1659, 1.4412, 0.038269)
+UNIT_ROOT_ABOVE = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def unit_root_p(t: float) -> float:
+    """p-value of a unit-root statistic (one series, constant, no trend)."""
+    if t > UNIT_ROOT_MOST:
+        return 1.0
+    if t < UNIT_ROOT_LEAST:
+        return 0.0
+    surface = UNIT_ROOT_BELOW if t <= UNIT_ROOT_BEND else UNIT_ROOT_ABOVE
+    z = sum(c * t**i for i, c in enumerate(surface))
+    return math.erfc(-z / math.sqrt(2.0)) / 2.0

@@ -9,7 +9,7 @@ series keys, O(n * horizon) rows, no self-join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +38,8 @@ def folds(
     step: int = 1,
     season: int | None = None,
     drift: bool = False,
+    models: Mapping[str, Callable[[int], Column]] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per (series, origin, step) with the actual and the baseline forecasts.
 
@@ -45,11 +47,14 @@ def folds(
     as the whole horizon is observed. ``naive`` repeats the value at the
     origin, ``seasonal_naive`` the value one season back (the value at the
     origin where history is too short), ``drift`` extends the least-squares
-    line through all rows up to the origin (from the second row on).
+    line through all rows up to the origin (from the second row on). ``models``
+    are further forecasts: functions of the step that give a column at the target
+    row, looking back as many rows for the origin, over the ``carry`` columns.
     """
+    models = models or {}
     w = over(keys, ts)
     size = F.count(F.lit(1)).over(W.partitionBy(*[F.col(k) for k in keys]))
-    rows = df.select(*keys, ts, F.col(y).cast("double").alias("_y"))
+    rows = df.select(*keys, ts, F.col(y).cast("double").alias("_y"), *carry)
     rows = rows.withColumns({"_t": F.row_number().over(w) - 1, "_n": size})
     if drift:
         # running sums in units of 10^-6 are exact, so the line depends on no summation order
@@ -57,7 +62,7 @@ def folds(
         rows = rows.withColumns(
             {"_sy": F.sum(scaled("_y", 6)).over(grown), "_sty": F.sum(scaled("_y", 6) * F.col("_t")).over(grown)}
         )
-        rows = rows.withColumn("_line", F.when(F.col("_t") >= 1, _line(F.col("_t") + 1.0)))
+        rows = rows.withColumn("_line", F.when(F.col("_t") >= 1, line(F.col("_t") + 1.0)))
 
     def fold(k: int) -> Column:
         naive = F.lag("_y", k).over(w)
@@ -69,13 +74,14 @@ def folds(
         if drift:
             line = F.lag("_line", k).over(w)
             fields.append(((line["a"] + line["b"] * F.col("_t")) / 1e6).alias("drift"))
+        fields += [forecast(k).alias(name) for name, forecast in models.items()]
         return F.struct(*fields)
 
     wide = rows.withColumn("_f", F.array(*[fold(k) for k in range(1, horizon + 1)]))
     long = wide.select(*keys, "_t", "_n", F.col(ts).alias("target"), F.col("_y").alias("actual"), F.explode("_f").alias("_f"))
     end = F.col("_t") - F.col("_f.step") + 1
     valid = (end >= min_train) & (end <= F.col("_n") - horizon) & ((end - min_train) % step == 0)
-    models = ["naive", *(["seasonal_naive"] if season else []), *(["drift"] if drift else [])]
+    names = ["naive", *(["seasonal_naive"] if season else []), *(["drift"] if drift else []), *models]
     return long.filter(valid).select(
         *keys,
         (F.floor((end - min_train) / step) + 1).cast("int").alias("fold"),
@@ -83,11 +89,11 @@ def folds(
         "target",
         F.col("_f.step").alias("step"),
         "actual",
-        *[F.col(f"_f.{m}").alias(m) for m in models],
+        *[F.col(f"_f.{m}").alias(m) for m in names],
     )
 
 
-def _line(n: Column) -> Column:
+def line(n: Column) -> Column:
     """Least-squares level and slope over positions 0 to n-1, from the two running sums."""
     st, stt = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
     sy, sty = F.col("_sy").cast("double"), F.col("_sty").cast("double")

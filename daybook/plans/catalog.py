@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import dates, metrics, text
 from daybook.functions.numbers import exact_mean, exact_sum, lenient_double, lenient_int, round_to, scaled
-from daybook.operators import backtest, marts, quality, regression, reports, rollups, series, staging
+from daybook.operators import backtest, marts, quality, regression, reports, rollups, running, series, staging, stationarity
 from daybook.plans import bindings as b
 from daybook.plans import models
 from daybook.plans import oracle as o
@@ -95,6 +95,13 @@ def weekly_filled(t: Inputs) -> DataFrame:
     return series.interpolate(regular, SERIES, "week_start", "occupancy_rate", "y").select("series", "week_start", "y")
 
 
+def written(t: Inputs, rows: DataFrame, name: str) -> DataFrame:
+    """Rolled-up rows written once, for plans that read them several times."""
+    path = shared_folder(t.spark, name)
+    rows.write.parquet(path)
+    return t.spark.read.schema(rows.schema).parquet(path)
+
+
 def rate_series(t: Inputs) -> DataFrame:
     """Full months of the panel with the month's mean rate, per sector and for the system."""
     full = rollups.monthly_series(t.fact()).select("series", "month_start", "occupancy_rate")
@@ -102,15 +109,32 @@ def rate_series(t: Inputs) -> DataFrame:
     return full.join(rates, "month_start")
 
 
+SEASON_LENGTH = 366  # weeks at which the trend may break, at most
+
+
 def weekly_folds(t: Inputs) -> DataFrame:
-    rows = backtest.folds(weekly_filled(t), SERIES, "week_start", "y", 104, 12, 4, season=52, drift=True)
-    return rows.withColumn("drift", round_to("drift", 6))
+    rows = running.season_fits(weekly_filled(t), SERIES, "week_start", "y", SEASON_LENGTH)
+    w = series.over(SERIES, "week_start")
+    trend = lambda k: running.season_forecast(F.lag("season_fit", k).over(w), F.col("pos"), SEASON_LENGTH)
+    rows = backtest.folds(
+        rows, SERIES, "week_start", "y", 104, 12, 4, season=52, drift=True, models={"trend_season": trend}, carry=("pos", "season_fit")
+    )
+    return rows.withColumns({m: round_to(m, 6) for m in ("drift", "trend_season")})
+
+
+RATE_MODELS = ("naive", "drift", "rate_lag", "arma", "arma_rate")
 
 
 def rate_folds(t: Inputs, lags=LAGS) -> DataFrame:
+    """Folds of every lag, with forecasts that use the lagged rate and forecasts that don't."""
     frame = backtest.lagged_frame(rate_series(t), SERIES, "month_start", "occupancy_rate", "avg_policy_rate", lags, 3)
-    rows = backtest.folds(frame, LAG_KEYS, "month_start", "occupancy_rate", 48, 3, 1, drift=True)
-    return rows.withColumn("drift", round_to("drift", 6))
+    masked = F.col("month_start").between(*map(F.lit, COVID))
+    fits = running.rate_fits(frame, LAG_KEYS, "month_start", "occupancy_rate", "exog_lag", masked)
+    models = running.rate_forecasts(LAG_KEYS, "month_start")
+    rows = backtest.folds(
+        fits, LAG_KEYS, "month_start", "occupancy_rate", 48, 3, 1, drift=True, models=models, carry=("x_now", "dx", "fit")
+    )
+    return rows.withColumns({m: round_to(m, 6) for m in RATE_MODELS[1:]})
 
 
 def stress(t: Inputs) -> DataFrame:
@@ -843,7 +867,7 @@ def _(t: Inputs) -> DataFrame:
 
 query("backtest_baselines", o.table("weekly_folds"))(weekly_folds)
 query("backtest_rate_folds", o.table("rate_folds"))(rate_folds)
-MODELS = ("naive", "seasonal_naive", "drift")
+MODELS = ("naive", "seasonal_naive", "drift", "trend_season")
 
 
 @query("fold_metrics", o.table("fold_metrics"))
@@ -869,26 +893,41 @@ def _(t: Inputs) -> DataFrame:
     return backtest.best_model(backtest.model_summary(backtest.fold_metrics(weekly_folds(t), MODELS, SERIES), SERIES), SERIES)
 
 
-@query(
-    "error_by_scope",
-    o.sql(
-        "SELECT series, scope, n_forecasts, mae_naive, mae_drift, round((mae_drift - mae_naive) / nullif(mae_naive, 0) * 100, 3) "
-        "AS pct_vs_naive FROM rate_errors WHERE lag_months = 6",
-        "rate_errors",
-    ),
+_RATE_ERRORS = ", ".join(f"mae_{m}" for m in RATE_MODELS)
+_AGAINST = {"pct_vs_naive": "naive", "pct_vs_univariate": "arma"}
+_AGAINST_SQL = ", ".join(
+    f"round((mae_arma_rate - mae_{base}) / nullif(mae_{base}, 0) * 100, 3) AS {name}" for name, base in _AGAINST.items()
 )
+
+
+@query("error_by_scope", o.sql(f"SELECT series, scope, n_forecasts, {_RATE_ERRORS}, {_AGAINST_SQL} FROM rate_errors WHERE lag_months = 6", "rate_errors"))
 def _(t: Inputs) -> DataFrame:
-    table = backtest.error_table(rate_folds(t, (6,)), ("naive", "drift"), TEST_START, SERIES)
-    return backtest.compare_errors(table, "drift", {"pct_vs_naive": "naive"})
+    """Errors of all monthly models; the rate model against the last value and against the same model without the rate."""
+    table = backtest.error_table(rate_folds(t, (6,)), RATE_MODELS, TEST_START, SERIES)
+    return backtest.compare_errors(table, "arma_rate", _AGAINST)
 
 
-@query(
-    "lag_sweep",
-    o.sql("SELECT series, lag_months, n_forecasts, mae_naive, mae_drift FROM rate_errors WHERE scope = 'test'", "rate_errors"),
-)
+@query("lag_sweep", o.sql(f"SELECT series, lag_months, n_forecasts, {_RATE_ERRORS}, {_AGAINST_SQL} FROM rate_errors WHERE scope = 'test'", "rate_errors"))
 def _(t: Inputs) -> DataFrame:
     rows = backtest.within(rate_folds(t), start=TEST_START)
-    return backtest.error_table(rows, ("naive", "drift"), None, LAG_KEYS).drop("scope")
+    return backtest.compare_errors(backtest.error_table(rows, RATE_MODELS, None, LAG_KEYS).drop("scope"), "arma_rate", _AGAINST)
+
+
+@query("unit_root", o.table("unit_root"))
+def _(t: Inputs) -> DataFrame:
+    """Whether the weekly series, or their steps, are stationary, which decides on differencing in the backtests."""
+    weeks = written(t, weekly_filled(t), "weeks")
+    level = weeks.select("series", F.lit("level").alias("variable"), "week_start", "y")
+    steps = series.difference(weeks, SERIES, "week_start", "y").select("series", F.lit("difference").alias("variable"), "week_start", F.col("diff").alias("y"))
+    tested = stationarity.unit_root(level.unionByName(steps), ["series", "variable"], "week_start", "y", max_lag=4)
+    return tested.withColumns({c: round_to(c, 6) for c in ("statistic", "p_value")})
+
+
+@query("forecast_ahead", o.table("ahead"))
+def _(t: Inputs) -> DataFrame:
+    """The twelve weeks after the last one of every series."""
+    rows = running.ahead(weekly_filled(t), SERIES, "week_start", "y", 12, "week", 52, SEASON_LENGTH)
+    return rows.withColumns({c: round_to(c, 6) for c in ("drift", "trend_season", "arma")})
 
 
 @query("one_step_folds", o.sql("SELECT * FROM weekly_folds WHERE step = 1", "weekly_folds"))
@@ -918,9 +957,7 @@ def regression_rows(t: Inputs) -> DataFrame:
 
 def written_rows(t: Inputs) -> DataFrame:
     """The monthly frame written once, for plans that fit and then predict on it."""
-    rows, path = regression_rows(t), shared_folder(t.spark, "regression")
-    rows.write.parquet(path)
-    return t.spark.read.schema(rows.schema).parquet(path)
+    return written(t, regression_rows(t), "regression")
 
 
 def fits(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ instead of grouping sets), so that a shared mistake is unlikely.
 
 from __future__ import annotations
 
+from daybook.functions.distributions import UNIT_ROOT_ABOVE, UNIT_ROOT_BELOW, UNIT_ROOT_BEND, UNIT_ROOT_LEAST, UNIT_ROOT_MOST
 from daybook.operators import marts, quality
 from daybook.plans import bindings as b
 from daybook.sources.lookups import CITY_CENTRE, POSTAL_AREAS
@@ -362,7 +363,89 @@ def folds_of(source: str, ts: str, y: str, keys: str, min_train: int, horizon: i
     return out + " " + sel + joins
 
 
-CTES["weekly_folds"] = (("weekly_filled",), folds_of("weekly_filled", "week_start", "y", "series", 104, 12, 4, 52, True))
+def whole(v: str) -> str:
+    """A number in units of 10^-6, for exact products."""
+    return f"CAST(round({v} * 1000000) AS HUGEINT)"
+
+
+def running_sums(source: str, keys: str, ts: str, xs, y: str, least: int, ridge=None) -> str:
+    """Sums of all products of predictors and target over the complete rows so far, as a{i}_{j}; none before ``least`` of them."""
+    names = [*xs, y]
+    some = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    cells = ", ".join(
+        f"CAST(sum(CASE WHEN {some} THEN {whole(names[i])} * {whole(names[j])} END) OVER w AS DOUBLE) / 1e12::DOUBLE"
+        + (f" + {ridge[i]}" if ridge and i == j and ridge[i] else "")
+        + f" AS a{i}_{j}"
+        for i in range(len(xs))
+        for j in range(len(names))
+    )
+    return (
+        f"SELECT {keys}, {ts}, {cells} FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY {ts} ROWS UNBOUNDED PRECEDING) "
+        f"QUALIFY sum(CASE WHEN {some} THEN 1 ELSE 0 END) OVER w >= {least}"
+    )
+
+
+def eliminated(name: str, first: str, carry: str, k: int, sides: int = 1) -> str:
+    """Common tables that solve ``first``'s a{i}_{j} pivot by pivot; the last, whose name is returned, has a{i}_{k} as solutions."""
+    diag = ", ".join(f"a{i}_{i} AS q{i}" for i in range(k))
+    cells = ", ".join(f"a{i}_{j}" for i in range(k) for j in range(k + sides))
+    CTES[f"{name}_0"] = ((first,), f"SELECT {carry}, {diag}, {cells} FROM {first}")
+    for p in range(k):
+        out = []
+        for i in range(k):
+            for j in range(p + 1, k + sides):
+                row = f"CASE WHEN a{p}_{p} > 1e-9 * q{p} THEN a{p}_{j} / a{p}_{p} ELSE 0 END"
+                out.append(f"{row if i == p else f'a{i}_{j} - a{i}_{p} * ({row})'} AS a{i}_{j}")
+        kept = ", ".join(f"q{i}" for i in range(p + 1, k))
+        CTES[f"{name}_{p + 1}"] = ((f"{name}_{p}",), f"SELECT {carry}, {kept + ', ' if kept else ''}{', '.join(out)} FROM {name}_{p}")
+    return f"{name}_{k}"
+
+
+def surprises(name: str, source: str, keys: str, ts: str, order: int) -> str:
+    """Common tables over ``source`` (keys, ts, dy, ...) with steps d1, surprises e and e1; the last one's name."""
+    w = f"PARTITION BY {keys} ORDER BY {ts}"
+    lags = ", ".join(f"lag(dy, {j}) OVER w AS d{j}" for j in range(1, order + 1))
+    CTES[f"{name}_l"] = ((source,), f"SELECT *, {lags} FROM {source} WINDOW w AS ({w})")
+    CTES[f"{name}_long_sums"] = ((f"{name}_l",), running_sums(f"{name}_l", keys, ts, [f"d{j}" for j in range(1, order + 1)], "dy", 2 * order + 2))
+    last = eliminated(f"{name}_long", f"{name}_long_sums", f"{keys}, {ts}", order)
+    seen = " + ".join(f"lag(f.a{j - 1}_{order}) OVER w * d{j}" for j in range(1, order + 1))
+    CTES[f"{name}_e"] = (
+        (f"{name}_l", last),
+        f"SELECT l.*, dy - ({seen}) AS e FROM {name}_l l LEFT JOIN {last} f USING ({keys}, {ts}) WINDOW w AS ({w})",
+    )
+    CTES[f"{name}_e1"] = ((f"{name}_e",), f"SELECT *, lag(e) OVER ({w}) AS e1 FROM {name}_e")
+    CTES[f"{name}_arma_sums"] = ((f"{name}_e1",), running_sums(f"{name}_e1", keys, ts, ["d1", "e1"], "dy", 8))
+    return f"{name}_e1"
+
+
+def _season_columns(period: float = 52.1775, waves: int = 2, every: int = 52, length: int = 366) -> dict[str, str]:
+    xs = {"c": "1.0::DOUBLE", "tt": f"t / {period}"}
+    xs |= {f"h{i}": f"greatest(t - {at}, 0) / {period}" for i, at in enumerate(range(every, length, every))}
+    for n in range(1, waves + 1):
+        xs |= {f"s{n}": f"sin(t * (2.0::DOUBLE * pi() * {n} / {period}))", f"k{n}": f"cos(t * (2.0::DOUBLE * pi() * {n} / {period}))"}
+    return xs
+
+
+def _trend_season(penalty: float = 2.0) -> None:
+    xs = _season_columns()
+    shown = ", ".join(f"{e} AS {c}" for c, e in xs.items())
+    CTES["season_rows"] = (
+        ("weekly_filled",),
+        f"SELECT series, week_start, t, y, {shown} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY week_start) - 1 AS DOUBLE) AS t FROM weekly_filled)",
+    )
+    ridge = [0 if c in ("c", "tt") else penalty if c[0] == "h" else penalty / 10 for c in xs]
+    CTES["season_sums"] = (("season_rows",), running_sums("season_rows", "series", "week_start", list(xs), "y", len(xs) + 2, ridge))
+    last = eliminated("season_fit", "season_sums", "series, week_start", len(xs))
+    value = " + ".join(f"f.a{i}_{len(xs)} * x.{c}" for i, c in enumerate(xs))
+    CTES["weekly_folds"] = (
+        ("baseline_folds", last, "season_rows"),
+        f"SELECT b.*, round({value}, 6) AS trend_season FROM baseline_folds b "
+        f"LEFT JOIN {last} f ON f.series = b.series AND f.week_start = b.origin JOIN season_rows x ON x.series = b.series AND x.week_start = b.target",
+    )
+
+
+CTES["baseline_folds"] = (("weekly_filled",), folds_of("weekly_filled", "week_start", "y", "series", 104, 12, 4, 52, True))
+_trend_season()
 CTES["rate_series"] = (
     ("full_months", "rates_monthly"),
     "SELECT series, month_start, occupancy_rate, avg_policy_rate FROM full_months JOIN rates_monthly USING (month_start)",
@@ -377,12 +460,146 @@ CTES["lag_frame"] = (
     )
     + ") WHERE occupancy_rate IS NOT NULL AND exog_lag IS NOT NULL",
 )
-CTES["rate_folds"] = (
+CTES["rate_base"] = (
     ("lag_frame",),
     folds_of("lag_frame", "month_start", "occupancy_rate", "series, lag_months", 48, 3, 1, None, True),
 )
 
 
+def _rate_models(order: int = 4) -> None:
+    """The monthly models fit by fit: running sums, elimination, forecasts by joins of origin and target rows."""
+    keys, part = "series, lag_months", "PARTITION BY series, lag_months ORDER BY month_start"
+    CTES["rm_y"] = (
+        ("lag_frame",),
+        "SELECT series, lag_months, month_start, exog_lag AS x, CASE WHEN month_start NOT BETWEEN DATE '2020-03-01' AND DATE '2020-12-01' "
+        "THEN occupancy_rate END AS y FROM lag_frame",
+    )
+    CTES["rm_d"] = (("rm_y",), f"SELECT *, row_number() OVER w AS t, y - lag(y) OVER w AS dy, x - lag(x) OVER w AS dx FROM rm_y WINDOW w AS ({part})")
+    both = "dx IS NOT NULL AND dy IS NOT NULL"
+    CTES["rm_b"] = (
+        ("rm_d",),
+        "SELECT *, last_value(y IGNORE NULLS) OVER g AS y0, last_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER g AS x0, "
+        f"CAST(sum(CASE WHEN {both} THEN {whole('dx')} * {whole('dy')} END) OVER g AS DOUBLE) AS xy, "
+        f"CAST(sum(CASE WHEN {both} THEN {whole('dx')} * {whole('dx')} END) OVER g AS DOUBLE) AS xx FROM rm_d "
+        f"WINDOW g AS ({part} ROWS UNBOUNDED PRECEDING)",
+    )
+    surprises("rm", "rm_b", keys, "month_start", order)
+    CTES["rm_armax_sums"] = (("rm_e1",), running_sums("rm_e1", keys, "month_start", ["d1", "e1", "dx"], "dy", 10))
+    one = eliminated("rm_arma", "rm_arma_sums", f"{keys}, month_start", 2)
+    two = eliminated("rm_armax", "rm_armax_sums", f"{keys}, month_start", 3)
+    CTES["rm_fits"] = (
+        ("rm_e1", one, two),
+        "SELECT l.*, coalesce(xy / nullif(xx, 0), 0) AS beta, coalesce(dy, 0) AS dy0, coalesce(e, 0) AS e0, p.a0_2 AS p1, p.a1_2 AS p2, "
+        f"q.a0_3 AS q1, q.a1_3 AS q2, q.a2_3 AS q3 FROM rm_e1 l LEFT JOIN {one} p USING (series, lag_months, month_start) "
+        f"LEFT JOIN {two} q USING (series, lag_months, month_start)",
+    )
+    # steps one to three from the origin; a later one counts only if the target lies that far
+    s1, r1 = "(o.p1 * o.dy0 + o.p2 * o.e0)", "(o.q1 * o.dy0 + o.q2 * o.e0 + o.q3 * coalesce(x1.dx, 0))"
+    r2 = f"(o.q1 * {r1} + o.q3 * coalesce(x2.dx, 0))"
+    r3 = f"(o.q1 * {r2} + o.q3 * coalesce(x3.dx, 0))"
+    arma = f"{s1} + CASE WHEN step > 1 THEN o.p1 * {s1} ELSE 0 END + CASE WHEN step > 2 THEN o.p1 * o.p1 * {s1} ELSE 0 END"
+    armax = f"{r1} + CASE WHEN step > 1 THEN {r2} ELSE 0 END + CASE WHEN step > 2 THEN {r3} ELSE 0 END"
+    on = "{0}.series = b.series AND {0}.lag_months = b.lag_months"
+    ahead = " ".join(f"LEFT JOIN rm_d x{j} ON {on.format(f'x{j}')} AND x{j}.t = o.t + {j}" for j in (1, 2, 3))
+    CTES["rate_folds"] = (
+        ("rate_base", "rm_fits", "rm_d"),
+        f"SELECT b.*, round(o.y0 + o.beta * (z.x - o.x0), 6) AS rate_lag, round(o.y0 + coalesce({arma}, 0), 6) AS arma, "
+        f"round(o.y0 + coalesce({armax}, 0), 6) AS arma_rate FROM rate_base b JOIN rm_fits o ON {on.format('o')} AND o.month_start = b.origin "
+        f"JOIN rm_d z ON {on.format('z')} AND z.month_start = b.target {ahead}",
+    )
+
+
+_rate_models()
+
+
+def _ahead(horizon: int = 12, season: int = 52, order: int = 4) -> None:
+    """Forecasts past the last week, each model from its closed form."""
+    CTES["wk_d"] = (
+        ("season_rows",),
+        "SELECT *, y - lag(y) OVER (PARTITION BY series ORDER BY week_start) AS dy, max(week_start) OVER (PARTITION BY series) AS origin FROM season_rows",
+    )
+    ends = surprises("wk", "wk_d", "series", "week_start", order)
+    arma = eliminated("wk_arma", "wk_arma_sums", "series, week_start", 2)
+    xs = _season_columns()
+    k = len(xs)
+    trend = " + ".join(f"s.a{i}_{k} * ({e.replace('t ', 'z.t ')})" for i, e in enumerate(xs.values()))
+    moved = " + ".join(f"CASE WHEN step > {j} THEN pow(m.a0_2, {j}) ELSE 0 END" for j in range(horizon))
+    CTES["ahead_ends"] = ((ends,), f"SELECT series, origin, t AS t0, y AS y0, dy, e FROM {ends} WHERE week_start = origin")
+    CTES["ahead_line"] = (
+        ("season_rows",),
+        "SELECT series, (sy - b * st) / n AS a, b FROM (SELECT *, (n * sty - st * sy) / (n * stt - st * st) AS b FROM (SELECT series, "
+        "CAST(count(*) AS DOUBLE) AS n, CAST(sum(t) AS DOUBLE) AS st, CAST(sum(t * t) AS DOUBLE) AS stt, "
+        "CAST(sum(CAST(round(y * 1000000) AS HUGEINT)) AS DOUBLE) AS sy, CAST(sum(CAST(round(y * 1000000) AS HUGEINT) * CAST(t AS HUGEINT)) AS DOUBLE) AS sty "
+        "FROM season_rows GROUP BY 1))",
+    )
+    CTES["ahead"] = (
+        ("ahead_ends", "season_rows", "ahead_line", arma, f"season_fit_{k}"),
+        "SELECT z.series, z.origin, CAST(z.origin + INTERVAL (7 * step) DAY AS DATE) AS target, CAST(step AS INT) AS step, z.y0 AS naive, "
+        "coalesce(b.y, z.y0) AS seasonal_naive, round((l.a + l.b * z.t) / 1e6::DOUBLE, 6) AS drift, "
+        f"round(coalesce({trend}, z.y0), 6) AS trend_season, "
+        f"round(coalesce(z.y0 + (m.a0_2 * z.dy + m.a1_2 * z.e) * ({moved}), z.y0), 6) AS arma "
+        f"FROM (SELECT *, t0 + step AS t FROM (SELECT *, unnest(range(1, {horizon + 1})) AS step FROM ahead_ends)) z JOIN ahead_line l ON l.series = z.series "
+        f"LEFT JOIN season_rows b ON b.series = z.series AND b.t = z.t - {season} "
+        f"LEFT JOIN {arma} m ON m.series = z.series AND m.week_start = z.origin "
+        f"LEFT JOIN season_fit_{k} s ON s.series = z.series AND s.week_start = z.origin",
+    )
+
+
+_ahead()
+
+
+def _unit_root(most: int = 4) -> None:
+    """The test of every weekly series and of its steps, by elimination order by order."""
+    keys, k = "series, variable", most + 1
+    CTES["ur_y"] = (
+        ("weekly_filled",),
+        "SELECT series, 'level' AS variable, week_start, y FROM weekly_filled WHERE y IS NOT NULL UNION ALL SELECT * FROM (SELECT series, 'difference', week_start, "
+        "y - lag(y) OVER (PARTITION BY series ORDER BY week_start) AS y FROM weekly_filled) WHERE y IS NOT NULL",
+    )
+    CTES["ur_d"] = (
+        ("ur_y",),
+        f"SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS size, lag(y) OVER w AS x0, y - lag(y) OVER w AS d "
+        f"FROM ur_y WINDOW w AS (PARTITION BY {keys} ORDER BY week_start)",
+    )
+    lags = ", ".join(f"lag(d, {j}) OVER (PARTITION BY {keys} ORDER BY week_start) AS x{j}" for j in range(1, k))
+    own = f"greatest(0, least({most}, ceil(12 * pow(size / 100.0, 0.25)), size // 2 - 2))"
+    CTES["ur_x"] = (("ur_d",), f"SELECT *, {own} AS own, {lags} FROM ur_d")
+
+    def sums(source: str, lag: str) -> str:
+        """Centred sums over the rows that ``lag`` leaves, later steps as zeros."""
+        xs = ["x0", *[f"CASE WHEN {lag} >= {j} THEN x{j} ELSE 0 END" for j in range(1, k)]]
+        shown = ", ".join(f"{x} AS z{i}" for i, x in enumerate(xs))
+        means = ", ".join(f"avg(z{i}) OVER w AS m{i}" for i in range(k))
+        cells = [f"sum((z{i} - m{i}) * (z{j} - m{j})) AS a{i}_{j}" for i in range(k) for j in range(k)]
+        cells += [f"sum((z{i} - m{i}) * (d - md)) AS a{i}_{k}, {int(i == 0)}::DOUBLE AS a{i}_{k + 1}, sum((z{i} - m{i}) * (d - md)) AS r{i}" for i in range(k)]
+        return (
+            f"SELECT {keys}, {lag} AS lags, count(*) AS n, sum((d - md) * (d - md)) AS syy, {', '.join(cells)} FROM (SELECT *, {means}, avg(d) OVER w AS md "
+            f"FROM (SELECT *, {shown} FROM {source} WHERE i > {lag}) WINDOW w AS (PARTITION BY {keys})) GROUP BY {keys}, {lag}"
+        )
+
+    carry = f"{keys}, lags, n, syy, " + ", ".join(f"r{i}" for i in range(k))
+    CTES["ur_first"] = (("ur_x",), sums("ur_x", "own"))
+    eliminated("ur1", "ur_first", carry, k)
+    # what the first p + 1 predictors leave unexplained
+    tries = []
+    for p in range(k):
+        explained = " + ".join(f"a{i}_{k} * r{i}" for i in range(p + 1))
+        tries.append(f"SELECT {keys}, {p} AS p, n * ln((syy - ({explained})) / n) + {2 * (p + 2)} AS aic FROM ur1_{p + 1} WHERE {p} <= lags")
+    CTES["ur_best"] = (tuple(f"ur1_{p + 1}" for p in range(k)), f"SELECT {keys}, arg_min(p, aic) AS p FROM ({' UNION ALL '.join(tries)}) GROUP BY {keys}")
+    CTES["ur_rest"] = (("ur_x", "ur_best"), "SELECT * FROM ur_x JOIN ur_best USING (series, variable)")
+    CTES["ur_second"] = (("ur_rest",), sums("ur_rest", "p"))
+    last = eliminated("ur2", "ur_second", carry, k, 2)
+    error = f"(syy - ({' + '.join(f'a{i}_{k} * r{i}' for i in range(k))}))"
+    CTES["ur_t"] = ((last,), f"SELECT {keys}, CAST(lags AS INT) AS lags, n, a0_{k} / sqrt({error} / (n - lags - 2) * a0_{k + 1}) AS t FROM {last}")
+    low, high = (" + ".join(f"{c} * pow(t, {i})" for i, c in enumerate(surface)) for surface in (UNIT_ROOT_BELOW, UNIT_ROOT_ABOVE))
+    CTES["unit_root"] = (
+        ("ur_t",),
+        f"SELECT {keys}, lags, n, round(t, 6) AS statistic, abs(round(p, 6)) AS p_value, p < 0.05 AS stationary FROM (SELECT *, CASE WHEN t > {UNIT_ROOT_MOST} THEN 1.0 "
+        f"WHEN t < {UNIT_ROOT_LEAST} THEN 0.0 ELSE 0.5 + {simpson('exp(-{x} * {x} / 2) / sqrt(2 * pi())', '0.0', 'z', 'u')} END AS p FROM (SELECT *, "
+        f"CASE WHEN t <= {UNIT_ROOT_BEND} THEN {low} ELSE {high} END AS z FROM ur_t))",
+    )
+
+
 def maes(models, keys: str, scopes: bool = True) -> str:
     parts = []
     for scope, cond in (("validation", "target < DATE '2024-01-01'"), ("test", "target >= DATE '2024-01-01'"), ("all", "true")):
@@ -394,11 +611,11 @@ def maes(models, keys: str, scopes: bool = True) -> str:
     return " UNION ALL ".join(parts)
 
 
-CTES["rate_errors"] = (("rate_folds",), maes(("naive", "drift"), "series, lag_months").format(src="rate_folds"))
+CTES["rate_errors"] = (("rate_folds",), maes(("naive", "drift", "rate_lag", "arma", "arma_rate"), "series, lag_months").format(src="rate_folds"))
 CTES["fold_long"] = (
     ("weekly_folds",),
     " UNION ALL ".join(
-        f"SELECT series, fold, '{m}' AS model, actual, {m} AS forecast FROM weekly_folds" for m in ("naive", "seasonal_naive", "drift")
+        f"SELECT series, fold, '{m}' AS model, actual, {m} AS forecast FROM weekly_folds" for m in ("naive", "seasonal_naive", "drift", "trend_season")
     ),
 )
 CTES["fold_metrics"] = (
@@ -515,6 +732,9 @@ CTES["reg_tests"] = (
 )
 
 
+_unit_root()
+
+
 def sql(body: str, *needs: str) -> str:
     """A statement with the common tables it needs, in dependency order."""
     order: list[str] = []
