@@ -1,13 +1,13 @@
 """Phrase collocations, counted by double-array tries of Apriori-safe candidates.
 
 1. Texts are lower-cased (A-Z) and cut into pieces and words; every word becomes a
-   64-bit code of language and word, a break the code 0. The codes are written once.
-   Words are counted on the way; if two words share a code, all is coded anew with
-   another seed, so codes stand for words without fail.
-2. Candidates. A phrase can only be frequent if all phrases inside it are. Words
-   that aren't frequent end the search at once. Longer phrases are hashed into
-   buckets, whose totals never fall below the count of a phrase in them: first all
-   pairs of frequent words, then all phrases of three and more whose pairs lie in
+   64-bit code of language and word, a break the code 0. The codes are written once,
+   with every task's counts of its words.
+2. Candidates. A phrase can only be frequent if all phrases inside it are. Words and
+   phrases are hashed into buckets, whose totals never fall below the count of what is
+   in them. Words in frequent buckets are counted; if two of them share a code, all is
+   coded anew with another seed, so codes that go on stand for one word. Then buckets
+   count all pairs of frequent words, and all longer phrases whose pairs lie in
    frequent buckets. What passes the buckets of all phrases inside it is a candidate.
 3. Counts. The candidates' trie is a double array (base and check), at most
    ``SHARD`` phrases at a time, and is sent to all tasks. A task looks up all its
@@ -54,6 +54,9 @@ SLICE = 1 << 20
 #: Parts of the last window, so that a language's phrases are ranked by many tasks first.
 SALTS = 64
 
+#: Positions whose buckets a task holds before it counts them, and phrases before it lists them.
+HELD = 1 << 21
+
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = b"."
 _PLAIN = bytes.maketrans(
@@ -196,6 +199,73 @@ def _power(size: int, least: int = _SLICE_BITS) -> int:
     return min(max(least, int(size).bit_length()), MOST_BUCKETS.bit_length() - 1)
 
 
+def _slices(level: int, slots: np.ndarray, counts: np.ndarray, least: int) -> pa.RecordBatch:
+    """Counts of distinct, rising slots, in runs of 65,536 slots; no count need go beyond ``least``."""
+    part = slots >> _SLICE_BITS
+    starts = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+    low, counts = (slots & ((1 << _SLICE_BITS) - 1)).astype(np.uint16), np.minimum(counts, least).astype(_counter(least))
+    rows: dict[str, list] = {"level": [], "slice": [], "slots": [], "counts": []}
+    for a, z in zip(starts, [*starts[1:], len(slots)], strict=True):
+        rows["level"].append(level)
+        rows["slice"].append(int(part[a]))
+        rows["slots"].append(low[a:z].tobytes())
+        rows["counts"].append(counts[a:z].tobytes())
+    return _columns(rows, _SPREAD)
+
+
+def _counter(least: int) -> type:
+    return np.uint32 if least > 255 else np.uint8
+
+
+def _frequent_slots(slices: DataFrame, levels: range, power: int, least: int) -> dict[int, Bits]:
+    """Rows of ``_slices`` added up: by level, the slots whose totals reach ``least``."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for level, number, slots, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                have = sums.setdefault((level, number), np.zeros(1 << _SLICE_BITS, np.uint32))
+                at = np.frombuffer(slots, np.uint16)
+                have[at] = np.minimum(have[at] + np.frombuffer(counts, _counter(least)), least)
+        for (level, number), have in sums.items():
+            if (have >= least).any():
+                yield _columns({"level": [level], "slice": [number], "bits": [np.packbits(have >= least, bitorder="little").tobytes()]}, _FLAGS)
+
+    data = {k: np.zeros(1 << power >> 3, np.uint8) for k in levels}
+    step = (1 << _SLICE_BITS) // 8
+    for level, number, bits in slices.repartition("level", "slice").mapInArrow(total, "level int, slice int, bits binary").collect():
+        data[level][number * step : (number + 1) * step] = np.frombuffer(bits, np.uint8)
+    return {k: Bits(power, d) for k, d in data.items()}
+
+
+_SLICE_ROW = "level int, slice int, slots binary, counts binary"
+
+
+def _tally_bits(tallies: DataFrame, power: int, least: int) -> Bits:
+    """Buckets of words whose totals reach ``least``."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - power)
+        for batch in batches:
+            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            slots, which = np.unique((hashes >> shift).astype(np.uint32), return_inverse=True)
+            if len(slots):
+                yield _slices(1, slots, np.bincount(which, weights=batch.column(1).to_numpy(zero_copy_only=False)), least)
+
+    return _frequent_slots(tallies.select("code", "n").mapInArrow(tell, _SLICE_ROW), range(1, 2), power, least)[1]
+
+
+def _passing(tallies: DataFrame, bits: Bits) -> DataFrame:
+    """Words in frequent buckets."""
+    sent = tallies.sparkSession.sparkContext.broadcast(bits)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.has(batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return tallies.mapInArrow(passing, tallies.schema)
+
+
 def _word_bits(words: DataFrame, power: int) -> Bits:
     slot = F.shiftrightunsigned("code", 64 - power)
     rows = words.groupBy(F.bitmap_bucket_number(slot + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
@@ -208,51 +278,28 @@ def _word_bits(words: DataFrame, power: int) -> Bits:
 def _bucket_bits(codes: DataFrame, filters: dict[int, Bits], first: int, longest: int, power: int, least: int) -> dict[int, Bits]:
     """Buckets of phrases of ``first`` to ``longest`` words whose totals reach ``least``."""
     sent = codes.sparkSession.sparkContext.broadcast(filters)
-    low = (1 << _SLICE_BITS) - 1
-
-    def spread(level: int, hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        slots, counts = np.unique(np.concatenate(hashes), return_counts=True)
-        part = slots >> _SLICE_BITS
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
-        rows = {"level": [], "slice": [], "slots": [], "counts": []}
-        for a, z in zip(starts, [*starts[1:], len(slots)], strict=True):
-            rows["level"].append(level)
-            rows["slice"].append(int(part[a]))
-            rows["slots"].append((slots[a:z] & low).astype(np.uint16).tobytes())
-            rows["counts"].append(np.minimum(counts[a:z], least).astype(np.uint32).tobytes() if least > 255 else np.minimum(counts[a:z], least).astype(np.uint8).tobytes())
-        yield _columns(rows, _SPREAD)
+    levels = range(first, longest + 1)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - power)
-        held: dict[int, list[np.ndarray]] = {k: [] for k in range(first, longest + 1)}
+        held: dict[int, list[np.ndarray]] = {k: [] for k in levels}
+
+        def counted(k: int) -> pa.RecordBatch:
+            slots, counts = np.unique(np.concatenate(held[k]), return_counts=True)
+            held[k] = []
+            return _slices(k, slots, counts, least)
+
         for block in _blocks(batches):
             for k, _, hashes in survivors(block, sent.value, longest):
                 if k >= first and len(hashes):
-                    held[k].append((hashes >> shift).astype(np.int64))
-                    if sum(map(len, held[k])) > 1 << 22:
-                        yield from spread(k, held[k])
-                        held[k] = []
-        for k, hashes in held.items():
-            if hashes:
-                yield from spread(k, hashes)
+                    held[k].append((hashes >> shift).astype(np.uint32))
+                    if sum(map(len, held[k])) > HELD:
+                        yield counted(k)
+        for k in levels:
+            if held[k]:
+                yield counted(k)
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for level, number, slots, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                have = sums.setdefault((level, number), np.zeros(1 << _SLICE_BITS, np.uint32))
-                at = np.frombuffer(slots, np.uint16)
-                have[at] = np.minimum(have[at] + np.frombuffer(counts, np.uint32 if least > 255 else np.uint8), least)
-        for (level, number), have in sums.items():
-            if (have >= least).any():
-                yield _columns({"level": [level], "slice": [number], "bits": [np.packbits(have >= least, bitorder="little").tobytes()]}, _FLAGS)
-
-    kept = codes.mapInArrow(tell, "level int, slice int, slots binary, counts binary").repartition("level", "slice").mapInArrow(total, "level int, slice int, bits binary")
-    data = {k: np.zeros(1 << power >> 3, np.uint8) for k in range(first, longest + 1)}
-    step = (1 << _SLICE_BITS) // 8
-    for level, number, bits in kept.collect():
-        data[level][number * step : (number + 1) * step] = np.frombuffer(bits, np.uint8)
-    return {k: Bits(power, d) for k, d in data.items()}
+    return _frequent_slots(codes.mapInArrow(tell, _SLICE_ROW), levels, power, least)
 
 
 _SPREAD = pa.schema([("level", pa.int32()), ("slice", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
@@ -285,9 +332,9 @@ def _candidates(codes: DataFrame, filters: dict[int, Bits], longest: int) -> Dat
         held: list[np.ndarray] = []
         for block in _blocks(batches):
             held += [_distinct(block, at, hashes, k) for k, at, hashes in survivors(block, sent.value, longest) if len(at)]
-            if sum(map(len, held)) > 1 << 20:
+            if sum(map(len, held)) > HELD // 4:
                 held = [np.unique(np.concatenate(held), axis=0)]
-                if len(held[0]) > 1 << 19:
+                if len(held[0]) > HELD // 8:
                     yield _phrases(held.pop())
         if held:
             yield _phrases(np.unique(np.concatenate(held), axis=0))
@@ -416,7 +463,7 @@ def _counted(codes: DataFrame, filters: dict[int, Bits], trie: DoubleArray) -> D
         for block in _blocks(batches):
             for _, at, _ in survivors(block, near, 2):
                 met += trie.accepted(block, at)
-            if sum(map(len, met)) > 1 << 20:
+            if sum(map(len, met)) > HELD:
                 counts += np.bincount(np.concatenate(met), minlength=len(counts))
                 met.clear()
         if met:
@@ -437,23 +484,25 @@ def score(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", over, under)
 
 
-def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = MIN_COUNT, longest: int = LONGEST, shard: int = SHARD, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Words (``lang``, ``word``, ``code``, ``n``) and frequent phrases of two and more words (``key``, an array of codes, and ``a``)."""
+def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = MIN_COUNT, longest: int = LONGEST, shard: int = SHARD, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``n`` of every language, words (``lang``, ``word``, ``code``, ``n``), all frequent ones among them, and frequent phrases of two and more words (``key``, an array of codes, and ``a``)."""
     spark = docs.sparkSession
     seed = 0
     while True:
         coded = _written(_coded(docs, text, lang, seed, bits), "codes")
-        words = cut(coded.where("codes IS NULL").groupBy("lang", "word", "code").agg(F.sum("n").alias("n")), "words")
+        tallies = coded.where("codes IS NULL").select("lang", "word", "code", "n")
+        totals = cut(tallies.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        power = _power((totals.agg(F.sum("n")).first()[0] or 0) // 16)
+        words = _passing(tallies, _tally_bits(tallies, power, least)).groupBy("lang", "word", "code").agg(F.sum("n").alias("n"))
+        words = cut(words, "words")
+        # Words of rarer codes never go on, so it doesn't matter whether two of them share one.
         shared = words.groupBy("code").count().where("count > 1 OR code = 0").limit(1).count()
         if not shared:
             break
         seed, bits = seed + 1, 64
     codes = coded.where("codes IS NOT NULL").select("codes")
     known = words.where(F.col("n") >= least)
-    sizes = words.agg(F.sum("n"), F.count(F.when(F.col("n") >= least, 1))).first()
-    tokens_, kinds = sizes[0] or 0, sizes[1]
-    filters = {1: _word_bits(known, _power(8 * kinds))}
-    power = _power(tokens_ // 16)
+    filters = {1: _word_bits(known, _power(8 * known.count()))}
     filters |= _bucket_bits(codes, filters, 2, 2, power, least)
     if longest > 2:
         filters |= _bucket_bits(codes, filters, 3, longest, power, least)
@@ -466,7 +515,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
             rows = np.stack([c.to_numpy().view(np.uint64) for c in part.columns], axis=1)
             counted = counted.unionByName(cut(_counted(codes, filters, DoubleArray(rows)).where(F.col("a") >= least), f"phrases-{i}"))
     key = F.filter(F.array(*_WORDS), lambda c: c != 0)
-    return words, counted.select(key.alias("key"), "a")
+    return totals, words, counted.select(key.alias("key"), "a")
 
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = MIN_COUNT, longest: int = LONGEST, best: int = BEST, shard: int = SHARD, bits: int = 64) -> DataFrame:
@@ -474,9 +523,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = M
 
     ``bits`` below 64 shortens the codes of the first try, for tests of shared ones.
     """
-    words, phrases = frequent(docs, text, lang, least, longest, shard, bits)
+    totals, words, phrases = frequent(docs, text, lang, least, longest, shard, bits)
     known = words.where(F.col("n") >= least)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     parts = phrases.unionByName(known.select(F.array("code").alias("key"), F.col("n").alias("a")))
     inner = "flatten(transform(sequence(2, size(key) - 1), m -> transform(sequence(1, size(key) - m + 1), i -> slice(key, i, m))))"
     covered = phrases.where(F.size("key") > 2).select("a", F.explode(F.expr(inner)).alias("key")).groupBy("key").agg(F.max("a").alias("_longer"))
