@@ -15,9 +15,13 @@ also right before the content node.
 
 Parts that are named as something else than the article (navigation, footers,
 forms, scripts, adverts, notices, sidebars, reader comments, by tag, role,
-class or id) never count. The id of a heading or an inline element, and inside
+class or id) don't count. A class or id names such a part only if all words of one
+of its tokens do, so topics ("category-social", "related-work") don't; it never hides
+html, body, main and article elements, nor what holds most of the text of a page on which
+nothing else reads like sentences. The id of a heading or an inline element, and inside
 an article that of a section, is an anchor and names nothing. The text of math
-and xmp elements is text. Character references are decoded, white space inside
+and xmp elements is text. A quoted attribute ends at its closing quote, however long
+it is; behind a quote that never closes, tags end at the next ``>``. Character references are decoded, white space inside
 a block is one space, blocks are joined by line feeds in page order; a ``br`` is
 white space.
 
@@ -78,10 +82,16 @@ OTHERS = frozenset(
     "consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login "
     "search share sharing social comment comments disqus respond replies discussion related recommended recommendations skip".split()
 )
+#: What a class token may hold beside words of LAYOUT and OTHERS and still be a name of such a part.
+HELPERS = frozenset(
+    "a area bar block body box btn button buttons container content count form group head heading icon icons inner item items link links list "
+    "main message more my notice outer panel popular post posts reader readers row section site slot text thread title top unit user users "
+    "wrap wrapper".split()
+)
 
-# Lengths are bounded, so that a broken quote costs no more than its surroundings; then a tag ends at the next >.
+# A quoted value runs to its closing quote, however long it is.
 _TAG = re.compile(
-    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]{0,80}+)([^>"']*+(?:(?:"[^"]{0,8192}"|'[^']{0,8192}')[^>"']*+){0,100}+)>)""", re.S
+    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]{0,80}+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>)""", re.S
 )
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,80}+)([^>]*+)>")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -92,10 +102,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?、。！？；：，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "never", "marked", "depth", "size", "chars")
+    __slots__ = ("tag", "parent", "path", "never", "marked", "depth", "size", "chars", "soft")
 
-    def __init__(self, tag: str, parent: Node | None, never: bool, mark: str = "") -> None:
-        self.tag, self.parent, self.never = tag, parent, never
+    def __init__(self, tag: str, parent: Node | None, never: bool, mark: str = "", soft: int | None = None) -> None:
+        self.tag, self.parent, self.never, self.soft = tag, parent, never, soft
         self.marked = bool(parent and parent.marked) or tag in MARKED
         while parent and parent.depth >= DEPTH:
             self.parent = parent = parent.parent
@@ -104,22 +114,30 @@ class Node:
         self.size = self.chars = 0.0
 
 
-def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
-    """If the element's names say it is not the article, if that is only its place in the layout, and its first class."""
+NAMES = LAYOUT | OTHERS | HELPERS
+#: Elements whose class or id never hides them.
+WHOLE = frozenset(("html", "body", "main", "article"))
+
+
+def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool, str]:
+    """If the element is hidden or has a role outside the article, if its names say so, if they only say its place in the layout, and its first class."""
     if not attributes.strip():
-        return False, False, ""
-    never = layout = False
+        return False, False, False, ""
+    never = named = layout = False
     mark = ""
     anchor = tag in HEADINGS or tag in INLINE or in_article and tag == "section"
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             if name == "class" and value.split():
-                mark = "." + value.split()[0][:40]
-            found = set(_WORDS.findall(_CAMEL.sub("-", value).lower()))
-            if tag not in ("html", "body", "main") and not (anchor and name == "id"):
-                never |= bool(found & OTHERS)
-                layout |= bool(found & LAYOUT)
+                mark = "." + value.split()[0]
+            if tag not in WHOLE and not (anchor and name == "id"):
+                for token in value.split():
+                    # A topic ("category-social", "related-work") names no part of the page.
+                    found = set(_WORDS.findall(_CAMEL.sub("-", token).lower()))
+                    if found <= NAMES:
+                        named |= bool(found & OTHERS)
+                        layout |= bool(found & LAYOUT)
         elif name == "role":
             never |= value.strip().lower() in ROLES
         elif name == "hidden":
@@ -128,15 +146,20 @@ def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str
             never |= value.strip().lower() == "true"
         else:
             never |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return never, layout, mark
+    return never, named, layout, mark
 
 
-def blocks(page: str) -> list[tuple[Node, str]]:
-    """The blocks of a page that may be content, in order, with their innermost block element."""
+def blocks(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[Node, str]], Counter[int]]:
+    """The blocks of a page that may be content, in order, with their innermost block element.
+
+    Also, by place in the page, the elements that only their class or id hides, with the characters in them; ``spared`` are
+    the places of elements that it doesn't hide.
+    """
+    soft: Counter[int] = Counter()
     root = Node("", None, False)
     stack, out, parts = [root], [], []
     unclosed: Counter[str] = Counter()  # elements of the stack by tag
-    size, at, last, wrappers = len(page), 0, page.rfind(">"), False
+    size, at, last, wrappers, broken = len(page), 0, page.rfind(">"), False, False
 
     def owner() -> Node:
         return next(n for n in reversed(stack) if n.tag not in INLINE)
@@ -173,9 +196,16 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             lt = size
         if lt > at and not stack[-1].never:
             parts.append(page[at:lt])
+        elif stack[-1].soft is not None:
+            soft[stack[-1].soft] += lt - at
         if lt == size:
             break
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt) if lt < last else None
+        m = None
+        if lt < last:
+            m = None if broken else _TAG.match(page, lt)
+            if not m and (m := _LOOSE.match(page, lt)):
+                # A quote is open to the end of the page: from here on, a tag ends at the next >, so no tag is scanned to the end again.
+                broken = True
         if not m:
             after = page[lt + 1 : lt + 3].lstrip("/")[:1]
             if lt > last and (after.isalpha() or after in ("!", "?")):
@@ -215,7 +245,8 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             close(SIBLINGS[tag], SCOPES[tag])
         parent = stack[-1]
         in_article = parent.marked
-        never, layout, mark = _named(tag, m[3], in_article)
+        never, named, layout, mark = _named(tag, m[3], in_article)
+        named = named and lt not in spared
         if tag in MARKED and not never and not in_article and wrappers:
             # A layout word on a wrapper of the article speaks of the page, not of the article.
             for n in reversed(stack):
@@ -223,17 +254,20 @@ def blocks(page: str) -> list[tuple[Node, str]]:
                     break
                 n.never = n.never is True
             wrappers = False
-        never = never or tag in NEVER or (tag == "header" and not in_article) or parent.never is True
+        never = never or tag in NEVER or (tag == "header" and not in_article)
+        inside = parent.soft if parent.never is True else None
+        soft_at = None if never or parent.never is True and inside is None else inside if inside is not None else lt if named else None
+        never = never or named or parent.never is True
         if tag in INLINE:
             # Inline elements only count where they hide their text, and inside such ones, as their end tags close them alone.
             if never and (parent.never is not True or unclosed[tag] > 0):
-                push(Node(tag, parent, True))
+                push(Node(tag, parent, True, soft=soft_at))
             elif tag in APART and not never:
                 parts.append(" ")
             continue
         state = True if never else "layout" if (layout and not in_article) or parent.never == "layout" else layout
         wrappers = wrappers or state == "layout"
-        push(Node(tag, parent, state, mark))
+        push(Node(tag, parent, state, mark, soft_at))
         if tag == "xmp":
             # Its content is text up to its end tag.
             end = _XMP.search(page, at)
@@ -243,7 +277,7 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             pop(len(stack) - 1)
             at = end.end() if end else size
     flush()
-    return [(n, t) for n, t in out if not n.never]
+    return [(n, t) for n, t in out if not n.never], soft
 
 
 _KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
@@ -286,7 +320,15 @@ def path_scores(found: list[tuple[Node, str]]) -> np.ndarray:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    spared: frozenset[int] = frozenset()
+    while True:
+        found, soft = blocks(page or "", spared)
+        # Where nothing else reads like sentences, what holds most of a page's text is its content, whatever it is called.
+        whole = sum(len(t) for _, t in found) + sum(soft.values())
+        most = {at for at, n in soft.items() if n > MOST * whole}
+        if not most or found and path_scores(found).max() >= SENTENCES:
+            break
+        spared |= most
     if not found:
         return ""
     sizes = np.array([len(t) for _, t in found], dtype=float)

@@ -153,16 +153,42 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind_name(s["kind"]), s["start"], s["end"])), ",")
 
 
+#: Values of letters of one case only, or of digits only, are words or numbers that may stand elsewhere by chance.
+_PLAIN = r"^(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"
+#: A value elsewhere in its text counts where no character beside it could belong to it.
+_EDGE = r"[A-Za-z0-9+/_=-]"
+
+
+def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
+    """``text`` with the values of ``spans`` masked where they stand, and distinctive ones wherever else they stand alone.
+
+    A value is the end of its span. Overlapping values share one mask. A value that is a plain word or
+    number is masked at its span only.
+    """
+    places = F.array_sort(F.transform(spans, lambda s: F.struct((s["end"] - F.char_length(s["value"])).alias("a"), s["end"].alias("z"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(done: Column, p: Column) -> Column:
+        between = F.substr(text, done["at"] + 1, p["a"] - done["at"])
+        fresh = F.concat(done["out"], F.array(between, F.lit(mask)))
+        return F.struct(F.greatest(done["at"], p["z"]).alias("at"), F.when(p["a"] >= done["at"], fresh).otherwise(done["out"]).alias("out"))
+
+    def rest(done: Column) -> Column:
+        return F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1, F.char_length(text)))
+
+    values = F.filter(F.array_distinct(F.transform(spans, lambda s: s["value"])), lambda v: ~v.rlike(_PLAIN))
+    longest = F.array_sort(F.transform(values, lambda v: F.struct((-F.char_length(v)).alias("n"), v.alias("v"))))
+    alone = lambda v: F.concat(F.lit(f"(?<!{_EDGE})\\Q"), v, F.lit(f"\\E(?!{_EDGE})"))
+    elsewhere = lambda t, v: F.when(F.contains(t, v["v"]), F.regexp_replace(t, alone(v["v"]), F.lit(mask))).otherwise(t)
+    return F.aggregate(longest, F.aggregate(places, start, step, rest), elsewhere)
+
+
 def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", mask: str = MASK, **options) -> DataFrame:
-    """``docs`` with every live-looking value masked, wherever it stands in its text; ``chars`` is counted anew."""
+    """``docs`` with every live-looking value masked in its text (see ``masked``); ``chars`` is counted anew."""
     carry = {"_row": F.struct(*docs.columns)}
     out = scan(docs, carry, text, **options)
-    values = F.array_distinct(F.transform(F.filter("spans", lambda s: s["live"]), lambda s: s["value"]))
-    longest = F.array_sort(F.transform(values, lambda v: F.struct((-F.char_length(v)).alias("n"), v.alias("v"))))
-    clean = F.when(
-        F.exists("spans", lambda s: s["live"]),
-        F.aggregate(longest, F.col(f"_row.{text}"), lambda t, v: F.replace(t, v["v"], F.lit(mask))),
-    ).otherwise(F.col(f"_row.{text}"))
+    live = F.filter("spans", lambda s: s["live"])
+    clean = F.when(F.exists("spans", lambda s: s["live"]), masked(F.col(f"_row.{text}"), live, mask)).otherwise(F.col(f"_row.{text}"))
     out = out.select("_row", clean.alias("_text"))
     new = {text: F.col("_text")} | ({chars: F.char_length("_text").cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
     # An unchanged text keeps its own count.

@@ -305,6 +305,34 @@ def test_only_live_values_are_masked(docs):
     assert got[2][0] == rows[1][1] and got[3][0] == rows[2][1]
 
 
+def brute_masked(text, values):
+    """``values``: (start, end) of the live values, and their texts masked elsewhere if they are no plain words."""
+    out, at = "", 0
+    for a, z in sorted(values):
+        if a >= at:
+            out += text[at:a] + secrets.MASK
+        at = max(at, z)
+    out += text[at:]
+    words = {text[a:z] for a, z in values if not re.fullmatch(r"[a-z]+|[A-Z]?[a-z]+|[A-Z]+|[0-9]+", text[a:z])}
+    for v in sorted(words, key=lambda v: (-len(v), v)):
+        out = re.sub(rf"(?<![A-Za-z0-9+/_=-]){re.escape(v)}(?![A-Za-z0-9+/_=-])", secrets.MASK, out)
+    return out
+
+
+def test_words_of_prose_are_masked_at_their_span_only(docs):
+    prose = "api token: because the harbour opened. It closed because of rain; becauseway street."
+    mixed = "Xy9kQ2"
+    rows = [
+        (1, prose), (2, f"secret={mixed}7, and {mixed}7 alone, x{mixed}7 not, {mixed}78 not, ({mixed}7)."),
+        (3, "password=abcdef0123456789abcdef0123 token=\\E$1.b\\Q"), (4, f"ünï 😀 token: {mixed}Zz 😀 {mixed}Zz" * 3),
+    ]
+    got = {r.doc_id: r.text for r in secrets.redact(docs(*rows)).collect()}
+    assert got[1] == prose.replace("because", secrets.MASK, 1)
+    assert got[2] == f"secret={secrets.MASK}, and {secrets.MASK} alone, x{mixed}7 not, {mixed}78 not, ({secrets.MASK})."
+    assert got[3].startswith(f"password={secrets.MASK} token=") and "abcdef" not in got[3]
+    assert got[4].count(secrets.MASK) == 6 and mixed not in got[4] and got[4].count("😀") == 6
+
+
 def test_secret_plans_have_no_python(docs):
     plan = secrets.scan(docs(*SECRETS), {"doc_id": F.col("doc_id")})._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

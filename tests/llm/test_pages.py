@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -64,7 +65,7 @@ def test_deep_and_long_pages_take_linear_time():
 
 
 def test_paths_of_running_text_score_above_links():
-    found = html_text.blocks(f"<div><p><a>one</a></p><p><a>two</a></p></div><section><p>{PROSE}</p><p>{PROSE}</p></section>")
+    found, _ = html_text.blocks(f"<div><p><a>one</a></p><p><a>two</a></p></div><section><p>{PROSE}</p><p>{PROSE}</p></section>")
     scores = html_text.path_scores(found)
     assert [t for _, t in found] == ["one", "two", PROSE, PROSE] and min(scores[2:]) > max(scores[:2])
 
@@ -138,6 +139,42 @@ def test_extract_keeps_rows_and_columns(spark):
     assert html_text.extract(df.limit(0), ["page_id"]).isEmpty()
 
 
+LONGER = "".join(f"<p>{PROSE} {i}</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("before, after", [
+    ('<article class="post-12 type-post category-social tag-share">', "</article>"),
+    ('<article id="search" class="share">', "</article>"),
+    ('<div class="post tag-search">', "</div>"),
+    ('<main><h1>Title</h1><div class="social-policy">', "</div></main>"),
+    ('<main><h1>Title</h1><div class="comments">', "</div></main>"),
+    ('<article><p class="related-work">Work of others, in a sentence, is here.</p><div class="code-comment"><p>Comments in code, too.</p></div>', "</article>"),
+])
+def test_topics_and_the_only_text_of_a_page_are_not_hidden_by_their_class(before, after):
+    text = html_text.main_text(FRAME.format(f'{before}{LONGER}{after}<div class="cookie-notice"><p>{PROSE}</p></div>'))
+    assert all(f"{PROSE} {i}" in text for i in range(6)) and text.count(PROSE) == 6
+    for part in ("Work of others", "Comments in code"):
+        assert (part in text) == (part in before)
+
+
+@pytest.mark.parametrize("name", ["comments-area", "CommentList", "reader-comments", "related-posts", "share_buttons", "cookie-banner", "sidebar-widget", "newsletter-signup"])
+def test_named_parts_are_hidden_even_if_they_are_longer(name):
+    page = FRAME.format(f'<article>{LONGER}</article><div class="{name}">{LONGER.replace("<p>", "<p>Not this. ")}</div><div class="{name} x"><p>Not this.</p></div>')
+    assert "Not this" not in html_text.main_text(page) and html_text.main_text(page).count(PROSE) == 6
+
+
+def test_attributes_of_any_length_and_quotes_that_never_close():
+    svg = "data:image/svg+xml;utf8,<svg>" + "<path d='M1 1'/>" * 3000 + "</svg>"
+    assert html_text.main_text(f'<article>{LONGER}<p>one <img src="{svg}"> two</p></article>').endswith("one two")
+    many = " ".join(f'data-{i}="a > b"' for i in range(400))
+    assert html_text.main_text(f"<article>{LONGER}<p {many}>three, four</p></article>").endswith("three, four")
+    assert PROSE in html_text.main_text(f'<article>{LONGER}<p title="open>five</p></article>')
+    start = time.time()
+    html_text.main_text('<a href="x>' * 100001)
+    html_text.main_text("<a href='x\" >" * 100001)
+    assert time.time() - start < 20
+
+
 # --- WARC
 
 LONG = "<p>ünï " + "x" * 1000 + "</p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
@@ -156,19 +193,22 @@ def archive(spark, tmp_path):
 
 def test_archives_come_back(spark, archive):
     got = sorted(tuple(map(str, r)) for r in warc.read(spark, *archive).collect())
-    want = []
+    want, answered = [], set()
     for i, _, html in RECORDS:
         body = (html or "").encode()
         same = [j for j, _, h in RECORDS if h == html and j is not None]
         first = max(same, default=None) if len(body) >= warc.LEAST else i
-        kind, refers = ("response", None) if first == i else ("revisit", first)
+        response = len(body) < warc.LEAST or first == i and html not in answered
+        if response:
+            answered.add(html)
+        kind, refers = ("response", None) if response else ("revisit", first)
         want.append((i, len(body), hashlib.sha1(body).hexdigest(), kind, refers, True))
     assert got == sorted(tuple(map(str, w)) for w in want)
 
 
 def test_files_are_warc_with_unique_fresh_records(archive):
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted(Path(archive[0]).glob("part-*")))
-    at, ids, kinds = 0, set(), []
+    at, ids, kinds, named = 0, set(), [], set()
     while at < len(raw):
         head, _, rest = raw[at:].partition(b"\r\n\r\n")
         assert head.startswith(b"WARC/1.1\r\n")
@@ -177,11 +217,28 @@ def test_files_are_warc_with_unique_fresh_records(archive):
         assert rest[size : size + 4] == b"\r\n\r\n" and re.fullmatch(rb"<urn:uuid:[0-9a-f-]{36}>", fields[b"WARC-Record-ID"])
         ids.add(fields[b"WARC-Record-ID"])
         kinds.append(fields[b"WARC-Type"])
-        assert b" " not in fields[b"WARC-Target-URI"]
+        if kinds[-1] == b"warcinfo":
+            info = fields[b"WARC-Record-ID"]
+        else:
+            assert b" " not in fields[b"WARC-Target-URI"]
+            named.add(fields[b"WARC-Warcinfo-ID"])
         at += len(head) + 4 + size + 4
-    # rows that repeat page and payload are the same record
-    assert len(kinds) == len(RECORDS) and len(ids) == len(set((r[0], r[2] or "") for r in RECORDS))
-    assert kinds.count(b"revisit") == 4
+    # rows that repeat page and payload are records of their own, one of them a response
+    assert len(kinds) == len(ids) == len(RECORDS) + 1 and named == {info}
+    assert (kinds.count(b"revisit"), kinds.count(b"warcinfo")) == (6, 1)
+
+
+def test_payloads_of_slots_without_revisits_stay_where_they_are(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", f"{i % 40} " + "x" * 1200) for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    plan = warc.records(df, "a", "d")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "Python" not in plan
+    for slots in (1, 7, 1 << 20):  # all, some and next to no payloads pass the shuffle
+        monkeypatch.setattr(warc, "SLOTS", slots)
+        found = warc.read(spark, *warc.write(df, str(tmp_path / str(slots)))).collect()
+        assert {(r.page_id, r.record_type, r.refers_to, r.intact) for r in found} == {
+            (i, "response" if i >= 60 else "revisit", None if i >= 60 else max(j for j in range(100) if j % 40 == i % 40), True) for i in range(100)
+        }
 
 
 def test_an_empty_table_and_another_archive(spark, tmp_path, archive):

@@ -11,7 +11,7 @@ import zlib
 
 import duckdb
 import pytest
-from test_documents import brute_classes, brute_print, brute_spans, words_of
+from test_documents import brute_classes, brute_masked, brute_print, brute_spans, words_of
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -152,18 +152,16 @@ def test_pipeline(spark):
     sources = dict(con.execute("SELECT doc_id, source FROM documents").fetchall())
     rules = {0: secrets.ASSIGN, 1: secrets.ACCESS, 2: secrets.HEX}
     owners = collections.defaultdict(set)
-    found = collections.defaultdict(set)
+    found = collections.defaultdict(list)
     for i, t in rows.items():
         for span in filter(None, brute_spans(t).split(",")):
             kind, a, b = span.split(":")
             value = re.fullmatch(rules[secrets.KINDS.index(kind)].replace("(?i)", ""), t[int(a) : int(b)], re.I if kind == "assign" else 0)
             value = value[2] if kind == "assign" else value[0]
             owners[value].add(sources[i])
-            found[i].add(value)
-    for i, values in found.items():
-        for v in sorted(values, key=lambda v: (-len(v), v)):
-            if len(owners[v]) <= secrets.MAX_OWNERS:
-                rows[i] = rows[i].replace(v, secrets.MASK)
+            found[i].append((int(b) - len(value), int(b), value))
+    for i, spans in found.items():
+        rows[i] = brute_masked(rows[i], [(a, z) for a, z, v in spans if len(owners[v]) <= secrets.MAX_OWNERS])
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(got) == set(rows) and any(found.values()) and leaks
