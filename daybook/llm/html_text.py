@@ -17,8 +17,8 @@ Parts that are named as something else than the article (navigation, footers,
 forms, scripts, adverts, notices, sidebars, reader comments, by tag, role,
 class or id) don't count. A class or id names such a part only if all words of one
 of its tokens do, so topics ("category-social", "related-work") don't; it never hides
-html, body, main and article elements, nor what holds most of the text of a page on which
-nothing else reads like sentences. The id of a heading or an inline element, and inside
+html, body, main and article elements, nor what holds most of a page's text in several
+paragraphs, if nothing else on the page reads like sentences. The id of a heading or an inline element, and inside
 an article that of a section, is an anchor and names nothing. The text of math
 and xmp elements is text. A quoted attribute ends at its closing quote, however long
 it is; behind a quote that never closes, tags end at the next ``>``. Character references are decoded, white space inside
@@ -46,6 +46,8 @@ from pyspark.sql import functions as F
 DEPTH = 200
 #: An element with more than this share of the selected text keeps all of its blocks.
 MOST = 0.5
+#: Paragraphs that a part named as something else must have to be content all the same.
+SEVERAL = 3
 #: Selected paths score at least this part of the page's mean over characters.
 CUT = 0.25
 #: No path needs a score above this one: 80 characters and two marks, about a sentence or two a block.
@@ -319,16 +321,20 @@ def path_scores(found: list[tuple[Node, str]]) -> np.ndarray:
     return (length + more_length) * np.log1p(1.0 + points + more_points)
 
 
+def _most(soft: Counter[int], found: list[tuple[Node, str]]) -> frozenset[int]:
+    whole = sum(len(t) for _, t in found) + sum(soft.values())
+    return frozenset(at for at, n in soft.items() if n > MOST * whole)
+
+
 def main_text(page: str | None) -> str:
+    found, soft = blocks(page or "")
+    # Where nothing else reads like sentences, several paragraphs that do and hold most of a page's text are its content, whatever they are called.
     spared: frozenset[int] = frozenset()
-    while True:
-        found, soft = blocks(page or "", spared)
-        # Where nothing else reads like sentences, what holds most of a page's text is its content, whatever it is called.
-        whole = sum(len(t) for _, t in found) + sum(soft.values())
-        most = {at for at, n in soft.items() if n > MOST * whole}
-        if not most or found and path_scores(found).max() >= SENTENCES:
-            break
+    while (most := _most(soft, found)) and (not found or path_scores(found).max() < SENTENCES):
         spared |= most
+        more, soft = blocks(page or "", spared)
+        if more and (path_scores(more) >= SENTENCES).sum() >= SEVERAL:
+            found = more
     if not found:
         return ""
     sizes = np.array([len(t) for _, t in found], dtype=float)
