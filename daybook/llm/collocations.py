@@ -50,12 +50,14 @@ MOST_BUCKETS = 1 << 30
 #: Words a task counts before it hands them on.
 TALLY = 400_000
 #: Bytes of text that are split at once, and on to the next break.
-SLICE = 1 << 20
+SLICE = 1 << 17
+#: Codes that are searched at once, about, and rows of a batch that leaves a task: large ones cost the JVM memory beside its heap.
+BLOCK, ROWS = 1 << 18, 1 << 14
 #: Parts of the last window, so that a language's phrases are ranked by many tasks first.
 SALTS = 64
 
 #: Positions whose buckets a task holds before it counts them, and phrases before it lists them.
-HELD = 1 << 21
+HELD = 1 << 20
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = b"."
@@ -82,7 +84,8 @@ class _Tally:
     def __init__(self, lang: str, code: Callable[[bytes], int]) -> None:
         self.lang, self.code = lang, code
         self.number: dict[bytes, int] = {_BREAK: 0}
-        self.codes, self.counts = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        # Filled up to as many places as there are words.
+        self.codes, self.counts = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
 
     def take(self, words: list[bytes]) -> np.ndarray:
         coded = pa.array(words, pa.binary()).dictionary_encode()
@@ -90,16 +93,21 @@ class _Tally:
         known = len(self.number)
         at = np.fromiter((self.number.setdefault(w, len(self.number)) for w in distinct), np.int64, len(distinct))
         fresh = [distinct[i] for i in np.flatnonzero(at >= known)]
-        self.codes = np.append(self.codes, np.fromiter(map(self.code, fresh), np.uint64, len(fresh)))
-        self.counts = np.append(self.counts, np.zeros(len(fresh), np.int64))
+        size = known + len(fresh)
+        if size > len(self.codes):
+            more = max(size, 2 * len(self.codes)) - len(self.codes)
+            self.codes = np.append(self.codes, np.zeros(more, np.uint64))
+            self.counts = np.append(self.counts, np.zeros(more, np.int64))
+        self.codes[known:size] = np.fromiter(map(self.code, fresh), np.uint64, len(fresh))
         self.counts[at] += np.bincount(index, minlength=len(distinct))
         return self.codes[at][index]
 
     def flush(self) -> Iterator[dict]:
         """Words, codes and counts so far, in columns."""
-        words = list(self.number)[1:]
-        if words:
-            yield {"lang": [self.lang] * len(words), "word": words, "code": self.codes[1:].view(np.int64), "n": self.counts[1:]}
+        words = list(self.number)
+        for a in range(1, len(words), ROWS):
+            some = words[a : a + ROWS]
+            yield {"lang": [self.lang] * len(some), "word": some, "code": self.codes[a : a + len(some)].view(np.int64), "n": self.counts[a : a + len(some)]}
         self.__init__(self.lang, self.code)
 
 
@@ -183,15 +191,25 @@ def survivors(codes: np.ndarray, filters: dict[int, Bits], longest: int) -> Iter
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Codes of some rows at a time; every row ends where a piece does."""
+    held: list[np.ndarray] = []
     for batch in batches:
         for row in batch.column(0):
-            yield np.frombuffer(row.as_py(), np.uint64)
+            held.append(np.append(np.frombuffer(row.as_py(), np.uint64), np.uint64(0)))
+            if sum(map(len, held)) >= BLOCK:
+                yield np.concatenate(held)
+                held = []
+    if held:
+        yield np.concatenate(held)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """Like ``cut``, in small row groups, as a reader takes a whole one at a time."""
+    """Like ``cut``, in small row groups: a writer holds one, and a reader takes a whole one at a time.
+
+    Rows are large, so their size is looked at more often than every hundred rows.
+    """
     path = shared_folder(df.sparkSession, name)
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 16).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -246,11 +264,23 @@ def _tally_bits(tallies: DataFrame, power: int, least: int) -> Bits:
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - power)
+        slots: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def added() -> pa.RecordBatch:
+            distinct, which = np.unique(np.concatenate(slots), return_inverse=True)
+            total = np.bincount(which, weights=np.concatenate(counts))
+            slots.clear()
+            counts.clear()
+            return _slices(1, distinct, total, least)
+
         for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            slots, which = np.unique((hashes >> shift).astype(np.uint32), return_inverse=True)
-            if len(slots):
-                yield _slices(1, slots, np.bincount(which, weights=batch.column(1).to_numpy(zero_copy_only=False)), least)
+            slots.append((batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> shift).astype(np.uint32))
+            counts.append(batch.column(1).to_numpy(zero_copy_only=False))
+            if sum(map(len, slots)) > HELD // 4:
+                yield added()
+        if slots:
+            yield added()
 
     return _frequent_slots(tallies.select("code", "n").mapInArrow(tell, _SLICE_ROW), range(1, 2), power, least)[1]
 
@@ -332,18 +362,20 @@ def _candidates(codes: DataFrame, filters: dict[int, Bits], longest: int) -> Dat
         held: list[np.ndarray] = []
         for block in _blocks(batches):
             held += [_distinct(block, at, hashes, k) for k, at, hashes in survivors(block, sent.value, longest) if len(at)]
-            if sum(map(len, held)) > HELD // 4:
+            if sum(map(len, held)) > HELD // 16:
                 held = [np.unique(np.concatenate(held), axis=0)]
-                if len(held[0]) > HELD // 8:
-                    yield _phrases(held.pop())
+                if len(held[0]) > HELD // 32:
+                    yield from _phrases(held.pop())
         if held:
-            yield _phrases(np.unique(np.concatenate(held), axis=0))
+            yield from _phrases(np.unique(np.concatenate(held), axis=0))
 
     return codes.mapInArrow(find, ", ".join(f"{w} long" for w in _WORDS)).distinct()
 
 
-def _phrases(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, j]).view(np.int64)) for j in range(LONGEST)], schema=_PHRASE)
+def _phrases(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(rows), ROWS):
+        some = rows[a : a + ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, j]).view(np.int64)) for j in range(LONGEST)], schema=_PHRASE)
 
 
 class DoubleArray:
@@ -463,14 +495,14 @@ def _counted(codes: DataFrame, filters: dict[int, Bits], trie: DoubleArray) -> D
         for block in _blocks(batches):
             for _, at, _ in survivors(block, near, 2):
                 met += trie.accepted(block, at)
-            if sum(map(len, met)) > HELD:
+            if sum(map(len, met)) > HELD // 4:
                 counts += np.bincount(np.concatenate(met), minlength=len(counts))
                 met.clear()
         if met:
             counts += np.bincount(np.concatenate(met), minlength=len(counts))
         found = np.flatnonzero(counts)
-        for a in range(0, len(found), 1 << 16):
-            some = found[a : a + (1 << 16)]
+        for a in range(0, len(found), ROWS):
+            some = found[a : a + ROWS]
             words = [pa.array(np.ascontiguousarray(trie.rows[some, j]).view(np.int64)) for j in range(LONGEST)]
             yield pa.RecordBatch.from_arrays([*words, pa.array(counts[some])], schema=_COUNTED)
 
