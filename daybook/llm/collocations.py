@@ -45,7 +45,7 @@ LONGEST = 5
 #: The best phrases of a language that are returned.
 BEST = 2000
 #: Phrases in one trie.
-SHARD = 500_000
+SHARD = 250_000
 MOST_BUCKETS = 1 << 30
 #: Words a task counts before it hands them on.
 TALLY = 400_000
@@ -379,52 +379,66 @@ def _phrases(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 class DoubleArray:
-    """A trie of phrases: from state s a word goes to ``base[s] + word``, if ``check`` there is s."""
+    """A trie of phrases over the digits of their words' numbers: from state s digit d goes to ``base[s] + d``, if ``check`` there is s.
+
+    Words are numbered, and a number has ``digits`` digits of ``RADIX`` values, so that no state has more children than that
+    and the arrays stay close to the number of states.
+    """
+
+    RADIX_BITS = 8
+    RADIX = 1 << RADIX_BITS
 
     def __init__(self, rows: np.ndarray) -> None:
         self.words = np.unique(rows[rows != 0])
-        symbols = np.searchsorted(self.words, rows).astype(np.int64)
-        symbols[rows == 0] = -1
-        order = np.lexsort(symbols.T[::-1])
-        self.rows, symbols = rows[order], symbols[order]
-        size = len(self.words)
-        room = 3 * size + 2 * int((symbols >= 0).sum()) + 64
+        numbers = np.searchsorted(self.words, rows).astype(np.int64)
+        numbers[rows == 0] = -1
+        order = np.lexsort(numbers.T[::-1])
+        self.rows, numbers = rows[order], numbers[order]
+        self.digits = max(1, -(-(len(self.words) - 1).bit_length() // self.RADIX_BITS))
+        room = int((numbers >= 0).sum()) + 4 * self.RADIX
         self.base, self.check = np.zeros(room, np.int32), np.full(room, -1, np.int32)
-        self.free = size + 1  # slots before it are the root's, or taken but for a few
-        self.last = size  # no slot behind it is taken
+        self.free = self.RADIX + 1  # slots before it are the root's, or taken but for a few
+        self.last = self.RADIX  # no slot behind it is taken
         self.base[0] = 1
         state = np.zeros(len(rows), np.int64)
         for j in range(rows.shape[1]):
-            at = np.flatnonzero(symbols[:, j] >= 0)
+            at = np.flatnonzero(numbers[:, j] >= 0)
             if not len(at):
                 break
-            parent, word = state[at], symbols[at, j]
-            new = np.append(True, (np.diff(parent) != 0) | (np.diff(word) != 0))
-            slots = self._place(parent[new], word[new])
-            state[at] = slots[np.cumsum(new) - 1]
-        self.accept = np.full(len(self.check), -1, np.int32)
+            for shift in self.shifts():
+                parent, digit = state[at], (numbers[at, j] >> shift) & (self.RADIX - 1)
+                new = np.append(True, (np.diff(parent) != 0) | (np.diff(digit) != 0))
+                slots = self._place(parent[new], digit[new])
+                state[at] = slots[np.cumsum(new) - 1]
+        # A base of any state and any digit stay inside the arrays.
+        size = self.last + self.RADIX + 1
+        self._grow(size)
+        self.base, self.check = self.base[:size].copy(), self.check[:size].copy()
+        self.accept = np.full(size, -1, np.int32)
         self.accept[state] = np.arange(len(rows))
 
+    def shifts(self) -> range:
+        return range(self.RADIX_BITS * (self.digits - 1), -1, -self.RADIX_BITS)
+
     def _grow(self, size: int) -> None:
         if size > len(self.check):
             more = max(size, 2 * len(self.check)) - len(self.check)
             self.base = np.append(self.base, np.zeros(more, np.int32))
             self.check = np.append(self.check, np.full(more, -1, np.int32))
 
-    def _place(self, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def _place(self, parents: np.ndarray, digits: np.ndarray) -> np.ndarray:
         """Slots for children, given in order of their parents."""
-        slots = np.zeros(len(words), np.int64)
+        slots = np.zeros(len(digits), np.int64)
         if parents[0] == 0:
-            slots = 1 + words
+            slots = 1 + digits
             self.check[slots] = 0
             return slots
         starts = np.flatnonzero(np.append(True, np.diff(parents) != 0))
-        sizes = np.diff(np.append(starts, len(words)))
-        width = len(self.words)
+        sizes = np.diff(np.append(starts, len(digits)))
         for g in np.argsort(-sizes, kind="stable"):
             if sizes[g] == 1:
                 break
-            own = words[starts[g] : starts[g] + sizes[g]]
+            own = digits[starts[g] : starts[g] + sizes[g]]
             base = self._fit(own)
             slots[starts[g] : starts[g] + sizes[g]] = base + own
             self.last = max(self.last, base + int(own[-1]))
@@ -432,36 +446,33 @@ class DoubleArray:
             self.base[parents[starts[g]]] = base
         lone = starts[sizes == 1]
         if len(lone):
-            self._grow(self.free + len(words) + len(lone) + width + 1)
-            open_ = np.flatnonzero(self.check[self.free :] < 0)[: len(lone)] + self.free
-            while len(open_) < len(lone):
-                self._grow(len(self.check) + len(lone) + width)
-                open_ = np.flatnonzero(self.check[self.free :] < 0)[: len(lone)] + self.free
+            self._grow(self.last + len(lone) + 2)
+            open_ = np.flatnonzero(self.check[self.free : self.last + len(lone) + 2] < 0)[: len(lone)] + self.free
             slots[lone] = open_
             self.check[open_] = parents[lone]
-            self.base[parents[lone]] = open_ - words[lone]
+            self.base[parents[lone]] = open_ - digits[lone]
             self.free = int(open_[-1]) + 1
             self.last = max(self.last, int(open_[-1]))
-        # A base of any state and any word stay inside the arrays.
-        self._grow(int(self.base.max()) + width + 1)
         return slots
 
     def _fit(self, own: np.ndarray) -> int:
         """A base at which all of a state's children find free slots."""
         shape = own - own[0]
         at = self.free
-        for _ in range(8):
-            self._grow(at + 512 + int(shape[-1]))
-            open_ = np.flatnonzero(self.check[at : at + 256] < 0)[: max(1, (1 << 20) // len(own))] + at
+        while at <= self.last:
+            self._grow(at + 2 * self.RADIX)
+            open_ = np.flatnonzero(self.check[at : at + self.RADIX] < 0) + at
             if len(open_):
                 fits = (self.check[open_[:, None] + shape] < 0).all(axis=1)
                 if fits.any():
                     return int(open_[np.argmax(fits)] - own[0])
-            if at == self.free and len(open_) < 16 and len(own) < 1 << 16:
-                self.free += 256
-            at += 256
+            if at == self.free and len(open_) < 16:
+                self.free += self.RADIX
+            at += self.RADIX
+            if at > self.free + 6 * self.RADIX:
+                break
         at = max(self.last + 1, self.free)
-        self._grow(at + int(shape[-1]) + 1)
+        self._grow(at + self.RADIX)
         return int(at - own[0])
 
     def look_up(self, codes: np.ndarray) -> np.ndarray:
@@ -478,9 +489,10 @@ class DoubleArray:
             word = self.look_up(codes[at + j])
             known = word >= 0
             at, states, word = at[known], states[known], word[known]
-            after = self.base[states] + word
-            moved = self.check[after] == states
-            at, states = at[moved], after[moved]
+            for shift in self.shifts():
+                after = self.base[states] + ((word >> shift) & (self.RADIX - 1))
+                moved = self.check[after] == states
+                at, states, word = at[moved], after[moved], word[moved]
             found = self.accept[states]
             yield found[found >= 0]
 
