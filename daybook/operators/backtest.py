@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -197,3 +199,51 @@ def within(fold_rows: DataFrame, start: date | None = None, end: date | None = N
     if end is not None:
         rows = rows.filter(F.col("target") < F.lit(end))
     return rows
+
+
+Model = Callable[[np.ndarray, int], np.ndarray]
+
+
+def outside_forecasts(
+    df: DataFrame, keys: Sequence[str], ts: str, y: str, min_train: int, horizon: int, step: int, model: Model, most: int = 40_000
+) -> DataFrame:
+    """Forecasts of any function of (training values, steps) at the origins of ``folds``: keys, origin, target, forecast.
+
+    A series is one group of Arrow rows in one task, which is why its length is bounded: rolled-up
+    series have a row per calendar period, and one of more than ``most`` rows stops the job. The function
+    may return fewer steps than asked for; targets behind the last row are left out.
+    """
+    rows = df.select(*keys, ts, F.col(y).cast("double").alias("_y"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    when = rows.schema[ts].dataType.simpleString()
+
+    def forecast(series: pa.Table) -> pa.Table:
+        series = series.sort_by(ts)
+        n = series.num_rows
+        if n > most:
+            raise ValueError(f"a series of {n} rows, more than {most}")
+        values = series.column("_y").to_numpy()
+        origins, targets, found = [], [], []
+        for end in range(min_train, n - horizon + 1, step):
+            ahead = np.asarray(model(values[:end], horizon), float)[: n - end]
+            origins += [end - 1] * len(ahead)
+            targets += range(end, end + len(ahead))
+            found += ahead.tolist()
+        out = {k: pa.array([series.column(k)[0].as_py()] * len(found), series.schema.field(k).type) for k in keys}
+        out |= {"origin": series.column(ts).take(pa.array(origins, pa.int64())), "target": series.column(ts).take(pa.array(targets, pa.int64()))}
+        return pa.table(out | {"forecast": pa.array(found, pa.float64())})
+
+    return rows.groupBy(*keys).applyInArrow(forecast, f"{kind}, origin {when}, target {when}, forecast double")
+
+
+def align(fold_rows: DataFrame, forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A forecast table beside the folds, one row per (keys, origin, target) of either.
+
+    ``status`` is ``scored`` where both have it, ``missing`` where the forecast lacks a target, ``extra`` where no
+    fold asks for it. Scores belong to the scored rows alone, the intersection.
+    """
+    on = [*keys, "origin", "target"]
+    left = fold_rows.select(*on, "fold", "step", "actual", F.lit(True).alias("_asked"))
+    right = forecasts.select(*on, "forecast", F.col("forecast").isNotNull().alias("_given"))
+    status = F.when(F.col("_asked").isNull(), "extra").when(F.col("_given"), "scored").otherwise("missing")
+    return left.join(right, on, "full").select(*on, "fold", "step", "actual", "forecast", status.alias("status"))

@@ -50,21 +50,32 @@ def duplicates(df: DataFrame, *cols: str) -> DataFrame:
 def check(table: str, df: DataFrame, rules: Rules) -> DataFrame:
     """table, test, column, failures, passed.
 
-    All row tests of a table are counted in one scan and one aggregate; a
-    uniqueness test groups by its column, with counts merged map-side.
+    All row tests of a table are counted in one scan and one aggregate, with the
+    table's uniqueness test if it has a single one; each of several groups by its
+    column in a pass of its own. Counts are merged map-side.
     """
-    out = []
     tests = _row_tests(rules)
-    if tests:
-        counts = df.agg(*[F.count_if(bad).alias(f"t{i}") for i, (_, _, bad) in enumerate(tests)])
+    counts = [F.count_if(bad).alias(f"t{i}") for i, (_, _, bad) in enumerate(tests)]
+    if len(rules.unique) == 1:
+        # One pass for all tests: rows meet by the unique column, and its repeats are counted with the row tests.
+        key = F.col(rules.unique[0])
+        repeated = F.count_if(F.col("_key").isNotNull() & (F.col("_n") > 1)).alias("u0")
+        grouped = df.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"), *counts)
+        df, counts, unique = grouped, [F.coalesce(F.sum(f"t{i}"), F.lit(0)).alias(f"t{i}") for i in range(len(tests))] + [repeated], rules.unique
+    else:
+        unique = ()
+    kinds = [*tests, *[("unique", c, None) for c in unique]]
+    names = [*[f"t{i}" for i in range(len(tests))], *[f"u{i}" for i in range(len(unique))]]
+    out = []
+    if kinds:
         rows = F.array(
             *[
-                F.struct(F.lit(kind).alias("test"), F.lit(c).alias("column_name"), F.col(f"t{i}").alias("n_failures"))
-                for i, (kind, c, _) in enumerate(tests)
+                F.struct(F.lit(kind).alias("test"), F.lit(c).alias("column_name"), F.col(n).alias("n_failures"))
+                for (kind, c, _), n in zip(kinds, names, strict=True)
             ]
         )
-        out.append(counts.select(F.inline(rows)))
-    for c in rules.unique:
+        out.append(df.agg(*counts).select(F.inline(rows)))
+    for c in rules.unique if not unique else ():
         found = duplicates(df, c).agg(F.count(F.lit(1)).alias("n_failures"))
         out.append(found.select(F.lit("unique").alias("test"), F.lit(c).alias("column_name"), "n_failures"))
     report = reduce(DataFrame.unionByName, out)

@@ -113,3 +113,28 @@ def level_rollup(fact: DataFrame, levels: Sequence[Sequence[str]] = ((), ("secto
         round_to(F.col("occupied") / F.nullif("capacity", F.lit(0)) * 100, 2).alias("ratio_of_sums"),
         (F.floor(F.col("rate_units") / F.col("n_rates") + 0.5) / 100.0).alias("mean_of_rates"),
     )
+
+
+def day_bits(fact: DataFrame, keys: Sequence[str], day: str = "occupancy_date") -> DataFrame:
+    """One row per (keys, month) with the observed days as bits: distinct days that can be added up.
+
+    Distinct counts of any coarser key, of months, and of weeks come from this
+    table by OR, where counting distinct days would expand every row anew.
+    """
+    bit = F.expr(f"shiftleft(1, day(`{day}`) - 1)")
+    return fact.filter(F.col(day).isNotNull()).groupBy(*keys, dates.month_start(day).alias("month_start")).agg(F.bit_or(bit).alias("days"))
+
+
+def distinct_days(bits: DataFrame, keys: Sequence[str], period: str = "month") -> DataFrame:
+    """Distinct days per (keys, month or ISO week), from ``day_bits`` of these or finer keys."""
+    if period == "month":
+        name, rows, merged = "month_start", bits, "days"
+    else:
+        # A month's bits as those of the weeks it has days in, seven bits from Monday; weeks that months share meet in the aggregate.
+        name, merged = "week_start", "_week"
+        weeks = F.sequence(dates.week_start("month_start"), F.last_day("month_start"), F.expr("interval 7 days"))
+        rows = bits.select("*", F.explode(weeks).alias(name))
+        shift = F.datediff(name, "month_start")
+        moved = F.when(shift >= 0, F.expr("shiftright(days, datediff(week_start, month_start))")).otherwise(F.expr("shiftleft(days, datediff(month_start, week_start))"))
+        rows = rows.withColumn(merged, moved.bitwiseAND(F.lit(127))).filter(F.col(merged) != 0)
+    return rows.groupBy(*keys, name).agg(F.bit_count(F.bit_or(merged)).cast("long").alias("n_days"))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions import dates, metrics, text
 from daybook.functions.numbers import exact_mean, exact_sum, lenient_double, lenient_int, round_to, scaled
-from daybook.operators import backtest, marts, quality, regression, reports, rollups, running, series, staging, stationarity
+from daybook.operators import backtest, marts, ordered, quality, regression, reports, rollups, running, series, staging, stationarity
 from daybook.plans import bindings as b
 from daybook.plans import models
 from daybook.plans import oracle as o
 from daybook.plans.bindings import Inputs
 from daybook.session import pin_session, shared_folder
-from daybook.sources import calendar, landed, lookups, sinks
+from daybook.sources import calendar, landed, lookups, sinks, versions
 from daybook.sources.registry import Sources
 from daybook.streaming import late
 
@@ -688,7 +689,8 @@ def _check_sql(table: str, rules: quality.Rules) -> str:
     ),
 )
 def _(t: Inputs) -> DataFrame:
-    return models.data_tests(models.write_staging(t.spark, raw_sources(t)))
+    """Every test as an aggregate over its plan: a report writes no staging table."""
+    return models.data_tests(models.staging_models(t.spark, raw_sources(t)))
 
 
 @query(
@@ -1063,17 +1065,112 @@ def _(t: Inputs) -> DataFrame:
     return out.select("series", "n", *[round_to(c, 6).alias(c) for c in ("durbin_watson", "skew", "kurtosis", "jarque_bera", "jb_p")])
 
 
+def line_ahead(train: np.ndarray, horizon: int) -> np.ndarray:
+    """A straight line through all values; no opinion beyond ten steps."""
+    slope, level = np.polyfit(np.arange(len(train)), train, 1)
+    return level + slope * (len(train) + np.arange(min(horizon, 10)))
+
+
 @query(
     "model_fold_alignment",
     o.sql(
-        "SELECT series, fold, origin, target, step, round(actual, 6) AS actual, round(naive, 6) AS naive FROM weekly_folds",
-        "weekly_folds",
+        "SELECT coalesce(w.series, x.series) AS series, coalesce(w.origin, x.origin) AS origin, coalesce(w.target, x.target) AS target, w.fold, w.step, "
+        "round(w.actual, 6) AS actual, x.drift AS forecast, CASE WHEN w.series IS NULL THEN 'extra' WHEN x.series IS NULL THEN 'missing' ELSE 'scored' END "
+        "AS status FROM baseline_folds w FULL JOIN (SELECT * FROM outside_folds WHERE step <= 10) x ON w.series = x.series AND w.origin = x.origin AND w.target = x.target",
+        "baseline_folds",
+        "outside_folds",
     ),
 )
 def _(t: Inputs) -> DataFrame:
-    """Origins, targets and actuals that any model of the weekly backtest has to meet."""
-    rows = weekly_folds(t).select("series", "fold", "origin", "target", "step", "actual", "naive")
-    return rows.withColumns({c: round_to(c, 6) for c in ("actual", "naive")})
+    """A model from outside, run per series by a grouped function, beside the targets of the weekly backtest.
+
+    It starts four weeks early and looks ten weeks ahead, so it has targets that no fold asks for, and lacks others.
+    """
+    weeks = written(t, weekly_filled(t), "weeks")
+    asked = backtest.folds(weeks, SERIES, "week_start", "y", 104, 12, 4)
+    given = backtest.outside_forecasts(weeks, SERIES, "week_start", "y", 100, 12, 4, line_ahead)
+    rows = backtest.align(asked, given, SERIES)
+    return rows.withColumns({c: round_to(c, 6) for c in ("actual", "forecast")})
+
+
+@query(
+    "long_series",
+    "WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 7 < 3 THEN value END AS value, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events), "
+    "f AS (SELECT *, lag(value, 3) OVER (ORDER BY idx) AS lag3, value - lag(value) OVER (ORDER BY idx) AS diff, "
+    "last_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) OVER (ORDER BY idx) AS i0, last_value(value IGNORE NULLS) OVER (ORDER BY idx) AS v0, "
+    "first_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1, "
+    "first_value(value IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1 FROM e) "
+    "SELECT event_id, idx, value, lag3, round(diff, 6) AS diff, round(CASE WHEN value IS NOT NULL THEN value WHEN i1 IS NULL THEN v0 "
+    "ELSE v0 + (v1 - v0) * (CAST(idx - i0 AS DOUBLE) / (i1 - i0)) END, 6) AS filled FROM f",
+)
+def _(t: Inputs) -> DataFrame:
+    """All events as one series, four values of seven unknown: position, lag, step and interpolation without a key."""
+    value = F.when(F.col("event_id") % 7 < 3, F.col("value")).alias("value")
+    rows = ordered.lay_out(t.table("events").select("event_id", "ts", value), ["ts", "event_id"])
+    rows = ordered.indexed(ordered.differenced(ordered.lagged(rows, "value", 3, "lag3"), "value"))
+    rows = ordered.interpolated(rows, "value", "filled")
+    return rows.select("event_id", "idx", "value", "lag3", round_to("diff", 6).alias("diff"), round_to("filled", 6).alias("filled"))
+
+
+_DAY_LEVELS = {"system": None, "sector": "sector", "location": "location_id"}
+
+
+@query(
+    "distinct_days",
+    o.sql(
+        " UNION ALL ".join(
+            f"SELECT '{level}' AS level, {f'CAST({key} AS VARCHAR)' if key else 'NULL'} AS key, '{period}' AS period, "
+            f"{start('occupancy_date')} AS period_start, count(DISTINCT occupancy_date) AS n_days FROM fact GROUP BY ALL"
+            for level, key in _DAY_LEVELS.items()
+            for period, start in (("month", o.month), ("week", o.week))
+        ),
+        "fact",
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    """Observed days of every level and period, all from one stored table of day bits."""
+    bits = written(t, rollups.day_bits(t.fact(), ["sector", "location_id"]), "day-bits")
+    parts = []
+    for level, key in _DAY_LEVELS.items():
+        for period in ("month", "week"):
+            days = rollups.distinct_days(bits, [key] if key else [], period)
+            shown = F.col(key).cast("string") if key else F.lit(None).cast("string")
+            parts.append(days.select(F.lit(level).alias("level"), shown.alias("key"), F.lit(period).alias("period"), F.col(f"{period}_start").alias("period_start"), "n_days"))
+    return landed.stack(*parts)
+
+
+# --- versioned loads -------------------------------------------------------------------------
+
+
+@query(
+    "versioned_load",
+    "SELECT event_type AS resource, CAST(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 2 ELSE 1 END AS INT) AS version, "
+    "CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN count(*) ELSE count(*) FILTER (WHERE event_id % 5 <> 0) END AS n_rows, "
+    "CAST(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN sum(CAST(round(value * 100) AS BIGINT)) "
+    "ELSE sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_id % 5 <> 0) END AS BIGINT) AS total FROM events GROUP BY 1",
+)
+def _(t: Inputs) -> DataFrame:
+    """Events by type, loaded twice: the second time only the first type has changed, and only its files are read.
+
+    The third load fails after writing a resource; readers stay with the second.
+    """
+    spark, root = t.spark, shared_folder(t.spark, "versions")
+    events = t.table("events").select("event_id", "event_type", scaled("value", 2).alias("units"))
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a few types
+    part = events.filter(F.col("event_id") % 5 != 0)
+    of = lambda rows, kind: lambda: rows.filter(F.col("event_type") == kind)
+
+    def fail() -> DataFrame:
+        raise RuntimeError("unreadable")
+
+    versions.load(spark, root, {k: ("part", of(part, k)) for k in kinds})
+    versions.load(spark, root, {k: ("all", of(events, k)) if k == kinds[0] else ("part", fail) for k in kinds})
+    try:
+        versions.load(spark, root, {k: ("new", of(events, k) if k == kinds[0] else fail) for k in kinds})
+    except RuntimeError:
+        pass  # the failed load this query is about
+    sums = versions.read(spark, root).groupBy("resource").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("units").alias("total"))
+    return versions.manifest(spark, root).select("resource", "version").join(sums, "resource")
 
 
 # --- incremental ingest ----------------------------------------------------------------------

@@ -41,7 +41,7 @@ def write_staging(spark: SparkSession, raw: Sources, out: str | None = None) ->
 
 
 def data_tests(models: dict[str, DataFrame]) -> DataFrame:
-    """The 18 data tests of the staging tables."""
+    """The 18 data tests of the staging tables, stored ones or plans: each is an aggregate that writes nothing."""
     return quality.report({name: (models[name], rules) for name, rules in quality.STAGING_RULES.items()})
 
 

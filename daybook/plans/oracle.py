@@ -446,6 +446,7 @@ def _trend_season(penalty: float = 2.0) -> None:
 
 CTES["baseline_folds"] = (("weekly_filled",), folds_of("weekly_filled", "week_start", "y", "series", 104, 12, 4, 52, True))
 _trend_season()
+CTES["outside_folds"] = (("weekly_filled",), folds_of("weekly_filled", "week_start", "y", "series", 100, 12, 4, None, True))
 CTES["rate_series"] = (
     ("full_months", "rates_monthly"),
     "SELECT series, month_start, occupancy_rate, avg_policy_rate FROM full_months JOIN rates_monthly USING (month_start)",

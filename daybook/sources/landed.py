@@ -150,20 +150,20 @@ def stack(*frames: DataFrame) -> DataFrame:
 def first_available(sources: Sequence[DataFrame], path: str, years: Sequence[int] | None = None, key: str = "_source_year") -> DataFrame:
     """Per year, the rows of the first source that has any; a year no source has is skipped.
 
-    Every source is scanned once, into folders by year and source below ``path``.
-    Which source comes first for a year is then known from the folders alone, as
-    a table of one row per year, and only the chosen folders are read.
+    Which years a source has is one aggregate over its year column; the chosen
+    (year, source) pairs, a row per year, are written below ``path`` and filter every
+    source's own scan. Rows are neither copied nor shuffled.
     """
-    ranked = [df.withColumn("_rank", F.lit(i)) for i, df in enumerate(sources)]
-    tagged = stack(*ranked)
-    if years is not None:
-        tagged = tagged.filter(F.col(key).isin(*years))
-    tagged.write.partitionBy(key, "_rank").parquet(path)
-    landed = sources[0].sparkSession.read.schema(tagged.schema).parquet(path)
-    best = landed.groupBy(F.col(key).alias("_year")).agg(F.min("_rank").alias("_best"))
-    chosen = F.col(key).eqNullSafe(F.col("_year")) & (F.col("_rank") == F.col("_best"))
-    columns = [c for c in tagged.columns if c != "_rank"]
-    return landed.join(F.broadcast(best), chosen).select(*columns)
+    sources = [df.filter(F.col(key).isin(*years)) if years is not None else df for df in sources]
+    have = [df.groupBy(F.col(key).alias("_year")).agg(F.lit(i).alias("_rank")) for i, df in enumerate(sources)]
+    stack(*have).groupBy("_year").agg(F.min("_rank").alias("_best")).write.parquet(path)
+    best = sources[0].sparkSession.read.schema(f"_year {sources[0].schema[key].dataType.simpleString()}, _best int").parquet(path)
+
+    def chosen(i: int, df: DataFrame) -> DataFrame:
+        mine = F.broadcast(best.filter(F.col("_best") == i).select("_year"))
+        return df.join(mine, F.col(key).eqNullSafe(F.col("_year")), "left_semi")
+
+    return stack(*[chosen(i, df) for i, df in enumerate(sources)])
 
 
 def pick_resources(catalog: DataFrame, fmt: str = "CSV") -> DataFrame:
