@@ -21,14 +21,16 @@ multiplicity and carried columns; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -92,9 +94,33 @@ def byte_characters() -> dict[int, str]:
 
 
 @functools.cache
-def _tokenizer(spec: str) -> tuple[Tokenizer, frozenset[str]]:
+def _tokenizer(spec: str) -> tuple[Tokenizer, frozenset[str], Callable[[bytes], list[int]]]:
+    """The tokenizer, its added tokens, and its BPE model as a function of a word's bytes."""
     out = Tokenizer.from_str(spec)
-    return out, frozenset(t.content for t in out.get_added_tokens_decoder().values())
+    return out, frozenset(t.content for t in out.get_added_tokens_decoder().values()), _merger(spec) or _model(out)
+
+
+def _model(tokenizer: Tokenizer) -> Callable[[bytes], list[int]]:
+    return lambda word: [t.id for t in tokenizer.model.tokenize(word.decode("latin-1").translate(_AS_CHARACTERS))]
+
+
+def _merger(spec: str) -> Callable[[bytes], list[int]] | None:
+    """The same merges from a table of ranks, which is several times as fast; None where it could differ.
+
+    A table joins neighbours whenever their bytes are a piece, the model only if they are one of its pairs. Where pieces are
+    numbered in the order of their merges, and every byte is a piece, both do the same: neighbours whose bytes are a piece have
+    come about by earlier merges inside these bytes alone, as they had when the pair was made.
+    """
+    model = json.loads(spec)["model"]
+    vocab, to_byte = model["vocab"], {c: b for b, c in byte_characters().items()}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab[a + b] for a, b in pairs]
+    ranks = {bytes(to_byte[c] for c in p): i for p, i in vocab.items() if all(c in to_byte for c in p)}
+    bytes_ = [ranks.get(bytes([b])) for b in range(256)]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or None in bytes_ or any(a >= b for a, b in itertools.pairwise([max(bytes_), *made])) or len(ranks) != 256 + len(made):
+        return None
+    return tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
 _AS_CHARACTERS = byte_characters()
@@ -106,15 +132,14 @@ def encode_each(spec: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words (as ``Vocabulary.words`` splits them) in a row, and the number of each word's ids.
 
     ASCII words and Latin letters are sure to be one word to the library too and
-    go to its BPE model directly; all others, added tokens too, take its whole way.
+    go to its merges directly; all others, added tokens too, take its whole way.
     """
-    tokenizer, added = _tokenizer(spec)
-    model = tokenizer.model.tokenize
+    tokenizer, added, merged = _tokenizer(spec)
     found: list[list[int] | None] = []
     other = []
     for i, w in enumerate(words):
         if w not in added if w.isascii() else max(w) <= _LATIN and w.lstrip(" ").isalpha():
-            found.append([t.id for t in model(w.encode().decode("latin-1").translate(_AS_CHARACTERS))])
+            found.append(merged(w.encode()))
         else:
             found.append(None)
             other.append(i)
@@ -122,7 +147,7 @@ def encode_each(spec: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for i, e in zip(other, tokenizer.encode_batch([words[i] for i in other], add_special_tokens=False), strict=True):
             found[i] = e.ids
     sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(sizes.sum()))
+    flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))
     return flat, sizes
 
 

@@ -1,6 +1,7 @@
 """Operators over documents against brute force, on small and awkward fixtures."""
 
 import collections
+import json
 import random
 import re
 import struct
@@ -28,6 +29,21 @@ def words_of(text):
     return re.findall(r"[^\x20\x09-\x0d]+", text or "")
 
 
+def test_merges_by_rank_equal_the_model(docs):
+    spec = vocabulary().text
+    tokenizer, _, merged = bpe._tokenizer(spec)
+    model = bpe._model(tokenizer)
+    assert bpe._merger(spec) is not None
+    rng = random.Random(12)
+    parts = [" ", "a", "e", "th", "ing", "é", "ü", "1", "00", "--", "==", "  ", "\n", ".", "中", "😀", "Z", "aaaa", "\x00"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(20000)] + ["a" * n for n in range(1, 200)]
+    assert all(merged(w.encode()) == model(w.encode()) for w in words)
+    # merges out of the order of their ids, or a byte without a piece: the model itself is used
+    other = json.loads(spec)
+    other["model"]["merges"][5], other["model"]["merges"][6] = other["model"]["merges"][6], other["model"]["merges"][5]
+    assert bpe._merger(json.dumps(other)) is None
+
+
 # --- quality rules
 
 
