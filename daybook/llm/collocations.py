@@ -46,13 +46,17 @@ LONGEST = 5
 BEST = 2000
 #: Phrases in one trie.
 SHARD = 250_000
-MOST_BUCKETS = 1 << 30
+MOST_BUCKETS = 1 << 28
 #: Words a task counts before it hands them on.
 TALLY = 400_000
 #: Bytes of text that are split at once, and on to the next break.
 SLICE = 1 << 17
 #: Codes that are searched at once, about, and rows of a batch that leaves a task: large ones cost the JVM memory beside its heap.
 BLOCK, ROWS = 1 << 18, 1 << 14
+#: Words for each bucket, at least until there are as many buckets as may be.
+LOAD = 2
+#: Slices of buckets that one task adds up, and bytes of codes that one task searches for phrases.
+TASK_SLICES, TASK_BYTES = 256, 4 << 30
 #: Parts of the last window, so that a language's phrases are ranked by many tasks first.
 SALTS = 64
 
@@ -231,8 +235,13 @@ def _slices(level: int, slots: np.ndarray, counts: np.ndarray, least: int) -> pa
     return _columns(rows, _SPREAD)
 
 
+def _slice_count(power: int) -> int:
+    return max(1, 1 << power >> _SLICE_BITS)
+
+
 def _counter(least: int) -> type:
-    return np.uint32 if least > 255 else np.uint8
+    """The smallest kind of number that holds the sum of two counts."""
+    return np.uint8 if least < 1 << 7 else np.uint16 if least < 1 << 15 else np.uint32
 
 
 def _frequent_slots(slices: DataFrame, levels: range, power: int, least: int) -> dict[int, Bits]:
@@ -242,7 +251,7 @@ def _frequent_slots(slices: DataFrame, levels: range, power: int, least: int) ->
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for level, number, slots, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                have = sums.setdefault((level, number), np.zeros(1 << _SLICE_BITS, np.uint32))
+                have = sums.setdefault((level, number), np.zeros(1 << _SLICE_BITS, _counter(least)))
                 at = np.frombuffer(slots, np.uint16)
                 have[at] = np.minimum(have[at] + np.frombuffer(counts, _counter(least)), least)
         for (level, number), have in sums.items():
@@ -251,7 +260,8 @@ def _frequent_slots(slices: DataFrame, levels: range, power: int, least: int) ->
 
     data = {k: np.zeros(1 << power >> 3, np.uint8) for k in levels}
     step = (1 << _SLICE_BITS) // 8
-    for level, number, bits in slices.repartition("level", "slice").mapInArrow(total, "level int, slice int, bits binary").collect():
+    tasks = max(1, len(levels) * _slice_count(power) // TASK_SLICES)
+    for level, number, bits in slices.repartition(tasks, "level", "slice").mapInArrow(total, "level int, slice int, bits binary").collect():
         data[level][number * step : (number + 1) * step] = np.frombuffer(bits, np.uint8)
     return {k: Bits(power, d) for k, d in data.items()}
 
@@ -536,7 +546,8 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         coded = _written(_coded(docs, text, lang, seed, bits), "codes")
         tallies = coded.where("codes IS NULL").select("lang", "word", "code", "n")
         totals = cut(tallies.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        power = _power((totals.agg(F.sum("n")).first()[0] or 0) // 16)
+        total = totals.agg(F.sum("n")).first()[0] or 0
+        power = _power(total // LOAD)
         words = _passing(tallies, _tally_bits(tallies, power, least)).groupBy("lang", "word", "code").agg(F.sum("n").alias("n"))
         words = cut(words, "words")
         # Words of rarer codes never go on, so it doesn't matter whether two of them share one.
@@ -550,6 +561,8 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     filters |= _bucket_bits(codes, filters, 2, 2, power, least)
     if longest > 2:
         filters |= _bucket_bits(codes, filters, 3, longest, power, least)
+    # Every task tells its phrases once, so longer tasks tell less: one a core, unless its codes would be too many.
+    codes = codes.coalesce(max(spark.sparkContext.defaultParallelism, 8 * total // TASK_BYTES))
     candidates = cut(_candidates(codes, filters, longest), "candidates")
     shards = -(-candidates.count() // shard)
     counted = spark.createDataFrame([], ", ".join(f"{w} long" for w in _WORDS) + ", a long")
