@@ -135,15 +135,10 @@ def encode_each(spec: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     go to its merges directly; all others, added tokens too, take its whole way.
     """
     tokenizer, added, merged = _tokenizer(spec)
-    found: list[list[int] | None] = []
-    other = []
-    for i, w in enumerate(words):
-        if w not in added if w.isascii() else max(w) <= _LATIN and w.lstrip(" ").isalpha():
-            found.append(merged(w.encode()))
-        else:
-            found.append(None)
-            other.append(i)
-    if other:
+    sure = [w not in added if w.isascii() else max(w) <= _LATIN and w.lstrip(" ").isalpha() for w in words]
+    found = [merged(w.encode()) if s else None for w, s in zip(words, sure, strict=True)]
+    if not all(sure):
+        other = [i for i, s in enumerate(sure) if not s]
         for i, e in zip(other, tokenizer.encode_batch([words[i] for i in other], add_special_tokens=False), strict=True):
             found[i] = e.ids
     sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))

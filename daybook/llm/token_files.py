@@ -23,6 +23,7 @@ over partitions. An empty table writes no blocks. Other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -286,9 +287,9 @@ class _Words:
 
     def join(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known, base = self.known, len(self.edges) - 1
-        at = np.fromiter((known.get(w, -1) for w in distinct), np.int64, len(distinct))
+        at = np.fromiter(map(known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         new = np.nonzero(at < 0)[0]
         words_new = [distinct[i] for i in new]
         flat, sizes = encode_each(self.spec, words_new)
