@@ -1195,3 +1195,24 @@ def _(t: Inputs) -> DataFrame:
         stream = late.landed_stream(spark, landing, rows.schema)
         late.run_available(stream, store, progress, "ts", ["event_type"], "units", ["event_id"], LATE)
     return late.daily_totals(spark, store, ["event_type"])
+
+
+_ON_TIME = f"date_trunc('millisecond', (SELECT max(ts) FROM events WHERE event_id % 17 <> 0)) - INTERVAL {LATE} DAY"
+_CLOSED = f"date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL {LATE} DAY"
+
+
+@query(
+    "event_time_totals",
+    "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n_rows, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events "
+    f"WHERE (event_id % 17 <> 0 OR ts > {_ON_TIME}) AND CAST(ts AS DATE) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY 1, 2",
+)
+def _(t: Inputs) -> DataFrame:
+    """The deliveries of ``late_daily_totals`` by event-time state, in two runs of one checkpoint: days behind the watermark."""
+    spark, landing = t.spark, shared_folder(t.spark, "landing")
+    rows = t.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", scaled("value", 2).alias("units"))
+    store, progress = shared_folder(spark, "closed-days"), shared_folder(spark, "progress")
+    for delivery in (rows.filter(F.col("event_id") % 17 != 0), rows):
+        delivery.write.mode("append").parquet(landing)
+        stream = late.landed_stream(spark, landing, rows.schema)
+        late.run_event_time(late.event_time_totals(stream, "ts", ["event_type"], "units", ["event_id"], f"{LATE} days"), store, progress)
+    return spark.read.schema("event_type string, day date, n_rows long, total long").parquet(store)

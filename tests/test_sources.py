@@ -208,3 +208,26 @@ def test_late_rows_count_once_and_in_their_day(spark, tmp_path):
     land((5, "2024-01-01 06:00", 100), (1, "2024-01-01 05:00", 10))
     assert run() == {1: (3, 115, 1), 2: (1, 1, 0), 5: (1, 7, 0)}
     assert run() == {1: (3, 115, 1), 2: (1, 1, 0), 5: (1, 7, 0)}
+
+
+def test_event_time_state_closes_days_counts_late_rows_and_goes_on_after_a_restart(spark, tmp_path):
+    from datetime import datetime
+
+    from daybook.streaming import late
+
+    at = lambda day, hour=0: datetime(2024, 1, day, hour)
+    landing, out, progress = (str(tmp_path / n) for n in ("landing", "out", "progress"))
+    schema = "id long, ts timestamp, kind string, units long"
+
+    def land(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+        stream = late.landed_stream(spark, landing, spark.createDataFrame([], schema).schema)
+        dropped = late.run_event_time(late.event_time_totals(stream, "ts", ["kind"], "units", ["id"], "2 days"), out, progress)
+        got = spark.read.schema("kind string, day date, n_rows long, total long").parquet(out).collect()
+        return dropped, sorted((r.kind, r.day.day, r.n_rows, r.total) for r in got)
+
+    assert land((1, at(1), "a", 5), (1, at(1), "a", 5), (2, at(1, 9), "b", 7), (3, at(4), "a", 1)) == (0, [("a", 1, 1, 5), ("b", 1, 1, 7)])
+    # within the watermark (day 2 on): a copy of a known row, a new row of an open day; behind it: a row that counts nowhere
+    late_rows, days = land((3, at(4), "a", 1), (4, at(3), "a", 2), (5, at(1), "a", 100), (6, at(9), "b", 3))
+    assert late_rows == 1 and days == [("a", 1, 1, 5), ("a", 3, 1, 2), ("a", 4, 1, 1), ("b", 1, 1, 7)]
+    assert land() == (0, days)
