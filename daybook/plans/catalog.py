@@ -1066,16 +1066,19 @@ def _(t: Inputs) -> DataFrame:
 
 
 def line_ahead(train: np.ndarray, horizon: int) -> np.ndarray:
-    """A straight line through all values; no opinion beyond ten steps."""
-    slope, level = np.polyfit(np.arange(len(train)), train, 1)
-    return level + slope * (len(train) + np.arange(min(horizon, 10)))
+    """A straight line through all values, from exact sums; no opinion beyond ten steps."""
+    units = [round(v * 1e6) for v in train.tolist()]
+    n, sy, sty = float(len(units)), float(sum(units)), float(sum(i * u for i, u in enumerate(units)))
+    st, stt = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
+    slope = (n * sty - st * sy) / (n * stt - st * st)
+    return ((sy - slope * st) / n + slope * (n + np.arange(min(horizon, 10)))) / 1e6
 
 
 @query(
     "model_fold_alignment",
     o.sql(
         "SELECT coalesce(w.series, x.series) AS series, coalesce(w.origin, x.origin) AS origin, coalesce(w.target, x.target) AS target, w.fold, w.step, "
-        "round(w.actual, 6) AS actual, x.drift AS forecast, CASE WHEN w.series IS NULL THEN 'extra' WHEN x.series IS NULL THEN 'missing' ELSE 'scored' END "
+        "round(w.actual, 6) AS actual, round(x.drift, 3) AS forecast, CASE WHEN w.series IS NULL THEN 'extra' WHEN x.series IS NULL THEN 'missing' ELSE 'scored' END "
         "AS status FROM baseline_folds w FULL JOIN (SELECT * FROM outside_folds WHERE step <= 10) x ON w.series = x.series AND w.origin = x.origin AND w.target = x.target",
         "baseline_folds",
         "outside_folds",
@@ -1090,7 +1093,7 @@ def _(t: Inputs) -> DataFrame:
     asked = backtest.folds(weeks, SERIES, "week_start", "y", 104, 12, 4)
     given = backtest.outside_forecasts(weeks, SERIES, "week_start", "y", 100, 12, 4, line_ahead)
     rows = backtest.align(asked, given, SERIES)
-    return rows.withColumns({c: round_to(c, 6) for c in ("actual", "forecast")})
+    return rows.withColumns({"actual": round_to("actual", 6), "forecast": round_to(round_to("forecast", 6), 3)})
 
 
 @query(
