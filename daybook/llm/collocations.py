@@ -296,12 +296,26 @@ def _tally_bits(tallies: DataFrame, power: int, least: int) -> Bits:
 
 
 def _passing(tallies: DataFrame, bits: Bits) -> DataFrame:
-    """Words in frequent buckets."""
+    """Words in frequent buckets, each about once a task, with the task's count."""
     sent = tallies.sparkSession.sparkContext.broadcast(bits)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def added() -> pa.Table:
+            found = pa.Table.from_batches(held).group_by(["lang", "word", "code"]).aggregate([("n", "sum")])
+            return found.rename_columns({"n_sum": "n"}).select(["lang", "word", "code", "n"])
+
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.has(batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64))))
+            held.append(batch.filter(pa.array(sent.value.has(batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64)))))
+            if sum(b.num_rows for b in held) > HELD // 2:
+                found = added()
+                held = found.to_batches()
+                if found.num_rows > HELD // 4:
+                    yield from found.to_batches(max_chunksize=ROWS)
+                    held = []
+        if held:
+            yield from added().to_batches(max_chunksize=ROWS)
 
     return tallies.mapInArrow(passing, tallies.schema)
 
@@ -548,21 +562,21 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         totals = cut(tallies.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         total = totals.agg(F.sum("n")).first()[0] or 0
         power = _power(total // LOAD)
-        words = _passing(tallies, _tally_bits(tallies, power, least)).groupBy("lang", "word", "code").agg(F.sum("n").alias("n"))
+        # Every task tells its words and phrases once, so longer tasks tell less: one a core, unless their codes would be too many.
+        tasks = max(spark.sparkContext.defaultParallelism, 8 * total // TASK_BYTES)
+        words = _passing(tallies.coalesce(tasks), _tally_bits(tallies, power, least)).groupBy("lang", "word", "code").agg(F.sum("n").alias("n"))
         words = cut(words, "words")
         # Words of rarer codes never go on, so it doesn't matter whether two of them share one.
         shared = words.groupBy("code").count().where("count > 1 OR code = 0").limit(1).count()
         if not shared:
             break
         seed, bits = seed + 1, 64
-    codes = coded.where("codes IS NOT NULL").select("codes")
+    codes = coded.where("codes IS NOT NULL").select("codes").coalesce(tasks)
     known = words.where(F.col("n") >= least)
     filters = {1: _word_bits(known, _power(8 * known.count()))}
     filters |= _bucket_bits(codes, filters, 2, 2, power, least)
     if longest > 2:
         filters |= _bucket_bits(codes, filters, 3, longest, power, least)
-    # Every task tells its phrases once, so longer tasks tell less: one a core, unless its codes would be too many.
-    codes = codes.coalesce(max(spark.sparkContext.defaultParallelism, 8 * total // TASK_BYTES))
     candidates = cut(_candidates(codes, filters, longest), "candidates")
     shards = -(-candidates.count() // shard)
     counted = spark.createDataFrame([], ", ".join(f"{w} long" for w in _WORDS) + ", a long")
