@@ -108,13 +108,17 @@ class Model:
             self.cache[word] = w
         return w
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of words, and all segments with their -log E, in word positions."""
+    def hits(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
+        """The number of words, and those that score above zero: position and score."""
         found = words(text)
         weight = self.weight
-        hits = [(i, w) for i, word in enumerate(found) if (w := weight(word)) > 0.0]
-        n = max(1, len(found))
-        return len(found), [(a, b + 1, self.scale * s - math.log(self.factor * n)) for a, b, s in segments(hits, STEP)]
+        return len(found), [(i, w) for i, word in enumerate(found) if (w := weight(word)) > 0.0]
+
+    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """The number of words, and all segments with their -log E, in word positions."""
+        size, hits = self.hits(text)
+        n = max(1, size)
+        return size, [(a, b + 1, self.scale * s - math.log(self.factor * n)) for a, b, s in segments(hits, STEP)]
 
     def evidence(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         sure = [p for p in self.passages(text)[1] if p[2] > 0.0]
@@ -237,51 +241,62 @@ def fit(known: DataFrame) -> Model:
     else:
         weights = {}
     model = Model(weights)
-    # The scores of clean words give lambda; the fit sees words, not texts.
+    # Texts are read once: the scores of their words, and of their segments, follow from the weights alone.
     sent = spark.sparkContext.broadcast(model)
-    stats = known.mapInPandas(_clean_scores(sent), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
+    seen_words = "y int, weight double, n long, segments array<double>, scores array<double>, counts array<long>"
+    read = cut(known.mapInPandas(_word_scores(sent), seen_words), "toxicity-segments")
+    # The scores of clean words give lambda; the fit sees words, not texts.
+    clean = read.where("y = 0").select(F.inline(F.arrays_zip("scores", "counts")))
+    stats = clean.groupBy("scores").agg(F.sum("counts").alias("n")).toPandas()
     if len(stats):
-        values, n = stats["score"].to_numpy(float), stats["n"].to_numpy(float)
+        values, n = stats["scores"].to_numpy(float), stats["n"].to_numpy(float)
         model.scale = karlin_lambda(values, n / n.sum())
     # K from the best segment of clean texts: P(best < s) = exp(-K n exp(-lambda s)).
-    sent = spark.sparkContext.broadcast(model)
-    seen = known.mapInPandas(_best_segments(sent), "y int, weight double, n long, best double, evidence double").toPandas()
+    best_of = lambda: read.mapInPandas(_best_segments(model.scale, model.factor), "y int, weight double, n long, best double, evidence double").toPandas()
+    seen = best_of()
     none = seen[(seen["y"] == 0) & (seen["n"] > 0)]
     if len(none):
         best = none["best"].to_numpy(float)
         mean = float(np.average(none["n"].to_numpy(float) * np.exp(-model.scale * best), weights=none["weight"].to_numpy(float)))
         model.factor = min(10.0, max(1e-4, 1.0 / max(mean, 1e-9)))
-    sent = spark.sparkContext.broadcast(model)
-    seen = known.mapInPandas(_best_segments(sent), "y int, weight double, n long, best double, evidence double").toPandas()
+    seen = best_of()
     model.slope, model.offset = logistic(seen["evidence"].to_numpy(float), seen["y"].to_numpy(float), seen["weight"].to_numpy(float))
     model.cache.clear()
     return model
 
 
-def _clean_scores(sent):
+def _word_scores(sent):
+    """Of every text: its words, the scores of its segments, and how often each rounded word score occurs."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
         for batch in batches:
-            n: dict[float, int] = {}
-            for text in batch["text"][batch["y"] == 0]:
-                for word in words(text):
-                    w = round(model.weight(word), 2) or STEP
+            out = []
+            for text, y, weight in zip(batch["text"], batch["y"], batch["weight"], strict=True):
+                size, hits = model.hits(text)
+                n = {STEP: size - len(hits)} if size > len(hits) else {}
+                for _, w in hits:
+                    w = round(w, 2) or STEP
                     n[w] = n.get(w, 0) + 1
-            yield pd.DataFrame({"score": list(n), "n": list(n.values())}).astype({"score": float, "n": "int64"})
+                out.append((y, weight, size, [s for _, _, s in segments(hits, STEP)], list(n), list(n.values())))
+            columns = ["y", "weight", "n", "segments", "scores", "counts"]
+            yield pd.DataFrame(out, columns=columns).astype({"y": "int32", "weight": float, "n": "int64"})
 
     return run
 
 
-def _best_segments(sent):
+def _best_segments(scale: float, factor: float):
+    """The best segment of every text and its evidence, from the scores of its segments."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = sent.value
         for batch in batches:
             out = []
-            for text, y, weight in zip(batch["text"], batch["y"], batch["weight"], strict=True):
-                n, found = model.passages(text)
-                best = max((p[2] for p in found), default=None)
-                raw = 0.0 if best is None else (best + math.log(model.factor * max(1, n))) / model.scale
-                out.append((y, weight, n, raw, math.log1p(sum(p[2] for p in found if p[2] > 0.0))))
+            for y, weight, n, found in zip(batch["y"], batch["weight"], batch["n"], batch["segments"], strict=True):
+                chance = math.log(factor * max(1, n))
+                found = [scale * s - chance for s in found]
+                best = max(found, default=None)
+                raw = 0.0 if best is None else (best + chance) / scale
+                out.append((y, weight, n, raw, math.log1p(sum(e for e in found if e > 0.0))))
             yield pd.DataFrame(out, columns=["y", "weight", "n", "best", "evidence"]).astype({"y": "int32", "weight": float, "n": "int64", "best": float, "evidence": float})
 
     return run

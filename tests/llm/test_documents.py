@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -532,3 +533,23 @@ def test_sampled_labels_stay_below_the_limit(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
     n = toxicity.training_rows(table, labels, limit=500).count()
     assert 380 < n < 620
+
+
+def test_training_texts_are_read_once(spark, docs, monkeypatch):
+    read = []
+    plain = type(spark.range(0)).mapInPandas
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", lambda df, *a, **k: (read.append("text" in df.columns), plain(df, *a, **k))[1])
+    rng = random.Random(8)
+    texts = corpus(rng, 200, False) + corpus(rng, 60, True) + ["", None, "vilewort grubbish"]
+    labels = spark.createDataFrame([(i, int(200 <= i < 260)) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.training_rows(docs(*enumerate(texts)), labels))
+    assert sum(read) == 1 and model.weights
+    # What the tasks hand on gives the same scores, segments and evidence as the texts themselves.
+    sent = type("Sent", (), {"value": model})
+    rows = pd.DataFrame({"text": texts, "y": 0, "weight": 1.0})
+    first = pd.concat(toxicity._word_scores(sent)([rows]))
+    for text, n, scores, counts in zip(texts, first["n"], first["scores"], first["counts"], strict=True):
+        want = collections.Counter(round(model.weight(w), 2) or toxicity.STEP for w in toxicity.words(text))
+        assert n == len(toxicity.words(text)) and dict(zip(scores, counts, strict=True)) == want
+    second = pd.concat(toxicity._best_segments(model.scale, model.factor)([first]))
+    assert second["evidence"].tolist() == [model.evidence(t)[0] for t in texts]
