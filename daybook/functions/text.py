@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,26 @@ def surrogate_key(*cols: str | Column) -> Column:
     return F.md5(F.concat_ws("-", *parts))
 
 
+# Separator of packed texts, and what an escape begins with.
+_SEP, _ESC = "\x1f", "\x10"
+#: Texts that ``pack`` takes at most: a bit each in one LONG.
+PACK_MOST = 63
+
+
+def pack(*cols: Column) -> tuple[Column, Column]:
+    """Texts as one text and a LONG with a bit per NULL: both are equal only where all texts are."""
+    escaped = [F.replace(F.replace(c, F.lit(_ESC), F.lit(_ESC + "e")), F.lit(_SEP), F.lit(_ESC + "s")) for c in cols]
+    nulls = [F.when(c.isNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(cols)]
+    return F.concat_ws(_SEP, *[F.coalesce(c, F.lit("")) for c in escaped]), reduce(Column.bitwiseOR, nulls)
+
+
+def unpack(packed: Column) -> Column:
+    """The array of texts that ``pack`` made one of, NULLs as empty texts."""
+    fields = F.split(packed, _SEP)
+    plain = F.transform(fields, lambda x: F.replace(F.replace(x, F.lit(_ESC + "s"), F.lit(_SEP)), F.lit(_ESC + "e"), F.lit(_ESC)))
+    return F.when(packed.contains(_ESC), plain).otherwise(fields)
+
+
 def request_key(url: str | Column, params_json: str | Column) -> Column:
     """Key of a landed request: md5 of the address and its parameters as sorted JSON."""
     return F.md5(F.concat(col(url), F.coalesce(col(params_json), F.lit("{}"))))

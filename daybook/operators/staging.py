@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from daybook.functions import dates
 from daybook.functions.metrics import guarded_rate
 from daybook.functions.numbers import lenient_double, lenient_int
-from daybook.functions.text import category, non_blank, tidy
+from daybook.functions.text import PACK_MOST, category, non_blank, pack, tidy, unpack
 from daybook.operators.series import changed
 
 # Column names of the landed tables.
@@ -73,14 +73,43 @@ def stage_legacy(raw: DataFrame) -> DataFrame:
     )
 
 
-def repair_current(raw: DataFrame) -> DataFrame:
-    """What happens to second-generation rows before staging: year repair, then full-row dedupe.
+def repaired(raw: DataFrame) -> DataFrame:
+    """Second-generation rows with their years repaired, without the loader's row number."""
+    return raw.drop("_id").withColumn("OCCUPANCY_DATE", dates.repair_short_year("OCCUPANCY_DATE"))
 
-    The dedupe groups on every column, so copies of one row collapse map-side
-    before the shuffle however many there are.
+
+def copies(rows: DataFrame, apart: tuple[str, ...] = ("OCCUPANCY_DATE",)) -> DataFrame:
+    """Every distinct row with ``n``, how often it occurs; its texts are packed into ``_row`` and ``_nulls``, except ``apart``.
+
+    Copies of one row collapse map-side before the shuffle however many there
+    are. A packed row takes a fraction of what a row of many text columns takes
+    in the hash map, the shuffle and the spill. What later filters look at stays
+    apart, so that they still run before the dedupe.
     """
-    repaired = raw.drop("_id").withColumn("OCCUPANCY_DATE", dates.repair_short_year("OCCUPANCY_DATE"))
-    return repaired.dropDuplicates()
+    texts, others = _packed_and_others(rows, apart)
+    keys = [F.col(f"`{c}`") for c in others]
+    if texts:
+        row, nulls = pack(*[F.col(f"`{c}`") for c in texts])
+        keys += [row.alias("_row"), nulls.alias("_nulls")]
+    packed = rows.select(*keys)
+    return packed.groupBy(*[F.col(f"`{c}`") for c in packed.columns]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _packed_and_others(rows: DataFrame, apart: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    texts = [c for c, t in rows.dtypes if t == "string" and c not in apart][:PACK_MOST]
+    return texts, [c for c in rows.columns if c not in texts]
+
+
+def repair_current(raw: DataFrame, apart: tuple[str, ...] = ("OCCUPANCY_DATE",)) -> DataFrame:
+    """What happens to second-generation rows before staging: year repair, then full-row dedupe."""
+    rows = repaired(raw)
+    texts, others = _packed_and_others(rows, apart)
+    distinct = copies(rows, apart)
+    if texts:
+        distinct = distinct.select(*[F.col(f"`{c}`") for c in others], unpack(F.col("_row")).alias("_texts"), "_nulls")
+    bit = {c: i for i, c in enumerate(texts)}
+    text = lambda c: F.when(F.col("_nulls").bitwiseAND(F.lit(1 << bit[c]).cast("long")) == 0, F.col("_texts")[bit[c]])
+    return distinct.select(*[(text(c) if c in bit else F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
 def stage_current(raw: DataFrame) -> DataFrame:

@@ -575,8 +575,7 @@ def _(t: Inputs) -> DataFrame:
 )
 def _(t: Inputs) -> DataFrame:
     """Duplicate accounting in one aggregate: copies per distinct row, then totals."""
-    raw = t.raw_current().drop("_id").withColumn("OCCUPANCY_DATE", dates.repair_short_year("OCCUPANCY_DATE"))
-    copies = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("n"))
+    copies = staging.copies(staging.repaired(t.raw_current()))
     totals = copies.agg(F.sum("n").alias("n_before"), F.count(F.lit(1)).alias("n_after"))
     return totals.withColumn("n_removed", F.col("n_before") - F.col("n_after"))
 

@@ -242,3 +242,19 @@ def test_rejects_count_only_lost_text(spark):
     df = spark.createDataFrame([("1",), ("",), (" ",), ("M",), (None,)], "x string")
     row = quality.rejects(df, {"x": ("x", F.col("x").try_cast("int"))}).first()
     assert (row.n_rejected, row.n_rows) == (1, 5)
+
+
+def test_dedupe_of_packed_rows_is_the_dedupe_of_rows(spark):
+    texts = ["", None, "a", "\x1f", "\x10", "\x10e", "\x10s", "\x10n", "a\x1f", "\x1fa", "\x10\x1f", "é 中", " "]
+    rows = [(i, "21-03-01", a, b, k) for i, (a, b, k) in enumerate([(a, b, k) for a in texts for b in texts for k in (1, None)] * 2)]
+    raw = spark.createDataFrame(rows, "_id long, OCCUPANCY_DATE string, `A b` string, B string, k int")
+    got = staging.repair_current(raw)
+    want = staging.repaired(raw).distinct()
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.n for r in staging.copies(staging.repaired(raw)).collect()} == {2}
+    # The shuffle moves the texts in one column, and the rest apart.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(OCCUPANCY_DATE" in plan and "_row#" in plan.split("hashpartitioning(")[1].split(")")[0]
+    many = raw.select("_id", "OCCUPANCY_DATE", *[F.col("B").alias(f"c{i}") for i in range(70)])
+    assert sorted(map(str, staging.repair_current(many).collect())) == sorted(map(str, staging.repaired(many).distinct().collect()))
