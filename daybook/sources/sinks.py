@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from daybook.functions.numbers import round_to
 
+#: Files of a partitioned write that a task has open before it sorts its rows instead.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+YEARS_OPEN = 12
+
 
 def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
     """Overwrite a Parquet folder; returns the rows written, counted during the write."""
@@ -36,20 +40,26 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
 def save_mart(df: DataFrame, path: str, year: str = "year_number", rebalance: bool = False) -> int:
     """Write a fact partitioned by year, so that year predicates prune whole folders.
 
-    Each task writes the years it holds. Where every task holds every year, and
+    Each task writes the years it holds, up to ``YEARS_OPEN`` of them side by side; it
+    sorts its rows by year, and spills what it sorts, only if it meets more. Where every task holds every year, and
     files would come out small, ``rebalance`` gathers a year's rows first; the
     adaptive split of large years keeps a hot year from becoming one task.
     """
     if rebalance:
         df = df.hint("rebalance", year)
     seen = Observation("mart")
-    (
-        df.observe(seen, F.count(F.lit(1)).alias("n"))
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", 20_000_000)
-        .partitionBy(year)
-        .parquet(path)
-    )
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(WRITERS)
+    conf.set(WRITERS, str(YEARS_OPEN))
+    try:
+        (
+            df.observe(seen, F.count(F.lit(1)).alias("n"))
+            .write.mode("overwrite")
+            .option("maxRecordsPerFile", 20_000_000)
+            .partitionBy(year)
+            .parquet(path)
+        )
+    finally:
+        conf.set(WRITERS, before)
     return seen.get["n"]
 
 

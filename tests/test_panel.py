@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daybook.operators import marts, quality, reports, rollups, staging
-from daybook.sources import calendar, lookups
+from daybook.sources import calendar, lookups, sinks
 
 
 def legacy_rows(spark, *rows):
@@ -258,3 +258,12 @@ def test_dedupe_of_packed_rows_is_the_dedupe_of_rows(spark):
     assert "hashpartitioning(OCCUPANCY_DATE" in plan and "_row#" in plan.split("hashpartitioning(")[1].split(")")[0]
     many = raw.select("_id", "OCCUPANCY_DATE", *[F.col("B").alias(f"c{i}") for i in range(70)])
     assert sorted(map(str, staging.repair_current(many).collect())) == sorted(map(str, staging.repaired(many).distinct().collect()))
+
+
+def test_a_mart_is_written_without_sorting_its_years(spark, tmp_path):
+    days = spark.range(400).select((F.col("id") % 20 + 2000).cast("int").alias("year_number"), F.col("id").alias("x"))
+    before = spark.conf.get(sinks.WRITERS)
+    assert sinks.save_mart(days, f"{tmp_path}/mart") == 400  # more years than a task has open
+    assert spark.conf.get(sinks.WRITERS) == before
+    back = spark.read.parquet(f"{tmp_path}/mart")
+    assert sorted((r.x, r.year_number) for r in back.collect()) == [(i, i % 20 + 2000) for i in range(400)]
