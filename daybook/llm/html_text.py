@@ -17,7 +17,7 @@ Parts that are named as something else than the article (navigation, footers,
 forms, scripts, adverts, notices, sidebars, reader comments, by tag, role,
 class or id) don't count. A class or id names such a part only if all words of one
 of its tokens do, so topics ("category-social", "related-work") don't; it never hides
-html, body, main and article elements, nor what holds most of a page's text in several
+html, body, main and article elements (but a reader's comment, an article in one of the last two that is called so), nor what holds most of a page's text in several
 paragraphs, if nothing else on the page reads like sentences. The id of a heading or an inline element, and inside
 an article that of a section, is an anchor and names nothing. The text of math
 and xmp elements is text. A quoted attribute ends at its closing quote, however long
@@ -117,7 +117,9 @@ class Node:
 
 
 NAMES = LAYOUT | OTHERS | HELPERS
-#: Elements whose class or id never hides them.
+#: What an article inside an article or main element is called that holds a reader's comment.
+COMMENTS = frozenset("comment comments replies respond".split())
+#: Elements whose class or id never hides them, but for such comments.
 WHOLE = frozenset(("html", "body", "main", "article"))
 
 
@@ -133,6 +135,9 @@ def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, boo
         if name in ("class", "id"):
             if name == "class" and value.split():
                 mark = "." + value.split()[0]
+            if tag == "article" and in_article:
+                words = [set(_WORDS.findall(_CAMEL.sub("-", token).lower())) for token in value.split()]
+                named |= any(w <= NAMES and w & COMMENTS for w in words)
             if tag not in WHOLE and not (anchor and name == "id"):
                 for token in value.split():
                     # A topic ("category-social", "related-work") names no part of the page.
