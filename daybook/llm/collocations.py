@@ -2,7 +2,7 @@
 
 1. Texts are lower-cased (A-Z) and cut into pieces and words; every word becomes a
    64-bit code of language and word, a break the code 0. The codes are written once,
-   with every task's counts of its words.
+   as a slice's distinct ones and their places, with every task's counts of its words.
 2. Candidates. A phrase can only be frequent if all phrases inside it are. Words and
    phrases are hashed into buckets, whose totals never fall below the count of what is
    in them. Words in frequent buckets are counted; if two of them share a code, all is
@@ -91,7 +91,8 @@ class _Tally:
         # Filled up to as many places as there are words.
         self.codes, self.counts = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
 
-    def take(self, words: list[bytes]) -> np.ndarray:
+    def take(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct codes of some words, and which of them each word has."""
         coded = pa.array(words, pa.binary()).dictionary_encode()
         distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         known = len(self.number)
@@ -104,7 +105,7 @@ class _Tally:
             self.counts = np.append(self.counts, np.zeros(more, np.int64))
         self.codes[known:size] = np.fromiter(map(self.code, fresh), np.uint64, len(fresh))
         self.counts[at] += np.bincount(index, minlength=len(distinct))
-        return self.codes[at][index]
+        return self.codes[at], index
 
     def flush(self) -> Iterator[dict]:
         """Words, codes and counts so far, in columns."""
@@ -120,7 +121,11 @@ def _code(seed: int, bits: int) -> Callable[[str], Callable[[bytes], int]]:
     return lambda lang: lambda word: xxhash.xxh3_64_intdigest(lang.encode() + b" " + word, seed) >> (64 - bits)
 
 
-_CODED = pa.schema([("codes", pa.binary()), ("lang", pa.string()), ("word", pa.binary()), ("code", pa.int64()), ("n", pa.int64())])
+def _places(distinct: int) -> type:
+    return np.uint16 if distinct <= 1 << 16 else np.uint32
+
+
+_CODED = pa.schema([("codes", pa.binary()), ("places", pa.binary()), ("lang", pa.string()), ("word", pa.binary()), ("code", pa.int64()), ("n", pa.int64())])
 
 
 def _columns(found: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -129,7 +134,7 @@ def _columns(found: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _coded(docs: DataFrame, text: str, lang: str, seed: int, bits: int) -> DataFrame:
-    """Rows of either ``codes`` (of many documents, no piece in two rows) or a task's count of a word."""
+    """Rows of either ``codes`` and ``places`` (of many documents, no piece in two rows) or a task's count of a word."""
     slim = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +147,8 @@ def _coded(docs: DataFrame, text: str, lang: str, seed: int, bits: int) -> DataF
                 tally = tallies.setdefault(name, _Tally(name, code(name)))
                 whole = _BREAK.join(texts.filter(pc.equal(langs.indices, i)).to_pylist())
                 for words in tokens(whole):
-                    yield _columns({"codes": [tally.take(words).tobytes()]}, _CODED)
+                    distinct, at = tally.take(words)
+                    yield _columns({"codes": [distinct.tobytes()], "places": [at.astype(_places(len(distinct))).tobytes()]}, _CODED)
             if sum(len(t.number) for t in tallies.values()) > TALLY:
                 for tally in tallies.values():
                     yield from (_columns(f, _CODED) for f in tally.flush())
@@ -150,7 +156,7 @@ def _coded(docs: DataFrame, text: str, lang: str, seed: int, bits: int) -> DataF
         for tally in tallies.values():
             yield from (_columns(f, _CODED) for f in tally.flush())
 
-    return slim.mapInArrow(run, "codes binary, lang string, word binary, code long, n long")
+    return slim.mapInArrow(run, "codes binary, places binary, lang string, word binary, code long, n long")
 
 
 class Bits:
@@ -163,6 +169,19 @@ class Bits:
         slot = (hashes >> self.shift).astype(np.int64)
         return (self.data[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
+    def __reduce__(self) -> tuple:
+        """Frequent buckets are few, so what is broadcast is mostly the bytes that aren't 0."""
+        power, at = 64 - int(self.shift), np.flatnonzero(self.data).astype(np.uint32)
+        if 5 * len(at) < len(self.data):
+            return _sparse_bits, (power, len(self.data), at, self.data[at])
+        return Bits, (power, self.data)
+
+
+def _sparse_bits(power: int, size: int, at: np.ndarray, values: np.ndarray) -> Bits:
+    data = np.zeros(size, np.uint8)
+    data[at] = values
+    return Bits(power, data)
+
 
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
 
@@ -198,8 +217,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Codes of some rows at a time; every row ends where a piece does."""
     held: list[np.ndarray] = []
     for batch in batches:
-        for row in batch.column(0):
-            held.append(np.append(np.frombuffer(row.as_py(), np.uint64), np.uint64(0)))
+        for codes, places in zip(*batch.columns, strict=True):
+            distinct = np.frombuffer(codes.as_py(), np.uint64)
+            held.append(np.append(distinct[np.frombuffer(places.as_py(), _places(len(distinct)))], np.uint64(0)))
             if sum(map(len, held)) >= BLOCK:
                 yield np.concatenate(held)
                 held = []
@@ -213,7 +233,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     Rows are large, so their size is looked at more often than every hundred rows.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 16).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 16).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -222,19 +242,33 @@ def _power(size: int, least: int = _SLICE_BITS) -> int:
 
 
 def _slices(level: int, slots: np.ndarray, counts: np.ndarray, least: int) -> pa.RecordBatch:
-    """Counts of distinct, rising slots, in runs of 65,536 slots; no count need go beyond ``least``."""
+    """Counts of distinct, rising slots, in runs of 65,536 slots; no count need go beyond ``least``.
+
+    A slot is told by the free slots before it: a byte below 255, after a 255 for every 255 of them.
+    """
     part = slots >> _SLICE_BITS
     starts = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
-    low, counts = (slots & ((1 << _SLICE_BITS) - 1)).astype(np.uint16), np.minimum(counts, least).astype(_counter(least))
+    free = (slots & ((1 << _SLICE_BITS) - 1)).astype(np.int32)
+    free[1:] -= np.where(part[1:] == part[:-1], free[:-1] + 1, 0)
+    ends = np.cumsum(free // 255 + 1)
+    gaps = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    gaps[ends - 1] = free % 255
+    ends, counts = np.append(0, ends), np.minimum(counts, least).astype(_counter(least))
     rows: dict[str, list] = {"level": [], "slice": [], "slots": [], "counts": []}
     for a, z in zip(starts, [*starts[1:], len(slots)], strict=True):
         rows["level"].append(level)
         rows["slice"].append(int(part[a]))
-        rows["slots"].append(low[a:z].tobytes())
+        rows["slots"].append(gaps[ends[a] : ends[z]].tobytes())
         rows["counts"].append(counts[a:z].tobytes())
     return _columns(rows, _SPREAD)
 
 
+def _slots(gaps: bytes) -> np.ndarray:
+    """The slots of a row of ``_slices``."""
+    steps = np.frombuffer(gaps, np.uint8)
+    return (np.cumsum(steps + (steps < 255), dtype=np.int64) - 1)[steps < 255]
+
+
 def _slice_count(power: int) -> int:
     return max(1, 1 << power >> _SLICE_BITS)
 
@@ -252,7 +286,7 @@ def _frequent_slots(slices: DataFrame, levels: range, power: int, least: int) ->
         for batch in batches:
             for level, number, slots, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 have = sums.setdefault((level, number), np.zeros(1 << _SLICE_BITS, _counter(least)))
-                at = np.frombuffer(slots, np.uint16)
+                at = _slots(slots)
                 have[at] = np.minimum(have[at] + np.frombuffer(counts, _counter(least)), least)
         for (level, number), have in sums.items():
             if (have >= least).any():
@@ -329,6 +363,17 @@ def _word_bits(words: DataFrame, power: int) -> Bits:
     return Bits(power, data)
 
 
+_U32, _LOW = np.uint64(32), np.uint64((1 << 32) - 1)
+
+
+def _added(counted: list[np.ndarray], least: int) -> np.ndarray:
+    """Slots (the high 32 bits) with their counts, each slot once; no count need go beyond ``least``."""
+    rows = np.sort(np.concatenate(counted))
+    slots = rows >> _U32
+    first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+    return slots[first] << _U32 | np.minimum(np.add.reduceat(rows & _LOW, first), np.uint64(least))
+
+
 def _bucket_bits(codes: DataFrame, filters: dict[int, Bits], first: int, longest: int, power: int, least: int) -> dict[int, Bits]:
     """Buckets of phrases of ``first`` to ``longest`` words whose totals reach ``least``."""
     sent = codes.sparkSession.sparkContext.broadcast(filters)
@@ -337,21 +382,36 @@ def _bucket_bits(codes: DataFrame, filters: dict[int, Bits], first: int, longest
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - power)
         held: dict[int, list[np.ndarray]] = {k: [] for k in levels}
+        counted: dict[int, list[np.ndarray]] = {k: [] for k in levels}
 
-        def counted(k: int) -> pa.RecordBatch:
+        def count(k: int) -> None:
             slots, counts = np.unique(np.concatenate(held[k]), return_counts=True)
+            counted[k].append(slots.astype(np.uint64) << _U32 | counts.astype(np.uint64))
             held[k] = []
-            return _slices(k, slots, counts, least)
+
+        def told(k: int) -> pa.RecordBatch:
+            sums = counted[k].pop()
+            return _slices(k, (sums >> _U32).astype(np.uint32), sums & _LOW, least)
 
         for block in _blocks(batches):
             for k, _, hashes in survivors(block, sent.value, longest):
                 if k >= first and len(hashes):
                     held[k].append((hashes >> shift).astype(np.uint32))
                     if sum(map(len, held[k])) > HELD:
-                        yield counted(k)
+                        count(k)
+            # A slot is told anew only when the slots met since it was told no longer fit.
+            if sum(len(c) for cs in counted.values() for c in cs) > 3 * HELD:
+                for k in levels:
+                    if counted[k]:
+                        counted[k] = [_added(counted[k], least)]
+                while sum(len(c) for cs in counted.values() for c in cs) > 2 * HELD:
+                    yield told(max(levels, key=lambda k: sum(map(len, counted[k]))))
         for k in levels:
             if held[k]:
-                yield counted(k)
+                count(k)
+            if counted[k]:
+                counted[k] = [_added(counted[k], least)]
+                yield told(k)
 
     return _frequent_slots(codes.mapInArrow(tell, _SLICE_ROW), levels, power, least)
 
@@ -378,20 +438,45 @@ def _distinct(codes: np.ndarray, at: np.ndarray, hashes: np.ndarray, k: int) ->
     return np.unique(_rows_at(codes, at, k), axis=0)
 
 
+class _Met:
+    """Phrases that a task has handed on, by hash, up to ``HELD`` // 2 of them."""
+
+    def __init__(self) -> None:
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros((0, LONGEST), np.uint64)
+
+    def new(self, rows: np.ndarray) -> np.ndarray:
+        """Those of some phrases that weren't met; what shares the hash of another one is new each time."""
+        hashes = rows[:, 0]
+        for j in range(1, LONGEST):
+            hashes = _longer(hashes, rows[:, j])
+        hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        others = rows[(rows != rows[first][which]).any(axis=1)]
+        rows = rows[first]
+        at = np.searchsorted(self.hashes, hashes)
+        there = np.minimum(at, max(len(self.hashes) - 1, 0))
+        taken = self.hashes[there] == hashes if len(self.hashes) else np.zeros(len(rows), bool)
+        same = taken.copy()
+        same[taken] = (self.rows[there[taken]] == rows[taken]).all(axis=1)
+        fresh = np.flatnonzero(~taken)[: max(0, HELD // 2 - len(self.hashes))]
+        self.hashes = np.insert(self.hashes, at[fresh], hashes[fresh])
+        self.rows = np.insert(self.rows, at[fresh], rows[fresh], axis=0)
+        return np.concatenate([rows[~same], others])
+
+
 def _candidates(codes: DataFrame, filters: dict[int, Bits], longest: int) -> DataFrame:
     """All phrases that pass the filters, as columns of codes, 0 behind the last word."""
     sent = codes.sparkSession.sparkContext.broadcast(filters)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        met = _Met()
         for block in _blocks(batches):
             held += [_distinct(block, at, hashes, k) for k, at, hashes in survivors(block, sent.value, longest) if len(at)]
             if sum(map(len, held)) > HELD // 16:
-                held = [np.unique(np.concatenate(held), axis=0)]
-                if len(held[0]) > HELD // 32:
-                    yield from _phrases(held.pop())
+                yield from _phrases(met.new(np.concatenate(held)))
+                held = []
         if held:
-            yield from _phrases(np.unique(np.concatenate(held), axis=0))
+            yield from _phrases(met.new(np.concatenate(held)))
 
     return codes.mapInArrow(find, ", ".join(f"{w} long" for w in _WORDS)).distinct()
 
@@ -571,7 +656,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         if not shared:
             break
         seed, bits = seed + 1, 64
-    codes = coded.where("codes IS NOT NULL").select("codes").coalesce(tasks)
+    codes = coded.where("codes IS NOT NULL").select("codes", "places").coalesce(tasks)
     known = words.where(F.col("n") >= least)
     filters = {1: _word_bits(known, _power(8 * known.count()))}
     filters |= _bucket_bits(codes, filters, 2, 2, power, least)

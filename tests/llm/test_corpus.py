@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import pickle
 import random
 import re
 
@@ -180,6 +181,54 @@ def test_different_phrases_of_one_hash_are_kept_apart():
     assert found[:, :2].tolist() == [[1, 2], [3, 4]]
 
 
+@pytest.mark.parametrize("least", [100, 300])
+def test_slices_come_back(least):
+    rng = np.random.default_rng(least)
+    for slots in ([0], [65535, 65536], [3, 258, 259, 514, 515, 70000, 300000], np.unique(rng.integers(0, 1 << 20, 30000)), np.arange(70000)):
+        slots = np.asarray(slots, np.uint32)
+        counts = rng.integers(1, 2 * least, len(slots))
+        rows = collocations._slices(2, slots, counts, least).to_pylist()
+        assert [r["slice"] for r in rows] == sorted({int(x) >> 16 for x in slots})
+        assert np.concatenate([(r["slice"] << 16) + collocations._slots(r["slots"]) for r in rows]).tolist() == slots.tolist()
+        assert np.concatenate([np.frombuffer(r["counts"], collocations._counter(least)) for r in rows]).tolist() == np.minimum(counts, least).tolist()
+
+
+def test_a_task_hands_on_each_phrase_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = rng.integers(1, 9, (4000, 5)).astype(np.uint64)
+    rows[rng.random(4000) < 0.5, 3:] = 0
+    once = {tuple(r) for r in rows.tolist()}
+    met = collocations._Met()
+    told = [tuple(r) for part in (rows[:3000], rows[1000:], rows) for r in met.new(part).tolist()]
+    assert len(told) == len(once) and set(told) == once
+    # All of one hash: none is lost.
+    monkeypatch.setattr(collocations, "_longer", lambda hashes, codes: hashes * np.uint64(0) + np.uint64(7))
+    met = collocations._Met()
+    assert {tuple(r) for r in met.new(rows[:500]).tolist()} == {tuple(r) for r in rows[:500].tolist()}
+    assert {tuple(r) for part in (rows[:500], rows) for r in met.new(part).tolist()} | {tuple(r) for r in met.rows.tolist()} == once
+
+
+def test_codes_of_words_take_less_than_eight_bytes(spark):
+    coded = collocations._coded(rows_of(spark, [(1, "the cat sat on the mat " * 5000, "en", "s")]), "text", "lang", 0, 64).where("codes IS NOT NULL").collect()
+    assert sum(len(r.codes) + len(r.places) for r in coded) < 3 * 30000
+
+
+def test_counts_of_slots_add_up():
+    slots, counts = np.array([1, 5, 9, 1, 9, (1 << 28) - 1], np.uint64), np.array([1, 40, 3, 2, 250, 7], np.uint64)
+    got = collocations._added([slots[:3] << np.uint64(32) | counts[:3], slots[3:] << np.uint64(32) | counts[3:]], 100)
+    assert [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in got] == [(1, 3), (5, 40), (9, 100), ((1 << 28) - 1, 7)]
+
+
+def test_few_frequent_buckets_are_sent_in_few_bytes():
+    rng = np.random.default_rng(1)
+    for share in (0.0, 0.001, 0.9):
+        bits = collocations.Bits(20, np.where(rng.random(1 << 17) < share, rng.integers(1, 256, 1 << 17), 0).astype(np.uint8))
+        sent = pickle.dumps(bits)
+        back = pickle.loads(sent)
+        assert back.shift == bits.shift and (back.data == bits.data).all()
+        assert len(sent) < ((1 << 17) * 1.01 if share > 0.5 else 2000)
+
+
 # --- manifest
 
 
