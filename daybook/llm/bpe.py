@@ -1,6 +1,8 @@
 """Byte-level BPE over a distinct-word table.
 
-Texts are split into words by Spark's own regular expressions. Words are counted
+Texts are split into words by Spark's own regular expressions, or, where no table
+is made, by ``split``, whose array operations find the same words in whole batches.
+Words are counted
 over the whole corpus; the table takes those that recur, most frequent first, up
 to ``TABLE_WORDS`` entries, encodes each of them once, and is sent to the tasks,
 its size bounded by that parameter. Ids are joined back by position: a batch's
@@ -25,6 +27,7 @@ import itertools
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,6 +89,84 @@ class Vocabulary:
         return F.when(text.rlike(r"\p{Cn}"), F.array(text)).otherwise(out)
 
 
+_LETTER, _NUMBER, _SPACE, _OTHER, _UNKNOWN = range(5)
+_SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+@functools.cache
+def _kinds(points: int) -> np.ndarray:
+    """Whether code points below ``points`` are letters, numbers, white space, others or unassigned."""
+    letter = {"L": _LETTER, "N": _NUMBER}
+    names = (unicodedata.category(chr(i)) for i in range(points))
+    out = np.fromiter((_UNKNOWN if n == "Cn" else letter.get(n[0], _OTHER) for n in names), np.uint8, points)
+    out[[i for i in _SPACES if i < points]] = _SPACE
+    return out
+
+
+def word_starts(points: np.ndarray, kinds: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where ``WORD`` begins a word in texts that lie end to end and begin at ``firsts``."""
+    first = np.zeros(len(points) + 1, bool)
+    first[firsts] = first[-1] = True
+    run = first.copy()
+    run[1:-1] |= kinds[1:] != kinds[:-1]
+    start = run[:-1].copy()
+    # White space before a word keeps its last character back; a blank goes on with the word.
+    last = (kinds == _SPACE) & run[1:] & ~first[1:]
+    start |= last
+    start[1:] &= ~(last & (points == 32))[:-1]
+    at = np.flatnonzero(points == ord("'"))
+    at = at[start[at] & ~first[at + 1]]
+    one = points[at + 1]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    two = np.where(first[at + 2 - short], 0, points[np.minimum(at + 2, len(points) - 1)])
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    start[at[short | long] + 1] = False
+    after = np.concatenate([at[short] + 2, at[long] + 3])
+    start[after[after < len(start)]] = True
+    return start
+
+
+def split(texts: pa.Array, added: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """All texts' words, as ``Vocabulary.words`` has them, and the number of words up to each text's end."""
+    texts = pc.fill_null(texts, "").cast(pa.binary())
+    raw = texts.to_pylist()
+    data = b"".join(raw)
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        raw = [t.decode("utf-8", "replace").encode() for t in raw]
+        data = b"".join(raw)
+        text = data.decode()
+    held = np.frombuffer(data, np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    edges = np.append(0, ends)
+    marks = [t.encode() for t in sorted(added, key=len, reverse=True)]
+    spans = []
+    if any(m in data for m in marks):
+        pattern = re.compile(b"|".join(map(re.escape, marks)))
+        spans = [(a + m.start(), a + m.end()) for a, t in zip(edges.tolist(), raw, strict=False) for m in pattern.finditer(t)]
+    firsts = np.append(edges, np.array(spans, np.int64).reshape(-1))
+    place = None
+    if len(text) == len(data):
+        points, kinds = held, _kinds(128)[held]
+    else:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kinds = _kinds(0x110000)[points]
+        place = np.flatnonzero((held & 0xC0) != 0x80)
+        firsts = np.searchsorted(place, firsts)
+    starts = np.flatnonzero(word_starts(points, kinds, firsts))
+    unknown = np.flatnonzero(kinds == _UNKNOWN)
+    if place is not None:
+        starts, unknown = place[starts], place[unknown]
+    for a, z in spans:
+        starts = starts[(starts <= a) | (starts >= z)]
+    for i in np.unique(np.searchsorted(ends, unknown, side="right")):
+        starts = starts[(starts <= edges[i]) | (starts >= ends[i])]
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
+    return words, np.searchsorted(starts, ends)
+
+
 def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte: itself, or the next free one above 255."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -9,8 +9,9 @@ The coder predicts the next id from order 0 (adaptive counts of all ids), order
 (the id that last followed this one) and order 2 (the id that last followed these
 two). The three are mixed into one distribution: the counts, plus a weight for
 each predicted id that follows from how often predictions of its confidence came
-true so far. The mix drives an arithmetic coder of 64-bit state with 16-bit
-output (a carry-less range coder). A block is cut into lanes of ``STEPS`` ids
+true so far. The mix drives a range coder of 48-bit state with 16-bit output,
+whose numbers are whole and below 2^53, so that doubles hold and divide them
+exactly; carries are added up when all is coded. A block is cut into lanes of ``STEPS`` ids
 that are coded side by side and share the block's model, so each step is a few
 array operations over all lanes. Every block starts from an empty model and ends
 with a CRC-32 of all its bytes: a damaged block is found, and harms no other.
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.bpe import Vocabulary, encode_each, gather, list_edges, packed
+from daybook.llm.bpe import Vocabulary, encode_each, gather, packed, split
 from daybook.llm.store import place
 from daybook.session import shared_folder
 
@@ -44,12 +45,13 @@ END = 0
 #: Words a Python worker remembers.
 CACHE_WORDS = 700_000
 
-MAGIC = b"IDB2"
+MAGIC = b"IDB3"
 _HEAD = struct.Struct("<4sIQIII")
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_U16, _U48 = np.uint64(16), np.uint64(48)
+#: The range when coding starts, and below which 16 bits are told; the place of the bits that are.
+_FULL, _NARROW = float(1 << 48), float(1 << 32)
+_U16 = float(1 << 16)
 _SLOTS = 1 << 17
-_TABLE_BITS = 15
+_TABLE_BITS = 16
 _LEVEL_BITS = 4
 _LEVELS = 1 << _LEVEL_BITS
 # By confidence and hit: the next confidence, times two, plus one if the prediction stays.
@@ -60,8 +62,8 @@ _COUNT = 24
 _UNIT = 8
 #: A predicted id weighs at most this many times all counts.
 _HEAVY = 16 << _UNIT
-#: Sum of all counts, at most; with the heaviest predictions the line stays below 32 bits.
-_MOST = 1 << 26
+#: Sum of all counts, at most; with the heaviest predictions the line stays below 31 bits.
+_MOST = 1 << 25
 LARGEST_ID = 1 << 22
 
 
@@ -71,7 +73,7 @@ class Mixer:
     def __init__(self, alphabet: int, lanes: int) -> None:
         self.alphabet = alphabet
         self.counts = np.ones(alphabet, np.int64)
-        self.line = np.arange(alphabet + 1, dtype=np.int64)
+        self.line = np.arange(alphabet + 1, dtype=np.int32)
         # Since the last refresh: the symbols, and by order the confidences and outcomes of all predictions.
         self.waiting: list[np.ndarray] = []
         self.outcomes: list[list[np.ndarray]] = [[], []]
@@ -94,42 +96,43 @@ class Mixer:
         for score in self.score:
             odds = np.minimum((score[:, 1] << _UNIT) // score[:, 0], _HEAVY)
             odds[0] = 0  # nothing was seen in such a context
-            self.weight.append((total * odds) >> _UNIT)
+            self.weight.append(((total * odds) >> _UNIT).astype(np.int32))
 
     def predict(self) -> None:
-        """The two predicted symbols of each lane in rising order, with their weights."""
+        """The two predicted symbols of each lane, with their weights."""
         self.at = [self.one, (self.one * 40503 + self.two * 30011) & (_SLOTS - 1)]
         known = [g.take(a) for g, a in zip(self.guess, self.at, strict=True)]
         self.level = [k & (_LEVELS - 1) for k in known]
         self.said = [k >> _LEVEL_BITS for k in known]
-        (g1, g2), (w1, w2) = self.said, [w.take(n) for w, n in zip(self.weight, self.level, strict=True)]
-        self.a, self.b, both = np.minimum(g1, g2), np.maximum(g1, g2), w1 + w2
-        self.wa = w1 + (w2 - w1) * (g2 < g1)
-        self.wb = both - self.wa
-        self.total = both + self.line[-1]
+        self.w1, self.w2 = (w.take(n) for w, n in zip(self.weight, self.level, strict=True))
+        self.total = self.w1 + self.w2 + self.line[-1]
 
     def interval(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the symbols lie on the mixed line, and their widths."""
+        ids, (g1, g2) = symbols.astype(np.int32), self.said
         low = self.line.take(symbols)
-        size = self.line[1:].take(symbols) - low + self.wa * (self.a == symbols) + self.wb * (self.b == symbols)
-        return low + self.wa * (self.a < symbols) + self.wb * (self.b < symbols), size
+        size = self.line.take(symbols + 1) - low + self.w1 * (g1 == ids) + self.w2 * (g2 == ids)
+        return low + self.w1 * (g1 < ids) + self.w2 * (g2 < ids), size
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """The symbols in whose intervals the values lie."""
-        from_a, to_a = self.line.take(self.a), self.line[1:].take(self.a) + self.wa
-        from_b, to_b = self.line.take(self.b) + self.wa, self.line[1:].take(self.b) + self.wa + self.wb
-        after_a, after_b = value >= to_a, value >= to_b
-        symbols = self._search(np.minimum(value - self.wa * after_a - self.wb * after_b, self.line[-1] - 1))
-        symbols = np.where((value >= from_b) & ~after_b, self.b, symbols)
-        return np.where((value >= from_a) & ~after_a, self.a, symbols)
+        """The symbols in whose intervals the values lie.
+
+        A predicted symbol's weight lies where its own part of the line begins: without both, values lie on the line of the counts.
+        """
+        g1, g2 = self.said
+        past1 = value - self.line.take(g1) - self.w2 * (g2 < g1)
+        past2 = value - self.line.take(g2) - self.w1 * (g1 <= g2)
+        return self._search(value - np.minimum(np.maximum(past1, 0), self.w1) - np.minimum(np.maximum(past2, 0), self.w2))
 
     def _search(self, value: np.ndarray) -> np.ndarray:
         found = self.table.take(value >> self.shift)
-        while len(late := np.nonzero(self.line.take(found) > value)[0]):
-            if len(late) < 1024:
+        late = np.flatnonzero(self.line.take(found) > value)
+        while len(late):
+            if len(late) < 256:
                 found[late] = np.searchsorted(self.line, value[late], side="right") - 1
                 break
             found[late] -= 1
+            late = late[self.line.take(found.take(late)) > value.take(late)]
         return found
 
     def learn(self, symbols: np.ndarray) -> None:
@@ -149,82 +152,75 @@ class Mixer:
             for score, outcomes in zip(self.score, self.outcomes, strict=True):
                 score += np.bincount(np.concatenate(outcomes), minlength=2 * _LEVELS).reshape(_LEVELS, 2)
                 outcomes.clear()
-            if int(self.counts.sum()) > _MOST:
+            while int(self.counts.sum()) > _MOST:
                 self.counts = (self.counts + 1) >> 1
             self._refresh()
 
 
-def _needy(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Lanes whose top 16 bits are settled or whose range is too narrow."""
-    return np.nonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))[0]
-
-
-def _shifted(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both 16 bits further; a narrow range that spans a carry is cut off before it."""
-    open_ = np.nonzero((low ^ (low + width)) >= _TOP)[0]
-    if len(open_):
-        width[open_] = (~low[open_] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-    return low << _U16, width << _U16
-
-
 def _code(ids: np.ndarray, alphabet: int, lanes: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """The 16-bit words of each lane, one lane after another, and their numbers."""
     grid = np.zeros(lanes * steps, np.int64)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Mixer(alphabet, lanes)
-    room = 3 * steps + 8
-    words = np.zeros(lanes * room, np.uint16)
-    start = np.arange(lanes) * room
-    at = start.copy()
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    # A symbol has a part of 2^31 at least, so it narrows a range by 32 bits at most, rounding included.
+    # The lanes' words lie side by side while they are written, since lanes write about as many.
+    words = np.zeros((2 * steps + 4) * lanes, np.uint32)
+    at = np.arange(lanes)
+    low, width = np.zeros(lanes), np.full(lanes, _FULL)
     for row in grid:
         model.predict()
         first, size = model.interval(row)
-        part = width // model.total.view(np.uint64)
-        low = low + part * first.view(np.uint64)
-        width = part * size.view(np.uint64)
-        lane = _needy(low, width)
+        part = np.floor(width / model.total)
+        low += part * first
+        width = part * size
+        lane = np.flatnonzero(width < _NARROW)
         while len(lane):
-            l, w = low.take(lane), width.take(lane)
-            words[at.take(lane)] = l >> _U48
-            at[lane] += 1
-            l, w = _shifted(l, w)
-            low[lane], width[lane] = l, w
-            lane = lane[_needy(l, w)]
+            l, w, place = low.take(lane), width.take(lane) * _U16, at.take(lane)
+            top = np.floor(l / _NARROW)  # a 17th bit is a carry
+            words[place] = top
+            at[lane] = place + lanes
+            low[lane], width[lane] = (l - top * _NARROW) * _U16, w
+            lane = lane[w < _NARROW]
         model.learn(row)
-    for shift in (48, 32, 16, 0):
-        words[at] = (low >> np.uint64(shift)).astype(np.uint16)
-        at += 1
-    sizes = at - start
-    return gather(words, start, sizes)[0], sizes
+    # Whatever follows these 32 bits, the number lies in the range.
+    last = low.astype(np.int64) // (1 << 16) + 1
+    words[at], words[at + lanes] = last >> 16, last & 0xFFFF
+    sizes = at // lanes + 2
+    most = int(sizes.max())
+    words = words.reshape(-1, lanes)[:most].T[np.arange(most) < sizes[:, None]]
+    while len(carry := np.flatnonzero(words >> 16)):
+        words[carry] &= 0xFFFF
+        words[carry - 1] += 1
+    return words.astype(np.uint16), sizes
 
 
 def _uncode(words: np.ndarray, sizes: np.ndarray, n: int, alphabet: int, lanes: int, steps: int) -> np.ndarray:
     model = Mixer(alphabet, lanes)
-    words = np.append(words, np.zeros(4, np.uint16)).astype(np.uint64)
-    at = np.cumsum(sizes) - sizes
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _U16) | words[at]
-        at += 1
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    # As in the coder; what is read behind a lane's end doesn't matter.
+    most = int(sizes.max())
+    beside = np.zeros((lanes, most + 2), np.uint16)
+    beside[:, :most][np.arange(most) < sizes[:, None]] = words
+    words = np.ascontiguousarray(beside.T).reshape(-1)
+    at = np.arange(lanes)
+    code = (words[at] * _U16 + words[at + lanes]) * _U16 + words[at + 2 * lanes]
+    at += 3 * lanes
+    width = np.full(lanes, _FULL)
     out = np.zeros((steps, lanes), np.int64)
     for row in out:
         model.predict()
-        part = width // model.total.view(np.uint64)
-        row[:] = model.find(np.minimum(((code - low) // part).view(np.int64), model.total - 1))
+        part = np.floor(width / model.total)
+        row[:] = model.find(np.minimum(code / part, model.total - 1).astype(np.int32))
         first, size = model.interval(row)
-        low = low + part * first.view(np.uint64)
-        width = part * size.view(np.uint64)
-        lane = _needy(low, width)
+        code -= part * first
+        width = part * size
+        lane = np.flatnonzero(width < _NARROW)
         while len(lane):
-            l, w = low.take(lane), width.take(lane)
-            code[lane] = (code.take(lane) << _U16) | words.take(at.take(lane))
-            at[lane] += 1
-            l, w = _shifted(l, w)
-            low[lane], width[lane] = l, w
-            lane = lane[_needy(l, w)]
+            w, place = width.take(lane) * _U16, at.take(lane)
+            code[lane] = code.take(lane) * _U16 + words.take(place)
+            at[lane] = place + lanes
+            width[lane] = w
+            lane = lane[w < _NARROW]
         model.learn(row)
     return out.T.reshape(-1)[:n]
 
@@ -315,10 +311,11 @@ def write(docs: DataFrame, vocabulary: Vocabulary, path: str | None = None, doc:
     path = path or shared_folder(spark, "token-ids")
     slim = docs.select(F.col(doc).cast("long").alias("key"), F.col(text).alias("text"), place().alias("_place"))
     ranged = slim.repartitionByRange("key", "_place").sortWithinPartitions("key", "_place")
-    sent = spark.sparkContext.broadcast(vocabulary.text)
+    sent = spark.sparkContext.broadcast((vocabulary.text, list(vocabulary.added)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = _met(sent.value), TaskContext.get().partitionId()
+        spec, added = sent.value
+        words, part = _met(spec), TaskContext.get().partitionId()
         keys: list[int | None] = []
         held: list[np.ndarray] = []
         sizes: list[int] = []
@@ -335,8 +332,9 @@ def write(docs: DataFrame, vocabulary: Vocabulary, path: str | None = None, doc:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "block", "before", "n_tokens", "body"])
 
         for batch in batches:
-            ids, ends = words.join(batch.column(1).flatten())
-            ends = np.concatenate([[0], ends])[list_edges(batch.column(1))]
+            pieces, edges = split(batch.column(1), added)
+            ids, ends = words.join(pieces)
+            ends = np.concatenate([[0], ends])[edges]
             ids = np.insert(ids, ends, end)
             ends += np.arange(1, len(ends) + 1)
             start = taken = 0
@@ -354,7 +352,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, path: str | None = None, doc:
             yield full()
 
     kind = "part int, block int, before long, n_tokens long, body binary"
-    ranged.select("key", vocabulary.words(F.col("text")).alias("words")).mapInArrow(pack, kind).write.option("compression", "none").parquet(path)
+    ranged.select("key", "text").mapInArrow(pack, kind).write.option("compression", "none").parquet(path)
     return path
 
 

@@ -1,6 +1,7 @@
 """Operators over documents against brute force, on small and awkward fixtures."""
 
 import collections
+import itertools
 import json
 import random
 import re
@@ -9,10 +10,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 import public_tokenizers
 from daybook.llm import bpe, components, decontamination, quality_rules, secrets, sharding, simhash, token_files, toxicity
@@ -390,6 +392,41 @@ def test_ids_that_are_no_text_decode_as_the_library_does(spark, library):
     assert [got[i] for i in range(100)] == [library.decode(x, skip_special_tokens=False) for x in lists]
 
 
+def test_texts_are_split_in_arrays_as_the_library_splits_them():
+    rng = random.Random(11)
+    marks = ["'", "'", *"stdmlrveS", "re", "ve", "ll", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "é", "1", "²", "!", "\u0301", "漢", "😀"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    own = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    for some in (texts, ["".join(c for c in t if c.isascii()) for t in texts]):
+        words, edges = bpe.split(pa.array(some), ["<|endoftext|>"])
+        words, edges = words.to_pylist(), [0, *edges.tolist()]
+        assert [words[a:z] for a, z in itertools.pairwise(edges)] == [[t[a:z] for _, (a, z) in own.pre_tokenize_str(t)] for t in some]
+    for some in ([None, "", "a <|endoftext|> 's", "a \u0378 b", "<|endoftext|><|endoftext|>", "<|endof", "text|>", ""], ["a<|endoftext|>b ", "\n'll"], [], [""]):
+        words, edges = bpe.split(pa.array(some, pa.string()), ["<|endoftext|>"])
+        want = {None: [], "": [], "a <|endoftext|> 's": ["a", " ", "<|endoftext|>", " '", "s"], "a \u0378 b": ["a \u0378 b"], "<|endof": ["<|", "endof"], "text|>": ["text", "|>"]}
+        want |= {"<|endoftext|><|endoftext|>": ["<|endoftext|>"] * 2, "a<|endoftext|>b ": ["a", "<|endoftext|>", "b", " "], "\n'll": ["\n", "'ll"]}
+        assert words.to_pylist() == [w for t in some for w in want[t]] and np.diff(edges, prepend=0).tolist() == [len(want[t]) for t in some]
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 200])
+def test_carries_and_lanes_of_unlike_lengths_come_back(lanes):
+    rng = np.random.default_rng(lanes)
+    steps = 300
+    even, odd = rng.integers(0, 3000, (lanes, steps)), np.zeros((lanes, steps), np.int64)
+    for ids in (even, odd, np.where(np.arange(lanes)[:, None] % 2, even, odd), np.full((lanes, steps), 2999)):
+        words, sizes = token_files._code(ids.reshape(-1), 3000, lanes, steps)
+        assert int(sizes.sum()) == len(words)
+        assert (token_files._uncode(words, sizes, lanes * steps, 3000, lanes, steps) == ids.reshape(-1)).all()
+
+
+def test_counts_stay_below_their_limit():
+    model = token_files.Mixer(3, 1 << 22)
+    for _ in range(3):
+        model.predict()
+        model.learn(np.zeros(1 << 22, np.int64))
+        assert 0 < int(model.line[-1]) <= token_files._MOST and int(model.total.min()) > 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
 def test_blocks_come_back(n):
     rng = np.random.default_rng(n)
